@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_rca.llm import bpe, chat, html_text, langid, mixing, simhash, toxicity
+from spark_rca.llm import bpe, chat, html_text, jaccard, langid, mixing, simhash, toxicity
 from spark_rca.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": lambda s, d: toxicity.toxicity_query(s, table(s, d, "documents"), table(s, d, "labels")),
         "op8_chat_windows": lambda s, d: chat.chat_query(s, table(s, d, "conversations")),
         "op9_source_mix": lambda s, d: mixing.mix_query(table(s, d, "documents")),
+        "op10_jaccard_join": lambda s, d: jaccard.jaccard_components(table(s, d, "documents")),
     }
 
 
