@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def row_key() -> Column:
+    """A 64-bit key of (doc_id, text); rows that agree in both are interchangeable."""
+    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_rca.llm import bpe, chat, html_text, jaccard, langid, mixing, simhash, toxicity
+from spark_rca.llm import bpe, chat, embedding_dedup, html_text, jaccard, langid, mixing, simhash, suffix_dedup, toxicity
 from spark_rca.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ def queries() -> dict[str, Query]:
         "op3_simhash": lambda s, d: simhash.fingerprint_query(table(s, d, "documents")),
         "op4_html_text": lambda s, d: html_text.html_query(table(s, d, "pages")),
         "op5_toxicity": lambda s, d: toxicity.toxicity_query(s, table(s, d, "documents"), table(s, d, "labels")),
+        "op6_suffix_dedup": lambda s, d: suffix_dedup.suffix_query(table(s, d, "documents")),
+        "op7_embedding_dedup": lambda s, d: embedding_dedup.embedding_query(s, table(s, d, "embeddings")),
         "op8_chat_windows": lambda s, d: chat.chat_query(s, table(s, d, "conversations")),
         "op9_source_mix": lambda s, d: mixing.mix_query(table(s, d, "documents")),
         "op10_jaccard_join": lambda s, d: jaccard.jaccard_components(table(s, d, "documents")),

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_rca.llm.common import materialize
+from spark_rca.llm.common import materialize, row_key
 
 BLOCK, LANES, MASK = 2047, 16, 0x0001000100010001
 BITS = 128
@@ -124,7 +124,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     Order: doc_id (null first), then text hash; after the last comes the first.  Ids, never texts,
     are range partitioned; the ends of the ranges are one row per partition.
     """
-    light = docs.select(_key().alias("key"), "doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    light = docs.select(row_key().alias("key"), "doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
     light = light.groupBy("key", "doc_id", "n").agg(F.count("*").alias("copies"))
     light = materialize(light.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
     order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
@@ -137,17 +137,13 @@ def in_order(docs: DataFrame) -> DataFrame:
     return out.withColumn("next_key", F.coalesce(F.lead("key").over(w), F.col("after"))).withColumn("_b", back).select("key", "doc_id", "n", "copies", "next_key", F.col("_b.key").alias("prev_key"), F.col("_b.n").alias("prev_n"))
 
 
-def _key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-
-
 def fingerprint_query(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and of their edited texts.
 
     A repeated row (same doc_id and text) is its own next document, except for the last of them.
     """
     order = in_order(docs)
-    texts = docs.select(_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     one = Window.partitionBy("key").orderBy("key")
     rows = texts.join(order, "key").withColumn("_rn", F.row_number().over(one)).where("_rn = 1")
     heads = rows.select(F.col("prev_key").alias("key"), F.expr("substring(text, 1, int(prev_n div 4))").alias("head"))
