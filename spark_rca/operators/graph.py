@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_rca.functions.scalars import path_mean
+from spark_rca.operators.lineage import cut
 from spark_rca.operators.relate import add_backward_edges, path_node_counts, second_order_states, top_paths
 from spark_rca.operators.windows import adaptive_threshold, normalize
 
@@ -19,6 +20,7 @@ def transition_graph(strength: DataFrame, ratio: float) -> DataFrame:
 
 def _walk_paths(edges: DataFrame, starts: DataFrame, end_col: str, next_col: str, max_len: int, cap: int) -> tuple[DataFrame, DataFrame]:
     """Simple paths level by level: (all partial paths, their extensions by a repeated node)."""
+    edges, starts = cut(edges), cut(starts)
     step = edges.where("weight > 0").select("incident_id", F.col(end_col).alias("_at"), F.col(next_col).alias("_to"), F.col("weight").alias("_w"))
     front = starts.select("incident_id", F.col("service_id").alias("entry"), F.array("service_id").alias("path"), F.array().cast("array<double>").alias("edge_probs"))
     levels = [front]
@@ -26,7 +28,9 @@ def _walk_paths(edges: DataFrame, starts: DataFrame, end_col: str, next_col: str
         wide = levels[-1].withColumn("_at", F.element_at("path", -1)).join(step, ["incident_id", "_at"]).where(~F.array_contains("path", F.col("_to")))
         nxt = wide.select("incident_id", "entry", F.concat("path", F.array("_to")).alias("path"), F.concat("edge_probs", F.array("_w")).alias("edge_probs"))
         rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("path"))
-        levels.append(nxt.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r"))
+        levels.append(cut(nxt.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")))
+        if not levels[-1].take(1):
+            break
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
@@ -240,13 +244,16 @@ def netmedic_rank(impact: DataFrame, total: DataFrame, entries: DataFrame) -> Da
 def reach(edges: DataFrame, direction: str, max_depth: int = 20) -> DataFrame:
     """(incident_id, service_id, other, depth): nodes reachable by out-edges (callers) or in-edges (callees), breadth first."""
     a, b = ("src", "dst") if direction == "callers" else ("dst", "src")
+    edges = cut(edges)
     step = edges.where("weight > 0").select("incident_id", F.col(a).alias("_at"), F.col(b).alias("_to"))
     nodes = edges.select("incident_id", F.explode(F.array("src", "dst")).alias("service_id")).distinct()
     seen = nodes.select("incident_id", "service_id", F.col("service_id").alias("other"), F.lit(0).alias("depth"))
-    front = seen
+    seen = front = cut(seen)
     for depth in range(1, max_depth + 1):
         nxt = front.select("incident_id", "service_id", F.col("other").alias("_at")).join(step, ["incident_id", "_at"]).select("incident_id", "service_id", F.col("_to").alias("other")).distinct()
-        front = nxt.join(seen, ["incident_id", "service_id", "other"], "left_anti").withColumn("depth", F.lit(depth))
+        front = cut(nxt.join(seen, ["incident_id", "service_id", "other"], "left_anti").withColumn("depth", F.lit(depth)))
+        if not front.take(1):
+            break
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
