@@ -30,6 +30,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of a few longs that may be broadcast; larger tables join by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` (written already, narrow) with a broadcast hint if a count proves it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def row_key() -> Column:
     """A 64-bit key of (doc_id, text); rows that agree in both are interchangeable."""
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
@@ -56,4 +65,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select("v", "v").distinct().toDF("node", "component"))
+    roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_rca.llm.bytehash import LOWER, batches, mix, prefix, span, words
-from spark_rca.llm.common import connected_components, materialize
+from spark_rca.llm.common import connected_components, materialize, small_side
 
 #: Ratio of the sizes that bound a band, and the most documents that one task joins locally.
 BAND, LOCAL = 1.5, 1500
@@ -294,6 +294,49 @@ def _split_regions(members: DataFrame, width: int, percent: int, limit: int, piv
     return out, links
 
 
+def _regions_of(sets: DataFrame) -> DataFrame:
+    """(doc_id, region): documents connected by common cells; ``sets`` has doc_id and its cell keys ``sig``."""
+    keys = sets.select("doc_id", F.explode("sig").alias("k")).repartition("k")
+    cells = keys.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", "lo")
+    near = materialize(keys.join(cells, "k").where("doc_id <> lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).distinct())
+    return connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
+
+
+def _refine(members: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
+    """Divides regions of more than ``limit`` documents by their rare shingles.
+
+    A passage that very many documents share connects cells by chance.  Ordered by frequency, the rarest
+    n - ceil(n * percent / 100) + 1 shingles of two linked sets have one in common, so documents that share
+    none of these are parted without losing a link.
+    """
+    big = members.groupBy("region").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("region")
+    if not big.take(1):
+        return members
+    large = materialize(members.join(big, "region"))
+
+    def run(it):
+        for b in it:
+            at = 0
+            for _, data, offs in batches(b.column("text")):
+                sets = shingles(data, offs, width)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                sig = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(sets)), sig], ["doc_id", "sig"])
+                at += len(sets)
+
+    sets = materialize(large.select("doc_id", "text").mapInArrow(run, "doc_id long, sig array<long>"))
+    keys = sets.select("doc_id", F.explode("sig").alias("k")).repartition("k")
+    often = keys.groupBy("k").agg(F.count("*").alias("n"))
+    # Packed as (frequency, key) so that sorting the array of a document orders its shingles.
+    ranked = keys.join(often, "k").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("s"))
+    size = F.size("s")
+    prefix_size = size - F.ceil(size * percent / 100).cast("int") + 1
+    rare = materialize(ranked.select("doc_id", F.transform(F.slice("s", 1, prefix_size), lambda x: x["k"]).alias("sig")))
+    parts = _regions_of(rare)
+    moved = large.drop("region").join(parts, "doc_id").select("region", "doc_id", "label", "text")
+    return materialize(members.join(big, "region", "left_anti").select("region", "doc_id", "label", "text").unionByName(moved))
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, local: int = LOCAL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id long, text).
 
@@ -304,13 +347,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, local
     sets = materialize(_sets(docs, width, percent))
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"))
-    twins = full.join(same.where("_n > 1").select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = full.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", F.explode("sig").alias("k"))
-    reps = reps.repartition("k")
-    cells = reps.groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", "lo")
-    near = materialize(reps.join(cells, "k").where("doc_id <> lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).distinct())
-    regions = connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
-    members = materialize(docs.select("doc_id", "text").join(regions, "doc_id").select("region", "doc_id", F.col("doc_id").alias("label"), "text"))
+    twins = full.select("h1", "h2", "doc_id").join(same.where("_n > 1").select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    reps = full.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "sig")
+    regions = materialize(_regions_of(reps))
+    # The side of the candidates is narrow: where a count proves it small, texts are not shuffled.
+    members = docs.select("doc_id", "text").join(small_side(regions), "doc_id")
+    members = materialize(members.select("region", "doc_id", F.col("doc_id").alias("label"), "text"))
+    members = _refine(members, width, percent, local)
     small, found = _split_regions(members, width, percent, local)
     links = _region_links(small, width, percent)
     for x in found:
