@@ -523,7 +523,7 @@ def _(x):
     return rl.pr_stat(x.ranking(), x.truth()).select("incident_id", r6("pr_avg").alias("pr_avg"), r6(F.get("prks", F.lit(4))).alias("pr5"))
 
 
-@add("e3_rank_score", EVAL + "SELECT t.incident_id, round(avg(coalesce((12 - greatest(0, r.rank - n)) / 12::DOUBLE, 0)), 6) AS acc FROM truth t JOIN nt USING (incident_id) LEFT JOIN ranking r USING (incident_id, service_id) GROUP BY 1")
+@add("e3_rank_score", EVAL + "SELECT t.incident_id, round(avg(CASE WHEN r.rank IS NULL THEN 0 ELSE (12 - greatest(0, r.rank - n)) / 12::DOUBLE END), 6) AS acc FROM truth t JOIN nt USING (incident_id) LEFT JOIN ranking r USING (incident_id, service_id) GROUP BY 1")
 def _(x):
     return v6(rl.rank_score(x.ranking(), x.truth(), 12), "acc")
 

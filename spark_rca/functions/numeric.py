@@ -192,13 +192,11 @@ def gpd_fit(peaks: np.ndarray, roots: int = 10) -> tuple[float, float]:
 
     best = (likelihood(0.0, mean), 0.0, mean)
     eps = min(1e-8, 0.5 / hi) if hi > 0 else 1e-8
-    spans = [(-1 / hi + eps, -eps)] if hi > 0 else []
+    grids = [np.linspace(-1 / hi + eps, -eps, 4 * roots + 1)] if hi > 0 else []
     if lo > 0 and mean > lo:
-        spans.append((2 * (mean - lo) / (mean * lo), 2 * (mean - lo) / lo**2))
-    for a, b in spans:
-        if not b > a:
-            continue
-        grid = np.linspace(a, b, 4 * roots + 1)
+        # Positive roots lie below 2 (mean - min) / min^2, which may be far off: a geometric grid.
+        grids.append(np.geomspace(1e-6 / mean, max(2 * (mean - lo) / lo**2, 2e-6 / mean), 8 * roots))
+    for grid in grids:
         f = profile(grid)
         for k in np.flatnonzero(np.sign(f[:-1]) * np.sign(f[1:]) < 0).tolist():
             u, w, fu = grid[k], grid[k + 1], f[k]

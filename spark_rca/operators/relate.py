@@ -289,5 +289,5 @@ def rank_score(ranking: DataFrame, truth: DataFrame, n: int, keys: tuple[str, ..
     size = t.groupBy("incident_id").agg(F.count("*").alias("_n"))
     runs = ranking.select(*keys).distinct().join(t, "incident_id").join(size, "incident_id")
     d = runs.join(ranking.select(*keys, "service_id", "rank"), [*keys, "service_id"], "left")
-    s = F.coalesce((F.lit(n) - F.greatest(F.lit(0), F.col("rank") - F.col("_n"))) / n, F.lit(0.0))
+    s = F.when(F.col("rank").isNull(), 0.0).otherwise((F.lit(n) - F.greatest(F.lit(0), F.col("rank") - F.col("_n"))) / n)
     return d.groupBy(*keys).agg(F.avg(s).alias("acc"))
