@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spark_rca.llm.bytehash import batches, prefix, span
 from spark_rca.llm.common import materialize, row_key
@@ -271,7 +272,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     spans = materialize(repeated_spans(keyed.select("key", "text"), length, hot))
     rows = keyed.join(spans, "key", "left").drop("key")
     cols = docs.columns
-    schema = docs.schema.add("_kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    schema = StructType(docs.schema.fields).add("_kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
 
     def cut(it):
         for b in it:

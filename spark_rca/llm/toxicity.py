@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CATEGORIES = ["toxic", "severe", "repeated"]
 #: Bounds of what is learned from: labelled rows in the sample, and features.
@@ -130,7 +131,7 @@ def predict_toxicity(spark: SparkSession, docs: DataFrame, chain: Chain | None)
     """
     model = spark.sparkContext.broadcast(chain)
     cols = docs.columns
-    schema = docs.schema
+    schema = StructType(docs.schema.fields)
     for c in CATEGORIES:
         schema = schema.add(f"p_{c}", "double")
     if chain is None or not chain.terms:
