@@ -160,7 +160,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str,
     body = F.coalesce(F.col(text), F.lit(""))
     odd = body.rlike(r"[\p{Cn}]")
     split = docs.withColumn("_words", F.when(~odd, F.regexp_extract_all(body, F.lit(java_pattern(pattern)), F.lit(0)))).withColumn("_text", F.when(odd, body))
-    schema = StructType(docs.schema.fields).add("n_tokens", "long").add("ids", "binary").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = StructType([*docs.schema.fields]).add("n_tokens", "long").add("ids", "binary").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(it):
         import regex

@@ -200,7 +200,7 @@ def predict_language(spark: SparkSession, docs: DataFrame, net: ByteGru | None)
     cols = docs.columns
     model = spark.sparkContext.broadcast(net)
     marked = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None))
-    schema = StructType(docs.schema.fields).add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def run(it):
         from spark_rca.llm.bytehash import batches

@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     spans = materialize(repeated_spans(keyed.select("key", "text"), length, hot))
     rows = keyed.join(spans, "key", "left").drop("key")
     cols = docs.columns
-    schema = StructType(docs.schema.fields).add("_kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    schema = StructType([*docs.schema.fields]).add("_kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
 
     def cut(it):
         for b in it:

@@ -131,7 +131,7 @@ def predict_toxicity(spark: SparkSession, docs: DataFrame, chain: Chain | None)
     """
     model = spark.sparkContext.broadcast(chain)
     cols = docs.columns
-    schema = StructType(docs.schema.fields)
+    schema = StructType([*docs.schema.fields])
     for c in CATEGORIES:
         schema = schema.add(f"p_{c}", "double")
     if chain is None or not chain.terms:
