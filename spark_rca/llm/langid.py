@@ -169,11 +169,18 @@ def held_out(doc_id: Column) -> Column:
 def sample_windows(labelled: DataFrame, docs: int = SAMPLE_DOCS, per_doc: int = DOC_WINDOWS) -> list:
     """At most ``docs`` * ``per_doc`` rows (label, window), from places all over the texts, chosen by hash."""
     wide = WINDOW + WINDOW // 2  # code points; cut to WINDOW bytes on arrival
-    h = F.xxhash64("text", F.lit(7))
-    s = labelled.where("label IS NOT NULL AND text IS NOT NULL").withColumn("_h", h).orderBy("_h", "label", "text").limit(docs)
+    s = labelled.where("label IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("text", F.lit(7)))
+    # The least hashes of distinct texts come first, as bare numbers; texts follow only for those.
+    least = s.select("_h").distinct().orderBy("_h").limit(docs).agg(F.max("_h")).first()[0]
+    if least is None:
+        return []
+    s = s.where(F.col("_h") <= least)
     n = F.char_length("text")
     place = lambda k: F.pmod(F.xxhash64("_h", F.lit(k)), F.greatest(n - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    return s.select("label", F.explode(F.array(*[F.substring("text", place(k), F.lit(wide)) for k in range(per_doc)])).alias("w")).collect()
+    cut = F.array(*[F.substring("text", place(k), F.lit(wide)) for k in range(per_doc)])
+    # Copies of a text under one label count once; under several labels, as often.
+    some = s.select("_h", "label", cut.alias("w")).groupBy("_h", "label").agg(F.first("w").alias("w"))
+    return some.orderBy("_h", "label").limit(docs).select("label", F.explode("w").alias("w")).collect()
 
 
 def train_language_model(labelled: DataFrame) -> ByteGru | None:

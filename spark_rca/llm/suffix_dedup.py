@@ -18,7 +18,6 @@ Strings are judged on the input, and matches never cross documents.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
