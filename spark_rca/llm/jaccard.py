@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_rca.llm.bytehash import LOWER, batches, mix, prefix, span, words
-from spark_rca.llm.common import connected_components, materialize, small_side
+from spark_rca.llm.common import BROADCAST_ROWS, connected_components, materialize, small_side
 
 #: Ratio of the sizes that bound a band, and the most documents that one task joins locally.
 BAND, LOCAL = 1.5, 1500
@@ -244,27 +244,59 @@ def _distances(spread: DataFrame, width: int, percent: int) -> DataFrame:
     return spread.select("region", "doc_id", "pivot", "p_text", "text").mapInArrow(run, "region long, doc_id long, pivot long, d double, linked boolean")
 
 
+def _deal(region: DataFrame, limit: int) -> DataFrame:
+    """Regions that pivots do not part, as pairs of blocks that fit a task.
+
+    ``region`` has region, doc_id and label.  Documents of one label are connected already: a large
+    label has blocks of its own, which are not paired with each other; small labels share blocks.
+    Each other pair of blocks becomes a region, so each pair of documents of different labels meets.
+    """
+    half = limit // 2
+    count = region.groupBy("region", "label").agg(F.count("*").alias("_c"))
+    own = F.col("_c") > half // 8
+    rest = count.groupBy("region").agg(F.sum(F.when(~own, F.col("_c"))).alias("_rest"))
+    docs = region.join(count, ["region", "label"]).join(rest, "region")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
+    docs = docs.withColumn("_home", F.when(own, F.col("label")))
+    docs = docs.withColumn("_b", F.when(own, F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), parts(F.col("_c"))))).otherwise(F.pmod(F.xxhash64("label"), parts(F.coalesce("_rest", F.lit(0))))))
+    docs = materialize(docs.select("region", "doc_id", "label", "_home", "_b"))
+    one = docs.select("region", "_b", "_home").distinct()
+    two = one.select("region", F.col("_b").alias("_b2"), F.col("_home").alias("_home2"))
+    alone = one.groupBy("region").agg(F.count("*").alias("_blocks"))
+    apart = F.col("_home").isNull() | F.col("_home2").isNull() | (F.col("_home") != F.col("_home2"))
+    pairs = one.join(two, "region").join(alone, "region").where((F.col("_b") < F.col("_b2")) & apart | (F.col("_b") == F.col("_b2")) & (F.col("_blocks") == 1))
+    pairs = pairs.select("region", F.xxhash64("region", "_b", "_b2").alias("_pair"), F.explode(F.array_distinct(F.array("_b", "_b2"))).alias("_b"))
+    return docs.join(pairs, ["region", "_b"]).select(F.col("_pair").alias("region"), "doc_id", "label")
+
+
+#: A region is parted by its pivots if no cell, with its window, keeps more than this share of it.
+PARTED = 0.8
+
+
 def _split_regions(members: DataFrame, width: int, percent: int, limit: int, pivots: int = 8, rounds: int = 20) -> tuple[DataFrame, list[DataFrame]]:
     """Recursion over regions of more than ``limit`` documents, as joins with their pivots.
 
     Returns the members of regions that fit a task, and the links to pivots found on the way.  After
-    each round, cells whose documents are all connected are done.  A cell where one connected group
-    leaves few others is dealt as blocks of that group, each with all the others.
+    each round, cells whose documents are all connected are done.  Where a cell keeps nearly all of its
+    region (all documents are about as far from each other as the window is wide), and where one
+    connected group leaves few others, more pivots don't help: the documents are dealt in blocks.
     """
     eps, links, done = 1 - percent / 100, [], []
     for k in range(rounds):
-        size = members.groupBy("region").agg(F.count("*").alias("_n"))
-        sized = members.join(size, "region")
-        done.append(sized.where(F.col("_n") <= limit).drop("_n"))
-        big = sized.where(F.col("_n") > limit).drop("_n")
-        if not big.take(1):
+        size = members.groupBy("region").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+        size = materialize(size)
+        many = size.count()
+        if not many:
+            done.append(members)
             break
-        big = materialize(big)
+        few_rows = F.broadcast(size) if many <= 100_000 else size
+        done.append(members.join(few_rows, "region", "left_anti"))
+        big = members.join(few_rows.select("region"), "region")
         # The home documents of least hash, by salted minima: one task never sorts a region.
         h = F.xxhash64("doc_id", F.lit(k))
         chosen = big.groupBy("region", F.pmod(h, F.lit(pivots)).alias("_salt")).agg(F.min_by(F.struct("doc_id", "text"), h).alias("p"))
         chosen = materialize(chosen.select("region", F.col("p.doc_id").alias("pivot"), F.col("p.text").alias("p_text")))
-        small = chosen.count() <= 2000 and (chosen.agg(F.sum(F.length("p_text"))).first()[0] or 0) < 32 << 20
+        small = many * pivots <= 2000 and (chosen.agg(F.sum(F.length("p_text"))).first()[0] or 0) < 32 << 20
         near = materialize(_distances(big.join(F.broadcast(chosen) if small else chosen, "region"), width, percent))
         links.append(near.where("linked AND doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
         known = links[0]
@@ -275,22 +307,26 @@ def _split_regions(members: DataFrame, width: int, percent: int, limit: int, piv
         near = near.join(best, ["region", "doc_id"])
         edge = near.where(F.col("m.pivot") == F.col("pivot")).groupBy("region", "pivot").agg(F.max("d").alias("edge"))
         cells = near.join(edge, ["region", "pivot"]).where((F.col("m.pivot") == F.col("pivot")) | ((F.col("d") <= F.col("m.d") + 2 * eps + 1e-9) & (F.col("d") <= F.col("edge") + eps + 1e-9)))
-        cells = cells.select(F.xxhash64("region", "pivot").alias("region"), "doc_id").join(group, "doc_id", "left")
+        cells = cells.select(F.col("region").alias("parent"), F.xxhash64("region", "pivot").alias("region"), (F.col("m.pivot") == F.col("pivot")).alias("home"), "doc_id").join(group, "doc_id", "left")
         cells = materialize(cells.withColumn("label", F.coalesce("component", "doc_id")).drop("component"))
-        per = cells.groupBy("region", "label").agg(F.count("*").alias("c"))
-        per = per.groupBy("region").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"))
-        per = per.where("labels > 1").withColumn("few", (F.col("n") > limit) & (F.col("n") - F.col("top.c") <= limit // 2))
-        cells = cells.join(per, "region")
-        parts = F.when(F.col("few"), F.ceil(F.col("top.c") / (limit // 2)).cast("int")).otherwise(F.lit(1))
-        own = F.array(F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
-        cells = cells.withColumn("_p", F.explode(F.when(F.col("few") & (F.col("label") != F.col("top.label")), F.sequence(F.lit(0), parts - 1)).otherwise(own)))
-        cells = cells.select(F.xxhash64("region", "_p").alias("region"), "doc_id", "label")
-        members = materialize(cells.join(big.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").select("region", "doc_id", "label", "text"))
+        per = cells.groupBy("parent", "region", "label").agg(F.count("*").alias("c"), F.count_if("home").alias("h"))
+        per = per.groupBy("parent", "region").agg(F.sum("c").alias("n"), F.sum("h").alias("h"), F.count("*").alias("labels"), F.max("c").alias("top"))
+        whole = per.groupBy("parent").agg(((F.max("n") > F.sum("h") * PARTED) & (F.max("n") > limit)).alias("stuck"))
+        per = materialize(per.where("labels > 1").join(whole, "parent"))
+        per = per.select("region", "stuck", ((F.col("n") > limit) & (F.col("n") - F.col("top") <= limit // 2)).alias("few"))
+        cells = cells.join(small_side(per), "region")
+        # A region that is not parted is taken once, by its home documents.
+        stuck = cells.where("stuck").select(F.col("parent").alias("region"), "doc_id", "label").distinct()
+        dealt = _deal(stuck.unionByName(cells.where("few AND NOT stuck").select("region", "doc_id", "label")), limit)
+        rest = cells.where("NOT stuck AND NOT few").select("region", "doc_id", "label")
+        texts = materialize(big.select("doc_id", "text").dropDuplicates(["doc_id"]))
+        done.append(materialize(dealt.join(texts, "doc_id").select("region", "doc_id", "label", "text")))
+        members = materialize(rest.join(texts, "doc_id").select("region", "doc_id", "label", "text"))
     else:
         done.append(members)  # each is joined in a task of its own, with pivots there
     out = done[0]
     for d in done[1:]:
-        out = out.unionByName(d)
+        out = out.unionByName(d.select(out.columns))
     return out, links
 
 
@@ -302,39 +338,82 @@ def _regions_of(sets: DataFrame) -> DataFrame:
     return connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
 
 
-def _refine(members: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
-    """Divides regions of more than ``limit`` documents by their rare shingles.
+#: Shingles in fewer places than this are taken as equally rare, so few need to be known by their number.
+FREQUENT = 16
 
-    A passage that very many documents share connects cells by chance.  Ordered by frequency, the rarest
-    n - ceil(n * percent / 100) + 1 shingles of two linked sets have one in common, so documents that share
-    none of these are parted without losing a link.
-    """
-    big = members.groupBy("region").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("region")
-    if not big.take(1):
-        return members
-    large = materialize(members.join(big, "region"))
+
+def _by_batch(texts: DataFrame, width: int, choose) -> DataFrame:
+    """(doc_id, sig): what ``choose`` takes of the shingles of each text."""
 
     def run(it):
         for b in it:
             at = 0
             for _, data, offs in batches(b.column("text")):
-                sets = shingles(data, offs, width)
+                sets = [choose(s) for s in shingles(data, offs, width)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                sig = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                sig = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(sets)), sig], ["doc_id", "sig"])
                 at += len(sets)
 
-    sets = materialize(large.select("doc_id", "text").mapInArrow(run, "doc_id long, sig array<long>"))
-    keys = sets.select("doc_id", F.explode("sig").alias("k")).repartition("k")
-    often = keys.groupBy("k").agg(F.count("*").alias("n"))
-    # Packed as (frequency, key) so that sorting the array of a document orders its shingles.
-    ranked = keys.join(often, "k").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("s"))
-    size = F.size("s")
-    prefix_size = size - F.ceil(size * percent / 100).cast("int") + 1
-    rare = materialize(ranked.select("doc_id", F.transform(F.slice("s", 1, prefix_size), lambda x: x["k"]).alias("sig")))
-    parts = _regions_of(rare)
-    moved = large.drop("region").join(parts, "doc_id").select("region", "doc_id", "label", "text")
-    return materialize(members.join(big, "region", "left_anti").select("region", "doc_id", "label", "text").unionByName(moved))
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sig array<long>")
+
+
+def _counts(texts: DataFrame, width: int) -> DataFrame:
+    """(k, n): in how many texts there are shingles of each 32-bit key; equal keys only share their place in the order."""
+
+    def run(it):
+        for b in it:
+            for _, data, offs in batches(b.column("text")):
+                k, n = np.unique(np.concatenate([*shingles(data, offs, width), np.zeros(0, np.uint64)]) >> np.uint64(32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _rarest(texts: DataFrame, width: int, percent: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, sig): the n - ceil(n * percent / 100) + 1 rarest of the n shingles of each text.
+
+    The order is (number of places if ``FREQUENT`` or more, else 0; hash), the same for all documents.
+    Up to ``most`` frequent keys go to all tasks; where there are more, shingles are joined with them.
+    """
+    often = materialize(_counts(texts, width).where(F.col("n") >= FREQUENT))
+    if often.count() <= most:
+        rows = often.toArrow()
+        order = np.argsort(rows["k"].to_numpy())
+        shared = texts.sparkSession.sparkContext.broadcast((rows["k"].to_numpy()[order], rows["n"].to_numpy()[order]))
+
+        def choose(s):
+            keys, n = shared.value
+            k, freq = (s >> np.uint64(32)).astype(np.int64), np.zeros(len(s), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                freq = np.where(keys[at] == k, n[at], 0)
+            return s[np.lexsort((s.view(np.int64), freq))][: len(s) - (len(s) * percent + 99) // 100 + 1]
+
+        return _by_batch(texts, width, choose)
+    keys = materialize(_by_batch(texts, width, lambda s: s)).select("doc_id", F.explode("sig").alias("s"))
+    keys = keys.withColumn("k", F.shiftrightunsigned("s", 32))
+    # Packed as (number, shingle) so that sorting the array of a document orders its shingles.
+    ranked = keys.join(often, "k", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s"))).alias("all"))
+    size = F.size("all")
+    first = size - F.floor((size * percent + 99) / 100).cast("int") + 1
+    return ranked.select("doc_id", F.transform(F.slice("all", F.lit(1), first), lambda x: x["s"]).alias("sig"))
+
+
+def _refine(docs: DataFrame, regions: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
+    """Divides ``regions`` (doc_id, region) of more than ``limit`` documents by their rare shingles.
+
+    A passage that very many documents share connects cells by chance.  The rarest
+    n - ceil(n * percent / 100) + 1 shingles of two linked sets have one in common, in any order that is
+    the same for both, so documents that share none of these are parted without losing a link.
+    """
+    big = materialize(regions.groupBy("region").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("region"))
+    if not big.take(1):
+        return regions
+    large = regions.join(small_side(big), "region", "left_semi").select("doc_id")
+    texts = docs.select("doc_id", "text").join(small_side(materialize(large)), "doc_id")
+    parts = _regions_of(materialize(_rarest(texts, width, percent)))
+    return materialize(regions.join(small_side(big), "region", "left_anti").select("doc_id", "region").unionByName(parts.select("doc_id", "region")))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, local: int = LOCAL) -> DataFrame:
@@ -351,9 +430,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, local
     reps = full.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "sig")
     regions = materialize(_regions_of(reps))
     # The side of the candidates is narrow: where a count proves it small, texts are not shuffled.
+    regions = _refine(docs, regions, width, percent, local)
     members = docs.select("doc_id", "text").join(small_side(regions), "doc_id")
     members = materialize(members.select("region", "doc_id", F.col("doc_id").alias("label"), "text"))
-    members = _refine(members, width, percent, local)
     small, found = _split_regions(members, width, percent, local)
     links = _region_links(small, width, percent)
     for x in found:

@@ -84,6 +84,37 @@ def test_jaccard_equals_brute_force(spark, texts):
         assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_rare_shingles_are_the_same_by_broadcast_and_by_join(spark, monkeypatch, texts, percent):
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    d = docs(spark, [t for t in texts if t and t.strip()])
+    a = {r["doc_id"]: list(r["sig"]) for r in jaccard._rarest(d, 3, percent).collect()}
+    b = {r["doc_id"]: list(r["sig"]) for r in jaccard._rarest(d, 3, percent, most=-1).collect()}
+    assert {k: set(v) for k, v in a.items()} == {k: set(v) for k, v in b.items()} and len(a) == d.count()
+
+
+@pytest.mark.parametrize(("width", "percent", "local"), [(3, 90, 64), (5, 80, 16), (3, 90, 7)])
+def test_near_copies_of_one_text_equal_brute_force(spark, width, percent, local):
+    """A tight ball: every document is about as far from each other as the window is wide."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    made = []
+    for k in range(160):
+        w = list(base)
+        for e in range(rng.randint(0, 6)):
+            w[rng.randrange(150)] = rng.choice([f"u{k}_{e}", "common", "often"])
+        made.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + width]) for i in range(151 - width)} for t in made]
+    up = jaccard.Union(len(sets))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                up.join(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, made), width, percent, local).collect()}
+    assert got == {i: up.find(i) for i in range(len(sets))}
+    assert len(set(got.values())) > 5 and len(set(got.values())) < 155
+
+
 def test_linked_sets_share_a_cell():
     rng = np.random.default_rng(3)
     for percent in (80, 90):
