@@ -2,10 +2,12 @@
 
 Equal vectors collapse first.  Seed lists come from cross-polytope tables: vectors that share the
 signed largest coordinates of random rotations meet in bounded blocks.  NN-descent then joins
-neighbours of neighbours and keeps each vector's best ``k``; lists that are full of links are saturated
-and are enlarged to every link of their connected group, which is counted in blocks of vectors.
-Recall is audited on a fixed number of vectors against all of them, and rounds with new tables follow
-until it suffices.  Only pairs whose double-precision cosine reaches the threshold are links.
+neighbours of neighbours and keeps each vector's best ``k`` until no list changes.  Lists that are full
+of links are saturated: links inside a connected group are counted in blocks of vectors, and links
+between the saturated vectors of different groups are looked for in all pairs of their blocks that can
+hold one by the triangle inequality of angles.  Recall is audited per vector, small and large groups
+apart, and rounds with new tables follow until it suffices; if it never does, all vectors are compared
+in blocks.  Only pairs whose double-precision cosine reaches the threshold are links.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from spark_rca.llm.common import connected_components, materialize
 
-#: Neighbours in a list, members of a seed block, audited vectors, recall that ends the search.
+#: Neighbours in a list, members of a seed block, audited vectors of each kind, recall that ends the search.
 LIST, BLOCK, AUDIT, ENOUGH = 16, 64, 200, 0.98
+#: Vectors in a block of the fallback, centres in a block of the ball test.
+WIDE = 2048
 
 
 def unit_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -63,7 +67,7 @@ def seed_pairs(vectors: DataFrame, tables: int, parts: int, threshold: float, se
     keyed = vectors.mapInArrow(keys, "t int, h long, id long, v array<double>")
     # A hot block is cut by a hash of the id: NN-descent bridges what the cut parts.
     sizes = keyed.groupBy("t", "h").agg(F.count("*").alias("n")).where("n > 1")
-    cut = keyed.join(sizes, ["t", "h"]).withColumn("c", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / BLOCK)))
+    cut = keyed.join(sizes, ["t", "h"]).withColumn("c", F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.ceil(F.col("n") / BLOCK)))
 
     def near(it):
         held: list[pa.RecordBatch] = []
@@ -109,12 +113,18 @@ def best_lists(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def descend(vectors: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    """One round of NN-descent: neighbours of neighbours that are new are scored, and lists keep the best."""
-    a = lists.select(F.col("u").alias("m"), F.col("v").alias("u"))
-    b = lists.select(F.col("u").alias("m"), F.col("v").alias("w"))
-    fresh = a.join(b, "m").where("u < w").select("u", F.col("w").alias("v")).distinct()
+    """One round of NN-descent: neighbours of neighbours that are new are scored, and lists keep the best.
+
+    ``lists`` has ``fresh``, true for entries that no round has joined yet, and so has the result.
+    Pairs are taken from one list and along two lists, as a vector that no list holds has neighbours too.
+    """
+    a = lists.select(F.col("u").alias("m"), F.col("v").alias("u"), F.col("fresh").alias("_f"))
+    b = lists.select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("fresh").alias("_g"))
+    c = lists.select("u", F.col("v").alias("m"), F.col("fresh").alias("_f"))
+    pairs = a.join(b, "m").where("u < w AND (_f OR _g)").select("u", F.col("w").alias("v"))
+    along = c.join(b, "m").where("u <> w AND (_f OR _g)").select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v"))
     known = lists.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    fresh = fresh.join(known, ["u", "v"], "left_anti")
+    fresh = pairs.unionByName(along).distinct().join(known, ["u", "v"], "left_anti")
     x, y = vectors.select(F.col("id").alias("u"), F.col("v").alias("x")), vectors.select(F.col("id").alias("v"), F.col("v").alias("y"))
     scored = fresh.join(x, "u").join(y, "v")
 
@@ -124,28 +134,131 @@ def descend(vectors: DataFrame, lists: DataFrame, k: int, threshold: float) -> D
             yield pa.RecordBatch.from_arrays([t.column("u"), t.column("v"), pa.array(s, pa.float64())], ["u", "v", "s"])
 
     scored = scored.select("u", "v", "x", "y").mapInArrow(dot, "u long, v long, s double").where(F.col("s") >= threshold - 0.25)
-    return best_lists(lists.unionByName(scored), k)
+    return renew(lists, best_lists(lists.select("u", "v", "s").unionByName(scored), k))
+
+
+def renew(old: DataFrame | None, lists: DataFrame) -> DataFrame:
+    """``lists`` with ``fresh``: whether the entry is not in ``old``."""
+    if old is None:
+        return lists.withColumn("fresh", F.lit(True))
+    return lists.join(old.select("u", "v", F.lit(False).alias("_o")), ["u", "v"], "left").select("u", "v", "s", F.col("_o").isNull().alias("fresh"))
+
+
+def converge(vectors: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Rounds of NN-descent until one changes no list; it ends, as each change betters a list."""
+    while lists.where("fresh").take(1):
+        lists = materialize(descend(vectors, lists, k, threshold))
+    return lists
 
 
-def audit(spark: SparkSession, vectors: DataFrame, links: DataFrame, threshold: float) -> tuple[float, DataFrame]:
-    """Share of the audited vectors' true links that are found, and the true ones."""
-    chosen = vectors.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(AUDIT).collect()
+def _pairs(table: DataFrame, block: str, blocks: int, *columns: str) -> DataFrame:
+    """Every row once for each unordered pair (x, y) of blocks that its own block is in."""
+    return table.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least(block, "_o").alias("x"), F.greatest(block, "_o").alias("y"), F.col(block).alias("_i"), *columns)
+
+
+def across(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """(a, b): components of ``members`` (component, id, v) that a link joins, exact.
+
+    A block of one component has a centre and the largest angle to it.  Two blocks are multiplied
+    unless their centres are further apart than both angles and the threshold's.
+    """
+    size = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("_b"))
+    m = members.join(size, "component").select("component", F.pmod(F.xxhash64("id", F.lit(13)), F.col("_b")).cast("int").alias("k"), "id", "v")
+    m = materialize(m)
+    limit = float(np.arccos(threshold)) + 1e-6
+
+    def ball(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = _matrix(pdf["v"])
+        c = v.mean(0)
+        c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else v[0]
+        return pd.DataFrame({"component": pdf["component"].iloc[:1], "k": pdf["k"].iloc[:1], "c": [c.tolist()], "r": [float(np.arccos(np.clip(v @ c, -1, 1)).max())]})
+
+    balls = materialize(m.groupBy("component", "k").applyInPandas(ball, "component long, k int, c array<double>, r double"))
+    blocks = -(-balls.count() // WIDE)
+    if not blocks:
+        return members.select(F.col("component").alias("a"), F.col("component").alias("b")).limit(0)
+    dealt = balls.withColumn("_w", F.pmod(F.xxhash64("component", "k"), F.lit(blocks)).cast("int"))
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        p, q = (pdf, pdf) if x == y else (pdf[pdf["_i"] == x], pdf[pdf["_i"] == y])
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": [], "ka": [], "b": [], "kb": []})
+        near = np.arccos(np.clip(_matrix(p["c"]) @ _matrix(q["c"]).T, -1, 1)) <= p["r"].to_numpy()[:, None] + q["r"].to_numpy()[None, :] + limit
+        i, j = np.nonzero(near)
+        out = pd.DataFrame({"a": p["component"].to_numpy()[i], "ka": p["k"].to_numpy()[i], "b": q["component"].to_numpy()[j], "kb": q["k"].to_numpy()[j]})
+        # Inside a component all links are counted anyway; of one block's pairs both orders are found.
+        return out[out["a"] < out["b"]] if x == y else out[out["a"] != out["b"]]
+
+    # Every two blocks meet in one pair of wide blocks only.
+    todo = materialize(_pairs(dealt, "_w", blocks, "component", "k", "c", "r").groupBy("x", "y").applyInPandas(close, "a long, ka int, b long, kb int"))
+    left = todo.select("*", F.col("a").alias("component"), F.col("ka").alias("k"), F.lit(True).alias("_l"))
+    right = todo.select("*", F.col("b").alias("component"), F.col("kb").alias("k"), F.lit(False).alias("_l"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        on = pdf["_l"].to_numpy()
+        linked = on.any() and not on.all() and (_matrix(pdf["v"][on]) @ _matrix(pdf["v"][~on]).T >= threshold).any()
+        return pdf[["a", "b"]].iloc[: int(linked)]
+
+    return left.unionByName(right).join(m, ["component", "k"]).select("a", "ka", "b", "kb", "_l", "v").groupBy("a", "ka", "b", "kb").applyInPandas(meet, "a long, b long").distinct()
+
+
+def every_link(vectors: DataFrame, threshold: float, n: int, block: int = WIDE) -> DataFrame:
+    """(a, b): links that join the same components as all links do, from products of all pairs of blocks.
+
+    The work grows with the square of ``n``; the memory of a task doesn't, and a task emits less than one edge a vector.
+    """
+    blocks = max(1, -(-n // block))
+    spread = _pairs(vectors.withColumn("_w", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(blocks)).cast("int")), "_w", blocks, "id", "v")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        own, ids, v = pdf["_i"].to_numpy(), pdf["id"].to_numpy(), _matrix(pdf["v"])
+        p, q = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        i, j = np.nonzero(v[p] @ v[q].T >= threshold)
+        i, j = p[i], q[j]
+        label, before = np.arange(len(ids)), None
+        while before is None or (label != before).any():
+            before = label.copy()
+            least = np.minimum(label[i], label[j])
+            np.minimum.at(label, i, least)
+            np.minimum.at(label, j, least)
+            label = label[label]
+        on = label != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[on], "b": ids[label[on]]})
+
+    return spread.groupBy("x", "y").applyInPandas(forest, "a long, b long")
+
+
+def audit(spark: SparkSession, vectors: DataFrame, comp: DataFrame, threshold: float, k: int) -> float:
+    """Least recall of small and of large groups: means over audited vectors of the share of their links that lie in their component.
+
+    Vectors without a found link count as small groups.
+    """
+    size = comp.groupBy("component").agg(F.count("*").alias("_n"))
+    known = vectors.select("id", "v").join(comp.join(size, "component").select(F.col("node").alias("id"), "component", "_n"), "id", "left")
+    known = materialize(known.select("id", "v", F.coalesce("component", "id").alias("c"), (F.coalesce("_n", F.lit(1)) > k + 1).alias("large")))
+    chosen = [r for large in (False, True) for r in known.where(F.col("large") == large).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(AUDIT).collect()]
     if not chosen:
-        return 1.0, links.limit(0)
-    q = spark.sparkContext.broadcast((np.array([r["id"] for r in chosen]), np.array([r["v"] for r in chosen])))
+        return 1.0
+    q = spark.sparkContext.broadcast((np.array([r["id"] for r in chosen]), np.array([r["c"] for r in chosen]), np.array([r["v"] for r in chosen])))
 
     def scan(it):
-        ids, x = q.value
+        ids, own, x = q.value
+        true, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for b in it:
-            own = np.asarray(b.column("id"))
-            i, j = np.nonzero((x @ _matrix(b.column("v")).T) >= threshold)
-            on = ids[i] != own[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i][on]), pa.array(own[j][on])], ["u", "v"])
+            if not b.num_rows:
+                continue
+            s = (x @ _matrix(b.column("v")).T >= threshold) & (ids[:, None] != np.asarray(b.column("id"))[None, :])
+            true += s.sum(1)
+            found += (s & (own[:, None] == np.asarray(b.column("c"))[None, :])).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.array(true), pa.array(found)], ["i", "links", "found"])
 
-    true = materialize(vectors.mapInArrow(scan, "u long, v long"))
-    total = true.count()
-    hit = true.join(links.select("u", "v"), ["u", "v"], "left_semi").count() if total else 0
-    return (hit / total if total else 1.0), true
+    sums = known.select("id", "v", "c").mapInArrow(scan, "i long, links long, found long").groupBy("i").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).where("links > 0").collect()
+    shares: dict[bool, list[float]] = {}
+    for r in sums:
+        shares.setdefault(chosen[r["i"]]["large"], []).append(r["found"] / r["links"])
+    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
 
 
 def group_counts(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
@@ -184,23 +297,22 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = 0.
     n = same.count()
     width = same.select(F.max(F.size("v"))).first()[0] or 1
     parts = max(1, round(np.log(max(n, 2) / 6) / np.log(2 * width)))
-    lists = None
+    lists, vectors = None, same.select("id", "v")
     for r in range(max_rounds):
-        found = seed_pairs(same.select("id", "v"), tables * (r + 1), parts, threshold, 100 + r, k)
-        lists = materialize(best_lists(found if lists is None else lists.unionByName(found), k))
-        for _ in range(2):
-            lists = materialize(descend(same, lists, k, threshold))
-        links = lists.where(F.col("s") >= threshold)
-        comp = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        # Lists of k are saturated in groups of more than k; there, recall is that of the groups.
-        inside = links
-        recall, true = audit(spark, same, inside, threshold)
-        if recall < ENOUGH and true.take(1):
-            c = comp.withColumnRenamed("component", "c")
-            both = true.join(c.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u", "left").join(c.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v", "left")
-            recall = both.agg(F.avg(F.coalesce(F.col("cu") == F.col("cv"), F.lit(False)).cast("double"))).first()[0]
-        if recall >= ENOUGH:
+        found = seed_pairs(vectors, tables * (r + 1), parts, threshold, 100 + r, k)
+        found = best_lists(found if lists is None else lists.select("u", "v", "s").unionByName(found), k)
+        lists = converge(vectors, materialize(renew(lists, found)), k, threshold)
+        links = lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        comp = connected_components(links)
+        # A link that two saturated lists both leave out can join two components.
+        full = lists.where(F.col("s") >= threshold).groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("id"))
+        joined = materialize(across(comp.withColumnRenamed("node", "id").join(full, "id").join(vectors, "id").select("component", "id", "v"), threshold))
+        if joined.take(1):
+            comp = connected_components(links.unionByName(joined))
+        if audit(spark, same, comp, threshold, k) >= ENOUGH:
             break
+    else:
+        comp = connected_components(every_link(vectors, threshold, n))
     members = same.join(comp.withColumnRenamed("node", "id"), "id").select("component", "id", "v", "copies")
     counts = group_counts(members, threshold)
     per = same.select("id", "v", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
