@@ -40,7 +40,7 @@ JOBS = {
     "y1_diagnose_dycause": lambda x: dg.diagnose_dycause(x.metrics(), x.entries()),
     "y2_diagnose_monitor_rank": lambda x: dg.diagnose_monitor_rank(x.metrics(), x.edges(), x.entries()),
     "y3_diagnose_cloud_ranger": lambda x: dg.diagnose_cloud_ranger(x.metrics(), x.edges(), x.entries()),
-    "y4_diagnose_netmedic": lambda x: dg.diagnose_netmedic(x.metrics(), x.edges(), x.entries(), max_len=3),
+    "y4_diagnose_netmedic": lambda x: dg.diagnose_netmedic(x.metrics(), x.edges(), x.entries()),
     "y5_diagnose_tbac": lambda x: dg.diagnose_tbac(x.metrics(), x.edges(), x.entries()),
     "y6_diagnose_microcause": lambda x: dg.diagnose_microcause(x.metrics(), x.entries()),
     "y7_sweep_windows": lambda x: dg.sweep_windows(x.metrics(), x.entries(), 400, [200, 400], [0.2, 0.5], x.edges()),

@@ -18,17 +18,19 @@ def transition_graph(strength: DataFrame, ratio: float) -> DataFrame:
     return normalize(adaptive_threshold(strength, ratio), "dst")
 
 
-def _walk_paths(edges: DataFrame, starts: DataFrame, end_col: str, next_col: str, max_len: int, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Simple paths level by level: (all partial paths, their extensions by a repeated node)."""
+def _walk_paths(edges: DataFrame, starts: DataFrame, end_col: str, next_col: str, max_len: int | None, cap: int | None) -> tuple[DataFrame, DataFrame]:
+    """Simple paths level by level: (all partial paths, the steps they take); without ``max_len`` until none grows."""
     edges, starts = cut(edges), cut(starts)
     step = edges.where("weight > 0").select("incident_id", F.col(end_col).alias("_at"), F.col(next_col).alias("_to"), F.col("weight").alias("_w"))
     front = starts.select("incident_id", F.col("service_id").alias("entry"), F.array("service_id").alias("path"), F.array().cast("array<double>").alias("edge_probs"))
     levels = [front]
-    for _ in range(max_len - 1):
+    while max_len is None or len(levels) < max_len:
         wide = levels[-1].withColumn("_at", F.element_at("path", -1)).join(step, ["incident_id", "_at"]).where(~F.array_contains("path", F.col("_to")))
         nxt = wide.select("incident_id", "entry", F.concat("path", F.array("_to")).alias("path"), F.concat("edge_probs", F.array("_w")).alias("edge_probs"))
-        rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("path"))
-        levels.append(cut(nxt.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")))
+        if cap is not None:
+            rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("path"))
+            nxt = nxt.withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r")
+        levels.append(cut(nxt))
         if not levels[-1].take(1):
             break
     out = levels[0]
@@ -213,10 +215,13 @@ def netmedic_edge_weight(edges: DataFrame, stats: DataFrame, chunks: DataFrame,
     return g.select("incident_id", "src", "dst", F.when(F.col("_w") > 0, F.col("_s") / F.when(F.col("_w") > 0, F.col("_w"))).otherwise(0.8).alias("weight"))
 
 
-def netmedic_paths(edges: DataFrame, max_len: int, cap: int = 10_000) -> DataFrame:
-    """(incident_id, c, e, edge_probs): simple forward paths from every node to a node that is a sink or has an edge back into the path."""
+def netmedic_paths(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """(incident_id, c, e, edge_probs): simple forward paths from every node to a node that is a sink or has an edge back into the path.
+
+    All of them, of up to ``max_len`` nodes if given; their number can grow exponentially with the nodes of a dense graph.
+    """
     nodes = edges.select("incident_id", F.explode(F.array("src", "dst")).alias("service_id")).distinct()
-    every, step = _walk_paths(edges, nodes, "src", "dst", max_len, cap)
+    every, step = _walk_paths(edges, nodes, "src", "dst", max_len, None)
     d = every.withColumn("_at", F.element_at("path", -1)).where(F.size("path") > 1)
     out = d.join(step.select("incident_id", "_at", "_to"), ["incident_id", "_at"], "left")
     ends = out.groupBy("incident_id", "entry", "path", "edge_probs").agg(F.bool_or(F.col("_to").isNull() | F.array_contains("path", F.col("_to"))).alias("_ok"))

@@ -62,7 +62,7 @@ def diagnose_cloud_ranger(metrics: DataFrame, edges: DataFrame, entries: DataFra
     return rl.rank_services(gr.second_order_visits(m, entries, steps).withColumnRenamed("visits", "score"), ["incident_id"])
 
 
-def diagnose_netmedic(metrics: DataFrame, edges: DataFrame, entries: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int = 4) -> DataFrame:
+def diagnose_netmedic(metrics: DataFrame, edges: DataFrame, entries: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None) -> DataFrame:
     parts = pp.slice_history_current(pp.fill_zeros(metrics), hist, cur)
     stats = rl.history_stats(parts)
     history = parts.where("part = 'history'")
