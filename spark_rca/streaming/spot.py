@@ -3,6 +3,7 @@
 One step function serves batch (a group per series) and stream (keyed state), so both give the same
 rows for any split of the data.  Variants: one- or two-sided, with or without drift removal, and
 ``adapt``, where points over the alarm level are learned as peaks instead of raising an alarm.
+All peaks are kept unless ``max_peaks`` bounds the state of a stream.
 The method is that of the published streaming extreme-value algorithm (KDD 2017).
 """
 
@@ -24,7 +25,7 @@ OUT = "incident_id string, service_id int, t long, value double, upper double, l
 class Spot:
     """State of one series: thresholds, peaks and levels per side, and the last normal values."""
 
-    def __init__(self, q: float = 1e-4, level: float = 0.98, depth: int = 0, two_sided: bool = False, adapt: bool = False, max_peaks: int = 2000):
+    def __init__(self, q: float = 1e-4, level: float = 0.98, depth: int = 0, two_sided: bool = False, adapt: bool = False, max_peaks: int | None = None):
         self.q, self.level, self.depth, self.adapt, self.max_peaks = q, level, depth, adapt, max_peaks
         self.sides = [1, -1] if two_sided else [1]
         self.n, self.last_t, self.ring = 0, None, []
@@ -69,8 +70,8 @@ class Spot:
             if over or s * (x - self.thr[k]) > 0:
                 self.peaks[k].append(s * (x - self.thr[k]))
                 self.count[k] += 1
-                # Bounded state: the largest excesses shape the tail and are kept.
-                if len(self.peaks[k]) > self.max_peaks:
+                # A bound, if asked for, keeps the largest excesses and biases the tail.
+                if self.max_peaks is not None and len(self.peaks[k]) > self.max_peaks:
                     self.peaks[k].remove(min(self.peaks[k]))
                 self.n += 1
                 self._refit(s)
