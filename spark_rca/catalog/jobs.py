@@ -24,8 +24,8 @@ JOBS = {
     "g4_granger_stationary": lambda x: cz.granger_intervals(x.dense(), 72, 3, adf=True).where("accepted"),
     "g6_granger_full_graph": lambda x: cz.granger_full_graph(x.filled(), 2, 0.05),
     "g7_granger_verdict": lambda x: cz.granger_verdict(x.dense(), 2),
-    "g8_pc_graph": lambda x: cz.pc_graph(rl.pearson_matrix(x.filled()), 720, 0.1, 2),
-    "g9_lagged_links": lambda x: cz.lagged_links(x.dense(), 3),
+    "g8_pc_graph": lambda x: cz.pc_graph(rl.pearson_matrix(x.filled()), x.lengths(), 0.1),
+    "g9_lagged_links": lambda x: cz.lagged_links(x.dense(), 10),
     "g10_partial_corr": lambda x: cz.partial_correlations(rl.pearson_matrix(x.filled()), x.entries(), rl.confounders(x.edges(), x.entries())),
     "r5_resample_graph_by_walk": lambda x: gr.resample_graph_by_walk(x.edges(), x.entries(), 50),
     "r7_first_order_walk": lambda x: gr.expected_visits(gr.monitor_rank_transition(x.edges(), x.corr(), x.entries(), 0.3), x.entries(), 100, x.corr().withColumnRenamed("corr", "weight"), restart=False),

@@ -167,36 +167,42 @@ def _square(cells) -> tuple[list[int], np.ndarray]:
     return ids, m
 
 
-def pc_graph(corr: DataFrame, samples: int, alpha: float = 0.1, max_level: int = 3) -> DataFrame:
+def pc_graph(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, max_level: int | None = None) -> DataFrame:
     """Undirected PC skeleton (both directions, weight 1) by Gaussian partial correlations.
 
-    Stable version: each level tests edges against subsets of the neighbours at its start.  Needs only
-    the correlation matrix, one row per incident.
+    Stable version: each level tests edges against subsets of the neighbours at its start.  Levels go on
+    until no node has more neighbours than the level, or to ``max_level`` if given.  Needs only
+    the correlation matrix, one row per incident; ``samples`` is one count or (incident_id, n).
     """
 
     def run(it):
         for pdf in it:
             out = []
-            for inc, cells in zip(pdf["incident_id"], pdf["c"], strict=True):
+            for inc, cells, n in zip(pdf["incident_id"], pdf["c"], pdf["n"], strict=True):
                 ids, m = _square(cells)
                 adj = {i: {j for j in range(len(ids)) if j != i} for i in range(len(ids))}
-                for level in range(max_level + 1):
+                for level in range(len(ids) if max_level is None else max_level + 1):
+                    if all(len(a) <= level for a in adj.values()):
+                        break
                     was = {i: set(a) for i, a in adj.items()}
                     for i in range(len(ids)):
                         for j in sorted(was[i]):
-                            if j in adj[i] and any(fisher_p(partial_corr(m, i, j, list(s)), samples, level) > alpha for s in combinations(sorted(was[i] - {j}), level)):
+                            if j in adj[i] and any(fisher_p(partial_corr(m, i, j, list(s)), n, level) > alpha for s in combinations(sorted(was[i] - {j}), level)):
                                 adj[i].discard(j)
                                 adj[j].discard(i)
                 out += [(inc, ids[i], ids[j], 1.0) for i in adj for j in sorted(adj[i])]
             yield pd.DataFrame(out, columns=["incident_id", "src", "dst", "weight"])
 
-    return _corr_rows(corr).mapInPandas(run, "incident_id string, src int, dst int, weight double")
+    rows = _corr_rows(corr)
+    rows = rows.join(samples.select("incident_id", "n"), "incident_id") if isinstance(samples, DataFrame) else rows.withColumn("n", F.lit(samples))
+    return rows.mapInPandas(run, "incident_id string, src int, dst int, weight double")
 
 
-def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, alpha_level: float = 0.01, max_conds: int = 3) -> DataFrame:
+def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, alpha_level: float = 0.01, max_conds: int | None = None) -> DataFrame:
     """(incident_id, effect, parent, tau, p): time-lagged links by two steps of partial correlation tests.
 
-    Each target's lagged candidates are thinned by growing condition sets of its strongest others; the
+    Each target's lagged candidates are thinned by growing condition sets of its strongest others, of up
+    to all others, or of ``max_conds`` if given; the
     rest are tested given the target's and the candidate's own parents.  Lag 0 is left out.
     """
 
@@ -215,7 +221,9 @@ def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, al
             for j in range(k):
                 cand = [(t * k + i) for t in range(1, tau_max + 1) for i in range(k)]
                 cand.sort(key=lambda v: -abs(c[j, v]))
-                for size in range(max_conds + 1):
+                for size in range(len(cand) if max_conds is None else max_conds + 1):
+                    if len(cand) <= size:
+                        break
                     for v in list(cand):
                         others = [u for u in cand if u != v][:size]
                         if len(others) == size and fisher_p(partial_corr(c, j, v, others), n, size) > pc_alpha:

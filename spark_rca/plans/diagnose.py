@@ -80,7 +80,7 @@ def diagnose_tbac(metrics: DataFrame, edges: DataFrame, entries: DataFrame) -> D
     return rl.rank_services(gr.tbac_rating(corr, gr.reach(edges, "callers"), gr.reach(edges, "callees")), ["incident_id"])
 
 
-def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2, lam: float = 0.5, tau_max: int = 2, steps: int = 50, partial: bool = False) -> DataFrame:
+def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2, lam: float = 0.5, tau_max: int = 10, steps: int = 50, partial: bool = False) -> DataFrame:
     filled = pp.fill_zeros(metrics)
     eta = rl.eta_scores(run_spot(filled, q=1e-3, depth=10))
     links = cz.lagged_links(filled, tau_max)
