@@ -84,15 +84,6 @@ def test_jaccard_equals_brute_force(spark, texts):
         assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("percent", [60, 80, 90])
-def test_rare_shingles_are_the_same_by_broadcast_and_by_join(spark, monkeypatch, texts, percent):
-    monkeypatch.setattr(jaccard, "FREQUENT", 3)
-    d = docs(spark, [t for t in texts if t and t.strip()])
-    a = {r["doc_id"]: list(r["sig"]) for r in jaccard._rarest(d, 3, percent).collect()}
-    b = {r["doc_id"]: list(r["sig"]) for r in jaccard._rarest(d, 3, percent, most=-1).collect()}
-    assert {k: set(v) for k, v in a.items()} == {k: set(v) for k, v in b.items()} and len(a) == d.count()
-
-
 @pytest.mark.parametrize(("width", "percent", "local"), [(3, 90, 64), (5, 80, 16), (3, 90, 7)])
 def test_near_copies_of_one_text_equal_brute_force(spark, width, percent, local):
     """A tight ball: every document is about as far from each other as the window is wide."""
@@ -115,16 +106,40 @@ def test_near_copies_of_one_text_equal_brute_force(spark, width, percent, local)
     assert len(set(got.values())) > 5 and len(set(got.values())) < 155
 
 
-def test_linked_sets_share_a_cell():
-    rng = np.random.default_rng(3)
-    for percent in (80, 90):
-        for _ in range(300):
-            n = int(rng.integers(2, 400))
-            a = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
-            drop = int(rng.integers(0, max(1, len(a) // 6)))
-            b = np.unique(np.concatenate([a[drop:], rng.integers(1, 2**63, int(rng.integers(0, drop + 1))).astype(np.uint64)]))
-            if jaccard.links_of(jaccard.common(a, b), len(a), len(b), percent) and not np.array_equal(a, b):
-                assert set(jaccard.signatures(a, percent)) & set(jaccard.signatures(b, percent))
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_shared_counts_equal_brute_force(spark, monkeypatch, texts, buckets):
+    monkeypatch.setattr(jaccard, "CHUNK", 2000)
+    d = docs(spark, texts).repartition(3)
+    got = {r["h1"]: r["c"] for r in jaccard.shared_counts(d, 3, buckets).collect()}
+    own = {}
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        s = jaccard.shingles(raw, np.array([0, len(raw)]), 3)[0]
+        own[int(jaccard.set_hashes([s])[0][0])] = set(s.tolist())
+    times = Counter(k for s in own.values() for k in s)
+    want = {h: c for h, s in own.items() if (c := sum(times[k] > 1 for k in s))}
+    assert got == want
+
+
+def test_long_sets_weigh_more(spark, monkeypatch):
+    """Regions over the byte bound are divided though they have few sets."""
+    monkeypatch.setattr(jaccard, "LOCAL_BYTES", 2000)
+    rng = random.Random(15)
+    base = [f"b{i}" for i in range(120)]
+    made = []
+    for k in range(20):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(120)] = f"u{k}"
+        made.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for t in made]
+    up = jaccard.Union(len(sets))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+                up.join(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, made), 3, 90).collect()}
+    assert got == {i: up.find(i) for i in range(len(sets))}
 
 
 def test_pivot_join_connects_what_links_connect():
