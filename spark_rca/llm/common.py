@@ -45,6 +45,18 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes not to be a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 #: Edges that one task contracts before the rounds.
 TASK_EDGES = 500_000
 
@@ -70,7 +82,7 @@ def _forest(it):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     ``edges`` has long columns ``a`` and ``b``; loops, repeated edges and nulls are ignored and an
@@ -81,7 +93,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     parts = -(-e.count() // TASK_EDGES)
     e, before = materialize(e.coalesce(max(1, parts)).mapInArrow(_forest, "u long, v long")), None
-    for _ in range(max_rounds if parts > 1 else 0):
+    while parts > 1:  # at most about log2(nodes) squared rounds
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())

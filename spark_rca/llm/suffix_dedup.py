@@ -1,14 +1,15 @@
 """Suffix-array dedup: bytes that a repeated string of ``length`` bytes covers go.
 
-1. Anchors.  Every window of ``length`` bytes has a minimizer (its k-gram of least hash), so equal
-   windows have equal minimizers at equal places.  A document is cut into runs of windows with one
+1. Anchors deal the work.  Every window of ``length`` bytes has a minimizer (its k-gram of least hash), so
+   equal windows have equal minimizers at equal places.  A document is cut into runs of windows with one
    minimizer, its anchor; a run's bytes are a fragment.  Only hashes are shuffled: an anchor that
-   occurs once has no repeated window, and windows of equal fragments repeat as a whole.
-2. Contested anchors have different fragments.  One copy of each is fetched and dealt by anchor.  A
-   task concatenates fragments, builds their Burrows-Wheeler transform and expands intervals breadth
-   first by backward extension: each step makes the common prefix of an interval one byte longer and
-   intervals of one suffix are dropped, until the prefix has ``length`` bytes.  What is left are exactly
-   the starts of repeated windows.
+   occurs once has no repeated window, nor has a fragment that shares neither half of what surrounds it.
+2. Expansion finds the repeats.  One copy of each other fragment is fetched, with its number of occurrences,
+   and dealt by anchor.  A task concatenates fragments, builds their Burrows-Wheeler transform and
+   extends intervals backward, breadth first: what an interval of strings of n + 1 bytes ends with first
+   has a common prefix of n bytes, so the common prefixes of neighbouring suffixes come by increasing
+   value.  It stops at ``length``: suffixes that then have no value share more with a neighbour and are,
+   with those of fragments that occur twice, exactly the starts of repeated windows.
 3. An anchor with more bytes than a task takes is split: its windows, by their distance from the
    anchor, into halves that share a longer core, so the core's hash divides the group; equal
    pieces are settled at once.  A hot passage dissolves in a few rounds.
@@ -26,21 +27,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spark_rca.llm.bytehash import batches, prefix, span
-from spark_rca.llm.common import materialize, row_key
+from spark_rca.llm.common import BROADCAST_ROWS, free_names, materialize, row_key, small_side
 
 #: Bytes of the k-gram that is an anchor (for windows of 400 bytes), bytes that a task transforms at
-#: once, and bytes of one anchor's fragments that go to one task.
-GRAM, BLOCK, HOT = 64, 1 << 21, 3 << 20
-#: Depth to which suffix sorting finds classes before intervals are expanded byte by byte.
-SEED_DEPTH = 224
-
+#: once, bytes of one anchor's fragments that go to one task, and bytes that a task is dealt.
+GRAM, BLOCK, HOT, DEALT = 64, 1 << 19, 3 << 20, 4 << 20
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor place, anchor hash, fragment hash) of every run of windows."""
+    """(text, first window, windows, anchor place, anchor, fragment, left and right hash) of every run of windows.
+
+    The left hash is 0 or of what all windows share that start well before the anchor, the right hash of
+    what all others share; two fragments with a common window have one of them in common.
+    """
     n, w = len(data), length - k + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return (none, none, none, none, *[none.astype(np.uint64)] * 4)
     p = prefix(data)
     at = np.arange(n - k + 1)
     key = (span(p, at, at + k) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
@@ -64,99 +66,110 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np
     lo, hi = s[cut], s[np.concatenate([cut[1:] - 1, [len(s) - 1]])]
     place, text = place[cut], text[cut]
     frag = span(p, lo, hi + length) + (place - lo).astype(np.uint64)
-    return text, lo, hi - lo + 1, place, span(p, place, place + k), frag
+    half = (length - k) // 2
+    left = np.where(place - lo > half, span(p, np.maximum(place - half - 1, 0), place + k), np.uint64(0))
+    right = np.where(hi + half >= place, span(p, place, np.minimum(place + length - half, n)), np.uint64(0))
+    return text, lo, hi - lo + 1, place, span(p, place, place + k), frag, left, right
 
 
 def _anchor_table(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(key, gram, frag, lo, n, a): runs of windows; lo and a (the anchor's place in the fragment) count bytes."""
+    """(key, gram, frag, left, right, lo, n, a): runs of windows; lo and a (the anchor's place in the fragment) count bytes."""
 
     def run(it):
         for b in it:
             keys, row = b.column("key").to_numpy(), 0
             for _, data, offs in batches(b.column("text")):
-                text, lo, n, place, gram, frag = anchors(data, offs, length, k)
-                cols = [keys[row + text], gram.view(np.int64), frag.view(np.int64), lo - offs[text], n, place - lo]
+                text, lo, n, place, *hashes = anchors(data, offs, length, k)
+                cols = [keys[row + text], *[h.view(np.int64) for h in hashes], lo - offs[text], n, place - lo]
                 row += len(offs) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int64(), pa.int32(), pa.int32()], strict=True)], ["key", "gram", "frag", "lo", "n", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 6 + [pa.int32()] * 2, strict=True)], ["key", "gram", "frag", "left", "right", "lo", "n", "a"])
 
-    return docs.mapInArrow(run, "key long, gram long, frag long, lo long, n int, a int")
+    return docs.mapInArrow(run, "key long, gram long, frag long, left long, right long, lo long, n int, a int")
 
 
-def suffix_order(s: np.ndarray, end: np.ndarray, seeds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, its inverse, class of each position to ``seeds`` bytes) of byte pieces.
+def suffix_order(s: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, its inverse, where in it the first 7 bytes change) of byte pieces, by prefix doubling.
 
     ``s`` has byte + 1, and 0 at the end of each piece; ``end`` is the place of that 0 for each
     position.  Ends are distinct and sort first, so no common prefix crosses one.
     """
     n = len(s)
-    ends = np.flatnonzero(s == 0)
-    places = np.flatnonzero(s)
-    key = np.zeros(len(places), np.uint64)
+    ends, places = np.flatnonzero(s == 0).astype(np.int32), np.flatnonzero(s).astype(np.int32)
+    key, stop = np.zeros(len(places), np.uint64), end[places]
     for j in range(7):
-        key = (key << np.uint64(9)) | s[np.minimum(places + j, end[places])].astype(np.uint64)
-    rank = np.empty(n, np.int64)
-    rank[ends] = np.arange(len(ends))
-    depth, classes = 7, None
-    while True:
+        key = (key << np.uint64(9)) | s[np.minimum(places + j, stop)]
+    order = np.argsort(key)
+    key = key[order]
+    sa = np.concatenate([ends, places[order]])
+    head = np.ones(n, bool)
+    head[len(ends) + 1 :] = key[1:] != key[:-1]
+    seven = head.copy()
+    first = np.flatnonzero(head)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
+    depth = 7
+    while len(live := np.flatnonzero(~(head & np.append(head[1:], True)))):
+        at = sa[live]
+        key = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + depth, end[at])].astype(np.uint64)
         order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])]) if len(key) else key
-        r = np.empty(len(places), np.int64)
-        r[order] = new
-        rank[places] = r + len(ends)
-        if depth == seeds:
-            classes = rank.copy()
-        if not len(new) or new[-1] == len(new) - 1:
-            break
-        key = rank[places].astype(np.uint64) * np.uint64(n + 1) + rank[np.minimum(places + depth, end[places])].astype(np.uint64)
+        key, at = key[order], at[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        sa[live], head[live] = at, new
+        first = live[new]
+        rank[at] = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(live))))
         depth *= 2
-    sa = np.empty(n, np.int64)
-    sa[rank] = np.arange(n)
-    return sa, rank, rank if classes is None else classes
+    return sa, rank, seven
+
 
+def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None = None) -> np.ndarray:
+    """Places, in the pieces joined by one byte each, where a string of ``length`` bytes starts that also starts elsewhere.
 
-def repeated_starts(pieces: list[bytes], length: int) -> np.ndarray:
-    """Places, in the pieces joined by one byte each, where a string of ``length`` bytes starts that also starts elsewhere."""
-    raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+    A piece that occurs several ``times`` repeats all of its strings; ``length`` is 7 or more.
+    """
+    s = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
     size = np.array([len(x) + 1 for x in pieces])
     last = np.cumsum(size) - 1
-    s = raw.astype(np.int16) + 1
     s[last] = 0
-    end = np.repeat(last, size)
-    depth = min(SEED_DEPTH, 7 << max(0, (length // 7).bit_length() - 1))
-    sa, rank, classes = suffix_order(s, end, depth)
-    # Intervals of suffixes that share ``depth`` bytes, all inside their piece.
-    c = classes[sa]
-    c = np.where(end[sa] - sa >= depth, c, -1 - np.arange(len(sa)))
-    cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
-    lo, hi = cut[:-1], cut[1:]
-    keep = hi - lo > 1
-    lo, hi = lo[keep], hi[keep]
+    n = len(s)
+    end = np.repeat(last, size).astype(np.int32)
+    sa, rank, start = suffix_order(s, end)
+    left = end[sa] - sa
+    start[left < 7] = True
+    start[1:] |= left[:-1] < 7
     # Burrows-Wheeler transform and its last-to-first mapping.
-    before = np.where(sa > 0, sa - 1, len(s) - 1)
+    before = np.where(sa > 0, sa - 1, n - 1)
     bwt, lf = s[before], rank[before]
     run = np.cumsum(np.concatenate([[0], bwt[1:] != bwt[:-1]]))
-    for _ in range(length - depth):
+    # known[i]: suffixes i - 1 and i have a common prefix of fewer bytes than the strings of this step.
+    known = np.append(start, True)
+    lo = np.flatnonzero(start)
+    hi = np.append(lo[1:], n)
+    for _ in range(7, length):
         if not len(lo):
             break
         whole = run[lo] == run[hi - 1]
         one = whole & (bwt[lo] > 0)
-        a, n = lf[lo[one]], (hi - lo)[one]
-        many = ~whole
-        if many.any():
-            size = (hi - lo)[many]
-            of = np.repeat(np.arange(len(size)), size)
-            i = np.repeat(lo[many] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            sort = np.argsort(of * 512 + bwt[i], kind="stable")
-            i, key = i[sort], (of * 512 + bwt[i])[sort]
+        a, b = lf[lo[one]], lf[hi[one] - 1]
+        if not whole.all():
+            size_ = (hi - lo)[~whole]
+            of = np.repeat(np.arange(len(size_)), size_)
+            i = np.repeat(lo[~whole] - (np.cumsum(size_) - size_), size_) + np.arange(len(of))
+            key = of * 512 + bwt[i]
+            order = np.argsort(key, kind="stable")
+            i, key = i[order], key[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.diff(np.append(first, len(key)))
-            fine = (count > 1) & (bwt[i[first]] > 0)
-            a, n = np.concatenate([a, lf[i[first[fine]]]]), np.concatenate([n, count[fine]])
-        lo, hi = a, a + n
-    size = hi - lo
-    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return np.sort(sa[at])
+            final = np.append(first[1:], len(key)) - 1
+            fine = bwt[i[first]] > 0
+            a, b = np.concatenate([a, lf[i[first[fine]]]]), np.concatenate([b, lf[i[final[fine]]]])
+        # Only an interval that ends where no value is known yet has one of this step, and goes on.
+        fresh = ~known[b + 1]
+        lo, hi = a[fresh], b[fresh] + 1
+        known[hi] = True
+    more = np.append(~known[:n], False)
+    found = more[:-1] | more[1:]
+    if times is not None:
+        found |= np.repeat(np.array(times) > 1, size)[sa]
+    return np.sort(sa[found & (left >= length)])
 
 
 def _expand(pieces: DataFrame, length: int) -> DataFrame:
@@ -164,9 +177,9 @@ def _expand(pieces: DataFrame, length: int) -> DataFrame:
 
     def solve(rows):
         at = 0
-        joined = repeated_starts([r[3] for r in rows], length)
+        joined = repeated_starts([r[3] for r in rows], length, [r[5] for r in rows])
         out = []
-        for group, gram, frag, body, base in rows:
+        for _, gram, frag, body, base, _ in rows:
             here = joined[np.searchsorted(joined, at) : np.searchsorted(joined, at + len(body))] - at
             at += len(body) + 1
             if len(here):
@@ -185,7 +198,7 @@ def _expand(pieces: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
         for b in it:
-            for r in zip(*(b.column(c).to_pylist() for c in ("g", "gram", "frag", "body", "base")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in ("g", "gram", "frag", "body", "base", "c")), strict=True):
                 if held and size > BLOCK and r[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
@@ -194,21 +207,23 @@ def _expand(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return pieces.select("g", "gram", "frag", "body", "base").repartition("g").sortWithinPartitions("g").mapInArrow(run, "gram long, frag long, s long, e long")
+    tasks = max(1, -(-(pieces.select(F.sum(F.length("body"))).first()[0] or 0) // DEALT))
+    dealt = pieces.select("g", "gram", "frag", "body", "base", "c").repartition(tasks, "g").sortWithinPartitions("g")
+    return dealt.mapInArrow(run, "gram long, frag long, s long, e long")
 
 
-def _settle_contested(frags: DataFrame, length: int, k: int, hot: int) -> DataFrame:
-    """(gram, frag, s, e) of contested fragments: gram, frag, c (occurrences), a (anchor's place) and body."""
+def _settle(frags: DataFrame, length: int, k: int, hot: int) -> DataFrame:
+    """(gram, frag, s, e): repeated bytes of fragments with gram, frag, c (occurrences), a (anchor's place) and body."""
     w = length - k + 1
     pieces = frags.select(F.col("gram").alias("g"), "gram", "frag", "c", "a", "body", F.lit(0).alias("d0"), F.lit(w - 1).alias("d1"))
     ready, found = [], []
-    for _ in range(12):
-        stats = pieces.groupBy("g").agg(F.count("*").alias("_n"), F.min("c").alias("_c"), F.sum(F.length("body")).alias("_b"))
-        # A group of one piece, or whose pieces all occur twice, is settled.
-        p = pieces.join(stats.where("_n > 1 AND _c = 1"), "g")
+    while True:  # until the core is the whole window, where all pieces of a group are equal
+        stats = pieces.groupBy("g").agg(F.sum("c").alias("_c"), F.sum(F.length("body")).alias("_b"))
+        stats = small_side(materialize(stats.where("_c > 1")))
+        p = pieces.join(stats, "g")
         lo, hi = F.greatest(F.lit(0), F.col("a") - F.col("d1")), F.least(F.length("body") - length, F.col("a") - F.col("d0"))
-        ready.append(p.where(F.col("_b") <= hot).select("g", "gram", "frag", F.expr(f"substring(body, greatest(0, a - d1) + 1, least(length(body) - {length}, a - d0) - greatest(0, a - d1) + {length})").alias("body"), lo.cast("long").alias("base")))
-        big = p.where(F.col("_b") > hot).drop("_n", "_c", "_b")
+        ready.append(p.where(F.col("_b") <= hot).select("g", "gram", "frag", F.expr(f"substring(body, greatest(0, a - d1) + 1, least(length(body) - {length}, a - d0) - greatest(0, a - d1) + {length})").alias("body"), lo.cast("long").alias("base"), "c"))
+        big = p.where(F.col("_b") > hot).drop("_c", "_b")
         if not big.take(1):
             break
         mid = F.floor((F.col("d0") + F.col("d1")) / 2).cast("int")
@@ -224,7 +239,7 @@ def _settle_contested(frags: DataFrame, length: int, k: int, hot: int) -> DataFr
     out = ready[0]
     for x in ready[1:]:
         out = out.unionByName(x)
-    out = _expand(out, length)
+    out = _expand(materialize(out), length)
     for x in found:
         out = out.unionByName(x)
     return out
@@ -234,20 +249,25 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     """(key, spans): byte ranges, possibly overlapping, that repeated strings cover in rows (key, text)."""
     k = min(GRAM, max(1, length // 2))
     runs = materialize(_anchor_table(docs, length, k))
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("frag").alias("x"), F.max("frag").alias("y"))
-    grams = grams.where("n > 1").select("gram", (F.col("x") != F.col("y")).alias("contested"))
-    runs = materialize(runs.join(grams, "gram"))
-    whole = lambda d: d.select("key", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + (length - 1)).alias("e"))
-    unsure = runs.where("contested")
-    copies = materialize(unsure.groupBy("gram", "frag").agg(F.count("*").alias("c"), F.min(F.struct("key", "lo", "n", "a")).alias("r")))
-    needed = copies.select(F.col("r.key").alias("key"), F.struct("gram", "frag", "c", F.col("r.lo").alias("lo"), F.col("r.n").alias("n"), F.col("r.a").alias("a")).alias("f")).groupBy("key").agg(F.collect_list("f").alias("fs"))
+    grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"))
+    runs = materialize(runs.join(small_side(grams), "gram"))
+    # All values of a group's first row, as hash aggregation keeps them.
+    some = [F.first(c).alias(c) for c in ("left", "right", "key", "lo", "n", "a")]
+    frags = materialize(runs.groupBy("gram", "frag").agg(F.count("*").alias("c"), *some))
+    sides = frags.select("gram", "frag", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
+    sides = materialize(sides.groupBy("gram", "side").agg(F.min("frag").alias("x"), F.max("frag").alias("y")).where("x <> y").select("gram", "side"))
+    sides = small_side(sides)
+    hit = frags.where("c = 1").select("gram", "frag", F.explode(F.array("left", "right")).alias("side")).join(sides, ["gram", "side"]).select("gram", "frag").distinct()
+    frags = materialize(frags.where("c > 1").unionByName(frags.join(hit, ["gram", "frag"], "left_semi")).drop("left", "right"))
+    few = frags.count() <= BROADCAST_ROWS
+    needed = frags.groupBy("key").agg(F.collect_list(F.struct("gram", "frag", "c", "lo", "n", "a")).alias("fs"))
     texts = docs.select("key", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
-    at = texts.join(needed, "key").select("raw", F.explode("fs").alias("f"))
-    frags = at.select("f.gram", "f.frag", "f.c", "f.a", F.expr(f"substring(raw, int(f.lo) + 1, f.n + {length - 1})").alias("body")).dropDuplicates(["gram", "frag"])
-    found = _settle_contested(materialize(frags), length, k, hot)
-    parts = found.join(unsure.select("gram", "frag", "key", "lo"), ["gram", "frag"]).select("key", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
-    twice = unsure.join(copies.where("c > 1").select("gram", "frag"), ["gram", "frag"])
-    spans = whole(runs.where("NOT contested")).unionByName(whole(twice)).unionByName(parts)
+    at = texts.join(F.broadcast(needed) if few else needed, "key").select("raw", F.explode("fs").alias("f"))
+    bodies = materialize(at.select("f.gram", "f.frag", "f.c", "f.a", F.expr(f"substring(raw, int(f.lo) + 1, f.n + {length - 1})").alias("body")))
+    if bodies.count() > frags.count():  # rows that repeat a document as a whole
+        bodies = materialize(bodies.dropDuplicates(["gram", "frag"]))
+    found = small_side(materialize(_settle(bodies, length, k, hot)))
+    spans = runs.join(found, ["gram", "frag"]).select("key", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
@@ -261,23 +281,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``_kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``.
+#: What ``remove_repeats`` adds.
+ADDED = ("_kept", "n_bytes", "n_removed", "n_spans", "_kept_text")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str, ...] = ADDED) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with five columns called ``names``: the bytes that stay, how many there were,
+    how many go and in how many runs, and what stays as text.
 
     Null texts count as empty and keep no byte; texts shorter than ``length`` stay whole; a repeated
-    row repeats all its windows.  Spans come back to their rows in one join by row key.
+    row repeats all its windows, with or without an id; an empty table gives an empty one.  In the text, a
+    character that lost some of its bytes goes.  Other columns stay as they are; those called ``names`` are
+    replaced.  Spans come back to their rows in one join by row key.
     """
-    keyed = docs.withColumn("key", row_key())
-    spans = materialize(repeated_spans(keyed.select("key", "text"), length, hot))
-    rows = keyed.join(spans, "key", "left").drop("key")
-    cols = docs.columns
-    schema = StructType([*docs.schema.fields]).add("_kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    cols = [c for c in docs.columns if c not in names]
+    docs = docs.select(cols)
+    key, where = free_names(docs, "key", "spans")
+    keyed = docs.withColumn(key, row_key())
+    spans = materialize(repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length, hot))
+    few = (spans.select(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
+    spans = spans.select(F.col("key").alias(key), F.col("spans").alias(where))
+    rows = keyed.join(F.broadcast(spans) if few else spans, key, "left").drop(key)
+    schema = StructType([*docs.schema.fields])
+    for name, kind in zip(names, ("binary", "long", "long", "long", "string"), strict=True):
+        schema = schema.add(name, kind)
 
     def cut(it):
         for b in it:
             t = pa.Table.from_batches([b])
-            kept, size, gone, count = [], [], [], []
-            for text, spans in zip(t["text"].cast(pa.large_binary()).to_pylist(), t["spans"].to_pylist(), strict=True):
+            kept, size, gone, count, words = [], [], [], [], []
+            for text, spans in zip(t["text"].cast(pa.large_binary()).to_pylist(), t[where].to_pylist(), strict=True):
                 raw = text or b""
                 runs = merged([(x["s"], x["e"]) for x in spans or []])
                 parts, at = [], 0
@@ -289,27 +322,32 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
                 size.append(len(raw))
                 gone.append(len(raw) - len(kept[-1]))
                 count.append(len(runs))
+                words.append("".join(x.decode("utf-8", "ignore") for x in parts))
             t = t.select(cols)
-            for name, values, kind in (("_kept", kept, pa.binary()), ("n_bytes", size, pa.int64()), ("n_removed", gone, pa.int64()), ("n_spans", count, pa.int64())):
+            for name, values, kind in zip(names, (kept, size, gone, count, words), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=True):
                 t = t.append_column(name, pa.array(values, kind))
             yield from t.to_batches()
 
-    return rows.select(*cols, "spans").mapInArrow(cut, schema)
+    return rows.select(*cols, where).mapInArrow(cut, schema)
 
 
 def suffix_query(docs: DataFrame) -> DataFrame:
+    """The contract's columns, and whether anything goes."""
     out = remove_repeats(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Pipeline stage: texts without repeated bytes; an incomplete UTF-8 sequence at a cut goes too.
+    """Pipeline stage: texts without repeated bytes; a character that a cut parts goes as a whole.
 
-    n_chars follows the text.  A document of which nothing is left keeps its row with an empty text.
+    n_chars follows the text.  A document of which nothing is left keeps its row with an empty text; a
+    text that loses nothing, null too, stays as it is.
     """
-    out = remove_repeats(docs, length)
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.expr("try_validate_utf8(make_valid_utf8(cast(_kept AS string)))"), "\N{REPLACEMENT CHARACTER}", "")).otherwise(F.col("text"))
+    names = tuple(free_names(docs, "kept", "bytes", "removed", "runs", "left"))
+    out = remove_repeats(docs, length, names=names)
+    lost = F.col(names[2]) > 0
+    text = F.when(lost, F.col(names[4])).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

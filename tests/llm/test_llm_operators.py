@@ -186,6 +186,9 @@ def test_interval_expansion_equals_brute_force():
             want += [at + s for s in range(len(p) - 11) if seen[p[s : s + 12]] > 1]
             at += len(p) + 1
         assert suffix_dedup.repeated_starts(pieces, 12).tolist() == want
+        twice = [1, 1, 2, 1, 1]
+        whole = sum(len(p) + 1 for p in pieces[:2])
+        assert suffix_dedup.repeated_starts(pieces, 12, twice).tolist() == sorted({*want, *range(whole, whole + len(pieces[2]) - 11)})
 
 
 def test_bpe_equals_tiktoken(spark, texts):
