@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spark_rca.llm.bytehash import batches, prefix, span
-from spark_rca.llm.common import BROADCAST_ROWS, free_names, materialize, row_key, small_side
+from spark_rca.llm.common import free_names, materialize, row_key, small_side
 
 #: Bytes of the k-gram that is an anchor (for windows of 400 bytes), bytes that a task transforms at
 #: once, bytes of one anchor's fragments that go to one task, and bytes that a task is dealt.
-GRAM, BLOCK, HOT, DEALT = 64, 1 << 19, 3 << 20, 4 << 20
+GRAM, BLOCK, HOT, DEALT = 64, 1 << 19, 1 << 20, 2 << 20
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor place, anchor, fragment, left and right hash) of every run of windows.
@@ -259,10 +259,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     sides = small_side(sides)
     hit = frags.where("c = 1").select("gram", "frag", F.explode(F.array("left", "right")).alias("side")).join(sides, ["gram", "side"]).select("gram", "frag").distinct()
     frags = materialize(frags.where("c > 1").unionByName(frags.join(hit, ["gram", "frag"], "left_semi")).drop("left", "right"))
-    few = frags.count() <= BROADCAST_ROWS
     needed = frags.groupBy("key").agg(F.collect_list(F.struct("gram", "frag", "c", "lo", "n", "a")).alias("fs"))
     texts = docs.select("key", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
-    at = texts.join(F.broadcast(needed) if few else needed, "key").select("raw", F.explode("fs").alias("f"))
+    at = texts.join(needed, "key").select("raw", F.explode("fs").alias("f"))
     bodies = materialize(at.select("f.gram", "f.frag", "f.c", "f.a", F.expr(f"substring(raw, int(f.lo) + 1, f.n + {length - 1})").alias("body")))
     if bodies.count() > frags.count():  # rows that repeat a document as a whole
         bodies = materialize(bodies.dropDuplicates(["gram", "frag"]))
@@ -282,12 +281,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 #: What ``remove_repeats`` adds.
-ADDED = ("_kept", "n_bytes", "n_removed", "n_spans", "_kept_text")
+ADDED = ("_kept", "n_bytes", "n_removed", "n_spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str, ...] = ADDED) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with five columns called ``names``: the bytes that stay, how many there were,
-    how many go and in how many runs, and what stays as text.
+    """``docs`` (doc_id, text, ...) with columns called ``names``: the bytes that stay, how many there were, how
+    many go and in how many runs, and, for a fifth name, what stays as text.
 
     Null texts count as empty and keep no byte; texts shorter than ``length`` stay whole; a repeated
     row repeats all its windows, with or without an id; an empty table gives an empty one.  In the text, a
@@ -299,11 +298,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
     key, where = free_names(docs, "key", "spans")
     keyed = docs.withColumn(key, row_key())
     spans = materialize(repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length, hot))
-    few = (spans.select(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
     spans = spans.select(F.col("key").alias(key), F.col("spans").alias(where))
-    rows = keyed.join(F.broadcast(spans) if few else spans, key, "left").drop(key)
+    rows = keyed.join(spans, key, "left").drop(key)
     schema = StructType([*docs.schema.fields])
-    for name, kind in zip(names, ("binary", "long", "long", "long", "string"), strict=True):
+    for name, kind in zip(names, ("binary", "long", "long", "long", "string"), strict=False):
         schema = schema.add(name, kind)
 
     def cut(it):
@@ -322,9 +320,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
                 size.append(len(raw))
                 gone.append(len(raw) - len(kept[-1]))
                 count.append(len(runs))
-                words.append("".join(x.decode("utf-8", "ignore") for x in parts))
+                if len(names) > 4:
+                    words.append("".join(x.decode("utf-8", "ignore") for x in parts))
             t = t.select(cols)
-            for name, values, kind in zip(names, (kept, size, gone, count, words), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=True):
+            for name, values, kind in zip(names, (kept, size, gone, count, words), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=False):
                 t = t.append_column(name, pa.array(values, kind))
             yield from t.to_batches()
 
