@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spark_rca.llm.common import free_names, lean
+
 #: A vocabulary's own pattern in Java's syntax: its \s is Unicode white space, as in the tokenizer.
 SPACE = r"\p{IsWhite_Space}"
 
@@ -38,7 +40,7 @@ class Encoder:
     promoted, so that the many words that occur once don't push out the frequent ones.
     """
 
-    def __init__(self, ranks: list[tuple[bytes, int]], remember: int = 200_000, memory: str = "160MB"):
+    def __init__(self, ranks: list[tuple[bytes, int]], remember: int = 120_000, memory: str = "128MB"):
         import duckdb
 
         self.remember = remember
@@ -148,18 +150,25 @@ def _joined(pieces: list[bytes], idx: np.ndarray, bounds: np.ndarray) -> list[by
     return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
+#: What ``encode`` adds.
+ADDED = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` (no column is changed) with ``n_tokens``, ``ids`` (binary, little-endian unsigned 32 bit), ``ids_sha256`` and ``decoded_sha256``.
+    """``docs`` with ``n_tokens``, ``ids`` (binary, little-endian unsigned 32 bit), ``ids_sha256`` and ``decoded_sha256``.
 
-    Null texts count as empty: no ids.  Rows are independent, so nothing is shuffled.  The rank file
+    Null texts count as empty: no ids.  Rows are independent, so nothing is shuffled, repeated rows get
+    the same and an empty table gives an empty one.  Other columns stay as they are; those four are replaced.  The rank file
     has a fixed size; it is read by the driver and broadcast.  Code points that Java's tables do not
     know yet are split by the tokenizer's own regex library.
     """
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in ADDED]
+    docs = docs.select(cols)
+    words_, text_ = free_names(docs, "words", "text")
     body = F.coalesce(F.col(text), F.lit(""))
     odd = body.rlike(r"[\p{Cn}]")
-    split = docs.withColumn("_words", F.when(~odd, F.regexp_extract_all(body, F.lit(java_pattern(pattern)), F.lit(0)))).withColumn("_text", F.when(odd, body))
+    split = docs.withColumn(words_, F.when(~odd, F.regexp_extract_all(body, F.lit(java_pattern(pattern)), F.lit(0)))).withColumn(text_, F.when(odd, body))
     schema = StructType([*docs.schema.fields]).add("n_tokens", "long").add("ids", "binary").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(it):
@@ -170,10 +179,10 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str,
         for whole in it:
             for a in range(0, whole.num_rows, 500):
                 b = pa.Table.from_batches([whole.slice(a, 500)])
-                words = b["_words"].combine_chunks()
+                words = b[words_].combine_chunks()
                 if words.null_count:
                     lists = words.to_pylist()
-                    for i, t in enumerate(b["_text"].to_pylist()):
+                    for i, t in enumerate(b[text_].to_pylist()):
                         if t is not None:
                             lists[i] = own.findall(t)
                     words = pa.array(lists, pa.list_(pa.string()))
@@ -190,7 +199,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str,
                 t = t.append_column("decoded_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()))
                 yield from t.to_batches()
 
-    return split.mapInArrow(run, schema)
+    return split.mapInArrow(lean(run), schema)
 
 
 def bpe_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -31,6 +32,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def lean(run):
+    """``run`` for mapInArrow, with what its task has freed given back at the end: Python workers are reused by later stages."""
+
+    def task(it):
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 #: Rows of a few longs that may be broadcast; larger tables join by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

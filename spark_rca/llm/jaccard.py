@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_rca.llm.bytehash import LOWER, batches, mix, prefix, span, words
-from spark_rca.llm.common import connected_components, materialize, small_side
+from spark_rca.llm.common import connected_components, lean, materialize, small_side
 
 #: The most sets that one task joins locally, and the most bytes of theirs.
 LOCAL, LOCAL_BYTES = 1500, 16 << 20
-#: Bytes of text whose shingles are made unique together, and bytes of all texts for each bucket of shingle keys.
-CHUNK, PER_BUCKET = 1 << 23, 12 << 20
+#: Shingles that are made unique together, and bytes of all texts for each bucket of shingle keys.
+CHUNK, PER_BUCKET = 1 << 20, 12 << 20
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text; a text with fewer words is one shingle; without words: none."""
@@ -169,7 +169,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 )
                 at += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def chunk_keys(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -200,22 +200,34 @@ def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     many sets have reaches its bucket once for each chunk.
     """
 
+    names = ["bucket", "keys", "owners", "hashes", "counts"]
+
     def send(it):
-        names = ["bucket", "keys", "owners", "hashes", "counts"]
+        held, size = [], 0
         for b in it:
-            for _, data, offs in batches(b.column("text"), CHUNK):
-                hashes, counts, parts = chunk_keys(shingles(data, offs, width), buckets)
-                wide = np.uint16 if len(hashes) < 65_535 else np.uint32
-                for k, (bucket, key, owner) in enumerate(parts):
-                    used, short = np.unique(owner, return_inverse=True)
-                    packed = key.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    # -1 has the hash 0 and place 0 in its table.
-                    table = np.where(used < 0, 0, hashes[used])
-                    row = [bucket, packed, short.astype(wide).tobytes(), table.tobytes(), None]
-                    if k == 0:
-                        some = np.flatnonzero(counts)
-                        row[4] = np.concatenate([hashes[some], counts[some]]).astype(np.int64).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
+            for _, data, offs in batches(b.column("text"), 1 << 20):
+                for s in shingles(data, offs, width):
+                    held.append(s)
+                    size += len(s)
+                if size >= CHUNK:
+                    yield from tell(held)
+                    held, size = [], 0
+        if size:
+            yield from tell(held)
+
+    def tell(sets):
+        hashes, counts, parts = chunk_keys(sets, buckets)
+        wide = np.uint16 if len(hashes) < 65_535 else np.uint32
+        for k, (bucket, key, owner) in enumerate(parts):
+            used, short = np.unique(owner, return_inverse=True)
+            packed = key.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            # -1 has the hash 0 and place 0 in its table.
+            table = np.where(used < 0, 0, hashes[used])
+            row = [bucket, packed, short.astype(wide).tobytes(), table.tobytes(), None]
+            if k == 0:
+                some = np.flatnonzero(counts)
+                row[4] = np.concatenate([hashes[some], counts[some]]).astype(np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
 
     def settle(rows):
         keys, hashes, out = [], [], []
@@ -241,7 +253,7 @@ def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     def receive(it):
         held, at = [], None
         for b in it:
-            for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "owners", "hashes", "counts")), strict=True):
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
                 if held and bucket != at:
                     yield settle(held)
                     held = []
@@ -250,9 +262,9 @@ def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, owners binary, hashes binary, counts binary")
+    sent = docs.select("text").mapInArrow(lean(send), "bucket int, keys binary, owners binary, hashes binary, counts binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(receive, "h1 long, c long").groupBy("h1").agg(F.sum("c").alias("c"))
+    return dealt.mapInArrow(lean(receive), "h1 long, c long").groupBy("h1").agg(F.sum("c").alias("c"))
 
 
 def _candidates(docs: DataFrame, per: DataFrame, width: int, percent: int) -> DataFrame:
@@ -272,7 +284,7 @@ def _candidates(docs: DataFrame, per: DataFrame, width: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(sets[i]) for i in fit], pa.int32()), pa.array([sets[i].tobytes() for i in fit], pa.binary())], ["sid", "m", "s"])
 
     texts = docs.select("doc_id", "text").join(small_side(chosen), "doc_id").select("_sid", "text")
-    out = materialize(texts.mapInArrow(run, "sid long, m int, s binary"))
+    out = materialize(texts.mapInArrow(lean(run), "sid long, m int, s binary"))
     # Repeated rows of one document give a set more than once.
     return out if out.count() == chosen.count() else materialize(out.dropDuplicates(["sid"]))
 
@@ -286,7 +298,7 @@ def pivot_regions(cand: DataFrame, percent: int) -> DataFrame:
                 k = np.frombuffer(s, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(m, sid)), pa.array(np.full(m, m, np.int32))], ["k", "sid", "m"])
 
-    keys = cand.mapInArrow(run, "k long, sid long, m int")
+    keys = cand.mapInArrow(lean(run), "k long, sid long, m int")
     often = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     rows = keys.join(often, "k")
     mine = Window.partitionBy("sid")
@@ -321,7 +333,7 @@ def _region_links(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     # The pivot is the least id of its region: it comes first.
-    return members.select("region", "sid", "label", "s").repartition("region").sortWithinPartitions("region", "sid").mapInArrow(run, "a long, b long")
+    return members.select("region", "sid", "label", "s").repartition("region").sortWithinPartitions("region", "sid").mapInArrow(lean(run), "a long, b long")
 
 
 def _distances(spread: DataFrame, percent: int) -> DataFrame:
@@ -339,7 +351,7 @@ def _distances(spread: DataFrame, percent: int) -> DataFrame:
                 linked.append(bool(100 * c >= percent * (both - c)))
             yield pa.RecordBatch.from_arrays([b.column("region"), b.column("sid"), b.column("pivot"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["region", "sid", "pivot", "d", "linked"])
 
-    return spread.select("region", "sid", "pivot", "p_s", "s").mapInArrow(run, "region long, sid long, pivot long, d double, linked boolean")
+    return spread.select("region", "sid", "pivot", "p_s", "s").mapInArrow(lean(run), "region long, sid long, pivot long, d double, linked boolean")
 
 
 def _deal(region: DataFrame, limit: int) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spark_rca.llm.common import free_names, lean
+
 WINDOW, HIDDEN = 128, 8
 #: Bound of the training sample: documents, and windows of each.
 SAMPLE_DOCS, DOC_WINDOWS = 4000, 3
@@ -202,11 +204,15 @@ def predict_language(spark: SparkSession, docs: DataFrame, net: ByteGru | None)
     """``docs`` with ``lang_pred`` and ``score``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if there is
-    no network.  The network (a few kB) is broadcast; documents are not shuffled.
+    no network.  Rows are independent: repeated rows get the same, an empty table gives an empty one, other
+    columns stay as they are (``lang_pred`` and ``score`` are replaced).  The network (a few kB) is
+    broadcast; documents are not shuffled.
     """
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    docs = docs.select(cols)
+    (letters,) = free_names(docs, "letters")
     model = spark.sparkContext.broadcast(net)
-    marked = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None))
+    marked = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(net is not None))
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def run(it):
@@ -216,7 +222,7 @@ def predict_language(spark: SparkSession, docs: DataFrame, net: ByteGru | None)
             t = pa.Table.from_batches([b])
             pred = np.full(len(t), "und", object)
             score = np.zeros(len(t))
-            on = np.flatnonzero(t["_letters"].to_numpy(zero_copy_only=False))
+            on = np.flatnonzero(t[letters].to_numpy(zero_copy_only=False))
             if len(on):
                 text = t["text"].take(pa.array(on)).combine_chunks()
                 for row, data, offs in batches(text):
@@ -228,7 +234,7 @@ def predict_language(spark: SparkSession, docs: DataFrame, net: ByteGru | None)
             t = t.select(cols).append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(score))
             yield from t.to_batches()
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(lean(run), schema)
 
 
 def labelled(docs: DataFrame) -> DataFrame:

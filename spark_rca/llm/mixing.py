@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spark_rca.llm.common import free_names
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,25 +52,39 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_rate: float = 3.0, seed: int = 9) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``.
+#: What ``mix_sources`` adds.
+ADDED = ("_size", "_source_size", "_target", "_copies")
+
+
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_rate: float = 3.0, seed: int = 9, names: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with columns called ``names``: its size, its source's size and target, and how often it is taken.
 
     A document is taken floor(rate) times, once more if its hash-seeded uniform number is below the
     fraction.  Null texts have size 0; repeated rows take the same decision; a null id hashes as an
-    empty string; an empty table gives an empty one.  The source table joins as a shuffle join whose
+    empty string; an empty table gives an empty one.  Other columns stay as they are; those called ``names`` are replaced.  The source table joins as a shuffle join whose
     one hot key AQE splits, or as a broadcast where Spark has measured it as small.
     """
-    sized = docs.withColumn("_size", word_count(F.col(text)))
-    per = source_targets(sized.select(F.col(source).alias("_s"), F.col("_size").alias("size")), "_s", "size", weights, max_rate)
-    per = per.select(F.col("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    out = sized.join(per, F.col(source).eqNullSafe(F.col("_s")), "left").drop("_s")
-    extra = (uniform(F.col(doc_id), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
-    return out.withColumn("_copies", (F.floor("_rate") + extra).cast("int")).drop("_rate")
+    size_, source_size, target, copies = names
+    docs = docs.select([c for c in docs.columns if c not in names])
+    own, rate = free_names(docs, "own", "rate")
+    sized = docs.withColumn(size_, word_count(F.col(text)))
+    per = source_targets(sized.select(F.col(source).alias("s"), F.col(size_).alias("size")), "s", "size", weights, max_rate)
+    per = per.select(F.col("s").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate))
+    out = sized.join(per, F.col(source).eqNullSafe(F.col(own)), "left").drop(own)
+    extra = (uniform(F.col(doc_id), seed) < F.col(rate) - F.floor(rate)).cast("int")
+    return out.withColumn(copies, (F.floor(rate) + extra).cast("int")).drop(rate)
+
+
+def emit_copies(mixed: DataFrame, copies: str = "_copies") -> DataFrame:
+    """The mix itself: each document as often as it is taken."""
+    (one,) = free_names(mixed, "copy")
+    return mixed.withColumn(one, F.explode(F.sequence(F.lit(1), F.greatest(F.col(copies), F.lit(1))))).where(F.col(copies) > 0).drop(one)
 
 
-def emit_copies(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    return mixed.withColumn("_copy", F.explode(F.expr("CASE WHEN _copies > 0 THEN sequence(1, _copies) ELSE array() END"))).drop("_copy")
+def mix_stage(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: the mix of ``docs``, with their columns unchanged."""
+    names = tuple(free_names(docs, *(n.lstrip("_") for n in ADDED)))
+    return emit_copies(mix_sources(docs, names=names), names[3]).select(docs.columns)
 
 
 def mix_query(docs: DataFrame) -> DataFrame:

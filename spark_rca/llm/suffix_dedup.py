@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spark_rca.llm.bytehash import batches, prefix, span
-from spark_rca.llm.common import free_names, materialize, row_key, small_side
+from spark_rca.llm.common import free_names, lean, materialize, row_key, small_side
 
 #: Bytes of the k-gram that is an anchor (for windows of 400 bytes), bytes that a task transforms at
 #: once, bytes of one anchor's fragments that go to one task, and bytes that a task is dealt.
@@ -84,7 +84,7 @@ def _anchor_table(docs: DataFrame, length: int, k: int) -> DataFrame:
                 row += len(offs) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 6 + [pa.int32()] * 2, strict=True)], ["key", "gram", "frag", "left", "right", "lo", "n", "a"])
 
-    return docs.mapInArrow(run, "key long, gram long, frag long, left long, right long, lo long, n int, a int")
+    return docs.mapInArrow(lean(run), "key long, gram long, frag long, left long, right long, lo long, n int, a int")
 
 
 def suffix_order(s: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def _expand(pieces: DataFrame, length: int) -> DataFrame:
 
     tasks = max(1, -(-(pieces.select(F.sum(F.length("body"))).first()[0] or 0) // DEALT))
     dealt = pieces.select("g", "gram", "frag", "body", "base", "c").repartition(tasks, "g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "gram long, frag long, s long, e long")
+    return dealt.mapInArrow(lean(run), "gram long, frag long, s long, e long")
 
 
 def _settle(frags: DataFrame, length: int, k: int, hot: int) -> DataFrame:
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
                 t = t.append_column(name, pa.array(values, kind))
             yield from t.to_batches()
 
-    return rows.select(*cols, where).mapInArrow(cut, schema)
+    return rows.select(*cols, where).mapInArrow(lean(cut), schema)
 
 
 def suffix_query(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spark_rca.llm.common import free_names, lean, materialize
+
 CATEGORIES = ["toxic", "severe", "repeated"]
 #: Bounds of what is learned from: labelled rows in the sample, and features.
 SAMPLE_ROWS, FEATURES = 12_000, 2_000
@@ -101,8 +103,6 @@ class Chain:
 
 def train_chain(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms: int = FEATURES) -> Chain | None:
     """None if the labelled rows are not of both kinds."""
-    from spark_rca.llm.common import materialize
-
     s = materialize(_sample(docs, labels, rows))
     total = {r["toxic"]: r["count"] for r in s.groupBy("toxic").count().collect()}
     if not total.get(1) or not total.get(0):
@@ -126,11 +126,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max
 def predict_toxicity(spark: SparkSession, docs: DataFrame, chain: Chain | None) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category.
 
-    Null and empty texts, and all texts if nothing could be learned, have probability 0 where no
-    term speaks for toxicity.  The chain has at most ``FEATURES`` terms and is broadcast.
+    Null and empty texts have the probabilities of a text without a toxic term, and 0 if nothing could be
+    learned.  Rows are independent: repeated rows get the same, an empty table gives an empty one, other
+    columns stay as they are (those called ``p_<category>`` are replaced).  The chain is broadcast.
     """
     model = spark.sparkContext.broadcast(chain)
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in {f"p_{k}" for k in CATEGORIES}]
+    docs = docs.select(cols)
+    (hits,) = free_names(docs, "hits")
     schema = StructType([*docs.schema.fields])
     for c in CATEGORIES:
         schema = schema.add(f"p_{c}", "double")
@@ -140,14 +143,14 @@ def predict_toxicity(spark: SparkSession, docs: DataFrame, chain: Chain | None)
         return docs
     # Words that can hit: those in the vocabulary, or in one of its families.  Found inside the JVM.
     stems = sorted({t[:4].rstrip("*") for t in chain.terms})
-    marked = docs.withColumn("_hits", F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.substring(w, 1, 4).isin(stems)))
+    marked = docs.withColumn(hits, F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.substring(w, 1, 4).isin(stems)))
 
     def run(it):
         chain = model.value
         for b in it:
             t = pa.Table.from_batches([b])
             feats = []
-            for words in t["_hits"].to_pylist():
+            for words in t[hits].to_pylist():
                 counts: dict[str, int] = {}
                 for w in words:
                     for term in [w] + [f"{w[:k]}*" for k in (4, 5) if len(w) > k]:
@@ -160,7 +163,7 @@ def predict_toxicity(spark: SparkSession, docs: DataFrame, chain: Chain | None)
                 t = t.append_column(f"p_{c}", pa.array(p[:, k], pa.float64()))
             yield from t.to_batches()
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(lean(run), schema)
 
 
 def toxicity_query(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
