@@ -15,22 +15,27 @@ from spark_rca.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no learned language, go; null and empty texts too."""
     return langid.keep_identified(spark, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document of least id stays; without words, all."""
     return jaccard.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose what strings of 400 bytes that start twice cover; no row goes; null texts stay null."""
     return suffix_dedup.drop_repeats(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emit_copies(mixing.mix_sources(docs)).select(docs.columns)
+    """Documents in proportion to their sources' targets, none, once or up to three times; a null source is one source."""
+    return mixing.mix_stage(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text; a null text has no token."""
     out = bpe.encode(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 
