@@ -52,7 +52,7 @@ def span(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((p[b] - p[a]) * _power("down", len(p))[a] + (b - a).astype(np.uint64) * BASE)
 
 
-def batches(column: pa.ChunkedArray | pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches(column: pa.ChunkedArray | pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about ``limit`` bytes; nulls are empty.
 
     A single longer text is a run of its own.
