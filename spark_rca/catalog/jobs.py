@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_rca.catalog.fixtures import Tables
@@ -10,9 +11,37 @@ from spark_rca.operators import causality as cz
 from spark_rca.operators import graph as gr
 from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
+from spark_rca.operators.lineage import cut, shared_folder
 from spark_rca.operators.spline import fill_spline
 from spark_rca.plans import diagnose as dg
-from spark_rca.streaming.spot import run_spot
+from spark_rca.streaming.spot import fit_tails, run_spot
+
+WINDOW_GRID = {
+    "dynamic_causality": [{"bef": 100, "step": 25}],
+    "monitor_rank": [{"rho": 0.2}, {"rho": 0.5}],
+    "cloud_ranger": [{"beta": 0.3, "rho": 0.2, "steps": 20}],
+    "netmedic": [{"bins": 50, "max_len": 3}],
+    "tbac": [{}],
+}
+PARAM_GRID = {"cloud_ranger": [{"beta": 0.3, "rho": r, "steps": 30} for r in (0.2, 0.5)], "dynamic_causality": [{"step": 20, "sig": s} for s in (0.05, 0.1)]}
+
+
+def judged(x: Tables, method: str, graph: bool = False, **params) -> DataFrame:
+    """A diagnosis and its evaluation, from metrics that are aggregated once."""
+    metrics, edges = cut(x.metrics()), cut(x.edges()) if graph else None
+    services = metrics.select("incident_id", "service_id").distinct()
+    entries, truth = services.where("service_id = 1"), services.where("service_id IN (3, 5)")
+    return dg.evaluated(dg.diagnose(method, metrics, entries, edges, **params), truth, services)
+
+
+def reused_intervals(x: Tables) -> DataFrame:
+    """Interval tests as a second run finds them: stored under their parameters and read again."""
+    d = dg.prepare(x.dense())
+    store = shared_folder(x.spark, "intervals")
+    for _ in range(2):
+        tests = dg.stored_tests(d, 72, 3, 0.1, store, dg.interval_key(0, 0, 72, 3, 0.1))
+    return tests.drop("params_id")
+
 
 JOBS = {
     "p5_fill_cubic": lambda x: fill_spline(x.metrics(), "cubic"),
@@ -37,15 +66,22 @@ JOBS = {
     "t3_dspot": lambda x: run_spot(x.filled(), q=1e-3, depth=10),
     "t4_bidspot": lambda x: run_spot(x.filled(), q=1e-4, depth=10, two_sided=True),
     "t7_adapt_mode": lambda x: run_spot(x.filled(), q=1e-3, adapt=True),
-    "y1_diagnose_dycause": lambda x: dg.diagnose_dycause(x.metrics(), x.entries()),
-    "y2_diagnose_monitor_rank": lambda x: dg.diagnose_monitor_rank(x.metrics(), x.edges(), x.entries()),
-    "y3_diagnose_cloud_ranger": lambda x: dg.diagnose_cloud_ranger(x.metrics(), x.edges(), x.entries()),
-    "y4_diagnose_netmedic": lambda x: dg.diagnose_netmedic(x.metrics(), x.edges(), x.entries()),
-    "y5_diagnose_tbac": lambda x: dg.diagnose_tbac(x.metrics(), x.edges(), x.entries()),
-    "y6_diagnose_microcause": lambda x: dg.diagnose_microcause(x.metrics(), x.entries()),
-    "y7_sweep_windows": lambda x: dg.sweep_windows(x.metrics(), x.entries(), 400, [200, 400], [0.2, 0.5], x.edges()),
-    "y8_sweep_params": lambda x: dg.sweep_params(x.metrics(), x.edges(), x.entries(), [0.3], [0.2, 0.5]),
-    "y9_compare_thresholds": lambda x: dg.compare_thresholds(x.strength(), pp.zscore(x.filled()), x.entries(), [0.5, 0.8], [150.0]),
+    "t5_gpd_fit": lambda x: fit_tails(x.filled(), 0.9),
+    "t8_append_stream": lambda x: run_spot(x.filled(), n_init=200, q=1e-3),
+    "io5_stored_intervals": lambda x: reused_intervals(x),
+    "g8_dependency_graph": lambda x: dg.dependency_graph(x.metrics()),
+    "y1_diagnose_dynamic_causality": lambda x: judged(x, "dynamic_causality"),
+    "y2_diagnose_monitor_rank": lambda x: judged(x, "monitor_rank", True),
+    "y2_monitor_rank_own_graph": lambda x: judged(x, "monitor_rank"),
+    "y3_diagnose_cloud_ranger": lambda x: judged(x, "cloud_ranger", True),
+    "y3_cloud_ranger_own_graph": lambda x: judged(x, "cloud_ranger"),
+    "y4_diagnose_netmedic": lambda x: judged(x, "netmedic", True),
+    "y4_netmedic_raw_samples": lambda x: judged(x, "netmedic", True, compat=True),
+    "y5_diagnose_tbac": lambda x: judged(x, "tbac", True),
+    "y6_diagnose_microcause": lambda x: judged(x, "microcause"),
+    "y7_sweep_windows": lambda x: dg.best_of_sweep(dg.sweep_windows(x.metrics(), x.entries(), x.truth(), x.edges(), 400, [200, 400], WINDOW_GRID)),
+    "y8_sweep_params": lambda x: dg.sweep_params(x.metrics(), x.entries(), x.truth(), x.edges(), PARAM_GRID),
+    "y9_compare_thresholds": lambda x: dg.compare_thresholds(x.strength(), pp.zscore(x.filled()), x.entries(), x.truth(), [0.5, 0.8], [150.0]),
 }
 
 

@@ -76,6 +76,11 @@ def granger_grams(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, lag: i
 
 def granger_p(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, lag: int) -> np.ndarray:
     """P-values that x helps to predict y in each interval; NaN for 3 * lag + 1 rows or fewer."""
+    return granger_stats(rows, starts, ends, lag)[1]
+
+
+def granger_stats(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """F statistics and their p-values."""
     gram = granger_grams(rows, starts, ends, lag)
     n = ends - starts
     own = [*range(1, lag + 1), 2 * lag + 1]
@@ -85,7 +90,8 @@ def granger_p(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, lag: int)
     with np.errstate(divide="ignore", invalid="ignore"):
         f = np.where(u > 0, (r - u) / np.where(u > 0, u, 1) / lag * df, np.where(r > 0, np.inf, 0.0))
     p = f_tail(np.minimum(f, 1e12), np.full(len(n), lag), df)
-    return np.where(n > 3 * lag + 1, p, np.nan)
+    few = n <= 3 * lag + 1
+    return np.where(few, np.nan, f), np.where(few, np.nan, p)
 
 
 #: MacKinnon (1994) response surface, constant and no trend: tau bounds and coefficients, fixed values.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_rca.functions.numeric import adf_p, fisher_p, granger_p, lag_rows, partial_corr
+from spark_rca.functions.numeric import adf_p, fisher_p, granger_p, granger_stats, lag_rows, partial_corr
 from spark_rca.operators.prepare import SERIES
 from spark_rca.operators.relate import service_pairs
 
@@ -96,11 +96,11 @@ def granger_f(pairs: DataFrame, lag: int) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 vx, vy = np.asarray(r.vx, float), np.asarray(r.vy, float)
                 n = len(vy)
-                p = granger_p(lag_rows(vy - vy.mean(), vx - vx.mean(), lag), np.array([0]), np.array([n]), lag)[0] if n > 3 * lag + 1 else np.nan
-                out.append((r.incident_id, r.x, r.y, float(p)))
-            yield pd.DataFrame(out, columns=["incident_id", "x", "y", "p"])
+                f, p = (float(a[0]) for a in granger_stats(lag_rows(vy - vy.mean(), vx - vx.mean(), lag), np.array([0]), np.array([n]), lag)) if n > 3 * lag + 1 else (np.nan, np.nan)
+                out.append((r.incident_id, r.x, r.y, f, p))
+            yield pd.DataFrame(out, columns=["incident_id", "x", "y", "f", "p"])
 
-    return pairs.mapInPandas(run, "incident_id string, x int, y int, p double")
+    return pairs.mapInPandas(run, "incident_id string, x int, y int, f double, p double")
 
 
 def granger_lag1(pair_rows: DataFrame) -> DataFrame:

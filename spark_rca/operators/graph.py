@@ -194,7 +194,7 @@ def resample_graph_by_walk(edges: DataFrame, entries: DataFrame, steps: int, bac
     return normalize(used.where("weight > 0"), "dst")
 
 
-def netmedic_edge_weight(edges: DataFrame, stats: DataFrame, chunks: DataFrame, samples: DataFrame | None, k: int, delta: float = 1 / 3) -> DataFrame:
+def netmedic_edge_weight(edges: DataFrame, stats: DataFrame, chunks: DataFrame, samples: DataFrame | None, k: int | None = None, delta: float = 1 / 3) -> DataFrame:
     """How well the source's past resemblance to now goes with the destination's.
 
     ``stats`` has cur, lo and hi; ``chunks`` has chunk means of the history.  Weight w_k of a chunk is
@@ -209,7 +209,7 @@ def netmedic_edge_weight(edges: DataFrame, stats: DataFrame, chunks: DataFrame,
         return d.join(x.select("incident_id", F.col("service_id").alias(name), "chunk", diff.alias(f"d_{name}")), ["incident_id", name] + (["chunk"] if "chunk" in d.columns else []))
 
     d = likeness(edges.select("incident_id", "src", "dst"), "src", samples if samples is not None else chunks)
-    d = likeness(d.where(F.col("chunk") < k), "dst", chunks)
+    d = likeness(d if k is None else d.where(F.col("chunk") < k), "dst", chunks)
     w = F.when(F.col("d_src") <= delta, 1 - F.col("d_src")).otherwise(0.0)
     g = d.groupBy("incident_id", "src", "dst").agg(F.sum(w).alias("_w"), F.sum(w * (1 - F.col("d_dst"))).alias("_s"))
     return g.select("incident_id", "src", "dst", F.when(F.col("_w") > 0, F.col("_s") / F.when(F.col("_w") > 0, F.col("_w"))).otherwise(0.8).alias("weight"))

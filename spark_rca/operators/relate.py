@@ -144,11 +144,22 @@ def history_stats(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*SERIES).agg(F.avg(h).alias("mean"), F.stddev_pop(h).alias("std"), F.avg(c).alias("cur"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-def chunk_means(history: DataFrame, k: int) -> DataFrame:
-    """Means of k chunks of floor(H / k) samples; chunk 0 is the newest."""
+def chunk_means(history: DataFrame, k: int | None = None, size: int = 100, most: int = 50) -> DataFrame:
+    """Means of k chunks of floor(H / k) samples; chunk 0 is the newest.  Without ``k``, an incident has floor(H / size), 1 to ``most``."""
+    d = _with_chunks(history, k, size, most)
+    c = F.floor((F.col("_H") - 1 - F.col("t")) / F.floor(F.col("_H") / F.col("_k")))
+    return d.withColumn("chunk", c.cast("int")).where(F.col("chunk") < F.col("_k")).groupBy(*SERIES, "chunk").agg(F.avg("value").alias("mean"))
+
+
+def chunk_samples(history: DataFrame, k: int | None = None, size: int = 100, most: int = 50) -> DataFrame:
+    """The first k raw samples of each history in place of its chunk means."""
+    d = _with_chunks(history, k, size, most)
+    return d.where(F.col("t") < F.col("_k")).select(*SERIES, F.col("t").cast("int").alias("chunk"), F.col("value").alias("mean"))
+
+
+def _with_chunks(history: DataFrame, k: int | None, size: int, most: int) -> DataFrame:
     d = history.withColumn("_H", F.max("t").over(Window.partitionBy("incident_id")) + 1)
-    c = F.floor((F.col("_H") - 1 - F.col("t")) / F.floor(F.col("_H") / k))
-    return d.withColumn("chunk", c.cast("int")).where(F.col("chunk") < k).groupBy(*SERIES, "chunk").agg(F.avg("value").alias("mean"))
+    return d.withColumn("_k", F.lit(k) if k else F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("_H") / size))))
 
 
 def covered_fraction(curves: DataFrame) -> DataFrame:
@@ -283,11 +294,18 @@ def pr_stat(ranking: DataFrame, truth: DataFrame, k: int = 5, keys: tuple[str, .
     return m.select(*keys, F.array(*prs).alias("prks"), (sum(prs[1:], prs[0]) / k).alias("pr_avg"))
 
 
-def rank_score(ranking: DataFrame, truth: DataFrame, n: int, keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
-    """Mean over the true causes of (n - max(0, rank - number of true causes)) / n; unranked counts 0."""
+def rank_score(ranking: DataFrame, truth: DataFrame, n: int | DataFrame, keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
+    """Mean over the true causes of (n - max(0, rank - number of true causes)) / n; unranked counts 0.
+
+    ``n`` is one number of services or the services (incident_id, service_id) of each incident.
+    """
     t = truth.select("incident_id", "service_id").distinct()
     size = t.groupBy("incident_id").agg(F.count("*").alias("_n"))
     runs = ranking.select(*keys).distinct().join(t, "incident_id").join(size, "incident_id")
     d = runs.join(ranking.select(*keys, "service_id", "rank"), [*keys, "service_id"], "left")
-    s = F.when(F.col("rank").isNull(), 0.0).otherwise((F.lit(n) - F.greatest(F.lit(0), F.col("rank") - F.col("_n"))) / n)
+    if isinstance(n, DataFrame):
+        d, n = d.join(n.groupBy("incident_id").agg(F.count_distinct("service_id").alias("_all")), "incident_id"), F.col("_all")
+    else:
+        n = F.lit(n)
+    s = F.when(F.col("rank").isNull(), 0.0).otherwise((n - F.greatest(F.lit(0), F.col("rank") - F.col("_n"))) / n)
     return d.groupBy(*keys).agg(F.avg(s).alias("acc"))

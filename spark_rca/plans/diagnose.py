@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_rca.functions.scalars import abnormality
@@ -11,6 +11,8 @@ from spark_rca.operators import graph as gr
 from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
 from spark_rca.operators import windows as wn
+from spark_rca.operators.lineage import cut
+from spark_rca.sources.metrics import append_results, has_intervals, load_intervals, save_intervals
 from spark_rca.streaming.spot import run_spot
 
 
@@ -39,43 +41,69 @@ def rank_from_strength(strength: DataFrame, local: DataFrame, entries: DataFrame
     return rl.rank_services(scores, ["incident_id"])
 
 
-def diagnose_dycause(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, **rank) -> DataFrame:
-    """Ranking by dynamic causality curves: start, interval tests, threshold, backtrace, rank."""
-    d = prepare(metrics)
-    starts = incident_start(d)
-    strength = dynamic_causality(d, starts, bef, aft, step, lag, sig)
-    return rank_from_strength(strength, pp.slice_incident(d, starts, bef, aft), entries, ratio, max_len, **rank)
+def interval_key(bef: int, aft: int, step: int, lag: int, sig: float) -> str:
+    """The name under which interval tests are stored for reuse."""
+    return f"bef={bef},aft={aft},step={step},lag={lag},sig={sig:g}"
+
+
+def stored_tests(local: DataFrame, step: int, lag: int, sig: float, store: str | None, key: str) -> DataFrame:
+    """Interval tests, kept under ``key`` in ``store`` and read from there if a run has left them."""
+    spark = local.sparkSession
+    if store is not None and has_intervals(spark, store, key):
+        return load_intervals(spark, store, key)
+    tests = cz.granger_intervals(local, step, lag, sig)
+    if store is None:
+        return tests
+    save_intervals(tests.withColumn("params_id", F.lit(key)), store)
+    return load_intervals(spark, store, key)
+
 
+def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, store: str | None = None, **rank) -> DataFrame:
+    """Ranking by dynamic causality curves: start, interval tests, threshold, backtrace, rank.
 
-def diagnose_monitor_rank(metrics: DataFrame, edges: DataFrame, entries: DataFrame, rho: float = 0.3, steps: int = 100) -> DataFrame:
+    With ``store``, interval tests of the same parameters are read from that folder, or written to it.
+    """
     d = prepare(metrics)
-    corr = rl.entry_correlation(d, entries)
+    local = pp.slice_incident(d, incident_start(d), bef, aft)
+    tests = stored_tests(local, step, lag, sig, store, interval_key(bef, aft, step, lag, sig))
+    strength = rl.edge_strength(tests.where("accepted"), rl.service_pairs(metrics.select("incident_id", "service_id").distinct()))
+    return rank_from_strength(strength, local, entries, ratio, max_len, **rank)
+
+
+def dependency_graph(metrics: DataFrame, alpha: float = 0.1, bucket: int = 1) -> DataFrame:
+    """The skeleton of dependencies of the prepared series, for methods that are given no call graph."""
+    d = prepare(metrics, bucket)
+    return cz.pc_graph(rl.pearson_matrix(d), d.groupBy("incident_id").agg(F.count_distinct("t").alias("n")), alpha)
+
+
+def diagnose_monitor_rank(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, rho: float = 0.3, steps: int = 100, alpha: float = 0.1) -> DataFrame:
+    edges = dependency_graph(metrics, alpha) if edges is None else edges
+    corr = cut(rl.entry_correlation(prepare(metrics), entries))
     p = gr.monitor_rank_transition(edges, corr, entries, rho)
     jump = corr.select("incident_id", "service_id", F.abs("corr").alias("weight"))
     v = gr.expected_visits(p, entries, steps, jump, restart=False)
     return rl.rank_services(v.withColumnRenamed("visits", "score"), ["incident_id"])
 
 
-def diagnose_cloud_ranger(metrics: DataFrame, edges: DataFrame, entries: DataFrame, beta: float = 0.3, rho: float = 0.2, steps: int = 50) -> DataFrame:
-    d = prepare(metrics)
-    m = gr.cloud_ranger_transition(edges, rl.entry_correlation(d, entries), beta, rho)
+def diagnose_cloud_ranger(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, beta: float = 0.3, rho: float = 0.2, steps: int = 50, alpha: float = 0.1) -> DataFrame:
+    edges = dependency_graph(metrics, alpha) if edges is None else edges
+    m = gr.cloud_ranger_transition(edges, cut(rl.entry_correlation(prepare(metrics), entries)), beta, rho)
     return rl.rank_services(gr.second_order_visits(m, entries, steps).withColumnRenamed("visits", "score"), ["incident_id"])
 
 
-def diagnose_netmedic(metrics: DataFrame, edges: DataFrame, entries: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None) -> DataFrame:
-    parts = pp.slice_history_current(pp.fill_zeros(metrics), hist, cur)
+def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None, compat: bool = False) -> DataFrame:
+    """Each incident has as many chunks as its own history gives; ``compat`` takes the source's first raw samples for its chunks."""
+    parts = cut(pp.slice_history_current(pp.fill_zeros(metrics), hist, cur))
     stats = rl.history_stats(parts)
     history = parts.where("part = 'history'")
-    n = history.agg(F.max("t")).first()[0]
-    k = max(min(50, int((n or 0) + 1) // bins), 1)
-    w = gr.netmedic_edge_weight(edges, stats, rl.chunk_means(history, k), None, k, delta)
+    w = gr.netmedic_edge_weight(edges, stats, rl.chunk_means(history, size=bins), rl.chunk_samples(history, size=bins) if compat else None, delta=delta)
     impact = gr.impact_matrix(gr.netmedic_paths(w, max_len), stats.select("incident_id", "service_id"))
     ab = stats.select("incident_id", "service_id", F.coalesce(abnormality(F.col("cur"), F.col("mean"), F.col("std")), F.lit(0.0)).alias("abnormality"))
     scores = gr.netmedic_rank(impact, rl.global_impact(impact, ab), entries)
     return rl.rank_services(scores, ["incident_id"], ascending=True)
 
 
-def diagnose_tbac(metrics: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+def diagnose_tbac(metrics: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
     corr = rl.entry_correlation(prepare(metrics), entries)
     return rl.rank_services(gr.tbac_rating(corr, gr.reach(edges, "callers"), gr.reach(edges, "callees")), ["incident_id"])
 
@@ -84,7 +112,7 @@ def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2
     filled = pp.fill_zeros(metrics)
     eta = rl.eta_scores(run_spot(filled, q=1e-3, depth=10))
     links = cz.lagged_links(filled, tau_max)
-    edges = links.select("incident_id", F.col("effect").alias("src"), F.col("parent").alias("dst")).where("src <> dst").distinct().withColumn("weight", F.lit(1.0))
+    edges = cut(links.select("incident_id", F.col("effect").alias("src"), F.col("parent").alias("dst")).where("src <> dst").distinct().withColumn("weight", F.lit(1.0)))
     if partial:
         conds = rl.confounders(edges, entries)
         corr = cz.partial_correlations(rl.pearson_matrix(filled), entries, conds)
@@ -95,52 +123,84 @@ def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2
     return rl.rank_services(gr.gamma_scores(v, eta, lam), ["incident_id"])
 
 
-def evaluate(ranking: DataFrame, truth: DataFrame, n: int, keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
+#: Every method, and whether it takes a call graph.
+METHODS = {
+    "dynamic_causality": (diagnose_dynamic_causality, False),
+    "monitor_rank": (diagnose_monitor_rank, True),
+    "cloud_ranger": (diagnose_cloud_ranger, True),
+    "netmedic": (diagnose_netmedic, True),
+    "tbac": (diagnose_tbac, True),
+    "microcause": (diagnose_microcause, False),
+}
+
+
+def diagnose(method: str, metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, **params) -> DataFrame:
+    """(incident_id, service_id, score, rank) by ``method``; a call graph is used where the method takes one."""
+    run, graph = METHODS[method]
+    ranked = run(metrics, entries, edges, **params) if graph else run(metrics, entries, **params)
+    return ranked.select("incident_id", "service_id", "score", "rank")
+
+
+def evaluate(ranking: DataFrame, truth: DataFrame, services: int | DataFrame, keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
     """prks, pr_avg and acc of each ranking."""
-    return rl.pr_stat(ranking, truth, keys=keys).join(rl.rank_score(ranking, truth, n, keys), list(keys))
+    return rl.pr_stat(ranking, truth, keys=keys).join(rl.rank_score(ranking, truth, services, keys), list(keys))
+
+
+def evaluated(ranking: DataFrame, truth: DataFrame, services: DataFrame) -> DataFrame:
+    """A ranking with the prks, pr_avg and acc of its incident; they are null where no cause is known."""
+    ranking = cut(ranking)
+    return ranking.join(evaluate(ranking, truth, services), "incident_id", "left")
 
 
-def sweep_windows(metrics: DataFrame, entries: DataFrame, center: int, lens: list[int], rhos: list[float], edges: DataFrame) -> DataFrame:
-    """Rankings (window_start, window_len, params_id) of the first-order ranker over windows and parameters.
+#: Windows are incidents of their own while they are ranked; this parts the names.
+BAR = "|"
 
-    Correlations depend on the window only and are computed once; the grid fans out after them.
+
+def sweep_windows(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edges: DataFrame, center: int, lens: list[int], grid: dict[str, list[dict]]) -> DataFrame:
+    """Results (window_start, window_len, method, params_id, prks, pr_avg, acc) of methods over windows and parameters.
+
+    ``grid`` has, for each method, its parameter sets.  The windows of all incidents are cut once and
+    ranked together, so a grid point is one plan over all of them.
     """
     w = pp.centred_windows(prepare(metrics), center, lens)
-    tag = F.concat_ws("|", "incident_id", "window_start", "window_len")
-    runs = w.withColumn("incident_id", tag).select("incident_id", "service_id", "t", "value")
-    keys = runs.select("incident_id").distinct().withColumn("_i", F.split("incident_id", r"\|")[0])
-    spread = lambda d: d.withColumnRenamed("incident_id", "_i").join(keys, "_i").drop("_i")
-    e, g = spread(entries), spread(edges)
-    corr = rl.entry_correlation(runs, e)
-    out = None
-    for rho in rhos:
-        p = gr.monitor_rank_transition(g, corr, e, rho)
-        v = gr.expected_visits(p, e, 50, corr.select("incident_id", "service_id", F.abs("corr").alias("weight")), restart=False)
-        r = rl.rank_services(v.withColumnRenamed("visits", "score"), ["incident_id"]).withColumn("params_id", F.lit(f"rho={rho}"))
-        out = r if out is None else out.unionByName(r)
+    first = F.min("t").over(Window.partitionBy("incident_id", "window_start", "window_len"))
+    runs = w.withColumn("t", F.col("t") - first).withColumn("incident_id", F.concat_ws(BAR, "incident_id", "window_start", "window_len"))
+    runs = cut(runs.select("incident_id", "service_id", "t", "value"))
+    keys = runs.select("incident_id").distinct().withColumn("_i", F.substring_index("incident_id", BAR, 1))
+    spread = lambda d: cut(d.withColumnRenamed("incident_id", "_i").join(keys, "_i").drop("_i"))
     part = F.split("incident_id", r"\|")
-    return out.select(part[0].alias("incident_id"), part[1].cast("long").alias("window_start"), part[2].cast("long").alias("window_len"), "params_id", "service_id", "score", "rank")
-
-
-def sweep_params(metrics: DataFrame, edges: DataFrame, entries: DataFrame, betas: list[float], rhos: list[float]) -> DataFrame:
-    """Rankings of the second-order ranker over a grid of beta and rho."""
-    d = prepare(metrics)
-    corr, out = rl.entry_correlation(d, entries), None
-    for b in betas:
-        for r in rhos:
-            v = gr.second_order_visits(gr.cloud_ranger_transition(edges, corr, b, r), entries, 30)
-            one = rl.rank_services(v.withColumnRenamed("visits", "score"), ["incident_id"]).withColumn("params_id", F.lit(f"{b}-{r}"))
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def compare_thresholds(strength: DataFrame, local: DataFrame, entries: DataFrame, ratios: list[float], levels: list[float], max_len: int = 4) -> DataFrame:
-    """Rankings by adaptive and by static edge thresholds, from one set of strengths."""
-    corr, out = rl.entry_correlation(local, entries), None
+    out = sweep_params(runs, spread(entries), spread(truth), spread(edges), grid)
+    return out.select(part[0].alias("incident_id"), part[1].cast("long").alias("window_start"), part[2].cast("long").alias("window_len"), "method", "params_id", "prks", "pr_avg", "acc")
+
+
+def sweep_params(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edges: DataFrame, grid: dict[str, list[dict]]) -> DataFrame:
+    """Results (incident_id, method, params_id, prks, pr_avg, acc) of every parameter set of every method."""
+    services = cut(metrics.select("incident_id", "service_id").distinct())
+    out = []
+    for method, sets in grid.items():
+        for params in sets:
+            name = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
+            ranked = diagnose(method, metrics, entries, edges, **params)
+            out.append(ranked.withColumn("method", F.lit(method)).withColumn("params_id", F.lit(name)))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return evaluate(cut(every), truth, services, ("incident_id", "method", "params_id"))
+
+
+def best_of_sweep(results: DataFrame) -> DataFrame:
+    """Of each window and method (or incident and method) the parameters of the best accuracy."""
+    return rl.best_params(append_results(results), [c for c in ("incident_id", "window_start", "window_len", "method") if c in results.columns])
+
+
+def compare_thresholds(strength: DataFrame, local: DataFrame, entries: DataFrame, truth: DataFrame, ratios: list[float], levels: list[float], max_len: int = 4) -> DataFrame:
+    """Results (incident_id, params_id, prks, pr_avg, acc) of adaptive and of static edge thresholds, from one set of strengths."""
+    strength, services = cut(strength), local.select("incident_id", "service_id").distinct()
+    corr, out = cut(rl.entry_correlation(local, entries)), None
     for kind, values in (("adaptive", ratios), ("static", levels)):
         for x in values:
             kept = wn.adaptive_threshold(strength, x) if kind == "adaptive" else wn.static_threshold(strength, x)
             paths = gr.score_paths(gr.backtrace_paths(wn.normalize(kept, "dst"), entries, max_len))
             r = rl.rank_services(gr.ranknode(paths, corr, 50, 1), ["incident_id"]).withColumn("params_id", F.lit(f"{kind}={x}"))
             out = r if out is None else out.unionByName(r)
-    return out
+    return evaluate(cut(out), truth, services, ("incident_id", "params_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,16 @@ def save_intervals(intervals: DataFrame, path: str) -> None:
     intervals.write.mode("append").partitionBy("params_id").parquet(path)
 
 
+def has_intervals(spark: SparkSession, path: str, params_id: str) -> bool:
+    """Whether a finished run has left interval results of this parameter set."""
+    try:
+        return bool(load_intervals(spark, path, params_id).take(1))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def load_intervals(spark: SparkSession, path: str, params_id: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("params_id") == params_id)
 

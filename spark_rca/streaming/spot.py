@@ -108,6 +108,18 @@ def run_spot(metrics: DataFrame, n_init: int | None = None, **options) -> DataFr
     return metrics.select("incident_id", "service_id", "t", "value").groupBy("incident_id", "service_id").applyInPandas(run, OUT)
 
 
+def fit_tails(metrics: DataFrame, level: float = 0.98) -> DataFrame:
+    """(incident_id, service_id, peaks, gamma, sigma): the tail of each series over its ``level`` quantile."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["value"].to_numpy(float)
+        t = np.quantile(v, level)
+        gamma, sigma = gpd_fit(v[v > t] - t)
+        return pd.DataFrame({"incident_id": pdf["incident_id"].iloc[:1], "service_id": pdf["service_id"].iloc[:1], "peaks": [int((v > t).sum())], "gamma": [gamma], "sigma": [sigma]})
+
+    return metrics.select("incident_id", "service_id", "value").groupBy("incident_id", "service_id").applyInPandas(run, "incident_id string, service_id int, peaks long, gamma double, sigma double")
+
+
 def stream_spot(stream: DataFrame, n_init: int, **options) -> DataFrame:
     """The same over a streaming DataFrame (incident_id, service_id, t, value), append mode.
 
