@@ -3,9 +3,10 @@
 Terms are whole words and the first four and five letters of words (families of inflected words).
 From a bounded, hash-ordered sample of labelled rows, term counts by label give each term's log odds;
 the terms that clearly belong to toxic rows are the features.  The chain predicts ``toxic``, then
-``severe`` (toxic with at least ``SEVERE`` different feature words), then ``repeated`` (toxic with at least
-``REPEATED`` occurrences).  Each later model also sees the earlier categories' probabilities; in
-training these are out of fold, so a later model meets them as uncertain as they will be on new texts.
+``low_quality``, then ``toxic_low_quality`` (both), all of them labels and no functions of the text.
+Each later model also sees the earlier categories' probabilities.  Training is out of fold twice: a
+row's features come from terms and odds that its fold had no part in, and so do the probabilities that
+later models learn from, so these meet them as uncertain as they will be on new texts.
 """
 
 from __future__ import annotations
@@ -16,27 +17,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spark_rca.llm.common import free_names, lean, materialize
+from spark_rca.llm.common import free_names, lean, materialize, small_side
 
-CATEGORIES = ["toxic", "severe", "repeated"]
-#: Bounds of what is learned from: labelled rows in the sample, and features.
-SAMPLE_ROWS, FEATURES = 12_000, 2_000
-MIN_ROWS, MIN_ODDS, SEVERE, REPEATED, FOLDS = 4, 2.5, 3, 3, 5
+CATEGORIES = ["toxic", "low_quality", "toxic_low_quality"]
+#: The most labelled rows that are learned from.
+SAMPLE_ROWS = 12_000
+MIN_ROWS, MIN_ODDS, FOLDS = 4, 2.5, 5
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(row, text, toxic): labelled rows in hash order; a document labelled twice is toxic if any label says so."""
-    lab = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """(row, text, toxic, low, fold): labelled rows in hash order.
+
+    A document labelled twice is toxic, or of low quality, if any label says so; a quality of null says nothing.
+    """
+    low = F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0)) if "quality" in labels.columns else F.lit(0)
+    lab = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(low).alias("low"))
     lab = lab.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     hit = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").where("text IS NOT NULL")
-    return hit.select(F.xxhash64("doc_id", "text").alias("row"), "text", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["row"])
+    rows = hit.select(F.xxhash64("doc_id", "text").alias("row"), "text", F.col("toxic").cast("int").alias("toxic"), "low").dropDuplicates(["row"])
+    # Equal texts are in one fold.
+    return rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(FOLDS)).cast("int"))
 
 
 def _terms(df: DataFrame) -> DataFrame:
-    """(row, toxic, term, n): the distinct terms of each sampled row."""
-    words = df.select("row", "toxic", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).where("length(w) > 2")
+    """(row, toxic, fold, term, n): the distinct terms of each sampled row."""
+    words = df.select("row", "toxic", "fold", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).where("length(w) > 2")
     kinds = F.array(F.col("w"), F.when(F.length("w") > 4, F.concat(F.substring("w", 1, 4), F.lit("*"))), F.when(F.length("w") > 5, F.concat(F.substring("w", 1, 5), F.lit("*"))))
-    return words.select("row", "toxic", F.explode(kinds).alias("term")).where("term IS NOT NULL").groupBy("row", "toxic", "term").agg(F.count("*").alias("n"))
+    return words.select("row", "toxic", "fold", F.explode(kinds).alias("term")).where("term IS NOT NULL").groupBy("row", "toxic", "fold", "term").agg(F.count("*").alias("n"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 25) -> np.ndarray:
@@ -80,8 +87,7 @@ class Chain:
         stems = [t for t in counts if t.endswith("*")]
         return np.array([sum(odds), max(odds, default=0.0), len(words), len(stems), np.log1p(sum(counts[t] for t in words)), np.log1p(sum(counts[t] for t in stems)), float(bool(odds))])
 
-    def fit(self, x: np.ndarray, targets: np.ndarray, seed: int = 3) -> None:
-        fold = np.random.default_rng(seed).integers(0, FOLDS, len(x))
+    def fit(self, x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> None:
         seen = x
         for k in range(targets.shape[1]):
             y = targets[:, k].astype(float)
@@ -101,26 +107,32 @@ class Chain:
         return np.column_stack(out) if out else np.zeros((len(x), 0))
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_terms: int = FEATURES) -> Chain | None:
-    """None if the labelled rows are not of both kinds."""
+def train_chain(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain | None:
+    """None if the labelled rows are not of both kinds.  Chosen terms and their hits come from at most ``rows`` rows."""
     s = materialize(_sample(docs, labels, rows))
-    total = {r["toxic"]: r["count"] for r in s.groupBy("toxic").count().collect()}
-    if not total.get(1) or not total.get(0):
+    total = {(r["fold"], r["toxic"]): r["count"] for r in s.groupBy("fold", "toxic").count().collect()}
+    kinds = [sum(n for (_, y), n in total.items() if y == k) for k in (0, 1)]
+    if not all(kinds):
         return None
     t = materialize(_terms(s))
-    by = t.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("rows"))
-    odds = F.log((F.col("bad") + 0.5) / (total[1] + 1.0)) - F.log((F.col("rows") - F.col("bad") + 0.5) / (total[0] + 1.0))
-    top = by.withColumn("odds", odds).where((F.col("bad") >= MIN_ROWS) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc(F.col("odds") * F.col("bad")), "term").limit(max_terms)
-    chain = Chain({r["term"]: float(r["odds"]) for r in top.select("term", "odds").collect()})
-    chosen = F.broadcast(top.select("term"))
-    hits = t.join(chosen, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
-    got = s.select("row", "toxic").join(hits, "row", "left").orderBy("row").collect()
-    x = np.array([chain.features(r["counts"] or {}) for r in got])
-    y = np.array([r["toxic"] for r in got])
-    stems = x[:, 3] + x[:, 2]
-    often = np.expm1(np.maximum(x[:, 4], x[:, 5]))
-    chain.fit(x, np.column_stack([y, y * (stems >= SEVERE), y * (often >= REPEATED)]))
-    return chain
+    without = lambda f, c: F.sum(F.when(F.col("fold") != f, c).otherwise(0))
+    folds = [-1, *range(FOLDS)]  # -1: all rows
+    by = t.groupBy("term").agg(*[without(f, F.col("toxic")).alias(f"bad{f}") for f in folds], *[without(f, F.lit(1)).alias(f"rows{f}") for f in folds])
+    odds = {}
+    for f in folds:
+        good, bad = (kinds[k] - (total.get((f, k), 0)) for k in (0, 1))
+        value = F.log((F.col(f"bad{f}") + 0.5) / (bad + 1.0)) - F.log((F.col(f"rows{f}") - F.col(f"bad{f}") + 0.5) / (good + 1.0))
+        odds[f] = F.when((F.col(f"bad{f}") >= MIN_ROWS) & (value >= MIN_ODDS), value)
+    top = materialize(by.select("term", *[odds[f].alias(f"odds{f}") for f in folds]).where(" OR ".join(f"`odds{f}` IS NOT NULL" for f in folds)))
+    chosen = top.collect()
+    chains = {f: Chain({r["term"]: r[f"odds{f}"] for r in chosen if r[f"odds{f}"] is not None}) for f in folds}
+    hits = t.join(small_side(top.select("term")), "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
+    got = s.select("row", "toxic", "low", "fold").join(hits, "row", "left").orderBy("row").collect()
+    own = [chains[r["fold"]] for r in got]
+    x = np.array([c.features({k: n for k, n in (r["counts"] or {}).items() if k in c.terms}) for c, r in zip(own, got, strict=True)])
+    y, low = np.array([r["toxic"] for r in got]), np.array([r["low"] for r in got])
+    chains[-1].fit(x, np.column_stack([y, low, y * low]), np.array([r["fold"] for r in got]))
+    return chains[-1]
 
 
 def predict_toxicity(spark: SparkSession, docs: DataFrame, chain: Chain | None) -> DataFrame:
