@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spark_rca.llm.common import connected_components, materialize
@@ -26,16 +26,17 @@ LIST, BLOCK, AUDIT, ENOUGH = 16, 64, 200, 0.98
 WIDE = 2048
 
 
-def unit_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, v): usable vectors as arrays of doubles of length 1; ``copies`` of equal vectors share the least id.
+def usable(vec_id: str, embedding: str) -> Column:
+    """Whether a row has an id and a vector with a direction: no null or non-finite component, not all 0."""
+    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(embedding, lambda x: x != 0)
+    return F.coalesce(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & fine, F.lit(False))
 
-    Null ids, null or empty vectors, null or non-finite components and zero vectors are left out.
-    """
-    v = F.col(embedding)
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    d = table.where(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(vec_id).alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+
+def unit_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(id, v): the usable rows, with vectors as arrays of doubles of length 1."""
+    d = table.where(usable(vec_id, embedding)).select(F.col(vec_id).alias("id"), F.transform(embedding, lambda x: x.cast("double")).alias("v"))
     # Scaled by the largest component first, so that no square over- or underflows.
-    d = d.withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x)))).where("_m > 0").withColumn("v", F.transform("v", lambda x: x / F.col("_m")))
+    d = d.withColumn("_m", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.transform("v", lambda x: x / F.col("_m")))
     d = d.withColumn("_n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     return d.select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
 
@@ -285,17 +286,10 @@ def group_counts(members: DataFrame, threshold: float, block: int = 512) -> Data
     return spread.groupBy("component", "x", "y").applyInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = 0.9, k: int = LIST, tables: int = 16, max_rounds: int = 3) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``table`` (vec_id long, embedding).
-
-    Unusable vectors and null ids link with nothing.  Rows with equal vectors link with each other;
-    a repeated vec_id counts as one vector for each row.
-    """
-    every = table.select("vec_id", "embedding")
-    usable = materialize(unit_vectors(every))
-    same = materialize(usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    n = same.count()
-    width = same.select(F.max(F.size("v"))).first()[0] or 1
+def vector_components(same: DataFrame, threshold: float, k: int, tables: int, max_rounds: int) -> DataFrame:
+    """(node, component) of distinct vectors of one length (id, v, copies)."""
+    spark, n = same.sparkSession, same.count()
+    width = same.select(F.max(F.size("v"))).first()[0]
     parts = max(1, round(np.log(max(n, 2) / 6) / np.log(2 * width)))
     lists, vectors = None, same.select("id", "v")
     for r in range(max_rounds):
@@ -304,22 +298,41 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = 0.
         lists = converge(vectors, materialize(renew(lists, found)), k, threshold)
         links = lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         comp = connected_components(links)
-        # A link that two saturated lists both leave out can join two components.
+        # A link that two saturated lists both leave out can join two components: full lists are enlarged to all of their group.
         full = lists.where(F.col("s") >= threshold).groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("id"))
         joined = materialize(across(comp.withColumnRenamed("node", "id").join(full, "id").join(vectors, "id").select("component", "id", "v"), threshold))
         if joined.take(1):
             comp = connected_components(links.unionByName(joined))
         if audit(spark, same, comp, threshold, k) >= ENOUGH:
-            break
-    else:
-        comp = connected_components(every_link(vectors, threshold, n))
-    members = same.join(comp.withColumnRenamed("node", "id"), "id").select("component", "id", "v", "copies")
-    counts = group_counts(members, threshold)
-    per = same.select("id", "v", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
-    per = per.select("v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = usable.join(per, "v").select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    rest = every.join(usable.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+            return comp
+    return connected_components(every_link(vectors, threshold, n))
+
+
+def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = 0.9, k: int = LIST, tables: int = 16, max_rounds: int = 3) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of ``table`` (vec_id long, embedding).
+
+    Rows that are not ``usable`` link with nothing.  Each row is a vector of its own: rows with equal
+    vectors link with each other, rows that share an id have their own links, and vectors of different
+    lengths link with nothing of each other.  Other columns are not read; an empty table gives an empty one.
+    """
+    every = table.select("vec_id", "embedding")
+    rows = materialize(unit_vectors(every))
+    same = rows.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    same = materialize(same.withColumn("id", F.xxhash64("v")))
+    comp = None
+    for width in sorted(r[0] for r in same.select(F.size("v")).distinct().collect()):
+        one = vector_components(same.where(F.size("v") == width).select("id", "v", "copies"), threshold, k, tables, max_rounds)
+        comp = one if comp is None else comp.unionByName(one)
+    rest = every.where(~usable("vec_id", "embedding")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if comp is not None:
+        members = same.join(comp.withColumnRenamed("node", "id"), "id").select("component", "id", "v", "copies", "least")
+        counts = group_counts(members.drop("least"), threshold)
+        least = members.groupBy("component").agg(F.min("least").alias("component_id"))
+        found = members.select("component", "id").join(least, "component").join(counts, "id", "left").select("id", "component_id", "n")
+        per = same.select("id", "v", "copies", "least").join(found, "id", "left")
+        per = per.select("v", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        rest = rows.join(per, "v").select(F.col("id").alias("vec_id"), "n_links", "component_id").unionByName(rest)
+    return rest.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def embedding_query(spark: SparkSession, table: DataFrame) -> DataFrame:

@@ -34,3 +34,18 @@ def test_failing_recall_ends_in_all_products(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "seed_pairs", lambda vectors, *a: vectors.sparkSession.createDataFrame([], lost))
     monkeypatch.setattr(embedding_dedup, "WIDE", 32)
     run(spark, x)
+
+
+def test_rows_are_vectors_of_their_own(spark):
+    """Ids repeat with other vectors and without one; lengths differ."""
+    rows = [(1, [1.0, 0.0]), (1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [1.0, 0.01]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(spark, spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", id string")).collect() if r["vec_id"] is not None)
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+    assert embedding_dedup.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA)).count() == 8
+
+
+def test_a_hot_group_of_thousands_is_whole(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(2600, 16))
+    x[200:] = x[0] + 0.1 * rng.normal(size=(2400, 16))
+    run(spark, x)
