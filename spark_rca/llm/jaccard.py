@@ -200,7 +200,8 @@ def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     many sets have reaches its bucket once for each chunk.
     """
 
-    names = ["bucket", "keys", "owners", "hashes", "counts"]
+    names = ["bucket", "chunk", "keys", "owners", "hashes", "counts"]
+    back = ["chunk", "hashes", "counts"]
 
     def send(it):
         held, size = [], 0
@@ -223,32 +224,41 @@ def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             packed = key.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
             # -1 has the hash 0 and place 0 in its table.
             table = np.where(used < 0, 0, hashes[used])
-            row = [bucket, packed, short.astype(wide).tobytes(), table.tobytes(), None]
+            row = [bucket, int(hashes.sum()), packed, short.astype(wide).tobytes(), table.tobytes(), None]
             if k == 0:
                 some = np.flatnonzero(counts)
-                row[4] = np.concatenate([hashes[some], counts[some]]).astype(np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 4], strict=True)], names)
+                row[5] = np.concatenate([hashes[some], counts[some]]).astype(np.int64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)], names)
 
     def settle(rows):
-        keys, hashes, out = [], [], []
-        for packed, owners, table, counts in rows:
+        """What a bucket tells each chunk: (chunk, set hashes, how many of their shingles here are shared)."""
+        keys, places, tables, out = [], [], [], []
+        for chunk, packed, owners, table, counts in rows:
             n = len(packed) // 5
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
             keys.append(wide.view(np.uint64).ravel())
-            hashes.append(np.frombuffer(table, np.int64)[np.frombuffer(owners, np.uint16 if len(owners) == 2 * n else np.uint32)])
+            places.append(np.frombuffer(owners, np.uint16 if len(owners) == 2 * n else np.uint32))
+            tables.append(np.frombuffer(table, np.int64))
             if counts:
-                out.append(np.frombuffer(counts, np.int64).reshape(2, -1))
-        key, h = np.concatenate(keys), np.concatenate(hashes)
+                h, c = np.frombuffer(counts, np.int64).reshape(2, -1)
+                out.append((chunk, h, c))
+        key, h = np.concatenate(keys), np.concatenate([t[x] for t, x in zip(tables, places, strict=True)])
         order = np.argsort(key)
-        key, h = key[order], h[order]
+        key, by = key[order], h[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        lo, hi = np.minimum.reduceat(h, first), np.maximum.reduceat(h, first)
-        none = np.logical_or.reduceat(h == 0, first)
-        shared = np.repeat((lo != hi) | none, np.diff(np.append(first, len(key)))) & (h != 0)
-        u, n = np.unique(h[shared], return_counts=True)
-        both = np.concatenate([np.stack([u, n]), *out], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["h1", "c"])
+        lo, hi = np.minimum.reduceat(by, first), np.maximum.reduceat(by, first)
+        none = np.logical_or.reduceat(by == 0, first)
+        shared = np.empty(len(key), bool)
+        shared[order] = np.repeat((lo != hi) | none, np.diff(np.append(first, len(key))))
+        at = 0
+        for (chunk, *_), table, x in zip(rows, tables, places, strict=True):
+            n = np.bincount(x[shared[at : at + len(x)]], minlength=len(table))
+            at += len(x)
+            some = np.flatnonzero((n > 0) & (table != 0))
+            out.append((chunk, table[some], n[some]))
+        cols = [[c for c, *_ in out], [h.tobytes() for _, h, _ in out], [n.astype(np.int32).tobytes() for *_, n in out]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.binary(), pa.binary()], strict=True)], back)
 
     def receive(it):
         held, at = [], None
@@ -262,9 +272,30 @@ def shared_counts(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    sent = docs.select("text").mapInArrow(lean(send), "bucket int, keys binary, owners binary, hashes binary, counts binary")
+    def total(rows):
+        h = np.concatenate([np.frombuffer(x, np.int64) for x, _ in rows])
+        u, of = np.unique(h, return_inverse=True)
+        n = np.zeros(len(u), np.int64)
+        np.add.at(n, of, np.concatenate([np.frombuffer(c, np.int32) for _, c in rows]))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["h1", "c"])
+
+    def gather(it):
+        held, at = [], None
+        for b in it:
+            for chunk, *row in zip(*(b.column(c).to_pylist() for c in back), strict=True):
+                if held and chunk != at:
+                    yield total(held)
+                    held = []
+                held.append(row)
+                at = chunk
+        if held:
+            yield total(held)
+
+    sent = docs.select("text").mapInArrow(lean(send), "bucket int, chunk long, keys binary, owners binary, hashes binary, counts binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lean(receive), "h1 long, c long").groupBy("h1").agg(F.sum("c").alias("c"))
+    told = dealt.mapInArrow(lean(receive), "chunk long, hashes binary, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    # Equal sets have the same count in every chunk.
+    return told.mapInArrow(lean(gather), "h1 long, c long").groupBy("h1").agg(F.max("c").alias("c"))
 
 
 def _candidates(docs: DataFrame, per: DataFrame, width: int, percent: int) -> DataFrame:
