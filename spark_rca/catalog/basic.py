@@ -15,6 +15,7 @@ from spark_rca.sources import metrics as io
 
 CATALOG: dict[str, tuple] = {}
 KEY = ["incident_id", "service_id", "t"]
+SERVICES = range(1, 13)
 r6 = lambda c: F.round(c, 6)
 
 
@@ -47,16 +48,14 @@ def _(x):
 
 @add("io3_read_adjacency", "SELECT incident_id, src, dst, round(weight, 6) AS weight FROM edges")
 def _(x):
-    wide = io.edge_matrix(x.edges(), [1, 2, 3, 4, 5, 6])
-    cells = [F.col(f"d{i}") for i in range(1, 7)]
-    long = wide.select("incident_id", "src", F.posexplode(F.array(*cells)).alias("_p", "weight")).where("weight <> 0")
-    return v6(long.select("incident_id", "src", (F.col("_p") + 1).cast("int").alias("dst"), "weight"), "weight")
+    wide = io.edge_matrix(x.edges(), SERVICES)
+    return v6(io.melt_adjacency(wide, F.col("src"), [F.col(f"d{i}") for i in SERVICES], ("incident_id",)), "weight")
 
 
-@add("io4_edge_matrix", "SELECT incident_id, src, " + ", ".join(f"round(coalesce(max(CASE WHEN dst = {i} THEN weight END), 0.0::DOUBLE), 6) AS d{i}" for i in range(1, 7)) + " FROM edges GROUP BY 1, 2")
+@add("io4_edge_matrix", "SELECT incident_id, src, " + ", ".join(f"round(coalesce(max(CASE WHEN dst = {i} THEN weight END), 0.0::DOUBLE), 6) AS d{i}" for i in SERVICES) + " FROM edges GROUP BY 1, 2")
 def _(x):
-    m = io.edge_matrix(x.edges(), [1, 2, 3, 4, 5, 6])
-    return m.select("incident_id", "src", *[r6(f"d{i}").alias(f"d{i}") for i in range(1, 7)])
+    m = io.edge_matrix(x.edges(), SERVICES)
+    return m.select("incident_id", "src", *[r6(f"d{i}").alias(f"d{i}") for i in SERVICES])
 
 
 @add("io6_append_results", "SELECT method, window_len, params_id, acc FROM res WHERE acc > 0")
@@ -474,7 +473,7 @@ def _(x):
   SELECT nd.incident_id, nd.s AS service_id, coalesce(string_agg(DISTINCT al.p::VARCHAR, ',' ORDER BY al.p::VARCHAR), '') AS cond FROM nd LEFT JOIN al ON al.incident_id = nd.incident_id AND al.s = nd.s AND al.p <> 1 AND al.p <> nd.s GROUP BY 1, 2""")
 def _(x):
     d = rl.confounders(x.edges(), x.entries())
-    return d.select("incident_id", "service_id", F.concat_ws(",", F.transform("cond", lambda c: c.cast("string"))).alias("cond"))
+    return d.select("incident_id", "service_id", F.concat_ws(",", F.array_sort(F.transform("cond", lambda c: c.cast("string")))).alias("cond"))
 
 
 @add("x4_result_labels", "SELECT DISTINCT window_start, window_len FROM res WHERE method = 'click'")

@@ -28,7 +28,7 @@ class Tables:
     def events(self) -> DataFrame:
         hours = F.floor(F.expr("(unix_micros(cast(cast(ts AS string) || ' UTC' AS timestamp)) - unix_micros(timestamp'2024-01-01 00:00:00 UTC')) / 3600000000"))
         e = self.read("events").select("event_id", "ts", "user_id", "event_type", "value", hours.cast("long").alias("t"))
-        return e.withColumn("incident_id", F.concat(F.lit("i"), F.col("user_id") % 3)).withColumn("service_id", (F.floor(F.col("user_id") / 3) % 12 + 1).cast("int"))
+        return e.withColumn("incident_id", F.concat(F.lit("i"), F.floor(F.col("user_id") / 36))).withColumn("service_id", (F.floor(F.col("user_id") / 3) % 12 + 1).cast("int"))
 
     def metrics(self) -> DataFrame:
         c = F.col
@@ -59,7 +59,7 @@ class Tables:
     def intervals(self) -> DataFrame:
         i = F.col("event_id")
         d = self.events().select(
-            "incident_id", (i % 6 + 1).cast("int").alias("x"), (F.floor(i / 6) % 6 + 1).cast("int").alias("y"), ((i * 7) % 700).alias("start"), ((i * 7) % 700 + 1 + i % 19).alias("end"),
+            "incident_id", (i % 12 + 1).cast("int").alias("x"), (F.floor(i / 12) % 12 + 1).cast("int").alias("y"), ((i * 7) % 700).alias("start"), ((i * 7) % 700 + 1 + i % 19).alias("end"),
             (i * 37 % 1000 / F.lit(1000.0)).alias("p_yx"), F.when(i % 11 != 0, i * 53 % 1000 / F.lit(1000.0)).alias("p_xy"), (i % 13 / F.lit(20.0)).alias("adf_y"), (i % 17 / F.lit(25.0)).alias("adf_x"),
         )
         return d.where("x <> y")
@@ -71,7 +71,7 @@ class Tables:
         return rl.overlay_intervals(self.accepted(), self.lengths())
 
     def nodes(self) -> DataFrame:
-        return self.services().where("service_id <= 6")
+        return self.services()
 
     def strength(self) -> DataFrame:
         return rl.edge_strength(self.accepted(), rl.service_pairs(self.nodes()))
@@ -118,7 +118,7 @@ class Tables:
 
 PRELUDE = """
 WITH RECURSIVE
-ev AS (SELECT *, 'i' || (user_id % 3) AS incident_id, ((user_id // 3) % 12 + 1)::INT AS service_id, date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts))::BIGINT AS t FROM events),
+ev AS (SELECT *, 'i' || (user_id // 36) AS incident_id, ((user_id // 3) % 12 + 1)::INT AS service_id, date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts))::BIGINT AS t FROM events),
 cells AS (SELECT incident_id, service_id, t, round(sum(value), 2) AS value FROM ev GROUP BY 1, 2, 3),
 lengths AS (SELECT incident_id, max(t) + 1 AS n FROM cells GROUP BY 1),
 services AS (SELECT DISTINCT incident_id, service_id FROM ev),
@@ -130,13 +130,13 @@ zs AS (SELECT incident_id, service_id, t, (value - avg(value) OVER w) / nullif(s
 types AS (SELECT event_type, row_number() OVER (ORDER BY event_type)::INT AS service_id FROM (SELECT DISTINCT event_type FROM events)),
 dcells AS (SELECT types.service_id, t, round(sum(value), 2) AS value FROM ev JOIN types USING (event_type) GROUP BY 1, 2),
 dense AS (SELECT 'd' AS incident_id, service_id, t, coalesce(value, 0.0::DOUBLE) AS value FROM (SELECT service_id, unnest(range(0, (SELECT max(t) + 1 FROM dcells)))::BIGINT AS t FROM types) g LEFT JOIN dcells USING (service_id, t)),
-intervals AS (SELECT * FROM (SELECT incident_id, (event_id % 6 + 1)::INT AS x, ((event_id // 6) % 6 + 1)::INT AS y, (event_id * 7) % 700 AS start, (event_id * 7) % 700 + 1 + event_id % 19 AS "end",
+intervals AS (SELECT * FROM (SELECT incident_id, (event_id % 12 + 1)::INT AS x, ((event_id // 12) % 12 + 1)::INT AS y, (event_id * 7) % 700 AS start, (event_id * 7) % 700 + 1 + event_id % 19 AS "end",
   (event_id * 37 % 1000) / 1000::DOUBLE AS p_yx, CASE WHEN event_id % 11 <> 0 THEN (event_id * 53 % 1000) / 1000::DOUBLE END AS p_xy, (event_id % 13) / 20::DOUBLE AS adf_y, (event_id % 17) / 25::DOUBLE AS adf_x FROM ev) WHERE x <> y),
 accepted AS (SELECT incident_id, x, y, start, "end", p_yx, p_xy FROM intervals WHERE p_yx < 0.1 AND (p_xy IS NULL OR p_xy >= 0.1)),
 curves AS (SELECT p.incident_id, p.x, p.y, p.t, count(a.start)::BIGINT AS cnt FROM
   (SELECT DISTINCT a.incident_id, x, y, unnest(range(0, n))::BIGINT AS t FROM (SELECT DISTINCT incident_id, x, y FROM accepted) a JOIN lengths USING (incident_id)) p
   LEFT JOIN accepted a ON a.incident_id = p.incident_id AND a.x = p.x AND a.y = p.y AND a.start <= p.t AND p.t < a."end" GROUP BY 1, 2, 3, 4),
-nodes AS (SELECT * FROM services WHERE service_id <= 6),
+nodes AS (SELECT * FROM services),
 entries AS (SELECT * FROM services WHERE service_id = 1),
 truth AS (SELECT * FROM services WHERE service_id IN (3, 5)),
 pairs AS (SELECT a.incident_id, a.service_id AS x, b.service_id AS y FROM nodes a JOIN nodes b USING (incident_id) WHERE a.service_id <> b.service_id),

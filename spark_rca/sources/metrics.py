@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +42,10 @@ def metrics_from_events(events: DataFrame, incident: Column, service: Column, t:
     return grid.join(cells, ["incident_id", "service_id", "t"], "left").select("incident_id", "service_id", "t", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def melt_adjacency(wide: DataFrame, src: Column, cells: list[Column]) -> DataFrame:
-    """Matrix rows to edges (src, dst, weight) with weight other than 0; dst is the 1-based column."""
-    long = wide.select(src.cast("int").alias("src"), F.posexplode(F.array(*[c.cast("double") for c in cells])).alias("_p", "weight"))
-    return long.where("weight <> 0").select("src", (F.col("_p") + 1).cast("int").alias("dst"), "weight")
+def melt_adjacency(wide: DataFrame, src: Column, cells: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Matrix rows to edges (keys, src, dst, weight) with weight other than 0; dst is the 1-based column."""
+    long = wide.select(*keys, src.cast("int").alias("src"), F.posexplode(F.array(*[c.cast("double") for c in cells])).alias("_p", "weight"))
+    return long.where("weight <> 0").select(*keys, "src", (F.col("_p") + 1).cast("int").alias("dst"), "weight")
 
 
 def read_adjacency(spark: SparkSession, path: str, nodes: int) -> DataFrame:
@@ -53,9 +55,9 @@ def read_adjacency(spark: SparkSession, path: str, nodes: int) -> DataFrame:
     return melt_adjacency(wide, F.col("src"), [F.col(n) for n in names])
 
 
-def edge_matrix(edges: DataFrame, nodes: list[int], keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
+def edge_matrix(edges: DataFrame, nodes: Sequence[int], keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:
     """Edge list to matrix rows: src, then one column d<id> for each node; absent edges are 0."""
-    wide = edges.groupBy(*keys, "src").pivot("dst", nodes).agg(F.first("weight"))
+    wide = edges.groupBy(*keys, "src").pivot("dst", list(nodes)).agg(F.first("weight"))
     return wide.select(*keys, "src", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(f"d{n}") for n in nodes])
 
 
