@@ -3,7 +3,9 @@
 Spark splits each text with the tokenizer's pattern.  A task keeps the distinct words it has not
 met, turns them into token-position rows and lets a recursive query join them with the merge table:
 each step contracts every word's leftmost pair of minimum rank, until no pair can merge.  Ordered
-aggregation collects the ids, and for decoding joins ids with their bytes.
+aggregation collects the ids, and for decoding joins ids with their bytes.  A long word (an unbroken
+run of letters may be a whole text) keeps one row per position that each step overwrites only where
+tokens change, and a step contracts all pairs of that rank from left to right.
 """
 
 from __future__ import annotations
@@ -53,23 +55,43 @@ class Encoder:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory})
         self.con.register("merge_rows", pa.table({"l": merges[:, 0], "r": merges[:, 1], "m": merges[:, 2]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        self.merges, self.ranks, self.singles = merges, ranks, False
         self.con.register("token_rows", pa.table({"tok": pa.array([r for _, r in ranks], pa.int32()), "bytes": pa.array([t for t, _ in ranks], pa.binary())}))
         self.con.execute("CREATE TABLE tokens AS SELECT * FROM token_rows")
 
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, word after word, and how many each has."""
+    def find_singles(self) -> None:
+        """The table of tokens that may merge again at a lower rank than their own, of which a step contracts one pair only.
+
+        There are none if every token is encoded as itself: its parts then merge at lower ranks than its own in
+        every text, for no merge can cross its bounds before it exists.  Found once, when a long word is met.
+        """
+        tokens = [t for t, _ in self.ranks]
+        ids, counts = self.contract(tokens)
+        trained = bool((counts == 1).all()) and ids.tolist() == [r for _, r in self.ranks]
+        late = [self.merges[:, side][self.merges[:, side] > self.merges[:, 2]] for side in (0, 1)]
+        self.con.register("single_rows", pa.table({"m": np.unique(np.concatenate(late))[: 0 if trained else None]}))
+        self.con.execute("CREATE TABLE singles AS SELECT * FROM single_rows")
+        self.singles = True
+
+    def contract(self, words: list[bytes], long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, word after word, and how many each has; ``long`` takes one word."""
+        if long and not self.singles:
+            self.find_singles()
         size = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         at = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
         self.con.register("words", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "p": at.astype(np.int32), "tok": self.byte[data], "k": np.zeros(len(data), np.int32)}))
-        got = self.con.sql(FIXPOINT).to_arrow_table()
+        got = self.con.sql(LONG_FIXPOINT if long else FIXPOINT).to_arrow_table()
         self.con.unregister("words")
         ids = np.concatenate([np.zeros(0, np.uint32), got["ids"].combine_chunks().values.to_numpy().astype(np.uint32)])
         counts = np.diff(got["ids"].combine_chunks().offsets.to_numpy()) if len(got) else np.zeros(0, np.int64)
         return ids, counts
 
-    def encode_words(self, words: list[str], block: int = 320_000) -> list[tuple[bytes, bytes]]:
-        """For each distinct word its little-endian unsigned 32-bit ids and the bytes they decode to."""
+    def encode_words(self, words: list[str], block: int = 320_000, long: int = 400) -> list[tuple[bytes, bytes]]:
+        """For each distinct word its little-endian unsigned 32-bit ids and the bytes they decode to.
+
+        Words of over ``long`` bytes are contracted one by one, with the same result.
+        """
         if len(self.often) > self.remember:
             self.often = {}
         if len(self.recent) > self.remember:
@@ -83,6 +105,9 @@ class Encoder:
             if got is not None:
                 often[w] = got
                 continue
+            if len(b) > long:
+                self._fill([(w, b)], new, True)
+                continue
             todo.append((w, b))
             rows += len(b)
             if rows >= block:
@@ -93,10 +118,10 @@ class Encoder:
         recent.update(new)
         return out
 
-    def _fill(self, todo: list[tuple[str, bytes]], into: dict[str, tuple[bytes, bytes]]) -> None:
+    def _fill(self, todo: list[tuple[str, bytes]], into: dict[str, tuple[bytes, bytes]], long: bool = False) -> None:
         if not todo:
             return
-        ids, counts = self.contract([b for _, b in todo])
+        ids, counts = self.contract([b for _, b in todo], long)
         decoded = self.decode(np.repeat(np.arange(len(todo)), counts), ids)
         raw, at = ids.astype("<u4").tobytes(), 0
         for (w, _), n, d in zip(todo, counts.tolist(), decoded, strict=True):
@@ -124,6 +149,30 @@ WITH RECURSIVE t(w, p, tok, k) AS (
 last AS (SELECT w, max(k) AS k FROM t GROUP BY w)
 SELECT w, list(tok ORDER BY p) AS ids FROM t JOIN last USING (w, k) GROUP BY w ORDER BY w"""
 
+#: The same contraction for one word, as a linked list: a row is a position, its token (-1: merged away), the next
+#: token's position and the rank of the pair of both.  ``hit`` are the pairs of minimum rank; of pairs that overlap in a
+#: row of them every other one is contracted.  Only changed rows are returned, so each step overwrites these.
+LONG_FIXPOINT = """
+WITH RECURSIVE t(p, tok, nxt, m) USING KEY (p) AS (
+  SELECT p, tok, nxt, (SELECT m FROM merges WHERE l = tok AND r = next_tok) FROM
+    (SELECT p, tok, lead(p) OVER (ORDER BY p) AS nxt, lead(tok) OVER (ORDER BY p) AS next_tok FROM words)
+  UNION (
+    WITH hit AS (SELECT p, nxt, m FROM recurring.t WHERE m = (SELECT min(m) FROM recurring.t)),
+    flagged AS (SELECT *, CASE WHEN lag(nxt) OVER (ORDER BY p) = p THEN 0 ELSE 1 END AS starts FROM hit),
+    runs AS (SELECT *, sum(starts) OVER (ORDER BY p) AS run FROM flagged),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY p) AS k FROM runs),
+    one AS (SELECT p, nxt AS gone, m FROM numbered WHERE k % 2 = 1 AND (p = (SELECT min(p) FROM hit) OR m NOT IN (SELECT m FROM singles))),
+    merged AS (SELECT one.p, one.m AS tok, one.gone, g.nxt FROM one JOIN recurring.t AS g ON g.p = one.gone),
+    changed AS (
+      SELECT p, tok, nxt FROM merged
+      UNION ALL SELECT b.p, b.tok, b.nxt FROM recurring.t AS b JOIN one ON b.nxt = one.p WHERE b.tok >= 0 AND b.p NOT IN (SELECT gone FROM one)),
+    following AS (SELECT c.p, c.tok, c.nxt, coalesce(one.m, n.tok) AS next_tok FROM changed c LEFT JOIN one ON one.p = c.nxt LEFT JOIN recurring.t AS n ON n.p = c.nxt)
+    SELECT f.p, f.tok, f.nxt, merges.m FROM following f LEFT JOIN merges ON l = f.tok AND r = f.next_tok
+    UNION ALL SELECT gone, -1, NULL, NULL FROM one
+  )
+)
+SELECT list(tok ORDER BY p) AS ids FROM t WHERE tok >= 0"""
+
 DECODE = """
 SELECT unit, string_agg(hex(bytes), '' ORDER BY pos) AS hexed FROM id_rows JOIN tokens USING (tok) GROUP BY unit ORDER BY unit"""
 

@@ -374,3 +374,36 @@ def test_embeddings_equal_brute_force(spark):
     assert len(got) == 156
     assert [got[i]["n_links"] for i in range(150)] == n.tolist()
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(200, 206)) and got[134]["component_id"] == 3 and got[129]["component_id"] == 100
+
+
+def pieces(ranks):
+    import tiktoken
+
+    return tiktoken.Encoding("t", pat_str=r"(?s).+", mergeable_ranks=dict(ranks), special_tokens={})._core_bpe.encode_single_piece
+
+
+def test_long_words_equal_tiktoken():
+    """Unbroken runs: repeated letters, whose pairs overlap, and random ones."""
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    want, enc, rng = pieces(ranks), bpe.Encoder(ranks), random.Random(4)
+    words = ["a" * 999, "aaab" * 301, "-" * 1500, "é" * 800, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))]
+    words += ["".join(rng.choice("aeb tsh") for _ in range(rng.randint(2, 60))) for _ in range(40)]
+    for (ids, raw), w in zip(enc.encode_words(words, long=1), words, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want(w.encode())
+        assert raw == w.encode()
+
+
+def test_long_words_of_any_vocabulary_equal_tiktoken():
+    """Ranks in no order of training: a merged token may merge again at a lower rank."""
+    rng, single = random.Random(6), 0
+    for _ in range(20):
+        more = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 4))) for _ in range(25)})
+        rng.shuffle(more)
+        ranks = [(t, i) for i, t in enumerate([bytes([c]) for c in range(256)] + more)]
+        want, enc = pieces(ranks), bpe.Encoder(ranks)
+        words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 60))) for _ in range(6)})
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in enc.encode_words(words, long=1)] == [want(w.encode()) for w in words]
+        single += enc.con.sql("SELECT count(*) FROM singles").fetchall()[0][0]
+    assert single > 0
