@@ -62,25 +62,28 @@ class Encoder:
     def find_singles(self) -> None:
         """The table of tokens that may merge again at a lower rank than their own, of which a step contracts one pair only.
 
-        There are none if every token is encoded as itself: its parts then merge at lower ranks than its own in
-        every text, for no merge can cross its bounds before it exists.  Found once, when a long word is met.
+        There are none if every token, encoded alone, comes from tokens of lower ranks: so it does in every text then,
+        for no merge can cross its bounds before it exists.  Found once, when a long word is met.
         """
-        tokens = [t for t, _ in self.ranks]
-        ids, counts = self.contract(tokens)
-        trained = bool((counts == 1).all()) and ids.tolist() == [r for _, r in self.ranks]
+        self._register([t for t, _ in self.ranks])
+        trained = self.con.sql(TRAINED).fetchall()[0][0]
+        self.con.unregister("words")
         late = [self.merges[:, side][self.merges[:, side] > self.merges[:, 2]] for side in (0, 1)]
         self.con.register("single_rows", pa.table({"m": np.unique(np.concatenate(late))[: 0 if trained else None]}))
         self.con.execute("CREATE TABLE singles AS SELECT * FROM single_rows")
         self.singles = True
 
-    def contract(self, words: list[bytes], long: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, word after word, and how many each has; ``long`` takes one word."""
-        if long and not self.singles:
-            self.find_singles()
+    def _register(self, words: list[bytes]) -> None:
         size = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         at = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
         self.con.register("words", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "p": at.astype(np.int32), "tok": self.byte[data], "k": np.zeros(len(data), np.int32)}))
+
+    def contract(self, words: list[bytes], long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, word after word, and how many each has; ``long`` takes one word."""
+        if long and not self.singles:
+            self.find_singles()
+        self._register(words)
         got = self.con.sql(LONG_FIXPOINT if long else FIXPOINT).to_arrow_table()
         self.con.unregister("words")
         ids = np.concatenate([np.zeros(0, np.uint32), got["ids"].combine_chunks().values.to_numpy().astype(np.uint32)])
@@ -136,7 +139,7 @@ class Encoder:
         return [bytes.fromhex(x) for x in got["hexed"].to_pylist()]
 
 
-FIXPOINT = """
+STEPS = """
 WITH RECURSIVE t(w, p, tok, k) AS (
   SELECT w, p, tok, k FROM words
   UNION ALL (
@@ -146,9 +149,16 @@ WITH RECURSIVE t(w, p, tok, k) AS (
     FROM t JOIN best USING (w) WHERE t.p <> gone
   )
 ),
-last AS (SELECT w, max(k) AS k FROM t GROUP BY w)
+last AS (SELECT w, max(k) AS k FROM t GROUP BY w)"""
+
+FIXPOINT = STEPS + """
 SELECT w, list(tok ORDER BY p) AS ids FROM t JOIN last USING (w, k) GROUP BY w ORDER BY w"""
 
+#: Do all words end as one token, of a higher rank than every token merged on the way?
+TRAINED = STEPS + """,
+done AS (SELECT w, count(*) AS n, max(tok) AS whole FROM t JOIN last USING (w, k) GROUP BY w)
+SELECT (SELECT max(n) FROM done) = 1 AND NOT EXISTS (SELECT 1 FROM t JOIN done USING (w) WHERE t.tok > whole AND t.tok NOT IN (SELECT tok FROM words))"""
+
 #: The same contraction for one word, as a linked list: a row is a position, its token (-1: merged away), the next
 #: token's position and the rank of the pair of both.  ``hit`` are the pairs of minimum rank; of pairs that overlap in a
 #: row of them every other one is contracted.  Only changed rows are returned, so each step overwrites these.
