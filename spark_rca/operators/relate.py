@@ -91,19 +91,19 @@ def pearson_matrix(metrics: DataFrame, zero_diag: bool = True) -> DataFrame:
     """(incident_id, x, y, corr) of every two services; the diagonal is 0 or 1.
 
     One pass of sums per pair of packed series, so rows are not multiplied by T; NULL for constant series.
+    Means and variances come from the grouping, as columns: inside a lambda they would be summed again for each sample.
     """
-    packed = metrics.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("v"))
-    n = F.size("v")
-    packed = packed.withColumn("m", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n)
-    packed = packed.withColumn("d", F.transform("v", lambda x: x - F.col("m"))).withColumn("q", F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x))
-    a = packed.select("incident_id", F.col("service_id").alias("x"), F.col("d").alias("dx"), F.col("q").alias("qx"))
-    b = packed.select("incident_id", F.col("service_id").alias("y"), F.col("d").alias("dy"), F.col("q").alias("qy"))
-    p = a.join(b, "incident_id").where("x < y")
-    dot = F.aggregate(F.zip_with("dx", "dy", lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
+    v = F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"])
+    packed = metrics.groupBy(*SERIES).agg(F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("q"), v.alias("v"))
+    a = packed.select("incident_id", F.col("service_id").alias("x"), F.col("v").alias("vx"), F.col("m").alias("mx"), F.col("q").alias("qx"))
+    b = packed.select("incident_id", F.col("service_id").alias("y"), F.col("v").alias("vy"), F.col("m").alias("my"), F.col("q").alias("qy"))
+    p = a.join(b, "incident_id").where("x <= y")
+    dot = F.aggregate(F.zip_with("vx", "vy", lambda u, w: (u - F.col("mx")) * (w - F.col("my"))), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.col("qx") * F.col("qy"))
-    p = p.select("incident_id", "x", "y", F.when(norm > 0, dot / norm).alias("corr"))
-    diag = packed.select("incident_id", F.col("service_id").alias("x"), F.col("service_id").alias("y"), F.lit(0.0 if zero_diag else 1.0).alias("corr"))
-    return p.unionByName(p.select("incident_id", F.col("y").alias("x"), F.col("x").alias("y"), "corr")).unionByName(diag)
+    p = p.select("incident_id", "x", "y", F.when(F.col("x") == F.col("y"), 0.0 if zero_diag else 1.0).when(norm > 0, dot / norm).alias("corr"))
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    pairs = F.explode(F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both))
+    return p.select("incident_id", pairs.alias("p"), "corr").select("incident_id", "p.x", "p.y", "corr")
 
 
 def entry_correlation(metrics: DataFrame, entries: DataFrame) -> DataFrame:
