@@ -39,10 +39,14 @@ def zero_counts(metrics: DataFrame) -> DataFrame:
 
 
 def _neighbours() -> tuple[Column, ...]:
-    known = F.when(F.col("value") != 0, F.struct("t", "value"))
+    """The nearest known sample at or before, and at or after, each one.
+
+    The second runs backwards in time: a frame that ends at the series' end would be read anew for each row.
+    """
+    known = F.last(F.when(F.col("value") != 0, F.struct("t", "value")), ignorenulls=True)
     back = series().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = series().rowsBetween(0, Window.unboundedFollowing)
-    return F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+    ahead = Window.partitionBy(*SERIES).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    return known.over(back), known.over(ahead)
 
 
 def fill_zeros(metrics: DataFrame, method: str = "prevlatter") -> DataFrame:
@@ -138,8 +142,9 @@ def resample_linear(trips: DataFrame, step: int, digits: int = 5, key: str = "tr
     both = one.withColumn("g", F.lit(False)).unionByName(grid.withColumn("v", F.lit(None).cast("double")).withColumn("g", F.lit(True)))
     per = both.groupBy(key, "trip", "x").agg(F.max("v").alias("v"), F.max("g").alias("g"))
     w = Window.partitionBy(key, "trip").orderBy("x")
-    s = F.when(F.col("v").isNotNull(), F.struct("x", "v"))
-    per = per.withColumn("_p", F.last(s, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(s, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(key, "trip").orderBy(F.desc("x"))
+    s = F.last(F.when(F.col("v").isNotNull(), F.struct("x", "v")), True)
+    per = per.withColumn("_p", s.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", s.over(back.rowsBetween(Window.unboundedPreceding, 0)))
     mid = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("x") - F.col("_p.x")) / F.when(F.col("_n.x") != F.col("_p.x"), F.col("_n.x") - F.col("_p.x"))
     return per.where("g").select(key, "trip", "x", F.round(F.coalesce("v", mid), digits).alias("value"))
 
