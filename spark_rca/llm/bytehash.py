@@ -43,8 +43,13 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 def prefix(data: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
     """Prefix sums p with hash(data[a:b]) = span(p, a, b)."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * _power("up", len(data)), out=out[1:])
+    return summed(codes[data])
+
+
+def summed(codes: np.ndarray) -> np.ndarray:
+    """The same for a sequence of 64-bit codes, such as hashes of words."""
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _power("up", len(codes)), out=out[1:])
     return out
 
 
