@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spark_rca.llm import bpe, chat, embedding_dedup, html_text, jaccard, langid, mixing, periodic, quality, simhash, suffix_dedup, toxicity
+from spark_rca.llm import align_tokens, bpe, chat, embedding_dedup, html_text, jaccard, langid, mixing, periodic, quality, simhash, suffix_dedup, toxicity
 from spark_rca.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_source_mix": lambda s, d: mixing.mix_query(table(s, d, "documents")),
         "op10_jaccard_join": lambda s, d: jaccard.jaccard_components(table(s, d, "documents")),
         "op11_periodic_runs": lambda s, d: periodic.periodic_query(table(s, d, "documents")),
+        "op12_token_alignment": lambda s, d: align_tokens.align_query(s, table(s, d, "documents")),
         "op13_quality_rules": lambda s, d: quality.quality_query(table(s, d, "documents")),
     }
 
