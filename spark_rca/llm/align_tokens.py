@@ -13,7 +13,10 @@ The most frequent pairs, as many as may be broadcast, are looked up in tasks; li
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from spark_rca.llm.common import BROADCAST_ROWS, free_names, lean, materialize,
 
 #: The blank of the second tokenizer's pieces.
 BLANK = "▁"
+#: White space in a row for which the pattern's engine may run out of steps.
+MANY = 10_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,9 +42,13 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers with the bytes of each of their tokens."""
+    """Both tokenizers with the bytes of each of their tokens.
 
-    def __init__(self, byte_level: str, pieces: bytes):
+    With ``pattern``, a vocabulary whose merges make tokens in the order of their ids is encoded by these ids as ranks,
+    with the same ids in a third of the time; texts with very long runs of white space, and other vocabularies, take the tokenizer itself.
+    """
+
+    def __init__(self, byte_level: str, pieces: bytes, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -53,12 +62,24 @@ class Pair:
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:-1], 16)]) if self.b.is_byte(i) else x.replace(BLANK, " ").encode() for i, x in enumerate(names)]
+        self.ranked = None
+        made = [self.a.token_to_id("".join(m.split(" ") if isinstance(m, str) else m)) for m in json.loads(byte_level)["model"]["merges"]]
+        if pattern is not None and all(x < y for x, y in pairwise(made)) and sorted(made) == list(range(256, 256 + len(made))):
+            import tiktoken
+
+            ranks = {t: i for i, t in enumerate(self.a_bytes[: 256 + len(made)])}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.sizes = [pa.array([len(x) for x in side], pa.int64()) for side in (self.a_bytes, self.b_bytes)]
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is None or any(len(t) > MANY and re.search(rf"\s{{{MANY}}}", t) for t in texts):
+            return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.ranked.encode_ordinary(t) for t in texts]
+
     def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
         """The ids of each text by A (of a blank and the text) and by B; none where either side's bytes are not those of blank and text."""
         full = [" " + t for t in texts]
-        ids = [[x.ids for x in self.a.encode_batch_fast(full, add_special_tokens=False)], self.b.encode(texts, num_threads=1)]
+        ids = [self.encode_a(full), self.b.encode(texts, num_threads=1)]
         for k, t in enumerate(full):
             raw = t.encode()
             if not texts[k] or any(b"".join([names[i] for i in side[k]]) != raw for side, names in zip(ids, (self.a_bytes, self.b_bytes), strict=True)):
@@ -103,10 +124,10 @@ ADDED = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "g
 _PAIRS: dict[str, Pair] = {}
 
 
-def _tokenizers(key: str, byte_level: str, pieces: bytes) -> Pair:
+def _tokenizers(key: str, byte_level: str, pieces: bytes, pattern: str | None) -> Pair:
     """One pair per Python worker; a worker serves many tasks."""
     if key not in _PAIRS:
-        _PAIRS[key] = Pair(byte_level, pieces)
+        _PAIRS[key] = Pair(byte_level, pieces, pattern)
     return _PAIRS[key]
 
 
@@ -151,10 +172,10 @@ def least_frequent_hot(counts: DataFrame, rows: int) -> int:
     return 1 << k
 
 
-def align_documents(spark: SparkSession, docs: DataFrame, byte_level: str, pieces: str, digest: bool = False, hot: int = BROADCAST_ROWS) -> DataFrame:
+def align_documents(spark: SparkSession, docs: DataFrame, byte_level: str, pieces: str, pattern: str | None = None, digest: bool = False, hot: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` (text, ...), without the text, with how its tokens by two tokenizers align.
 
-    A is a byte-level BPE file (JSON) that encodes a blank and the text, B a piece model file that adds the blank itself.  Added are ``n_a``,
+    A is a byte-level BPE file (JSON) that encodes a blank and the text (``pattern``, see ``Pair``, splits text as it does), B a piece model file that adds the blank itself.  Added are ``n_a``,
     ``n_b``, ``n_groups``, ``n_links``, ``groups`` (see ``align``; with ``digest`` the lowercase hex SHA-256 of it), ``n_best``
     (links whose pair is in as many texts as any pair of its A id) and ``count_sum`` (over links, the texts that their
     pairs are in).  At most ``hot`` pairs are broadcast.
@@ -164,8 +185,8 @@ def align_documents(spark: SparkSession, docs: DataFrame, byte_level: str, piece
     the added names are replaced.  Both files have a fixed size and are broadcast.
     """
     with open(byte_level, encoding="utf-8") as f, open(pieces, "rb") as g:
-        files = spark.sparkContext.broadcast((f.read(), g.read()))
-    key = f"{byte_level}\n{pieces}"
+        files = spark.sparkContext.broadcast((f.read(), g.read(), pattern))
+    key = f"{byte_level}\n{pieces}\n{pattern}"
     pair = _tokenizers(key, *files.value)
     width, code_type = len(pair.b_bytes), LongType() if len(pair.a_bytes) * len(pair.b_bytes) >= 1 << 31 else IntegerType()
     code_arrow = pa.int64() if code_type == LongType() else pa.int32()
@@ -248,5 +269,5 @@ def align_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     import public_tokenizers
 
-    out = align_documents(spark, docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    out = align_documents(spark, docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN, digest=True)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))

@@ -71,11 +71,23 @@ def test_alphabet_is_the_byte_level_one():
 def test_equals_all_ranges(spark, hot):
     data = texts()
     d = spark.createDataFrame(list(enumerate(data)), DOC).repartition(3)
-    got = {r["doc_id"]: r for r in align_tokens.align_documents(spark, d, *FILES, hot=hot).collect()}
+    got = {r["doc_id"]: r for r in align_tokens.align_documents(spark, d, *FILES, public_tokenizers.PATTERN if hot else None, hot=hot).collect()}
     for i, want in enumerate(brute(data)):
         assert tuple(got[i][c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")) == want, data[i]
 
 
+def test_ranks_give_the_tokenizers_ids():
+    """The faster way against the tokenizer itself, on all kinds of characters and on a run too long for the pattern's engine."""
+    rng = random.Random(9)
+    blocks = [(32, 127), (160, 600), (0x370, 0x700), (0x900, 0xE00), (0x2000, 0x2100), (0x3040, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0x1F300, 0x1F700), (9, 14)]
+    many = [" " + "".join(chr(rng.randrange(*rng.choice(blocks))) for _ in range(rng.randint(0, 80))) for _ in range(2000)] + [" " + t for t in texts() if t]
+    pair = align_tokens.Pair(open(FILES[0]).read(), open(FILES[1], "rb").read(), public_tokenizers.PATTERN)
+    own = [x.ids for x in pair.a.encode_batch_fast(many, add_special_tokens=False)]
+    assert pair.ranked is not None and pair.encode_a(many) == own
+    run = [" " * 1_500_000 + "x", " a"]
+    assert sum(map(len, (pair.a_bytes[i] for i in pair.encode_a(run)[0]))) == 1_500_001
+
+
 def test_tasks_hand_on_full_counts(spark):
     d = spark.createDataFrame([(list(range(k, k + 30)),) for k in range(0, 200, 7)], "c array<int>").coalesce(1)
     with_limit = {tuple(r) for r in align_tokens.pair_counts(d, 10, "c", flush=20).collect()}
