@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from functools import reduce
+from itertools import combinations, islice
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_rca.functions.numeric import adf_p, fisher_p, granger_p, granger_stats, lag_rows, partial_corr
+from spark_rca.operators.blocks import block_pairs, spread
+from spark_rca.operators.lineage import cut
 from spark_rca.operators.prepare import SERIES
 from spark_rca.operators.relate import service_pairs
 
@@ -17,21 +22,31 @@ TESTS = "incident_id string, x int, y int, seg_i int, seg_j int, start long, end
 
 
 def pack(metrics: DataFrame) -> DataFrame:
-    """One row per series: t0 and its values in order."""
+    """One row per series: t0 and its values in order.
+
+    Tests compare samples by their t, so a series must have one sample at every t from its first to its
+    last; one with holes or repeated samples is refused with an error.  (``metrics_from_events`` and ``bucket_sum`` give such grids.)
+    """
     s = F.array_sort(F.collect_list(F.struct("t", "value")))
-    return metrics.groupBy(*SERIES).agg(F.min("t").alias("t0"), s.alias("_s")).select(*SERIES, "t0", F.transform("_s", lambda v: v["value"]).alias("vals"))
+    p = metrics.groupBy(*SERIES).agg(F.min("t").alias("t0"), (F.max("t") - F.min("t") + 1).alias("_n"), s.alias("_s"))
+    whole = (F.size("_s") == F.col("_n")) & (F.size(F.array_distinct(F.col("_s.t"))) == F.col("_n"))
+    refused = F.raise_error(F.concat(F.lit("holes or repeated samples in series "), F.col("incident_id"), F.lit(" "), F.col("service_id").cast("string")))
+    return p.select(*SERIES, "t0", F.when(whole, F.col("_s.value")).otherwise(refused.cast("array<double>")).alias("vals"))
 
 
 def packed_pairs(metrics: DataFrame) -> DataFrame:
-    """(incident_id, x, y, t0, vx, vy) for all ordered pairs: packed rows are joined, never samples.
+    """(incident_id, x, y, t0, vx, vy) for all ordered pairs, cut to the range of t that both series have: packed rows are joined, never samples.
 
-    Dealt by pair, so that one large incident fills all tasks.
+    Pairs without a shared t are left out.  Dealt by pair, so that one large incident fills all tasks.
     """
     p = pack(metrics)
     pairs = service_pairs(p.select("incident_id", "service_id"))
-    a = p.select("incident_id", F.col("service_id").alias("x"), "t0", F.col("vals").alias("vx"))
-    b = p.select("incident_id", F.col("service_id").alias("y"), F.col("vals").alias("vy"))
-    return pairs.join(a, ["incident_id", "x"]).join(b, ["incident_id", "y"]).repartition("incident_id", "x", "y")
+    a = p.select("incident_id", F.col("service_id").alias("x"), F.col("t0").alias("_a"), F.col("vals").alias("vx"))
+    b = p.select("incident_id", F.col("service_id").alias("y"), F.col("t0").alias("_b"), F.col("vals").alias("vy"))
+    d = pairs.join(a, ["incident_id", "x"]).join(b, ["incident_id", "y"])
+    d = d.withColumn("t0", F.greatest("_a", "_b")).withColumn("_n", F.least(F.col("_a") + F.size("vx"), F.col("_b") + F.size("vy")) - F.col("t0"))
+    at = lambda v, own: F.slice(v, (F.col("t0") - F.col(own) + 1).cast("int"), F.col("_n").cast("int")).alias(v)
+    return d.where("_n > 0").select("incident_id", "x", "y", "t0", at("vx", "_a"), at("vy", "_b")).repartition("incident_id", "x", "y")
 
 
 def splits(n: int, step: int) -> list[int]:
@@ -167,79 +182,214 @@ def _square(cells) -> tuple[list[int], np.ndarray]:
     return ids, m
 
 
-def pc_graph(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, max_level: int | None = None) -> DataFrame:
-    """Undirected PC skeleton (both directions, weight 1) by Gaussian partial correlations.
+def _critical(alpha: float) -> float:
+    """The z over which a two-sided test at ``alpha`` rejects."""
+    return NormalDist().inv_cdf(1 - alpha / 2)
 
-    Stable version: each level tests edges against subsets of the neighbours at its start.  Levels go on
-    until no node has more neighbours than the level, or to ``max_level`` if given.  Needs only
-    the correlation matrix, one row per incident; ``samples`` is one count or (incident_id, n).
-    """
 
-    def run(it):
-        for pdf in it:
-            out = []
-            for inc, cells, n in zip(pdf["incident_id"], pdf["c"], pdf["n"], strict=True):
-                ids, m = _square(cells)
-                adj = {i: {j for j in range(len(ids)) if j != i} for i in range(len(ids))}
-                for level in range(len(ids) if max_level is None else max_level + 1):
-                    if all(len(a) <= level for a in adj.values()):
-                        break
-                    was = {i: set(a) for i, a in adj.items()}
-                    for i in range(len(ids)):
-                        for j in sorted(was[i]):
-                            if j in adj[i] and any(fisher_p(partial_corr(m, i, j, list(s)), n, level) > alpha for s in combinations(sorted(was[i] - {j}), level)):
-                                adj[i].discard(j)
-                                adj[j].discard(i)
-                out += [(inc, ids[i], ids[j], 1.0) for i in adj for j in sorted(adj[i])]
-            yield pd.DataFrame(out, columns=["incident_id", "src", "dst", "weight"])
-
-    rows = _corr_rows(corr)
+def _fisher_z(r: Column, n: Column, conds: int = 0) -> Column:
+    r = F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
+    return F.atanh(F.greatest(F.least(F.abs(r), F.lit(0.9999999)), F.lit(0.0))) * F.sqrt(F.greatest(n - conds - 3, F.lit(1)))
+
+
+def _renewed(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own, to be grouped with a table that it was joined from."""
+    return df.select([F.col(c).alias(c) for c in df.columns])
+
+
+SEPARATED = "incident_id string, src int, dst int, cond array<int>"
+
+
+def _separate(work: DataFrame, corr: DataFrame, level: int, alpha: float, stack: int = 256) -> DataFrame:
+    """The first set of ``level`` nodes in each row's range that separates its edge.
+
+    ``work`` has (incident_id, src, part, dst, others, lo, hi): sets number lo to hi of ``others``.  The correlations of a src with its
+    neighbours, and of these with each other, come by joins to each of its parts.
+    """
+    near = work.select("incident_id", "src", "part", F.explode(F.concat("others", F.array("src", "dst"))).alias("a")).distinct()
+    cells = near.join(near.withColumnRenamed("a", "b"), ["incident_id", "src", "part"]).where("a < b").join(corr.select("incident_id", F.col("x").alias("a"), F.col("y").alias("b"), "corr"), ["incident_id", "a", "b"])
+    limit = _critical(alpha)
+
+    def test(key, todo, cells):
+        ids = np.unique(np.concatenate([*todo["others"].tolist(), todo["src"], todo["dst"]]))
+        m = np.eye(len(ids))
+        i, j, c = np.searchsorted(ids, cells["a"]), np.searchsorted(ids, cells["b"]), np.nan_to_num(cells["corr"].to_numpy(float))
+        m[i, j], m[j, i] = c, c
+        out = []
+        for r in todo.itertuples(index=False):
+            others, ends = np.searchsorted(ids, r.others), np.searchsorted(ids, [r.src, r.dst])
+            sets = islice(combinations(others.tolist(), level), r.lo, r.hi)
+            while some := list(islice(sets, stack)):
+                at = np.concatenate([np.tile(ends, (len(some), 1)), np.array(some, int)], axis=1)
+                p = np.linalg.pinv(m[at[:, :, None], at[:, None, :]])
+                d = p[:, 0, 0] * p[:, 1, 1]
+                rho = np.where(d > 0, -p[:, 0, 1] / np.sqrt(np.where(d > 0, d, 1)), 0.0)
+                z = np.arctanh(np.clip(np.abs(rho), 0, 0.9999999)) * np.sqrt(max(r.n - level - 3, 1))
+                if (z < limit).any():
+                    out.append((r.incident_id, r.src, r.dst, ids[at[np.flatnonzero(z < limit)[0], 2:]].tolist()))
+                    break
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SEPARATED.split(", ")])
+
+    keys = ["incident_id", "src", "part"]
+    return spread(work, *keys).groupBy(*keys).cogroup(spread(_renewed(cells), *keys).groupBy(*keys)).applyInPandas(test, SEPARATED)
+
+
+def pc_skeleton(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, max_level: int | None = None, chunk: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(edges, separations) of the PC skeleton by Gaussian partial correlations.
+
+    Edges are (incident_id, src, dst, weight 1), both ways; separations (incident_id, src, dst, cond), src < dst, have a set that each
+    removed edge was removed by, of its first ones the least.  Stable version: a level tests every edge against the subsets of each end's
+    neighbours at its start, so the order of tests does not matter.  Levels go on until no node has more neighbours than the
+    level, or to ``max_level``.  A level is a join of edges with their subsets, dealt by source node and by ranges of ``chunk`` subsets: the first range
+    of every edge, then the rest of those that are left.  Only edges and correlations are kept between levels.
+    """
+    rows = corr.where("x <> y")
     rows = rows.join(samples.select("incident_id", "n"), "incident_id") if isinstance(samples, DataFrame) else rows.withColumn("n", F.lit(samples))
-    return rows.mapInPandas(run, "incident_id string, src int, dst int, weight double")
+    rows = cut(rows.select("incident_id", "x", "y", "corr", F.col("n").cast("long").alias("n")))
+    free = _fisher_z(F.col("corr"), F.col("n")) < _critical(alpha)
+    first = rows.select("incident_id", F.col("x").alias("src"), F.col("y").alias("dst"), "n", free.alias("free"))
+    edges = cut(first.where("NOT free").drop("free"))
+    found = [first.where("free AND src < dst").select("incident_id", "src", "dst", F.array().cast("array<int>").alias("cond"))]
+    level = 1
+    while max_level is None or level <= max_level:
+        near = edges.groupBy("incident_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("near"))
+        work = edges.join(near, ["incident_id", "src"]).withColumn("others", F.array_remove("near", F.col("dst"))).where(F.size("others") >= level).drop("near")
+        work = cut(work)
+        if not work.take(1):
+            break
+        total = F.udf(lambda m: min(math.comb(m, level), 2**62), "long")(F.size("others"))
+        work = work.withColumn("total", total)
+        lost = None
+        for wave in (0, 1):
+            if wave:
+                left = work.where(F.col("total") > chunk).join(lost.select("incident_id", "src", "dst"), ["incident_id", "src", "dst"], "left_anti")
+                left = left.withColumn("lo", F.explode(F.sequence(F.lit(chunk).cast("long"), F.col("total") - 1, F.lit(chunk).cast("long"))))
+                if not left.take(1):
+                    break
+            else:
+                left = work.withColumn("lo", F.lit(0).cast("long"))
+            todo = left.select("incident_id", "src", F.floor(F.col("lo") / chunk).alias("part"), "dst", "others", "n", "lo", F.least("total", F.col("lo") + chunk).alias("hi"))
+            hit = cut(_separate(todo, rows, level, alpha))
+            both = hit.select("incident_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "cond").groupBy("incident_id", "src", "dst").agg(F.min("cond").alias("cond"))
+            pair = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+            gone = both.select("incident_id", pair.alias("e"), "cond").select("incident_id", "e.src", "e.dst", "cond")
+            lost = cut(gone if lost is None else lost.unionByName(gone))
+        found.append(lost.where("src < dst").groupBy("incident_id", "src", "dst").agg(F.min("cond").alias("cond")))
+        edges = cut(edges.join(lost.select("incident_id", "src", "dst"), ["incident_id", "src", "dst"], "left_anti"))
+        level += 1
+    return edges.select("incident_id", "src", "dst", F.lit(1.0).alias("weight")), reduce(DataFrame.unionByName, found)
+
+
+def pc_graph(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, max_level: int | None = None) -> DataFrame:
+    """The edges of ``pc_skeleton``; ``samples`` is one count or (incident_id, n)."""
+    return pc_skeleton(corr, samples, alpha, max_level)[0]
 
 
-def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, alpha_level: float = 0.01, max_conds: int | None = None) -> DataFrame:
+def lagged_correlations(metrics: DataFrame, tau_max: int, block: int = 16) -> DataFrame:
+    """(incident_id, x, y, n, r) of all ordered pairs, x itself included: r holds the correlation of x at lag a and y at lag b at place a * (2 tau_max + 1) + b.
+
+    An incident's series are cut to the t that all of them have; n is what is left for lags of 0 to 2 tau_max, and without two there are
+    no rows.  Holes are refused (see ``pack``); constant stretches correlate 0.  Dealt in pairs of blocks of services, so that one incident fills all tasks.
+    """
+    lags = 2 * tau_max + 1
+    p = cut(pack(metrics))
+    shared = p.groupBy("incident_id").agg(F.max("t0").alias("_lo"), F.min(F.col("t0") + F.size("vals")).alias("_hi"))
+    p_ = p.join(shared, "incident_id").where(F.col("_hi") - F.col("_lo") > lags)
+    p_ = p_.select(*SERIES, F.slice("vals", (F.col("_lo") - F.col("t0") + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int")).alias("vals"))
+
+    def products(key, pdf):
+        x, b, ids = np.stack(pdf["vals"].tolist()).astype(float), pdf["_b"].to_numpy(), pdf["service_id"].to_numpy()
+        n = x.shape[1] - 2 * tau_max
+        z = np.stack([x[:, 2 * tau_max - t : 2 * tau_max - t + n] for t in range(lags)], axis=1)
+        z = z - z.mean(2, keepdims=True)
+        size = np.sqrt((z * z).sum(2, keepdims=True))
+        scale = np.abs(x).max(1)[:, None, None] * np.sqrt(n) * 1e-12
+        z = np.where(size > scale, z / np.where(size > scale, size, 1), 0.0)
+        i, j = np.flatnonzero(b == key[1]), np.flatnonzero(b == key[2])
+        r = (z[i].reshape(len(i) * lags, n) @ z[j].reshape(len(j) * lags, n).T).reshape(len(i), lags, len(j), lags).transpose(0, 2, 1, 3)
+        rows = [(key[0], int(ids[a]), int(ids[c]), n, r[k, m].ravel()) for k, a in enumerate(i) for m, c in enumerate(j)]
+        if key[1] < key[2]:
+            rows += [(key[0], int(ids[c]), int(ids[a]), n, r[k, m].T.ravel()) for k, a in enumerate(i) for m, c in enumerate(j)]
+        return pd.DataFrame(rows, columns=["incident_id", "x", "y", "n", "r"])
+
+    dealt = spread(block_pairs(p_, p.select(*SERIES), block), "incident_id", "_p", "_q")
+    return dealt.groupBy("incident_id", "_p", "_q").applyInPandas(products, "incident_id string, x int, y int, n long, r array<double>")
+
+
+def _among(need: DataFrame, corr: DataFrame) -> DataFrame:
+    """The lagged correlations of every two of the services that a target needs (incident_id, target, service_id)."""
+    a = need.select("incident_id", "target", F.col("service_id").alias("x"))
+    b = need.select("incident_id", "target", F.col("service_id").alias("y"))
+    return a.join(b, ["incident_id", "target"]).join(corr, ["incident_id", "x", "y"])
+
+
+def _lag_matrix(pdf: pd.DataFrame, lags: int) -> tuple[list[int], np.ndarray]:
+    """(services, matrix) of a target's rows; lag t of service number s is row t * services + s."""
+    ids = sorted(set(pdf["x"]))
+    k = len(ids)
+    c = np.zeros((lags, k, lags, k))
+    i, j = np.searchsorted(ids, pdf["x"]), np.searchsorted(ids, pdf["y"])
+    for a, b, r in zip(i, j, pdf["r"], strict=True):
+        c[:, a, :, b] = np.asarray(r).reshape(lags, lags)
+    c = c.reshape(lags * k, lags * k)
+    np.fill_diagonal(c, 1.0)
+    return ids, c
+
+
+def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, alpha_level: float = 0.01, max_conds: int | None = None, block: int = 16) -> DataFrame:
     """(incident_id, effect, parent, tau, p): time-lagged links by two steps of partial correlation tests.
 
     Each target's lagged candidates are thinned by growing condition sets of its strongest others, of up
     to all others, or of ``max_conds`` if given; the
-    rest are tested given the target's and the candidate's own parents.  Lag 0 is left out.
+    rest are tested given the target's and the candidate's own parents.  Lag 0 is left out.  Correlations are
+    summed in blocks of services (``lagged_correlations``, which says what happens to series of different ranges); a target is a
+    group of its own, with the correlations of the services that correlate with it at all, then with those of its parents and their parents.
+    An incident with 3 tau_max + 5 samples or fewer beyond the lags has no link.
     """
-
-    def run(inc, pdf):
-        ids = pdf["service_id"].tolist()
-        x = np.stack([np.asarray(v, float) for v in pdf["vals"]])
-        n = x.shape[1] - 2 * tau_max
-        out = []
-        if n > 3 * tau_max + 5:
-            shifted = np.concatenate([x[:, 2 * tau_max - t : x.shape[1] - t] for t in range(2 * tau_max + 1)])
-            sd = shifted.std(1)
-            c = np.corrcoef(shifted + 0.0) if (sd > 0).all() else np.nan_to_num(np.corrcoef(shifted))
-            np.fill_diagonal(c, 1.0)
-            k = len(ids)
-            parents = {}
-            for j in range(k):
-                cand = [(t * k + i) for t in range(1, tau_max + 1) for i in range(k)]
-                cand.sort(key=lambda v: -abs(c[j, v]))
-                for size in range(len(cand) if max_conds is None else max_conds + 1):
-                    if len(cand) <= size:
-                        break
-                    for v in list(cand):
-                        others = [u for u in cand if u != v][:size]
-                        if len(others) == size and fisher_p(partial_corr(c, j, v, others), n, size) > pc_alpha:
-                            cand.remove(v)
-                parents[j] = cand
-            for j in range(k):
-                for v in parents[j]:
-                    t, i = divmod(v, k)
-                    cond = [u for u in parents[j] if u != v] + [u + t * k for u in parents[i][:max_conds] if u + t * k < len(c)]
-                    cond = [u for u in dict.fromkeys(cond) if u not in (j, v)]
-                    p = fisher_p(partial_corr(c, j, v, cond), n, len(cond))
-                    if p < alpha_level:
-                        out.append((inc[0], ids[j], ids[i], t, float(p)))
+    lags = 2 * tau_max + 1
+    corr = cut(lagged_correlations(metrics, tau_max, block).where(F.col("n") > 3 * tau_max + 5))
+    strongest = F.array_max(F.transform(F.slice("r", 2, tau_max), F.abs))
+    tied = corr.where(_fisher_z(strongest, F.col("n")) >= _critical(pc_alpha)).select("incident_id", F.col("x").alias("target"), F.col("y").alias("service_id"))
+    need = tied.unionByName(tied.select("incident_id", "target", F.col("target").alias("service_id"))).distinct()
+
+    def thin(pdf):
+        inc, target, n = pdf["incident_id"].iloc[0], pdf["target"].iloc[0], int(pdf["n"].iloc[0])
+        ids, c = _lag_matrix(pdf, lags)
+        k, j = len(ids), ids.index(target)
+        cand = [t * k + i for t in range(1, tau_max + 1) for i in range(k)]
+        cand.sort(key=lambda v: -abs(c[j, v]))
+        for size in range(len(cand) if max_conds is None else max_conds + 1):
+            if len(cand) <= size:
+                break
+            for v in list(cand):
+                others = [u for u in cand if u != v][:size]
+                if len(others) == size and fisher_p(partial_corr(c, j, v, others), n, size) > pc_alpha:
+                    cand.remove(v)
+        return pd.DataFrame([(inc, target, ids[v % k], v // k, pos) for pos, v in enumerate(cand)], columns=["incident_id", "target", "parent", "tau", "pos"])
+
+    parents = cut(spread(_among(need, corr), "incident_id", "target").groupBy("incident_id", "target").applyInPandas(thin, "incident_id string, target int, parent int, tau int, pos int"))
+    direct = parents.select("incident_id", "target", F.col("parent").alias("service_id")).distinct()
+    own = direct.select("incident_id", "target", F.col("target").alias("service_id")).distinct()
+    owners = cut(direct.unionByName(own).distinct())
+    of = owners.join(parents.select("incident_id", F.col("target").alias("service_id"), "parent", "tau", "pos"), ["incident_id", "service_id"])
+    need = owners.unionByName(of.select("incident_id", "target", F.col("parent").alias("service_id"))).distinct()
+
+    def settle(key, pdf, links):
+        n = int(pdf["n"].iloc[0])
+        ids, c = _lag_matrix(pdf, lags)
+        k, j, out = len(ids), ids.index(key[1]), []
+        of = {s: (np.searchsorted(ids, g["parent"]) + g["tau"] * k).tolist() for s, g in links.sort_values("pos").groupby("service_id")}
+        for v in of[key[1]]:
+            t, i = divmod(v, k)
+            cond = [u for u in of[key[1]] if u != v] + [u + t * k for u in of.get(ids[i], [])[:max_conds]]
+            cond = [u for u in dict.fromkeys(cond) if u not in (j, v)]
+            p = fisher_p(partial_corr(c, j, v, cond), n, len(cond))
+            if p < alpha_level:
+                out.append((key[0], key[1], ids[i], t, float(p)))
         return pd.DataFrame(out, columns=["incident_id", "effect", "parent", "tau", "p"])
 
-    return pack(metrics).groupBy("incident_id").applyInPandas(run, "incident_id string, effect int, parent int, tau int, p double")
+    keys = ["incident_id", "target"]
+    return spread(_among(need, corr), *keys).groupBy(*keys).cogroup(spread(_renewed(of), *keys).groupBy(*keys)).applyInPandas(settle, "incident_id string, effect int, parent int, tau int, p double")
 
 
 def partial_correlations(corr: DataFrame, entries: DataFrame, conds: DataFrame) -> DataFrame:

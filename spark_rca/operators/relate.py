@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spark_rca.operators.blocks import block_pairs
 from spark_rca.operators.prepare import SERIES
 
 
@@ -87,23 +90,40 @@ def keep_valid_windows(results: DataFrame, windows: DataFrame) -> DataFrame:
 # Aggregates
 
 
-def pearson_matrix(metrics: DataFrame, zero_diag: bool = True) -> DataFrame:
-    """(incident_id, x, y, corr) of every two services; the diagonal is 0 or 1.
+def pearson_matrix(metrics: DataFrame, zero_diag: bool = True, block: int = 32) -> DataFrame:
+    """(incident_id, x, y, corr) of every two services over the t that both have; the diagonal is 0 or 1.
 
-    One pass of sums per pair of packed series, so rows are not multiplied by T; NULL for constant series.
-    Means and variances come from the grouping, as columns: inside a lambda they would be summed again for each sample.
+    A pair without two shared samples, or with one series constant there, has NULL; of samples that repeat a t one counts, and NaN and
+    NULL are no samples.  Series are packed and dealt in pairs of blocks of ``block`` services, whose sums over shared
+    samples are six matrix products: a sample is sent once per block, and a task holds two blocks.
     """
-    v = F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"])
-    packed = metrics.groupBy(*SERIES).agg(F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("q"), v.alias("v"))
-    a = packed.select("incident_id", F.col("service_id").alias("x"), F.col("v").alias("vx"), F.col("m").alias("mx"), F.col("q").alias("qx"))
-    b = packed.select("incident_id", F.col("service_id").alias("y"), F.col("v").alias("vy"), F.col("m").alias("my"), F.col("q").alias("qy"))
-    p = a.join(b, "incident_id").where("x <= y")
-    dot = F.aggregate(F.zip_with("vx", "vy", lambda u, w: (u - F.col("mx")) * (w - F.col("my"))), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.col("qx") * F.col("qy"))
-    p = p.select("incident_id", "x", "y", F.when(F.col("x") == F.col("y"), 0.0 if zero_diag else 1.0).when(norm > 0, dot / norm).alias("corr"))
-    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
-    pairs = F.explode(F.when(F.col("x") == F.col("y"), F.slice(both, 1, 1)).otherwise(both))
-    return p.select("incident_id", pairs.alias("p"), "corr").select("incident_id", "p.x", "p.y", "corr")
+    packed = metrics.where("value IS NOT NULL AND NOT isnan(value)").groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
+    packed = packed.select(*SERIES, F.col("s.t").alias("ts"), F.col("s.value").alias("vs"))
+
+    def products(key, pdf):
+        at = np.unique(np.concatenate(pdf["ts"].tolist()))
+        v, on = np.zeros((len(pdf), len(at))), np.zeros((len(pdf), len(at)))
+        for k, (t, x) in enumerate(zip(pdf["ts"], pdf["vs"], strict=True)):
+            place, x = np.searchsorted(at, t), np.asarray(x, float)
+            v[k, place], on[k, place] = x - x.mean() if np.ptp(x) else 0.0, 1.0
+        b, ids = pdf["_b"].to_numpy(), pdf["service_id"].to_numpy()
+        i, j = np.flatnonzero(b == key[1]), np.flatnonzero(b == key[2])
+        vi, vj, oi, oj = v[i], v[j].T, on[i], on[j].T
+        n, sx, sy = oi @ oj, vi @ oj, oi @ vj
+        sxx, syy = (vi * vi) @ oj, oi @ (vj * vj)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            qx, qy = sxx - sx * sx / n, syy - sy * sy / n
+            fine = (n > 1) & (qx > 1e-12 * sxx) & (qy > 1e-12 * syy)
+            corr = np.where(fine, np.clip((vi @ vj - sx * sy / n) / np.sqrt(qx * qy), -1, 1), np.nan)
+        if key[1] == key[2]:
+            np.fill_diagonal(corr, 0.0 if zero_diag else 1.0)
+        x, y, c = np.repeat(ids[i], len(j)), np.tile(ids[j], len(i)), corr.ravel()
+        if key[1] < key[2]:
+            x, y, c = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([c, c])
+        return pd.DataFrame({"incident_id": key[0], "x": x, "y": y, "corr": c})
+
+    dealt = block_pairs(packed, packed.select(*SERIES), block)
+    return dealt.groupBy("incident_id", "_p", "_q").applyInPandas(products, "incident_id string, x int, y int, corr double")
 
 
 def entry_correlation(metrics: DataFrame, entries: DataFrame) -> DataFrame:

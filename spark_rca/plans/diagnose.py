@@ -12,7 +12,7 @@ from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
 from spark_rca.operators import windows as wn
 from spark_rca.operators.lineage import cut
-from spark_rca.sources.metrics import append_results, has_intervals, load_intervals, save_intervals
+from spark_rca.sources.metrics import append_results, load_intervals, missing_incidents, save_intervals, series_digests
 from spark_rca.streaming.spot import run_spot
 
 
@@ -41,31 +41,34 @@ def rank_from_strength(strength: DataFrame, local: DataFrame, entries: DataFrame
     return rl.rank_services(scores, ["incident_id"])
 
 
-def interval_key(bef: int, aft: int, step: int, lag: int, sig: float) -> str:
-    """The name under which interval tests are stored for reuse."""
-    return f"bef={bef},aft={aft},step={step},lag={lag},sig={sig:g}"
+def interval_key(bef: int, aft: int, step: int, lag: int, sig: float, min_len: int | None = None, max_len: int | None = None, adf: bool = False, bucket: int = 1) -> str:
+    """The name under which interval tests are stored for reuse: every parameter that they depend on.  Their start is part of the data's digest."""
+    return f"bef={bef},aft={aft},step={step},lag={lag},sig={sig:g},min={min_len},max={max_len},adf={adf},bucket={bucket}"
 
 
-def stored_tests(local: DataFrame, step: int, lag: int, sig: float, store: str | None, key: str) -> DataFrame:
-    """Interval tests, kept under ``key`` in ``store`` and read from there if a run has left them."""
-    spark = local.sparkSession
-    if store is not None and has_intervals(spark, store, key):
-        return load_intervals(spark, store, key)
-    tests = cz.granger_intervals(local, step, lag, sig)
+def stored_tests(local: DataFrame, step: int, lag: int, sig: float, store: str | None, key: str, **options) -> DataFrame:
+    """Interval tests, kept in ``store`` under ``key`` and a digest of each incident's samples; only incidents that are not there are tested."""
     if store is None:
-        return tests
-    save_intervals(tests.withColumn("params_id", F.lit(key)), store)
-    return load_intervals(spark, store, key)
+        return cz.granger_intervals(local, step, lag, sig, **options)
+    spark = local.sparkSession
+    incidents = cut(series_digests(local))
+    missing = cut(missing_incidents(spark, store, key, incidents))
+    if missing.take(1):
+        fresh = local.join(missing.select("incident_id"), "incident_id", "left_semi")
+        save_intervals(cz.granger_intervals(fresh, step, lag, sig, **options), missing, store, key)
+    return load_intervals(spark, store, key, incidents)
 
 
-def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, store: str | None = None, **rank) -> DataFrame:
+def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, store: str | None = None, min_interval: int | None = None, max_interval: int | None = None, adf: bool = False, bucket: int = 1, **rank) -> DataFrame:
     """Ranking by dynamic causality curves: start, interval tests, threshold, backtrace, rank.
 
-    With ``store``, interval tests of the same parameters are read from that folder, or written to it.
+    With ``store``, interval tests of the same samples and parameters are read from that folder, others are added to it.
+    Prepared series and the samples around the start are written once: start, tests and correlation read them.
     """
-    d = prepare(metrics)
-    local = pp.slice_incident(d, incident_start(d), bef, aft)
-    tests = stored_tests(local, step, lag, sig, store, interval_key(bef, aft, step, lag, sig))
+    d = cut(prepare(metrics, bucket))
+    local = cut(pp.slice_incident(d, incident_start(d), bef, aft))
+    options = {"min_len": min_interval, "max_len": max_interval, "adf": adf}
+    tests = stored_tests(local, step, lag, sig, store, interval_key(bef, aft, step, lag, sig, bucket=bucket, **options), **options)
     strength = rl.edge_strength(tests.where("accepted"), rl.service_pairs(metrics.select("incident_id", "service_id").distinct()))
     return rank_from_strength(strength, local, entries, ratio, max_len, **rank)
 

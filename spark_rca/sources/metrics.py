@@ -65,23 +65,57 @@ def write_matrix(edges: DataFrame, nodes: list[int], path: str) -> None:
     edge_matrix(edges, nodes).write.mode("overwrite").csv(path, header=True)
 
 
-def save_intervals(intervals: DataFrame, path: str) -> None:
-    """Persist interval results by parameter set, for reuse by the next run."""
-    intervals.write.mode("append").partitionBy("params_id").parquet(path)
+def series_digests(metrics: DataFrame) -> DataFrame:
+    """(incident_id, digest): a fingerprint of all samples of an incident, whatever their order; one narrow aggregate."""
+    h = F.xxhash64("service_id", "t", "value")
+    parts = metrics.groupBy("incident_id").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+    return parts.select("incident_id", F.concat_ws("-", F.hex("n"), F.hex("x"), F.col("s").cast("string")).alias("digest"))
 
 
-def has_intervals(spark: SparkSession, path: str, params_id: str) -> bool:
-    """Whether a finished run has left interval results of this parameter set."""
+def save_intervals(intervals: DataFrame, incidents: DataFrame, path: str, params_id: str) -> None:
+    """Keep the interval results of ``incidents`` (incident_id, digest) under a parameter set, for reuse by other runs.
+
+    Each incident leaves a row without x as well, so that one without results counts as done.  A save is a
+    partition of its own, named by what it holds: a job that is tried again overwrites its own rows.
+    """
+    done = incidents.select("incident_id", "digest")
+    run = done.agg(F.count("*"), F.bit_xor(F.xxhash64("incident_id", "digest"))).first()
+    rows = intervals.join(done, "incident_id")
+    marks = done.select(*[F.col(c) if c in done.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    rows = rows.unionByName(marks).withColumn("params_id", F.lit(params_id)).withColumn("run", F.lit(f"{run[0]}_{(run[1] or 0) & (2**64 - 1):x}"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("params_id", "run").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, params_id: str) -> DataFrame | None:
     try:
-        return bool(load_intervals(spark, path, params_id).take(1))
+        return spark.read.parquet(path).where(F.col("params_id") == params_id)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return False
+        return None
 
 
-def load_intervals(spark: SparkSession, path: str, params_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("params_id") == params_id)
+def has_intervals(spark: SparkSession, path: str, params_id: str) -> bool:
+    """Whether a finished run has left interval results of this parameter set, of any incident."""
+    kept = _stored(spark, path, params_id)
+    return kept is not None and bool(kept.take(1))
+
+
+def missing_incidents(spark: SparkSession, path: str, params_id: str, incidents: DataFrame) -> DataFrame:
+    """Those of ``incidents`` (incident_id, digest) whose very samples no finished run has tested with these parameters."""
+    kept = _stored(spark, path, params_id)
+    return incidents if kept is None else incidents.join(kept.where("x IS NULL").select("incident_id", "digest"), ["incident_id", "digest"], "left_anti")
+
+
+def load_intervals(spark: SparkSession, path: str, params_id: str, incidents: DataFrame | None = None) -> DataFrame:
+    """Results of a parameter set, of ``incidents`` (incident_id, digest) if given.  What two runs have saved at once counts once."""
+    kept = _stored(spark, path, params_id)
+    if kept is None:
+        raise ValueError(f"nothing is stored in {path}")
+    first = kept.where("x IS NULL").groupBy("incident_id", "digest").agg(F.min("run").alias("run"))
+    if incidents is not None:
+        first = first.join(incidents.select("incident_id", "digest"), ["incident_id", "digest"], "left_semi")
+    return kept.where("x IS NOT NULL").join(first, ["incident_id", "digest", "run"], "left_semi").drop("run", "digest")
 
 
 def append_results(*results: DataFrame) -> DataFrame:
