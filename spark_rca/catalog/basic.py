@@ -11,7 +11,10 @@ from spark_rca.operators import graph as gr
 from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
 from spark_rca.operators import windows as wn
+from spark_rca.operators.lineage import shared_folder
 from spark_rca.sources import metrics as io
+from spark_rca.streaming.runs import EventJob
+from spark_rca.streaming.spot import stream_prepare, stream_trips
 
 CATALOG: dict[str, tuple] = {}
 KEY = ["incident_id", "service_id", "t"]
@@ -666,13 +669,38 @@ def _(x):
 
 @add("t9_stream_prepare", "SELECT incident_id, service_id, date_diff('hour', TIMESTAMP '2024-01-01', time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')) AS h, round(sum(value), 2) AS value FROM ev GROUP BY 1, 2, 3")
 def _(x):
-    from spark_rca.streaming.spot import stream_prepare
-
     e = x.events().withColumn("ts", F.expr("cast(cast(ts AS string) || ' UTC' AS timestamp)"))
     d = stream_prepare(e.select("ts", "value", "incident_id", "service_id"), "6 hours", "1 hour", F.col("incident_id"), F.col("service_id"))
     return d.select("incident_id", "service_id", F.expr("(unix_seconds(start) - unix_seconds(timestamp'2024-01-01 00:00:00 UTC')) div 3600").alias("h"), F.round("value", 2).alias("value"))
 
 
+def _hours(c: str):
+    return F.expr(f"(unix_seconds({c}) - unix_seconds(timestamp'2024-01-01 00:00:00 UTC')) div 3600")
+
+
+def _event_job(x, transform):
+    """A streaming job over the table's own files, run until all windows are closed."""
+    e = x.read("events")
+    job = EventJob(x.spark, f"{x.dir}/events.parquet", e.schema, shared_folder(x.spark, "stream"), transform)
+    job.run()
+    return job.close()
+
+
+@add("t9_stream_buckets", "SELECT incident_id, service_id, date_diff('hour', TIMESTAMP '2024-01-01', time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')) AS h, round(sum(value), 2) AS value FROM ev GROUP BY 1, 2, 3")
+def _(x):
+    user = F.col("user_id")
+    d = _event_job(x, lambda e: stream_prepare(e, "6 hours", "1 hour", F.concat(F.lit("i"), F.floor(user / 36)), (F.floor(user / 3) % 12 + 1).cast("int")))
+    return d.select("incident_id", "service_id", _hours("start").alias("h"), F.round("value", 2).alias("value"))
+
+
+@add("p11_stream_trips", """, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS trip FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, trip""")
+def _(x):
+    d = _event_job(x, lambda e: stream_trips(e, "6 hours", "1 hour", "user_id"))
+    return d.select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
 # The flagship: when each incident starts, and how many services are unstable then.
 def flagship(x: Tables):
     return rl.anomaly_start(rl.anomaly_score(x.stds()), x.services())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_rca.catalog.fixtures import Tables
+from spark_rca.catalog.fixtures import T, Tables
 from spark_rca.functions.scalars import abnormality
 from spark_rca.operators import causality as cz
 from spark_rca.operators import graph as gr
@@ -14,7 +14,8 @@ from spark_rca.operators import relate as rl
 from spark_rca.operators.lineage import cut, shared_folder
 from spark_rca.operators.spline import fill_spline
 from spark_rca.plans import diagnose as dg
-from spark_rca.streaming.spot import fit_tails, run_spot
+from spark_rca.streaming.runs import drain, read_sink
+from spark_rca.streaming.spot import append_batch, fit_tails, run_spot, stream_spot
 
 WINDOW_GRID = {
     "dynamic_causality": [{"bef": 100, "step": 25}],
@@ -43,6 +44,23 @@ def reused_intervals(x: Tables) -> DataFrame:
     return tests.drop("params_id")
 
 
+def appended(x: Tables, **options) -> DataFrame:
+    """All rows of a series that comes in two halves, the second appended to the state that the first has left."""
+    d, store = cut(x.filled()), shared_folder(x.spark, "spot")
+    half = F.col("t") < T // 2
+    return append_batch(x.spark, store, 0, d.where(half), **options).unionByName(append_batch(x.spark, store, 1, d.where(~half), **options))
+
+
+def streamed(x: Tables, **options) -> DataFrame:
+    """The same as a stream whose files come in two halves, each taken by a run of the job."""
+    d, folder = cut(x.filled()), shared_folder(x.spark, "spot")
+    half = F.col("t") < T // 2
+    for part in (d.where(half), d.where(~half)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        drain(stream_spot(x.spark.readStream.schema(d.schema).parquet(f"{folder}/in"), **options), folder)
+    return read_sink(x.spark, folder)
+
+
 JOBS = {
     "p5_fill_cubic": lambda x: fill_spline(x.metrics(), "cubic"),
     "p5_fill_quadratic": lambda x: fill_spline(x.metrics(), "quadratic"),
@@ -67,7 +85,9 @@ JOBS = {
     "t4_bidspot": lambda x: run_spot(x.filled(), q=1e-4, depth=10, two_sided=True),
     "t7_adapt_mode": lambda x: run_spot(x.filled(), q=1e-3, adapt=True),
     "t5_gpd_fit": lambda x: fit_tails(x.filled(), 0.9),
-    "t8_append_stream": lambda x: run_spot(x.filled(), n_init=200, q=1e-3),
+    "t8_append_stream": lambda x: appended(x, n_init=200, q=1e-3),
+    "t1_stream_spot": lambda x: streamed(x, n_init=200, q=1e-3),
+    "t4_stream_bidspot": lambda x: streamed(x, n_init=200, q=1e-4, depth=10, two_sided=True),
     "io5_stored_intervals": lambda x: reused_intervals(x),
     "g8_dependency_graph": lambda x: dg.dependency_graph(x.metrics()),
     "y1_diagnose_dynamic_causality": lambda x: judged(x, "dynamic_causality"),

@@ -12,7 +12,7 @@ from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
 from spark_rca.operators import windows as wn
 from spark_rca.operators.lineage import cut
-from spark_rca.sources.metrics import append_results, load_intervals, missing_incidents, save_intervals, series_digests
+from spark_rca.sources.metrics import append_results, load_intervals, missing_incidents, save_tests, series_digests
 from spark_rca.streaming.spot import run_spot
 
 
@@ -55,7 +55,7 @@ def stored_tests(local: DataFrame, step: int, lag: int, sig: float, store: str |
     missing = cut(missing_incidents(spark, store, key, incidents))
     if missing.take(1):
         fresh = local.join(missing.select("incident_id"), "incident_id", "left_semi")
-        save_intervals(cz.granger_intervals(fresh, step, lag, sig, **options), missing, store, key)
+        save_tests(cz.granger_intervals(fresh, step, lag, sig, **options), missing, store, key)
     return load_intervals(spark, store, key, incidents)
 
 

@@ -72,8 +72,13 @@ def series_digests(metrics: DataFrame) -> DataFrame:
     return parts.select("incident_id", F.concat_ws("-", F.hex("n"), F.hex("x"), F.col("s").cast("string")).alias("digest"))
 
 
-def save_intervals(intervals: DataFrame, incidents: DataFrame, path: str, params_id: str) -> None:
-    """Keep the interval results of ``incidents`` (incident_id, digest) under a parameter set, for reuse by other runs.
+def save_intervals(intervals: DataFrame, path: str) -> None:
+    """Keep results with a ``params_id``, in place of what was kept of the same parameter sets before."""
+    intervals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("params_id").parquet(path)
+
+
+def save_tests(intervals: DataFrame, incidents: DataFrame, path: str, params_id: str) -> None:
+    """Keep the interval tests of ``incidents`` (incident_id, digest) under a parameter set, for reuse by other runs.
 
     Each incident leaves a row without x as well, so that one without results counts as done.  A save is a
     partition of its own, named by what it holds: a job that is tried again overwrites its own rows.
@@ -108,10 +113,12 @@ def missing_incidents(spark: SparkSession, path: str, params_id: str, incidents:
 
 
 def load_intervals(spark: SparkSession, path: str, params_id: str, incidents: DataFrame | None = None) -> DataFrame:
-    """Results of a parameter set, of ``incidents`` (incident_id, digest) if given.  What two runs have saved at once counts once."""
+    """Results of a parameter set, of ``incidents`` (incident_id, digest) if given.  Tests that two runs have saved at once count once."""
     kept = _stored(spark, path, params_id)
     if kept is None:
         raise ValueError(f"nothing is stored in {path}")
+    if "run" not in kept.columns:
+        return kept
     first = kept.where("x IS NULL").groupBy("incident_id", "digest").agg(F.min("run").alias("run"))
     if incidents is not None:
         first = first.join(incidents.select("incident_id", "digest"), ["incident_id", "digest"], "left_semi")

@@ -10,14 +10,14 @@ The method is that of the published streaming extreme-value algorithm (KDD 2017)
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from spark_rca.functions.numeric import gpd_fit, tail_level
+from spark_rca.operators.lineage import cut
 
 OUT = "incident_id string, service_id int, t long, value double, upper double, lower double, alarm boolean"
 
@@ -93,12 +93,57 @@ class Spot:
         out.__dict__.update(json.loads(text))
         return out
 
+    def head(self) -> str:
+        """Everything but the peaks, whose number grows."""
+        return json.dumps({k: v for k, v in self.__dict__.items() if k != "peaks"})
+
+    @classmethod
+    def restore(cls, head: str, peaks: dict[str, list[float]]) -> Spot:
+        out = cls.load(head)
+        out.peaks = peaks
+        return out
+
+
+class Series:
+    """A series as it comes: samples until it is calibrated, then its Spot.  Both the state table and the stream feed it."""
+
+    def __init__(self, n_init: int, options: dict, spot: Spot | None = None, buffer: list[tuple[int, float]] | None = None):
+        self.n_init, self.options, self.spot, self.buffer = n_init, options, spot, buffer or []
+        self.last = spot.last_t if spot else self.buffer[-1][0] if self.buffer else None
+
+    def feed(self, samples: list[tuple[int, float]]) -> list[tuple]:
+        """(t, value, upper, lower, alarm) of new samples, by t.  Those at or before the last t are late, and of those with one t the least value counts."""
+        out = []
+        for t, v in sorted(samples):
+            if self.last is not None and t <= self.last:
+                continue
+            self.last = t
+            if self.spot is None:
+                self.buffer.append((t, v))
+                if len(self.buffer) == self.n_init:
+                    self.spot = Spot(**self.options)
+                    self.spot.fit(np.array([x for _, x in self.buffer]))
+                    self.buffer = []
+            else:
+                out.append((t, v, *self.spot.step(v)))
+            if self.spot is not None:
+                self.spot.last_t = t
+        return out
+
+
+def _samples(pdf: pd.DataFrame) -> list[tuple[int, float]]:
+    d = pdf[["t", "value"]].dropna()
+    return list(zip(d["t"].astype("int64").tolist(), d["value"].astype(float).tolist(), strict=True))
+
 
 def run_spot(metrics: DataFrame, n_init: int | None = None, **options) -> DataFrame:
-    """Thresholds and alarms of every series in batch; ``n_init`` samples (half by default) calibrate and give no row."""
+    """Thresholds and alarms of every series in batch; ``n_init`` samples (half by default) calibrate and give no row.
+
+    Samples without t or value are left out; of those with one t the least value counts.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t").drop_duplicates("t")
+        pdf = pdf.dropna(subset=["t", "value"]).sort_values(["t", "value"]).drop_duplicates("t")
         k = len(pdf) // 2 if n_init is None else n_init
         spot = Spot(**options)
         spot.fit(pdf["value"].to_numpy()[:k])
@@ -120,35 +165,104 @@ def fit_tails(metrics: DataFrame, level: float = 0.98) -> DataFrame:
     return metrics.select("incident_id", "service_id", "value").groupBy("incident_id", "service_id").applyInPandas(run, "incident_id string, service_id int, peaks long, gamma double, sigma double")
 
 
-def stream_spot(stream: DataFrame, n_init: int, **options) -> DataFrame:
-    """The same over a streaming DataFrame (incident_id, service_id, t, value), append mode.
+#: A series' state between appends: ``head`` is null until ``n_init`` samples have come, which wait in ``buffer``.
+STATE = "incident_id string, service_id int, head string, upper_peaks array<double>, lower_peaks array<double>, buffer array<struct<t:long,value:double>>"
+_BOTH = f"{OUT}, head string, upper_peaks array<double>, lower_peaks array<double>, buffer array<struct<t:long,value:double>>, is_state boolean"
+_COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+
 
-    Each micro-batch is sorted by t; rows at or before the last processed t are late and dropped.
-    State is the calibration buffer until ``n_init`` samples have come, then the fitted state.
+def append_spot(state: DataFrame, new: DataFrame, n_init: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(rows, next state) after ``new`` samples (incident_id, service_id, t, value) of any series.
+
+    ``state`` (STATE) is what the last append gave, or empty; series without new samples keep theirs.  Whatever the
+    appends, the rows are those of one batch run with the same ``n_init`` over all samples, as long as each append's samples come after
+    those of the last; later ones are left out, repeated ones too.  State and samples meet in one join by
+    series and are written once, rows and state together.
     """
 
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        buf, dumped = state.get if state.exists else ("[]", "")
-        buf, spot = json.loads(buf), Spot.load(dumped) if dumped else None
-        last = spot.last_t if spot else (buf[-1][0] if buf else None)
-        rows = []
-        for t, v in sorted({(int(r.t), float(r.value)) for f in frames for r in f.itertuples(index=False)}):
-            if last is not None and t <= last:
-                continue
-            last = t
-            if spot is None:
-                buf.append((t, v))
-                if len(buf) == n_init:
-                    spot = Spot(**options)
-                    spot.fit(np.array([x for _, x in buf]))
-                    spot.last_t, buf = last, []
-                continue
-            rows.append((key[0], key[1], t, v, *spot.step(v)))
-            spot.last_t = last
-        state.update((json.dumps(buf), spot.dump() if spot else ""))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+    def run(key, old, pdf):
+        if len(old):
+            r = old.iloc[0]
+            peaks = {"1": list(r["upper_peaks"])} | ({"-1": list(r["lower_peaks"])} if r["lower_peaks"] is not None else {}) if r["head"] is not None else {}
+            s = Series(n_init, options, Spot.restore(r["head"], peaks) if r["head"] is not None else None, [(int(x["t"]), float(x["value"])) for x in r["buffer"]])
+        else:
+            s = Series(n_init, options)
+        rows = [(*key, *x, None, None, None, None, False) for x in s.feed(_samples(pdf))]
+        blank = [None] * (len(_COLUMNS) - 2)
+        spot = s.spot
+        kept = [spot.head(), spot.peaks["1"], spot.peaks.get("-1")] if spot else [None, None, None]
+        rows.append((*key, *blank, *kept, [{"t": t, "value": v} for t, v in s.buffer], True))
+        return pd.DataFrame(rows, columns=[*_COLUMNS, "head", "upper_peaks", "lower_peaks", "buffer", "is_state"]).astype({"t": "Int64", "alarm": "boolean"})
+
+    keys = ["incident_id", "service_id"]
+    old = state.select([F.col(c.split()[0]).alias(c.split()[0]) for c in STATE.split(", ")])
+    both = cut(old.groupBy(*keys).cogroup(new.select("incident_id", "service_id", "t", "value").groupBy(*keys)).applyInPandas(run, _BOTH))
+    return both.where("NOT is_state").select(*_COLUMNS), both.where("is_state").select([c.split()[0] for c in STATE.split(", ")])
+
+
+def append_batch(spark: SparkSession, store: str, number: int, new: DataFrame, n_init: int, **options) -> DataFrame:
+    """The rows of append ``number`` (from 0), with the state of the one before read from ``store`` and the next one left there.
+
+    Both are written in place of what an earlier try of the same number has left, so a try that failed, or a micro-batch that
+    ``foreachBatch`` repeats, changes nothing.
+    """
+    at = lambda kind, n: f"{store}/{kind}/number={n}"
+    state = spark.read.schema(STATE).parquet(at("state", number - 1)) if number else spark.createDataFrame([], STATE)
+    rows, state = append_spot(state, new, n_init, **options)
+    rows.write.mode("overwrite").parquet(at("rows", number))
+    state.write.mode("overwrite").parquet(at("state", number))
+    return spark.read.schema(OUT).parquet(at("rows", number))
+
+
+class SpotProcessor(StatefulProcessor):
+    """Keyed state of a streamed series: a value of fixed size, and a list of peaks per side to which new ones are appended."""
+
+    def __init__(self, n_init: int, options: dict):
+        self.n_init, self.options = n_init, options
+
+    def init(self, handle) -> None:
+        self.head = handle.getValueState("head", "head string")
+        self.buffer = handle.getListState("buffer", "t long, value double")
+        self.peaks = {"1": handle.getListState("upper", "x double"), "-1": handle.getListState("lower", "x double")}
+
+    def handleInputRows(self, key, rows, timerValues):
+        samples = [x for pdf in rows for x in _samples(pdf)]
+        known = self.head.exists()
+        peaks = {k: [x[0] for x in s.get()] for k, s in self.peaks.items()} if known else {}
+        spot = Spot.restore(self.head.get()[0], {k: v for k, v in peaks.items() if k == "1" or v or self.options.get("two_sided")}) if known else None
+        s = Series(self.n_init, self.options, spot, [] if known else [tuple(x) for x in self.buffer.get()])
+        waiting = len(s.buffer)
+        out = s.feed(samples)
+        if s.spot is not None:
+            if not known:
+                self.buffer.clear()
+            self.head.update((s.spot.head(),))
+            for k, now in s.spot.peaks.items():
+                if s.spot.max_peaks is not None:  # a bound drops some of the old ones
+                    self.peaks[k].put([(x,) for x in now]) if now else self.peaks[k].clear()
+                elif fresh := now[len(peaks.get(k, [])) :]:
+                    self.peaks[k].appendList([(x,) for x in fresh])
+        elif fresh := s.buffer[waiting:]:
+            self.buffer.appendList(fresh)
+        yield pd.DataFrame([(*key, *x) for x in out], columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that lists need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_spot(stream: DataFrame, n_init: int, **options) -> DataFrame:
+    """The same over a streaming DataFrame (incident_id, service_id, t, value), append mode.
 
-    return stream.groupBy("incident_id", "service_id").applyInPandasWithState(run, OUT, "buffer string, spot string", "append", "NoTimeout")
+    Each micro-batch is sorted by t; rows at or before the last processed t are late and dropped.  A micro-batch writes the
+    series' fixed part and its new peaks only.  The session's state store becomes RocksDB, which alone has lists.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    d = stream.select("incident_id", F.col("service_id").cast("int").alias("service_id"), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
+    return d.groupBy("incident_id", "service_id").transformWithStateInPandas(SpotProcessor(n_init, options), OUT, "append", "none")
 
 
 def stream_prepare(events: DataFrame, bucket: str, delay: str, incident, service) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spark_rca.operators import causality as cz
 from spark_rca.operators import relate as rl
 from spark_rca.plans import diagnose as dg
-from spark_rca.sources.metrics import load_intervals, missing_incidents, save_intervals, series_digests
+from spark_rca.sources.metrics import load_intervals, missing_incidents, save_tests, series_digests
 
 METRIC = "incident_id string, service_id int, t long, value double"
 
@@ -98,8 +98,8 @@ def test_a_save_that_is_tried_again_doubles_nothing(spark, tmp_path, driven):
     assert missing_incidents(spark, store, "k", incidents).count() == 2
     tests = cz.granger_intervals(d, 40, 2)
     for _ in range(2):
-        save_intervals(tests, incidents, store, "k")
-    save_intervals(tests.where("incident_id = 'a'"), incidents.where("incident_id = 'a'"), store, "k")  # another run at the same time
+        save_tests(tests, incidents, store, "k")
+    save_tests(tests.where("incident_id = 'a'"), incidents.where("incident_id = 'a'"), store, "k")  # another run at the same time
     assert load_intervals(spark, store, "k", incidents).count() == tests.count() > 0
     assert missing_incidents(spark, store, "k", incidents).count() == 0
     assert missing_incidents(spark, store, "k", series_digests(d.withColumn("value", F.col("value") + 1))).count() == 2
