@@ -563,6 +563,12 @@ def _(x):
     return gr.score_paths(x.paths()).select("incident_id", F.concat_ws(",", F.transform("path", lambda s: s.cast("string"))).alias("path"), r6("prob").alias("prob"))
 
 
+@add("r2_best_paths", """, hp AS (SELECT *, nullif(len([p for p in probs if p <> 1]), 0) / list_sum([1 / p for p in probs if p <> 1]) AS prob FROM paths),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY round(prob, 9) DESC NULLS LAST, len(path), path) AS pos FROM hp) SELECT incident_id, entry, round(prob, 6) AS prob, pos, FALSE AS capped FROM rk WHERE pos <= 20""")
+def _(x):
+    return v6(gr.best_paths(x.edges(), x.entries(), 4, 20), "prob").select("incident_id", "entry", "prob", F.col("pos").cast("long").alias("pos"), "capped")
+
+
 @add("r4_ranknode", TOP + "SELECT c.incident_id, c.s AS service_id, round(c.cnt / 40::DOUBLE + coalesce(corr, 0), 6) AS score FROM (SELECT incident_id, s, count(*) AS cnt FROM (SELECT incident_id, entry, unnest(path[greatest(1, len(path) - 1):]) AS s FROM best) WHERE s <> entry GROUP BY 1, 2) c LEFT JOIN corr k ON k.incident_id = c.incident_id AND k.service_id = c.s")
 def _(x):
     return v6(gr.ranknode(x.scored().withColumn("prob", F.round("prob", 9)), x.corr(), 20, 2, 0.35), "score")
@@ -648,9 +654,12 @@ def _(x):
     return v6(gr.tbac_rating(c, gr.reach(x.edges(), "callers", 6), gr.reach(x.edges(), "callees", 6)), "score")
 
 
-@add("r16_microcause_q", """, z AS (SELECT incident_id, service_id, CASE WHEN service_id = 1 THEN 0 ELSE corr END AS c FROM corr), bo AS (SELECT e.incident_id, src, dst, c AS weight FROM edges e JOIN z ON z.incident_id = e.incident_id AND z.service_id = e.dst
+MICRO = """, z AS (SELECT incident_id, service_id, CASE WHEN service_id = 1 THEN 0 ELSE corr END AS c FROM corr), bo AS (SELECT e.incident_id, src, dst, c AS weight FROM edges e JOIN z ON z.incident_id = e.incident_id AND z.service_id = e.dst
     UNION ALL SELECT e.incident_id, e.dst, e.src, 0.2::DOUBLE * c FROM edges e JOIN z ON z.incident_id = e.incident_id AND z.service_id = e.src WHERE NOT EXISTS (SELECT 1 FROM edges f WHERE f.incident_id = e.incident_id AND f.src = e.dst AND f.dst = e.src)),
-  mx AS (SELECT incident_id, src, max(weight) AS m FROM bo GROUP BY 1, 2), al AS (SELECT * FROM bo UNION ALL SELECT z.incident_id, service_id, service_id, greatest(0, c - m) FROM z JOIN mx ON mx.incident_id = z.incident_id AND mx.src = z.service_id)
+  mx AS (SELECT incident_id, src, max(weight) AS m FROM bo GROUP BY 1, 2), al AS (SELECT * FROM bo UNION ALL SELECT z.incident_id, service_id, service_id, greatest(0, c - m) FROM z JOIN mx ON mx.incident_id = z.incident_id AND mx.src = z.service_id)"""
+
+
+@add("r16_microcause_q", MICRO + """
   SELECT incident_id, src, dst, round(weight / sum(weight) OVER (PARTITION BY incident_id, src), 6) AS weight FROM al WHERE weight > 0""")
 def _(x):
     return v6(gr.microcause_q(x.edges(), x.corr(), x.entries(), 0.2), "weight")
@@ -662,6 +671,28 @@ def _(x):
     return v6(gr.gamma_scores(v, x.corr().withColumnRenamed("corr", "eta"), 0.6), "score")
 
 
+#: Visits of a walk of N steps: mass moves along ``st`` (incident_id, a, b, w) from the entry; what reaches a dead end jumps by ``jp`` (incident_id, b, w).
+WALK = """, wk AS (SELECT 0 AS k, incident_id, service_id AS a, 1.0::DOUBLE AS m FROM entries
+  UNION ALL SELECT k + 1, incident_id, b, sum(m) FROM (SELECT k, wk.incident_id, st.b, wk.m * st.w AS m FROM wk JOIN st ON st.incident_id = wk.incident_id AND st.a = wk.a
+    UNION ALL SELECT k, wk.incident_id, jp.b, wk.m * jp.w FROM wk JOIN jp ON jp.incident_id = wk.incident_id WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.incident_id = wk.incident_id AND st.a = wk.a)) WHERE k < %d GROUP BY 1, 2, 3)"""
+
+
+@add("r7_first_order_walk", MONITOR + """, st AS (SELECT incident_id, src AS a, dst AS b, weight / sum(weight) OVER (PARTITION BY incident_id, src) AS w FROM tr),
+  jp AS (SELECT incident_id, service_id AS b, corr / sum(corr) OVER (PARTITION BY incident_id) AS w FROM corr)""" + WALK % 100 + """
+  SELECT c.incident_id, c.service_id, round(coalesce(m, 0), 6) AS visits FROM corr c LEFT JOIN (SELECT incident_id, a, sum(m) AS m FROM wk WHERE k > 0 GROUP BY 1, 2) v ON v.incident_id = c.incident_id AND v.a = c.service_id""")
+def _(x):
+    p, corr = gr.monitor_rank_transition(x.edges(), x.corr(), x.entries(), 0.3), x.corr().withColumnRenamed("corr", "weight")
+    return v6(gr.expected_visits(p, x.entries(), 100, corr, restart=False), "visits")
+
+
+@add("r18_restarting_walk", MICRO + """, st AS (SELECT incident_id, src AS a, dst AS b, weight / sum(weight) OVER (PARTITION BY incident_id, src) AS w FROM al WHERE weight > 0),
+  jp AS (SELECT incident_id, 0 AS b, 0.0::DOUBLE AS w FROM entries WHERE FALSE)""" + WALK % 50 + """
+  SELECT n.incident_id, n.s AS service_id, round(coalesce(m, 0), 6) AS visits FROM (SELECT incident_id, a AS s FROM st UNION SELECT incident_id, b FROM st UNION SELECT incident_id, service_id FROM entries WHERE incident_id IN (SELECT incident_id FROM st)) n
+  LEFT JOIN (SELECT incident_id, a, sum(m) AS m FROM wk WHERE k > 0 GROUP BY 1, 2) v ON v.incident_id = n.incident_id AND v.a = n.s""")
+def _(x):
+    return v6(gr.expected_visits(gr.microcause_q(x.edges(), x.corr(), x.entries(), 0.2), x.entries(), 50), "visits")
+
+
 @add("r20_graph_at", PATH_EDGES + ", l AS (SELECT *, cnt / (max(cnt) OVER (PARTITION BY incident_id, x, y))::DOUBLE AS w FROM curves) SELECT l.incident_id, src, dst, round(w, 6) AS weight FROM l JOIN pe ON pe.incident_id = l.incident_id AND pe.src = l.x AND pe.dst = l.y WHERE t = 300 AND w > 0.1")
 def _(x):
     return v6(gr.graph_at(x.curves(), rl.path_edges(x.paths()), 300, 0.1), "weight").select("incident_id", "src", "dst", "weight")

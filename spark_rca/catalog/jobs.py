@@ -75,10 +75,8 @@ JOBS = {
     "g9_lagged_links": lambda x: cz.lagged_links(x.dense(), 10),
     "g10_partial_corr": lambda x: cz.partial_correlations(rl.pearson_matrix(x.filled()), x.entries(), rl.confounders(x.edges(), x.entries())),
     "r5_resample_graph_by_walk": lambda x: gr.resample_graph_by_walk(x.edges(), x.entries(), 50),
-    "r7_first_order_walk": lambda x: gr.expected_visits(gr.monitor_rank_transition(x.edges(), x.corr(), x.entries(), 0.3), x.entries(), 100, x.corr().withColumnRenamed("corr", "weight"), restart=False),
     "r9_second_order_walk": lambda x: gr.second_order_visits(gr.cloud_ranger_transition(x.edges(), x.corr(), 0.3, 0.2), x.entries(), 50),
     "r17_microcause_q_partial": lambda x: gr.microcause_q(x.edges(), cz.partial_correlations(rl.pearson_matrix(x.filled()), x.entries(), rl.confounders(x.edges(), x.entries())), x.entries(), 0.2, selves=False, flip=True),
-    "r18_restarting_walk": lambda x: gr.expected_visits(gr.microcause_q(x.edges(), x.corr(), x.entries(), 0.2), x.entries(), 50),
     "t1_spot": lambda x: run_spot(x.filled(), q=1e-3),
     "t2_bispot": lambda x: run_spot(x.filled(), q=1e-3, two_sided=True),
     "t3_dspot": lambda x: run_spot(x.filled(), q=1e-3, depth=10),

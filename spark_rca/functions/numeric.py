@@ -109,6 +109,7 @@ def adf_p(x: np.ndarray, max_lag: int | None = None) -> float:
     max_lag = min(max_lag, n // 2 - 2)
     if max_lag < 0 or np.ptp(x) == 0:
         return math.nan
+    x = (x - x.mean()) / x.std()  # the statistic does not depend on level and scale, its rounding does
     dx = np.diff(x)
 
     def fit(lag: int, first: int) -> tuple[float, float]:
@@ -125,7 +126,11 @@ def adf_p(x: np.ndarray, max_lag: int | None = None) -> float:
         return -2 * llf + 2 * k, float(beta[0] / math.sqrt(max(cov, 1e-300)))
 
     best = min(range(max_lag + 1), key=lambda k: fit(k, max_lag)[0])
-    tau = fit(best, best)[1]
+    return adf_tail(fit(best, best)[1])
+
+
+def adf_tail(tau: float) -> float:
+    """P-value of a Dickey-Fuller statistic."""
     if tau > ADF_MAX:
         return 1.0
     if tau < ADF_MIN:
@@ -134,6 +139,89 @@ def adf_p(x: np.ndarray, max_lag: int | None = None) -> float:
     return normal_cdf(sum(c * tau**k for k, c in enumerate(coef)))
 
 
+def adf_stack(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_lag: int | None = None) -> np.ndarray:
+    """``adf_p`` of x[start:end] for many intervals of one series.
+
+    Rows of (difference, level, earlier differences) have one prefix Gram; an interval's is a difference of two of its sums.
+    With the constant swept out, one Cholesky factor of it in the order of the lags holds the residual sums of all
+    nested regressions, so the lag of least AIC costs a stack of factors for all intervals.  An interval
+    whose factor fails, or nearly, is fitted by ``adf_p``.
+    """
+    x = np.asarray(x, float)
+    size = ends - starts
+    top = np.array([int(math.ceil(12 * (n / 100) ** 0.25)) for n in size]) if max_lag is None else np.full(len(size), max_lag)
+    top = np.minimum(top, size // 2 - 2)
+    moves = np.concatenate([[0], np.cumsum(np.diff(x) != 0)])
+    out = np.full(len(size), math.nan)
+    live = np.flatnonzero((top >= 0) & (moves[np.maximum(ends - 1, 0)] > moves[np.minimum(starts, len(moves) - 1)]))
+    if not len(live):
+        return out
+    z = (x - x.mean()) / (x.std() or 1)
+    dz, widest = np.diff(z), int(top[live].max())
+    rows = np.zeros((len(dz), widest + 3))
+    rows[:, 0], rows[:, 1], rows[:, -1] = dz, z[:-1], 1
+    for k in range(1, widest + 1):
+        rows[k:, 1 + k] = dz[: len(dz) - k]
+    pre = np.concatenate([np.zeros((1, rows.shape[1], rows.shape[1])), np.cumsum(rows[:, :, None] * rows[:, None, :], axis=0)])
+
+    def swept(i, lag):
+        """Gram of difference, level and ``lag`` earlier differences, and the number of rows, without the constant."""
+        g = pre[ends[i] - 1] - pre[starts[i] + lag[:, None, None].ravel()]
+        mean = g[:, -1, :-1] / g[:, -1:, -1]
+        return g[:, :-1, :-1] - g[:, -1, :-1, None] * mean[:, None, :], g[:, -1, -1]
+
+    def residuals(g, width):
+        """Residual sums with 0, 1, ... ``width`` regressors, each stacked; NaN where they can't be told from rounding."""
+        keep = [*range(1, width + 1), 0]
+        a = g[:, keep][:, :, keep]
+        scale = np.sqrt(np.maximum(np.einsum("nii->ni", a), 1e-300))
+        a = a / scale[:, :, None] / scale[:, None, :]
+        try:
+            f = np.linalg.cholesky(a)
+        except np.linalg.LinAlgError:
+            f = np.full_like(a, math.nan)
+            for k, one in enumerate(a):
+                try:
+                    f[k] = np.linalg.cholesky(one)
+                except np.linalg.LinAlgError:
+                    pass
+        weak = np.einsum("nii->ni", f).min(1) < 1e-4
+        left = 1 - np.concatenate([np.zeros((len(a), 1)), np.cumsum(f[:, -1, :-1] ** 2, axis=1)], axis=1)
+        left[:, -1] = f[:, -1, -1] ** 2
+        return np.where(weak[:, None], math.nan, left * scale[:, -1:] ** 2), f, scale
+
+    for lag in np.unique(top[live]).tolist():
+        i = live[top[live] == lag]
+        g, m = swept(i, np.full(len(i), lag))
+        ssr = residuals(g, lag + 1)[0][:, 1:]
+        k = np.arange(lag + 1) + 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            aic = m[:, None] * (math.log(2 * math.pi) + np.log(ssr / m[:, None]) + 1) + 2 * k
+        aic[m[:, None] <= k] = math.inf
+        bad = np.isnan(aic).any(1) | np.isinf(aic).all(1)
+        best = np.where(bad, 0, np.argmin(np.where(np.isnan(aic), math.inf, aic), axis=1))
+        # Two lags whose AIC rounding could swap are left to the direct fit too.
+        two = np.sort(np.where(np.isnan(aic), math.inf, aic), axis=1)[:, :2] if lag else None
+        if two is not None:
+            bad |= ~(two[:, 1] > two[:, 0] + 1e-7)
+        for b in np.unique(best[~bad]).tolist():
+            at = np.flatnonzero((best == b) & ~bad)
+            g, m = swept(i[at], np.full(len(at), b))
+            ssr, f, scale = residuals(g, b + 1)
+            ok = ~np.isnan(ssr[:, -1]) & (m > b + 2)
+            bad[at[~ok]] = True
+            if not ok.any():
+                continue
+            low, y = f[ok][:, :-1, :-1], f[ok][:, -1, :-1]
+            beta = np.linalg.solve(low.transpose(0, 2, 1), y[:, :, None])[:, 0, 0]
+            inverse = np.linalg.solve(low, np.eye(b + 1)[None, :, :1])
+            spread = (inverse**2).sum((1, 2)) * f[ok][:, -1, -1] ** 2 / (m[ok] - b - 2)
+            out[i[at[ok]]] = [adf_tail(t) for t in (beta / np.sqrt(np.maximum(spread, 1e-300))).tolist()]
+        for j in i[bad].tolist():
+            out[j] = adf_p(x[starts[j] : ends[j]], max_lag)
+    return out
+
+
 def partial_corr(corr: np.ndarray, i: int, j: int, cond: list[int]) -> float:
     """Partial correlation of i and j given cond, from the precision matrix of their block."""
     idx = [i, j, *cond]

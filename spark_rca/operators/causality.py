@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_rca.functions.numeric import adf_p, fisher_p, granger_p, granger_stats, lag_rows, partial_corr
+from spark_rca.functions.numeric import adf_stack, fisher_p, granger_p, granger_stats, lag_rows, partial_corr
 from spark_rca.operators.blocks import block_pairs, spread
 from spark_rca.operators.lineage import cut
 from spark_rca.operators.prepare import SERIES
@@ -82,16 +82,16 @@ def granger_intervals(metrics: DataFrame, step: int, lag: int, sig: float = 0.1,
                 on = p_yx < sig
                 if on.any():
                     back[on] = granger_p(lag_rows(cx, cy, lag), s[on], e[on], lag)
+                ok = on & (back >= sig)
+                gate = np.full((2, len(s)), np.nan)
+                tested = np.zeros((2, len(s)), bool)
+                for side, v in enumerate((vy, vx) if adf else ()):
+                    tested[side] = ok
+                    gate[side, ok] = adf_stack(v[:n], s[ok], e[ok], lag)
+                    ok &= ~tested[side] | (gate[side] <= sig)
                 for k in np.flatnonzero(~np.isnan(p_yx)):
-                    ok = bool(on[k] and back[k] >= sig)
-                    ay = ax = None
-                    if adf and ok:
-                        ay = adf_p(vy[s[k] : e[k]], lag)
-                        ok = ay <= sig
-                        if ok:
-                            ax = adf_p(vx[s[k] : e[k]], lag)
-                            ok = ax <= sig
-                    out.append((r.incident_id, r.x, r.y, int(i[k]), int(j[k]), int(r.t0 + s[k]), int(r.t0 + e[k]), float(p_yx[k]), None if np.isnan(back[k]) else float(back[k]), ay, ax, bool(ok)))
+                    ay, ax = (float(gate[side, k]) if tested[side, k] else None for side in (0, 1))
+                    out.append((r.incident_id, r.x, r.y, int(i[k]), int(j[k]), int(r.t0 + s[k]), int(r.t0 + e[k]), float(p_yx[k]), None if np.isnan(back[k]) else float(back[k]), ay, ax, bool(ok[k])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TESTS.split(", ")])
 
     return packed_pairs(metrics).mapInPandas(run, TESTS)
@@ -140,7 +140,7 @@ def granger_full_graph(metrics: DataFrame, lag: int, sig: float) -> DataFrame:
 def adf_pvalues(metrics: DataFrame, max_lag: int | None = None) -> DataFrame:
     def run(it):
         for pdf in it:
-            yield pd.DataFrame({"incident_id": pdf["incident_id"], "service_id": pdf["service_id"], "p": [adf_p(np.asarray(v, float), max_lag) for v in pdf["vals"]]})
+            yield pd.DataFrame({"incident_id": pdf["incident_id"], "service_id": pdf["service_id"], "p": [float(adf_stack(np.asarray(v, float), np.array([0]), np.array([len(v)]), max_lag)[0]) for v in pdf["vals"]]})
 
     return pack(metrics).mapInPandas(run, "incident_id string, service_id int, p double")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_rca.functions.scalars import path_mean
+from spark_rca.operators.blocks import spread
 from spark_rca.operators.lineage import cut
 from spark_rca.operators.relate import add_backward_edges, path_node_counts, second_order_states, top_paths
 from spark_rca.operators.windows import adaptive_threshold, normalize
@@ -39,12 +44,12 @@ def _walk_paths(edges: DataFrame, starts: DataFrame, end_col: str, next_col: str
     return out, step
 
 
-def backtrace_paths(edges: DataFrame, entries: DataFrame, max_len: int, reach_end: bool = True, cap: int = 10_000) -> DataFrame:
+def backtrace_paths(edges: DataFrame, entries: DataFrame, max_len: int, reach_end: bool = True, cap: int | None = None) -> DataFrame:
     """Simple paths from the entry over predecessors with weight over 0.
 
     A path is emitted at a node without predecessors or at the maximum length; one that can only
-    repeat a node is dropped, unless ``reach_end`` is false.  At most ``cap`` paths per incident and
-    level go on, in the order of their nodes.
+    repeat a node is dropped, unless ``reach_end`` is false.  With ``cap``, at most so many paths per incident and
+    level go on, in the order of their nodes; ``best_paths`` finds the most probable ones without listing all.
     """
     every, step = _walk_paths(edges, entries, "dst", "src", max_len, cap)
     ends = every.withColumn("_at", F.element_at("path", -1))
@@ -58,6 +63,80 @@ def backtrace_paths(edges: DataFrame, entries: DataFrame, max_len: int, reach_en
     return ends.where(done).select("incident_id", "entry", "path", "edge_probs")
 
 
+def _search(edges: dict[int, list[tuple[int, float]]], entries: list[int], max_len: int, k: int, mean: str, reach_end: bool) -> list[tuple[int, list[int], list[float]]]:
+    """The k most probable paths of one graph, and all that tie with the last of them, by best-first search.
+
+    A partial path stands at the best mean that any end of it could have: with as many of the graph's best edge as fit, or with
+    one or none, for a mean moves towards that edge.  Partial paths that cannot reach the k-th best whole one any more go.
+    """
+    slack = 1 + 1e-9
+    term = {"arithmetic": lambda w: w, "geometric": math.log, "harmonic": lambda w: 1 / w}[mean]
+    counts = [w for near in edges.values() for _, w in near if mean == "arithmetic" or w != 1]
+    best = max(counts, default=None)
+
+    def value(total: float, n: int) -> float:
+        if n == 0:
+            return 0.0 if mean == "arithmetic" else -1.0  # the mean is NULL, the last in order
+        return total / n if mean == "arithmetic" else math.exp(total / n) if mean == "geometric" else n / total
+
+    def bound(total: float, n: int, left: int) -> float:
+        if best is None:
+            return value(total, n)
+        return max([value(total, n)] + [value(total + r * term(best), n + r) for r in (1, left)])
+
+    heap, whole, order = [], [], count()
+    least = -math.inf
+
+    def push(entry, path, probs, total, n):
+        nonlocal least
+        near = edges.get(path[-1], ())
+        done = not near or len(path) == max_len or (not reach_end and any(x in path for x, _ in near))
+        if done:
+            v = value(total, n)
+            whole.append((v, entry, path, probs))
+            heapq.heappush(top, v)
+            if len(top) > k:
+                heapq.heappop(top)
+            if len(top) == k:
+                least = top[0]
+        if near and len(path) < max_len:
+            b = bound(total, n, max_len - len(path))
+            if b * slack >= least:
+                heapq.heappush(heap, (-b, -len(path), next(order), entry, path, probs, total, n))
+
+    top: list[float] = []
+    for e in sorted(entries):
+        push(e, [e], [], 0.0, 0)
+    while heap:
+        b, _, _, entry, path, probs, total, n = heapq.heappop(heap)
+        if -b * slack < least:
+            break
+        for x, w in edges[path[-1]]:
+            if x not in path:
+                one = mean != "arithmetic" and w == 1
+                push(entry, [*path, x], [*probs, w], total if one else total + term(w), n if one else n + 1)
+    return [(entry, path, probs) for v, entry, path, probs in whole if v * slack >= least or v >= least]
+
+
+def best_paths(edges: DataFrame, entries: DataFrame, max_len: int, k: int, mean: str = "harmonic", least: float = 0.0, reach_end: bool = True) -> DataFrame:
+    """(incident_id, entry, path, edge_probs, prob, pos, capped): what ``top_paths`` takes of all of ``backtrace_paths``, without listing these.
+
+    The search is exact, so ``capped`` is false.  An incident is a task's group: its edges, and the partial paths that may still win.
+    """
+
+    def run(key, edge, entry):
+        graph: dict[int, list[tuple[int, float]]] = {}
+        for s, d, w in zip(edge["src"].tolist(), edge["dst"].tolist(), edge["weight"].tolist(), strict=True):
+            if w > 0:
+                graph.setdefault(d, []).append((s, w))
+        found = _search(graph, entry["service_id"].tolist(), max_len, k, mean, reach_end)
+        return pd.DataFrame([(key[0], *x) for x in found], columns=["incident_id", "entry", "path", "edge_probs"])
+
+    own = entries.select(F.col("incident_id").alias("incident_id"), F.col("service_id").alias("service_id"))
+    found = spread(edges, "incident_id").groupBy("incident_id").cogroup(spread(own, "incident_id").groupBy("incident_id")).applyInPandas(run, "incident_id string, entry int, path array<int>, edge_probs array<double>")
+    return top_paths(score_paths(found, mean), k, least).withColumn("capped", F.lit(False))
+
+
 def score_paths(paths: DataFrame, method: str = "harmonic") -> DataFrame:
     return paths.withColumn("prob", path_mean(F.col("edge_probs"), method))
 

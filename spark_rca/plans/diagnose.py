@@ -36,7 +36,7 @@ def dynamic_causality(prepared: DataFrame, starts: DataFrame, bef: int, aft: int
 
 def rank_from_strength(strength: DataFrame, local: DataFrame, entries: DataFrame, ratio: float = 0.8, max_len: int = 4, mean: str = "harmonic", topk: int = 50, num_sel: int = 1) -> DataFrame:
     edges = gr.transition_graph(strength, ratio)
-    paths = gr.score_paths(gr.backtrace_paths(edges, entries, max_len), mean)
+    paths = gr.best_paths(edges, entries, max_len, topk, mean)
     scores = gr.ranknode(paths, rl.entry_correlation(local, entries), topk, num_sel)
     return rl.rank_services(scores, ["incident_id"])
 
@@ -203,7 +203,7 @@ def compare_thresholds(strength: DataFrame, local: DataFrame, entries: DataFrame
     for kind, values in (("adaptive", ratios), ("static", levels)):
         for x in values:
             kept = wn.adaptive_threshold(strength, x) if kind == "adaptive" else wn.static_threshold(strength, x)
-            paths = gr.score_paths(gr.backtrace_paths(wn.normalize(kept, "dst"), entries, max_len))
+            paths = gr.best_paths(wn.normalize(kept, "dst"), entries, max_len, 50)
             r = rl.rank_services(gr.ranknode(paths, corr, 50, 1), ["incident_id"]).withColumn("params_id", F.lit(f"{kind}={x}"))
             out = r if out is None else out.unionByName(r)
     return evaluate(cut(out), truth, services, ("incident_id", "params_id"))
