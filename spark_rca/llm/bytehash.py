@@ -43,7 +43,9 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 def prefix(data: np.ndarray, codes: np.ndarray = CODES) -> np.ndarray:
     """Prefix sums p with hash(data[a:b]) = span(p, a, b)."""
-    return summed(codes[data])
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * _power("up", len(data)), out=out[1:])
+    return out
 
 
 def summed(codes: np.ndarray) -> np.ndarray:
