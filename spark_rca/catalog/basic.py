@@ -586,13 +586,16 @@ def _(x):
     return v6(gr.monitor_rank_transition(x.edges(), x.corr(), x.entries(), 0.3), "weight").select("incident_id", "src", "dst", "weight")
 
 
-@add("r8_cloud_ranger_transition", """, p0 AS (SELECT e.incident_id, src, dst, corr AS w FROM edges e JOIN corr c ON c.incident_id = e.incident_id AND c.service_id = e.dst), p AS (SELECT incident_id, src, dst, w / sum(w) OVER (PARTITION BY incident_id, src) AS w FROM p0),
+CLOUD = """, p0 AS (SELECT e.incident_id, src, dst, corr AS w FROM edges e JOIN corr c ON c.incident_id = e.incident_id AND c.service_id = e.dst), p AS (SELECT incident_id, src, dst, w / sum(w) OVER (PARTITION BY incident_id, src) AS w FROM p0),
   f AS (SELECT a.incident_id, a.src AS prev, a.dst AS cur, b.dst AS nxt, 0.7::DOUBLE * a.w + 0.3::DOUBLE * b.w AS prob FROM p a JOIN p b ON a.incident_id = b.incident_id AND a.dst = b.src),
   b AS (SELECT a.incident_id, a.src AS prev, a.dst AS cur, i.src AS nxt, 0.2::DOUBLE * (0.7::DOUBLE * a.w + 0.3::DOUBLE * i.w) AS prob FROM p a JOIN p i ON a.incident_id = i.incident_id AND a.dst = i.dst WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.incident_id = a.incident_id AND f.prev = a.src AND f.cur = a.dst AND f.nxt = i.src)),
   bo AS (SELECT incident_id, prev, cur, nxt, prob / nullif(sum(prob) OVER w, 0) AS prob FROM f WINDOW w AS (PARTITION BY incident_id, prev, cur) UNION ALL SELECT incident_id, prev, cur, nxt, prob / nullif(sum(prob) OVER w, 0) FROM b WINDOW w AS (PARTITION BY incident_id, prev, cur)),
   mx AS (SELECT bo.incident_id, prev, cur, max(corr) AS m FROM bo JOIN corr c ON c.incident_id = bo.incident_id AND c.service_id = bo.nxt WHERE nxt <> cur GROUP BY 1, 2, 3),
   se AS (SELECT mx.incident_id, prev, cur, cur AS nxt, greatest(0, corr - m) AS prob FROM mx JOIN corr c ON c.incident_id = mx.incident_id AND c.service_id = mx.cur WHERE NOT EXISTS (SELECT 1 FROM bo WHERE bo.incident_id = mx.incident_id AND bo.prev = mx.prev AND bo.cur = mx.cur AND bo.nxt = mx.cur)),
-  al AS (SELECT * FROM bo WHERE prob > 0 UNION ALL SELECT * FROM se WHERE prob > 0)
+  al AS (SELECT * FROM bo WHERE prob > 0 UNION ALL SELECT * FROM se WHERE prob > 0)"""
+
+
+@add("r8_cloud_ranger_transition", CLOUD + """
   SELECT incident_id, prev, cur, nxt AS next, round(prob / sum(prob) OVER (PARTITION BY incident_id, prev, cur), 6) AS prob FROM al""")
 def _(x):
     return v6(gr.cloud_ranger_transition(x.edges(), x.corr(), 0.3, 0.2), "prob").select("incident_id", "prev", "cur", "next", "prob")
@@ -693,6 +696,27 @@ def _(x):
     return v6(gr.expected_visits(gr.microcause_q(x.edges(), x.corr(), x.entries(), 0.2), x.entries(), 50), "visits")
 
 
+@add("r9_second_order_walk", CLOUD + """, st AS (SELECT incident_id, prev, cur, nxt, prob / sum(prob) OVER (PARTITION BY incident_id, prev, cur) AS w FROM al),
+  f1 AS (SELECT DISTINCT incident_id, cur FROM st WHERE prev = 1), own AS (SELECT incident_id FROM f1 WHERE cur = 1),
+  s0 AS (SELECT incident_id, cur, CASE WHEN incident_id IN (SELECT incident_id FROM own) THEN (cur = 1)::INT ELSE 1 / count(*) OVER (PARTITION BY incident_id) END AS m FROM f1),
+  wk AS (SELECT 0 AS k, incident_id, 1 AS p, cur AS c, m::DOUBLE AS m FROM s0
+    UNION ALL SELECT k + 1, incident_id, c, n, sum(m) FROM (SELECT k, wk.incident_id, st.cur AS c, st.nxt AS n, wk.m * st.w AS m FROM wk JOIN st ON st.incident_id = wk.incident_id AND st.prev = wk.p AND st.cur = wk.c) WHERE k < 50 GROUP BY 1, 2, 3, 4)
+  SELECT n.incident_id, n.s AS service_id, round(coalesce(m, 0), 6) AS visits FROM (SELECT incident_id, cur AS s FROM st UNION SELECT incident_id, nxt FROM st UNION SELECT incident_id, 1 FROM st) n
+  LEFT JOIN (SELECT incident_id, c, sum(m) AS m FROM wk WHERE k > 0 GROUP BY 1, 2) v ON v.incident_id = n.incident_id AND v.c = n.s""")
+def _(x):
+    return v6(gr.second_order_visits(gr.cloud_ranger_transition(x.edges(), x.corr(), 0.3, 0.2), x.entries(), 50), "visits")
+
+
+@add("r5_resample_graph_by_walk", """, pr AS (SELECT incident_id, dst AS a, src AS b, 0.8::DOUBLE * weight / sum(weight) OVER (PARTITION BY incident_id, dst) AS w FROM edges),
+  st AS (SELECT * FROM pr UNION ALL SELECT incident_id, src, dst, 0.1::DOUBLE * weight / sum(weight) OVER (PARTITION BY incident_id, src) FROM edges
+    UNION ALL SELECT incident_id, s, s, 0.1::DOUBLE FROM (SELECT incident_id, src AS s FROM edges UNION SELECT incident_id, dst FROM edges)),
+  jp AS (SELECT incident_id, 0 AS b, 0.0::DOUBLE AS w FROM entries WHERE FALSE)""" + WALK % 50 + """,
+  us AS (SELECT pr.incident_id, pr.b AS src, pr.a AS dst, pr.w * v.m AS weight FROM pr JOIN (SELECT incident_id, a, sum(m) AS m FROM wk GROUP BY 1, 2) v ON v.incident_id = pr.incident_id AND v.a = pr.a WHERE pr.w * v.m > 0)
+  SELECT incident_id, src, dst, round(weight / sum(weight) OVER (PARTITION BY incident_id, dst), 6) AS weight FROM us""")
+def _(x):
+    return v6(gr.resample_graph_by_walk(x.edges(), x.entries(), 50), "weight").select("incident_id", "src", "dst", "weight")
+
+
 @add("r20_graph_at", PATH_EDGES + ", l AS (SELECT *, cnt / (max(cnt) OVER (PARTITION BY incident_id, x, y))::DOUBLE AS w FROM curves) SELECT l.incident_id, src, dst, round(w, 6) AS weight FROM l JOIN pe ON pe.incident_id = l.incident_id AND pe.src = l.x AND pe.dst = l.y WHERE t = 300 AND w > 0.1")
 def _(x):
     return v6(gr.graph_at(x.curves(), rl.path_edges(x.paths()), 300, 0.1), "weight").select("incident_id", "src", "dst", "weight")

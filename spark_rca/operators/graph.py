@@ -187,76 +187,110 @@ def cloud_ranger_transition(edges: DataFrame, corr: DataFrame, beta: float, rho:
     return share(both.unionByName(selves.where("prob > 0")).where("prob > 0"))
 
 
-def expected_visits(transitions: DataFrame, entries: DataFrame, steps: int, teleport: DataFrame | None = None, restart: bool = True) -> DataFrame:
-    """Expected visits of a walk of ``steps`` steps from the entry: v <- vP, summed.
+#: Steps (edges or second-order transitions) of an incident up to which a walk over it is one group's work; beyond, each step is a join.
+WALK_EDGES = 1_000_000
 
-    Without ``restart``, mass that reaches a dead end jumps by the ``teleport`` weights (service_id,
-    weight); with it, the walk stops there.  Expected values replace seeded walks, so results don't
-    depend on partitioning.  One incident's graph is one group (a few hundred services).
+
+def _walked(steps: DataFrame, start: DataFrame, jump: DataFrame | None, n: int, nodes: list[str], limit: int) -> DataFrame:
+    """(incident_id, *nodes, visits): visits of the states ``nodes`` in n steps from ``start`` (incident_id, *nodes, m), summed over the steps.
+
+    ``steps`` are (incident_id, *nodes, the same with _ in front, w).  ``jump`` (incident_id, *nodes, w), w summing to 1, is
+    where mass at a state without steps goes.  Incidents of up to ``limit`` steps are groups, sparse in memory.  For larger ones each
+    step is a join on the state and a sum with partial sums before the shuffle, so that hubs are no hot keys; what is kept between two steps is
+    one row per state in the shared folder.
     """
-    edges = transitions.groupBy("incident_id").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("e"))
-    d = edges.join(entries.withColumnRenamed("service_id", "entry"), "incident_id")
-    if teleport is not None:
-        d = d.join(teleport.groupBy("incident_id").agg(F.collect_list(F.struct("service_id", "weight")).alias("jump")), "incident_id", "left")
-    else:
-        d = d.withColumn("jump", F.lit(None).cast("array<struct<service_id:int,weight:double>>"))
+    names = [f"_{c}" for c in nodes]
+    steps, start = cut(steps), cut(start)
+    many = cut(steps.groupBy("incident_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("incident_id"))
+    part = lambda d, how: d.join(many, "incident_id", how)
+    struct = lambda *c: F.collect_list(F.struct(*c))
+    d = part(steps, "left_anti").groupBy("incident_id").agg(struct(*nodes, *names, "w").alias("e")).join(start.groupBy("incident_id").agg(struct(*nodes, "m").alias("s")), "incident_id")
+    if jump is not None:
+        d = d.join(jump.groupBy("incident_id").agg(struct(*nodes, "w").alias("j")), "incident_id", "left")
 
     def run(it):
         for pdf in it:
             out = []
             for r in pdf.itertuples(index=False):
-                jump = {j["service_id"]: j["weight"] for j in r.jump} if r.jump is not None else {}
-                ids = sorted({x for e in r.e for x in (e["src"], e["dst"])} | {r.entry} | set(jump))
-                at = {s: k for k, s in enumerate(ids)}
-                p = np.zeros((len(ids), len(ids)))
-                for e in r.e:
-                    p[at[e["src"]], at[e["dst"]]] += e["weight"]
-                dead = p.sum(1) == 0
-                j = np.array([jump.get(s, 0.0) for s in ids])
-                v, total = np.zeros(len(ids)), np.zeros(len(ids))
-                v[at[r.entry]] = 1
-                for _ in range(steps):
+                jumps = getattr(r, "j", None)
+                edge, first = pd.DataFrame.from_records(list(r.e)), pd.DataFrame.from_records(list(r.s))
+                leap = pd.DataFrame.from_records(list(jumps)) if jumps is not None else None
+                keys = [edge[nodes].to_numpy(), edge[names].to_numpy(), first[nodes].to_numpy(), *([] if leap is None else [leap[nodes].to_numpy()])]
+                states, at = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
+                cuts = np.cumsum([len(k) for k in keys])[:-1]
+                a, b, s, *j = np.split(at.ravel(), cuts)
+                k, w = len(states), edge["w"].to_numpy()
+                v, total = np.bincount(s, first["m"], k), np.zeros(k)
+                dead = np.bincount(a, minlength=k) == 0
+                leaps = np.bincount(j[0], leap["w"], k) if j else None
+                for _ in range(n):
                     lost = v[dead].sum()
-                    v = v @ p
-                    if not restart and j.sum() > 0:
-                        v = v + lost * j / j.sum()
+                    v = np.bincount(b, v[a] * w, k)
+                    if leaps is not None:
+                        v = v + lost * leaps
                     total += v
-                out += [(r.incident_id, s, float(x)) for s, x in zip(ids, total, strict=True)]
-            yield pd.DataFrame(out, columns=["incident_id", "service_id", "visits"])
-
-    return d.mapInPandas(run, "incident_id string, service_id int, visits double")
+                out += [(r.incident_id, *map(int, x), float(t)) for x, t in zip(states, total, strict=True)]
+            yield pd.DataFrame(out, columns=["incident_id", *nodes, "visits"])
+
+    done = d.mapInPandas(run, f"incident_id string, {', '.join(f'{c} int' for c in nodes)}, visits double")
+    if not many.take(1):
+        return done
+    key = ["incident_id", *nodes]
+    big = cut(part(steps, "left_semi"))
+    v = cut(part(start, "left_semi").select(*key, "m"))
+    ends = big.select("incident_id", *[F.col(x).alias(c) for x, c in zip(names, nodes, strict=True)])
+    leaps = cut(part(jump, "left_semi")) if jump is not None else None
+    every = big.select(*key).unionByName(ends).unionByName(v.select(*key))
+    total = cut((every if leaps is None else every.unionByName(leaps.select(*key))).distinct().withColumn("visits", F.lit(0.0)))
+    for _ in range(n):
+        moved = v.join(big, key).select("incident_id", *[F.col(x).alias(c) for x, c in zip(names, nodes, strict=True)], (F.col("m") * F.col("w")).alias("m"))
+        if leaps is not None:
+            lost = v.join(big.select(*key).distinct(), key, "left_anti").groupBy("incident_id").agg(F.sum("m").alias("_m"))
+            moved = moved.unionByName(leaps.join(lost, "incident_id").select(*key, (F.col("_m") * F.col("w")).alias("m")))
+        v = cut(moved.groupBy(*key).agg(F.sum("m").alias("m")))
+        total = cut(total.join(v, key, "left").select(*key, (F.col("visits") + F.coalesce("m", F.lit(0.0))).alias("visits")))
+    return done.unionByName(total)
+
+
+def expected_visits(transitions: DataFrame, entries: DataFrame, steps: int, teleport: DataFrame | None = None, restart: bool = True, limit: int = WALK_EDGES) -> DataFrame:
+    """Expected visits of a walk of ``steps`` steps from the entry: v <- vP, summed.
 
+    Without ``restart``, mass that reaches a dead end jumps by the ``teleport`` weights (service_id,
+    weight); with it, the walk stops there.  Expected values replace seeded walks, so results don't
+    depend on partitioning.  Incidents of more than ``limit`` edges are walked by joins, see ``_walked``.
+    """
+    edges = transitions.groupBy("incident_id", F.col("src").alias("s"), F.col("dst").alias("_s")).agg(F.sum("weight").alias("w"))
+    start = entries.join(transitions.select("incident_id").distinct(), "incident_id").select("incident_id", F.col("service_id").alias("s"), F.lit(1.0).alias("m"))
+    jump = None
+    if teleport is not None:
+        all_ = F.sum("weight").over(Window.partitionBy("incident_id"))
+        share = F.when(all_ > 0, F.col("weight") / F.when(all_ > 0, all_)).otherwise(0.0) if not restart else F.lit(0.0)
+        jump = teleport.withColumn("weight", F.coalesce("weight", F.lit(0.0))).select("incident_id", F.col("service_id").alias("s"), share.alias("w"))
+    # A state whose steps weigh nothing is a dead end, but a state.
+    live = edges.where("w > 0")
+    still = edges.select("incident_id", F.explode(F.array("s", "_s")).alias("s")).distinct().withColumn("m", F.lit(0.0))
+    start = start.unionByName(still).groupBy("incident_id", "s").agg(F.sum("m").alias("m"))
+    out = _walked(live, start, jump, steps, ["s"], limit)
+    return out.select("incident_id", F.col("s").alias("service_id"), "visits")
 
-def second_order_visits(states: DataFrame, entries: DataFrame, steps: int) -> DataFrame:
-    """Expected visits over (prev, cur) states from (entry, entry); a state without steps ends the walk."""
-    d = states.groupBy("incident_id").agg(F.collect_list(F.struct("prev", "cur", "next", "prob")).alias("e")).join(entries.withColumnRenamed("service_id", "entry"), "incident_id")
 
-    def run(it):
-        for pdf in it:
-            out = []
-            for r in pdf.itertuples(index=False):
-                keys = sorted({(e["prev"], e["cur"]) for e in r.e} | {(e["cur"], e["next"]) for e in r.e} | {(r.entry, r.entry)})
-                at = {s: k for k, s in enumerate(keys)}
-                a = np.array([at[e["prev"], e["cur"]] for e in r.e], int)
-                b = np.array([at[e["cur"], e["next"]] for e in r.e], int)
-                w = np.array([e["prob"] for e in r.e], float)
-                v, total = np.zeros(len(keys)), np.zeros(len(keys))
-                v[at[r.entry, r.entry]] = 1
-                if not (a == at[r.entry, r.entry]).any():  # the first step is of first order
-                    first = sorted({e["cur"] for e in r.e if e["prev"] == r.entry})
-                    v[:] = 0
-                    for c in first:
-                        v[at[r.entry, c]] = 1 / len(first)
-                for _ in range(steps):
-                    v = np.bincount(b, v[a] * w, len(keys))
-                    total += v
-                per: dict[int, float] = {}
-                for (_, c), x in zip(keys, total, strict=True):
-                    per[c] = per.get(c, 0.0) + float(x)
-                out += [(r.incident_id, c, x) for c, x in sorted(per.items())]
-            yield pd.DataFrame(out, columns=["incident_id", "service_id", "visits"])
+def second_order_visits(states: DataFrame, entries: DataFrame, steps: int, limit: int = WALK_EDGES) -> DataFrame:
+    """Expected visits over (prev, cur) states from (entry, entry); a state without steps ends the walk.
 
-    return d.mapInPandas(run, "incident_id string, service_id int, visits double")
+    Where nothing leaves (entry, entry), the first step is of first order: to each service that follows the entry, alike.
+    """
+    states = cut(states)
+    e = entries.select("incident_id", F.col("service_id").alias("p"))
+    edges = states.select("incident_id", F.col("prev").alias("p"), F.col("cur").alias("c"), F.col("cur").alias("_p"), F.col("next").alias("_c"), F.col("prob").alias("w"))
+    from_entry = edges.join(e, ["incident_id", "p"]).select("incident_id", "p", "c").distinct()
+    own = F.max(F.col("p") == F.col("c")).over(Window.partitionBy("incident_id"))
+    n = F.count("*").over(Window.partitionBy("incident_id"))
+    first = from_entry.withColumn("_own", own).withColumn("_n", n)
+    first = first.select("incident_id", "p", "c", F.when(F.col("_own"), (F.col("p") == F.col("c")).cast("double")).otherwise(1 / F.col("_n")).alias("m"))
+    still = edges.select("incident_id").distinct().join(e, "incident_id").select("incident_id", "p", F.col("p").alias("c"), F.lit(0.0).alias("m"))
+    start = first.unionByName(still).groupBy("incident_id", "p", "c").agg(F.sum("m").alias("m"))
+    out = _walked(edges, start, None, steps, ["p", "c"], limit)
+    return out.groupBy("incident_id", F.col("c").alias("service_id")).agg(F.sum("visits").alias("visits"))
 
 
 def resample_graph_by_walk(edges: DataFrame, entries: DataFrame, steps: int, back: float = 0.8, ahead: float = 0.1, stay: float = 0.1) -> DataFrame:
