@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spark_rca.catalog.fixtures import PRELUDE, Tables
 from spark_rca.functions.scalars import format_result, path_mean, scaled_diff, tail_quantile
 from spark_rca.operators import causality as cz
+from spark_rca.operators import chunks as ch
 from spark_rca.operators import graph as gr
 from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
@@ -379,6 +380,15 @@ def _(x):
     return v6(x.stds(), "std").select(*KEY, "std")
 
 
+CHUNKED = {
+    "w1_rolling_mean": lambda x: v6(ch.rolling_mean(x.filled(), 24, 50), "mean").select(*KEY, "mean"),
+    "w2_rolling_std": lambda x: v6(ch.rolling_std(x.z(), 50, 50), "std").select(*KEY, "std"),
+    "w3_back_mean": lambda x: v6(ch.back_mean(x.filled(), 10, 50), "mean"),
+    "p3_fill_zeros": lambda x: ch.fill_zeros(x.metrics(), 50),
+    "p6_zscore": lambda x: v6(ch.zscore(x.filled())),
+}
+
+
 @add("w3_back_mean", "SELECT incident_id, service_id, t, round(m, 6) AS mean FROM (SELECT *, avg(value) OVER (PARTITION BY incident_id, service_id ORDER BY t ROWS 9 PRECEDING) AS m FROM filled) WHERE t >= 9")
 def _(x):
     return v6(wn.back_mean(x.filled(), 10), "mean")
@@ -756,6 +766,11 @@ def _(x):
     return d.select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
+# The same series operators over ranges of t: the same SQL.
+for _name, _run in CHUNKED.items():
+    CATALOG[f"{_name}_chunks"] = (lambda spark, d, f=_run: f(Tables(spark, d)), CATALOG[_name][1])
+
+
 # The flagship: when each incident starts, and how many services are unstable then.
 def flagship(x: Tables):
     return rl.anomaly_start(rl.anomaly_score(x.stds()), x.services())
