@@ -24,6 +24,7 @@ WINDOW_GRID = {
     "netmedic": [{"bins": 50, "max_len": 3}],
     "tbac": [{}],
 }
+GRAPH_GRID = {"monitor_rank": [{"rho": 0.2}, {"rho": 0.5}], "tbac": [{}], "dynamic_causality": [{"bef": 100, "step": 25}]}
 PARAM_GRID = {"cloud_ranger": [{"beta": 0.3, "rho": r, "steps": 30} for r in (0.2, 0.5)], "dynamic_causality": [{"step": 20, "sig": s} for s in (0.05, 0.1)]}
 
 
@@ -96,6 +97,8 @@ JOBS = {
     "y5_diagnose_tbac": lambda x: judged(x, "tbac", True),
     "y6_diagnose_microcause": lambda x: judged(x, "microcause"),
     "y7_sweep_windows": lambda x: dg.best_of_sweep(dg.sweep_windows(x.metrics(), x.entries(), x.truth(), x.edges(), 400, [200, 400], WINDOW_GRID)),
+    "y7_sweep_own_graphs": lambda x: dg.sweep_reports(dg.sweep_windows(x.metrics(), x.entries(), x.truth(), None, 400, [200, 400], GRAPH_GRID, [(1, 0.1), (20, 0.1)]))["top5"].drop("time_mean"),
+    "y8_sweep_microcause": lambda x: dg.sweep_params(x.metrics(), x.entries(), x.truth(), None, {"microcause": [{"tau_max": 3, "rho": r, "lam": v} for r in (0.2, 0.5) for v in (0.5, 0.8)]}),
     "y8_sweep_params": lambda x: dg.sweep_params(x.metrics(), x.entries(), x.truth(), x.edges(), PARAM_GRID),
     "y9_compare_thresholds": lambda x: dg.compare_thresholds(x.strength(), pp.zscore(x.filled()), x.entries(), x.truth(), [0.5, 0.8], [150.0]),
 }

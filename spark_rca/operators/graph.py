@@ -200,11 +200,14 @@ def _walked(steps: DataFrame, start: DataFrame, jump: DataFrame | None, n: int,
     one row per state in the shared folder.
     """
     names = [f"_{c}" for c in nodes]
-    steps, start = cut(steps), cut(start)
-    many = cut(steps.groupBy("incident_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("incident_id"))
+    steps = cut(steps)
+    many = steps.groupBy("incident_id").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("incident_id")
+    some = bool(many.take(1))
+    if some:
+        many, start = cut(many), cut(start)
     part = lambda d, how: d.join(many, "incident_id", how)
     struct = lambda *c: F.collect_list(F.struct(*c))
-    d = part(steps, "left_anti").groupBy("incident_id").agg(struct(*nodes, *names, "w").alias("e")).join(start.groupBy("incident_id").agg(struct(*nodes, "m").alias("s")), "incident_id")
+    d = (part(steps, "left_anti") if some else steps).groupBy("incident_id").agg(struct(*nodes, *names, "w").alias("e")).join(start.groupBy("incident_id").agg(struct(*nodes, "m").alias("s")), "incident_id")
     if jump is not None:
         d = d.join(jump.groupBy("incident_id").agg(struct(*nodes, "w").alias("j")), "incident_id", "left")
 
@@ -233,7 +236,7 @@ def _walked(steps: DataFrame, start: DataFrame, jump: DataFrame | None, n: int,
             yield pd.DataFrame(out, columns=["incident_id", *nodes, "visits"])
 
     done = d.mapInPandas(run, f"incident_id string, {', '.join(f'{c} int' for c in nodes)}, visits double")
-    if not many.take(1):
+    if not some:
         return done
     key = ["incident_id", *nodes]
     big = cut(part(steps, "left_semi"))

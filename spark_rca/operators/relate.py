@@ -51,7 +51,8 @@ def param_grid(spark: SparkSession, valid: str = "true", **values: list) -> Data
 def attach_graph_time(results: DataFrame, times: DataFrame) -> DataFrame:
     """Adds the time of building the graph where it is known and over 0 (-1: it was cached)."""
     keys = ["window_start", "window_len", "pc_aggregate", "pc_alpha"]
-    d = results.join(times, keys, "left")
+    known = times.select(*[F.col(k).alias(f"_{k}") for k in keys], "pc_time")
+    d = results.join(known, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
     return d.withColumn("time", F.col("time") + F.when(F.col("pc_time") > 0, F.col("pc_time")).otherwise(0.0)).drop("pc_time")
 
 

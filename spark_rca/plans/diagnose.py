@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ def prepare(metrics: DataFrame, bucket: int = 1) -> DataFrame:
     return d.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
+def ready(metrics: DataFrame, prepared: bool, bucket: int = 1) -> DataFrame:
+    """``metrics`` prepared, or, where that is done already, only summed in buckets: zeros of a z-score are values."""
+    return pp.bucket_sum(metrics, bucket) if prepared else prepare(metrics, bucket)
+
+
 def incident_start(prepared: DataFrame, w: int = 50, proportion: float = 0.0) -> DataFrame:
     return rl.anomaly_start(rl.anomaly_score(wn.rolling_std(prepared, w)), prepared.select("incident_id", "service_id").distinct(), proportion)
 
@@ -59,13 +67,13 @@ def stored_tests(local: DataFrame, step: int, lag: int, sig: float, store: str |
     return load_intervals(spark, store, key, incidents)
 
 
-def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, store: str | None = None, min_interval: int | None = None, max_interval: int | None = None, adf: bool = False, bucket: int = 1, **rank) -> DataFrame:
+def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, store: str | None = None, min_interval: int | None = None, max_interval: int | None = None, adf: bool = False, bucket: int = 1, prepared: bool = False, **rank) -> DataFrame:
     """Ranking by dynamic causality curves: start, interval tests, threshold, backtrace, rank.
 
     With ``store``, interval tests of the same samples and parameters are read from that folder, others are added to it.
     Prepared series and the samples around the start are written once: start, tests and correlation read them.
     """
-    d = cut(prepare(metrics, bucket))
+    d = cut(ready(metrics, prepared, bucket))
     local = cut(pp.slice_incident(d, incident_start(d), bef, aft))
     options = {"min_len": min_interval, "max_len": max_interval, "adf": adf}
     tests = stored_tests(local, step, lag, sig, store, interval_key(bef, aft, step, lag, sig, bucket=bucket, **options), **options)
@@ -73,30 +81,32 @@ def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int
     return rank_from_strength(strength, local, entries, ratio, max_len, **rank)
 
 
-def dependency_graph(metrics: DataFrame, alpha: float = 0.1, bucket: int = 1) -> DataFrame:
+def dependency_graph(metrics: DataFrame, alpha: float = 0.1, bucket: int = 1, prepared: bool = False) -> DataFrame:
     """The skeleton of dependencies of the prepared series, for methods that are given no call graph."""
-    d = prepare(metrics, bucket)
+    d = ready(metrics, prepared, bucket)
     return cz.pc_graph(rl.pearson_matrix(d), d.groupBy("incident_id").agg(F.count_distinct("t").alias("n")), alpha)
 
 
-def diagnose_monitor_rank(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, rho: float = 0.3, steps: int = 100, alpha: float = 0.1) -> DataFrame:
-    edges = dependency_graph(metrics, alpha) if edges is None else edges
-    corr = cut(rl.entry_correlation(prepare(metrics), entries))
+def diagnose_monitor_rank(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, rho: float = 0.3, steps: int = 100, alpha: float = 0.1, bucket: int = 1, prepared: bool = False) -> DataFrame:
+    """``alpha`` and ``bucket`` are those of the dependency graph that is built if none is given."""
+    edges = dependency_graph(metrics, alpha, bucket, prepared) if edges is None else edges
+    corr = cut(rl.entry_correlation(ready(metrics, prepared), entries))
     p = gr.monitor_rank_transition(edges, corr, entries, rho)
     jump = corr.select("incident_id", "service_id", F.abs("corr").alias("weight"))
     v = gr.expected_visits(p, entries, steps, jump, restart=False)
     return rl.rank_services(v.withColumnRenamed("visits", "score"), ["incident_id"])
 
 
-def diagnose_cloud_ranger(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, beta: float = 0.3, rho: float = 0.2, steps: int = 50, alpha: float = 0.1) -> DataFrame:
-    edges = dependency_graph(metrics, alpha) if edges is None else edges
-    m = gr.cloud_ranger_transition(edges, cut(rl.entry_correlation(prepare(metrics), entries)), beta, rho)
+def diagnose_cloud_ranger(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, beta: float = 0.3, rho: float = 0.2, steps: int = 50, alpha: float = 0.1, bucket: int = 1, prepared: bool = False) -> DataFrame:
+    """``alpha`` and ``bucket`` are those of the dependency graph that is built if none is given."""
+    edges = dependency_graph(metrics, alpha, bucket, prepared) if edges is None else edges
+    m = gr.cloud_ranger_transition(edges, cut(rl.entry_correlation(ready(metrics, prepared), entries)), beta, rho)
     return rl.rank_services(gr.second_order_visits(m, entries, steps).withColumnRenamed("visits", "score"), ["incident_id"])
 
 
-def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None, compat: bool = False) -> DataFrame:
+def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None, compat: bool = False, prepared: bool = False) -> DataFrame:
     """Each incident has as many chunks as its own history gives; ``compat`` takes the source's first raw samples for its chunks."""
-    parts = cut(pp.slice_history_current(pp.fill_zeros(metrics), hist, cur))
+    parts = cut(pp.slice_history_current(metrics if prepared else pp.fill_zeros(metrics), hist, cur))
     stats = rl.history_stats(parts)
     history = parts.where("part = 'history'")
     w = gr.netmedic_edge_weight(edges, stats, rl.chunk_means(history, size=bins), rl.chunk_samples(history, size=bins) if compat else None, delta=delta)
@@ -106,13 +116,13 @@ def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame,
     return rl.rank_services(scores, ["incident_id"], ascending=True)
 
 
-def diagnose_tbac(metrics: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
-    corr = rl.entry_correlation(prepare(metrics), entries)
+def diagnose_tbac(metrics: DataFrame, entries: DataFrame, edges: DataFrame, prepared: bool = False) -> DataFrame:
+    corr = rl.entry_correlation(ready(metrics, prepared), entries)
     return rl.rank_services(gr.tbac_rating(corr, gr.reach(edges, "callers"), gr.reach(edges, "callees")), ["incident_id"])
 
 
-def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2, lam: float = 0.5, tau_max: int = 10, steps: int = 50, partial: bool = False) -> DataFrame:
-    filled = pp.fill_zeros(metrics)
+def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2, lam: float = 0.5, tau_max: int = 10, steps: int = 50, partial: bool = False, prepared: bool = False) -> DataFrame:
+    filled = metrics if prepared else pp.fill_zeros(metrics)
     eta = rl.eta_scores(run_spot(filled, q=1e-3, depth=10))
     links = cz.lagged_links(filled, tau_max)
     edges = cut(links.select("incident_id", F.col("effect").alias("src"), F.col("parent").alias("dst")).where("src <> dst").distinct().withColumn("weight", F.lit(1.0)))
@@ -159,36 +169,77 @@ def evaluated(ranking: DataFrame, truth: DataFrame, services: DataFrame) -> Data
 BAR = "|"
 
 
-def sweep_windows(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edges: DataFrame, center: int, lens: list[int], grid: dict[str, list[dict]]) -> DataFrame:
-    """Results (window_start, window_len, method, params_id, prks, pr_avg, acc) of methods over windows and parameters.
-
-    ``grid`` has, for each method, its parameter sets.  The windows of all incidents are cut once and
-    ranked together, so a grid point is one plan over all of them.
-    """
-    w = pp.centred_windows(prepare(metrics), center, lens)
+def _windows(prepared: DataFrame, center: int, lens: list[int]) -> DataFrame:
+    """The samples of all centred windows, each an incident of its own whose t starts at 0."""
+    w = pp.centred_windows(prepared, center, lens)
     first = F.min("t").over(Window.partitionBy("incident_id", "window_start", "window_len"))
     runs = w.withColumn("t", F.col("t") - first).withColumn("incident_id", F.concat_ws(BAR, "incident_id", "window_start", "window_len"))
-    runs = cut(runs.select("incident_id", "service_id", "t", "value"))
-    keys = runs.select("incident_id").distinct().withColumn("_i", F.substring_index("incident_id", BAR, 1))
-    spread = lambda d: cut(d.withColumnRenamed("incident_id", "_i").join(keys, "_i").drop("_i"))
+    return cut(runs.select("incident_id", "service_id", "t", "value"))
+
+
+def _of_window(results: DataFrame) -> DataFrame:
     part = F.split("incident_id", r"\|")
-    out = sweep_params(runs, spread(entries), spread(truth), spread(edges), grid)
-    return out.select(part[0].alias("incident_id"), part[1].cast("long").alias("window_start"), part[2].cast("long").alias("window_len"), "method", "params_id", "prks", "pr_avg", "acc")
+    rest = [c for c in results.columns if c != "incident_id"]
+    return results.select(part[0].alias("incident_id"), part[1].cast("long").alias("window_start"), part[2].cast("long").alias("window_len"), *rest)
+
 
+def sweep_windows(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edges: DataFrame | None, center: int, lens: list[int], grid: dict[str, list[dict]], graphs: list[tuple[int, float]] = ((1, 0.1),)) -> DataFrame:
+    """Results (incident_id, window_start, window_len, method, params_id, prks, pr_avg, acc) of methods over windows and parameters.
 
-def sweep_params(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edges: DataFrame, grid: dict[str, list[dict]]) -> DataFrame:
-    """Results (incident_id, method, params_id, prks, pr_avg, acc) of every parameter set of every method."""
+    ``grid`` has, for each method, its parameter sets.  Series are prepared once, as a whole; the windows of all
+    incidents are cut from them once and ranked together, so a grid point is one plan over all of them.  Without
+    ``edges`` each window has dependency graphs of its own, one for each (samples summed before the tests, significance) of ``graphs``: all
+    methods that take a graph read them, results have pc_aggregate and pc_alpha (null for the other methods) as well, and ``time``, the seconds
+    of a method's job and, as ``attach_graph_time`` adds them, of its graphs' job, by window.
+    """
+    runs = _windows(prepare(metrics), center, lens)
+    keys = cut(runs.select("incident_id").distinct().withColumn("_i", F.substring_index("incident_id", BAR, 1)))
+    spread = lambda d: cut(d.withColumnRenamed("incident_id", "_i").join(keys, "_i").drop("_i"))
+    entries, truth = spread(entries), spread(truth)
+    if edges is not None:
+        return _of_window(sweep_params(runs, entries, truth, spread(edges), grid, prepared=True))
+    count, out, times = max(1, keys.count()), [], []
+    windows = _of_window(keys.select("incident_id")).select("window_start", "window_len").distinct()
+    plain = {m: sets for m, sets in grid.items() if not METHODS[m][1]}
+    for bucket, alpha in (*graphs, (None, None)):
+        some = plain if bucket is None else {m: sets for m, sets in grid.items() if METHODS[m][1]}
+        began, graph = time.perf_counter(), None
+        if bucket is not None and some:
+            graph = cut(dependency_graph(runs, alpha, bucket, prepared=True))
+        took = (time.perf_counter() - began) / count
+        mark = {"pc_aggregate": F.lit(bucket).cast("int"), "pc_alpha": F.lit(alpha).cast("double")}
+        times.append(windows.withColumns(mark | {"pc_time": F.lit(took)}))
+        for method, sets in some.items():
+            for params in sets:
+                began = time.perf_counter()
+                done = cut(_of_window(sweep_params(runs, entries, truth, graph, {method: [params]}, prepared=True)))
+                out.append(done.withColumns(mark | {"time": F.lit((time.perf_counter() - began) / count)}))
+    results = reduce(DataFrame.unionByName, out)
+    return rl.attach_graph_time(results, reduce(DataFrame.unionByName, times))
+
+
+def sweep_reports(results: DataFrame) -> dict[str, DataFrame]:
+    """What a timed sweep of windows comes to: five best of each window, best by length, run times, best parameters, means by significance."""
+    results = cut(append_results(results))
+    return {
+        "top5": rl.top5_summary(results),
+        "max_by_length": rl.max_by_length(results),
+        "runtime_by_length": rl.runtime_by_length(results),
+        "best_params": best_of_sweep(results),
+        "mean_by_significance": rl.mean_by_significance(results, ["method", "pc_alpha"]),
+    }
+
+
+def sweep_params(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edges: DataFrame | None, grid: dict[str, list[dict]], prepared: bool = False) -> DataFrame:
+    """Results (incident_id, method, params_id, prks, pr_avg, acc) of every parameter set of every method, from series that may be ``prepared`` already."""
     services = cut(metrics.select("incident_id", "service_id").distinct())
     out = []
     for method, sets in grid.items():
         for params in sets:
             name = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
-            ranked = diagnose(method, metrics, entries, edges, **params)
+            ranked = diagnose(method, metrics, entries, edges, prepared=prepared, **params)
             out.append(ranked.withColumn("method", F.lit(method)).withColumn("params_id", F.lit(name)))
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    return evaluate(cut(every), truth, services, ("incident_id", "method", "params_id"))
+    return evaluate(cut(reduce(DataFrame.unionByName, out)), truth, services, ("incident_id", "method", "params_id"))
 
 
 def best_of_sweep(results: DataFrame) -> DataFrame:
