@@ -19,8 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in local sessions only (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found or _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
