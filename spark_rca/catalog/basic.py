@@ -12,7 +12,8 @@ from spark_rca.operators import graph as gr
 from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
 from spark_rca.operators import windows as wn
-from spark_rca.operators.lineage import shared_folder
+from spark_rca.operators.impact import best_impacts, full_impact
+from spark_rca.operators.lineage import cut, shared_folder
 from spark_rca.sources import metrics as io
 from spark_rca.streaming.runs import EventJob
 from spark_rca.streaming.spot import stream_prepare, stream_trips
@@ -633,12 +634,12 @@ def _(x):
 
 @add("r12_impact_matrix", FORWARD + "SELECT incident_id, c, e, round(impact, 6) AS impact FROM im")
 def _(x):
-    return v6(gr.impact_matrix(gr.netmedic_paths(x.edges(), 3), x.nodes()), "impact")
+    return v6(full_impact(best_impacts(x.edges(), 3), x.nodes()), "impact")
 
 
 @add("r13_netmedic_rank", FORWARD + ", gi AS (SELECT i.incident_id, i.c AS service_id, sum(impact * corr) AS g FROM im i JOIN corr k ON k.incident_id = i.incident_id AND k.service_id = i.e GROUP BY 1, 2) SELECT i.incident_id, i.c AS service_id, round(1 / (i.impact * g), 4) AS score FROM im i JOIN gi ON gi.incident_id = i.incident_id AND gi.service_id = i.c WHERE i.e = 1")
 def _(x):
-    imp = gr.impact_matrix(gr.netmedic_paths(x.edges(), 3), x.nodes())
+    imp = cut(full_impact(best_impacts(x.edges(), 3), x.nodes()))
     g = rl.global_impact(imp, x.corr().withColumnRenamed("corr", "abnormality"))
     return gr.netmedic_rank(imp, g, x.entries()).withColumn("score", F.round("score", 4))
 

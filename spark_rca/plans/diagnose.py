@@ -14,6 +14,7 @@ from spark_rca.operators import graph as gr
 from spark_rca.operators import prepare as pp
 from spark_rca.operators import relate as rl
 from spark_rca.operators import windows as wn
+from spark_rca.operators.impact import best_impacts, full_impact
 from spark_rca.operators.lineage import cut
 from spark_rca.sources.metrics import append_results, load_intervals, missing_incidents, save_tests, series_digests
 from spark_rca.streaming.spot import run_spot
@@ -110,7 +111,7 @@ def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame,
     stats = rl.history_stats(parts)
     history = parts.where("part = 'history'")
     w = gr.netmedic_edge_weight(edges, stats, rl.chunk_means(history, size=bins), rl.chunk_samples(history, size=bins) if compat else None, delta=delta)
-    impact = gr.impact_matrix(gr.netmedic_paths(w, max_len), stats.select("incident_id", "service_id"))
+    impact = full_impact(best_impacts(w, max_len), stats.select("incident_id", "service_id"))
     ab = stats.select("incident_id", "service_id", F.coalesce(abnormality(F.col("cur"), F.col("mean"), F.col("std")), F.lit(0.0)).alias("abnormality"))
     scores = gr.netmedic_rank(impact, rl.global_impact(impact, ab), entries)
     return rl.rank_services(scores, ["incident_id"], ascending=True)
