@@ -408,7 +408,7 @@ def microcause_q(edges: DataFrame, corr: DataFrame, entries: DataFrame, rho: flo
     d = zero.select("incident_id", F.col("service_id").alias("dst"), "c")
     fwd = edges.select("incident_id", "src", "dst").distinct()
     back = fwd.select("incident_id", F.col("dst").alias("src"), F.col("src").alias("dst")).join(fwd, ["incident_id", "src", "dst"], "left_anti")
-    both = fwd.withColumn("_k", F.lit(1.0)).unionByName(back.withColumn("_k", F.lit(float(rho)))).join(d, ["incident_id", "dst"]).select("incident_id", "src", "dst", (F.col("_k") * F.col("c")).alias("weight"))
+    both = fwd.withColumn("_k", F.lit(1.0)).unionByName(back.withColumn("_k", rho * F.lit(1.0))).join(d, ["incident_id", "dst"]).select("incident_id", "src", "dst", (F.col("_k") * F.col("c")).alias("weight"))
     if selves:
         best = both.groupBy("incident_id", "src").agg(F.max("weight").alias("_m"))
         own = zero.select("incident_id", F.col("service_id").alias("src"), "c").join(best, ["incident_id", "src"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import time
+from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_rca.functions.scalars import abnormality
@@ -16,6 +18,7 @@ from spark_rca.operators import relate as rl
 from spark_rca.operators import windows as wn
 from spark_rca.operators.impact import best_impacts, full_impact
 from spark_rca.operators.lineage import cut
+from spark_rca.plans.points import Points
 from spark_rca.sources.metrics import append_results, load_intervals, missing_incidents, save_tests, series_digests
 from spark_rca.streaming.spot import run_spot
 
@@ -43,11 +46,13 @@ def dynamic_causality(prepared: DataFrame, starts: DataFrame, bef: int, aft: int
     return rl.edge_strength(tests.where("accepted"), pairs)
 
 
-def rank_from_strength(strength: DataFrame, local: DataFrame, entries: DataFrame, ratio: float = 0.8, max_len: int = 4, mean: str = "harmonic", topk: int = 50, num_sel: int = 1) -> DataFrame:
-    edges = gr.transition_graph(strength, ratio)
-    paths = gr.best_paths(edges, entries, max_len, topk, mean)
-    scores = gr.ranknode(paths, rl.entry_correlation(local, entries), topk, num_sel)
-    return rl.rank_services(scores, ["incident_id"])
+def rank_from_strength(strength: DataFrame, local: DataFrame, entries: DataFrame, ratio: float = 0.8, **rank) -> DataFrame:
+    return _rank(strength, rl.entry_correlation(local, entries), entries, ratio, **rank)
+
+
+def _rank(strength: DataFrame, corr: DataFrame, entries: DataFrame, ratio: float | Column, max_len: int = 4, mean: str = "harmonic", topk: int = 50, num_sel: int = 1) -> DataFrame:
+    paths = gr.best_paths(gr.transition_graph(strength, ratio), entries, max_len, topk, mean)
+    return rl.rank_services(gr.ranknode(paths, corr, topk, num_sel), ["incident_id"])
 
 
 def interval_key(bef: int, aft: int, step: int, lag: int, sig: float, min_len: int | None = None, max_len: int | None = None, adf: bool = False, bucket: int = 1) -> str:
@@ -68,18 +73,26 @@ def stored_tests(local: DataFrame, step: int, lag: int, sig: float, store: str |
     return load_intervals(spark, store, key, incidents)
 
 
-def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, store: str | None = None, min_interval: int | None = None, max_interval: int | None = None, adf: bool = False, bucket: int = 1, prepared: bool = False, **rank) -> DataFrame:
+def diagnose_dynamic_causality(metrics: DataFrame, entries: DataFrame, bef: int = 100, aft: int = 0, step: int = 20, lag: int = 2, sig: float = 0.1, ratio: float = 0.8, max_len: int = 4, store: str | None = None, min_interval: int | None = None, max_interval: int | None = None, adf: bool = False, bucket: int = 1, prepared: bool = False, points: Points | None = None, **rank) -> DataFrame:
     """Ranking by dynamic causality curves: start, interval tests, threshold, backtrace, rank.
 
     With ``store``, interval tests of the same samples and parameters are read from that folder, others are added to it.
     Prepared series and the samples around the start are written once: start, tests and correlation read them.
+    ``points`` have a sig and a ratio each: intervals are tested once, up to the largest sig.  A test that a sig needs is among those of a larger
+    one; tests for stationarity and stored tests are not, so with these sig is one for all.
     """
+    if points is not None:
+        sig = points.most("sig")
     d = cut(ready(metrics, prepared, bucket))
     local = cut(pp.slice_incident(d, incident_start(d), bef, aft))
     options = {"min_len": min_interval, "max_len": max_interval, "adf": adf}
     tests = stored_tests(local, step, lag, sig, store, interval_key(bef, aft, step, lag, sig, bucket=bucket, **options), **options)
-    strength = rl.edge_strength(tests.where("accepted"), rl.service_pairs(metrics.select("incident_id", "service_id").distinct()))
-    return rank_from_strength(strength, local, entries, ratio, max_len, **rank)
+    pairs, corr = rl.service_pairs(metrics.select("incident_id", "service_id").distinct()), rl.entry_correlation(local, entries)
+    accepted = tests.where("accepted")
+    if points is not None:
+        tests, pairs, corr, entries = (points.fan(cut(d)) for d in (accepted if adf or store else tests, pairs, corr, entries))
+        accepted, ratio = tests if adf or store else cz.accept_intervals(tests, points.at("sig")), points.at("ratio")
+    return _rank(rl.edge_strength(accepted, pairs), corr, entries, ratio, max_len, **rank)
 
 
 def dependency_graph(metrics: DataFrame, alpha: float = 0.1, bucket: int = 1, prepared: bool = False) -> DataFrame:
@@ -88,29 +101,41 @@ def dependency_graph(metrics: DataFrame, alpha: float = 0.1, bucket: int = 1, pr
     return cz.pc_graph(rl.pearson_matrix(d), d.groupBy("incident_id").agg(F.count_distinct("t").alias("n")), alpha)
 
 
-def diagnose_monitor_rank(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, rho: float = 0.3, steps: int = 100, alpha: float = 0.1, bucket: int = 1, prepared: bool = False) -> DataFrame:
-    """``alpha`` and ``bucket`` are those of the dependency graph that is built if none is given."""
+def diagnose_monitor_rank(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, rho: float = 0.3, steps: int = 100, alpha: float = 0.1, bucket: int = 1, prepared: bool = False, points: Points | None = None) -> DataFrame:
+    """``alpha`` and ``bucket`` are those of the dependency graph that is built if none is given; ``points`` have a rho each."""
     edges = dependency_graph(metrics, alpha, bucket, prepared) if edges is None else edges
     corr = cut(rl.entry_correlation(ready(metrics, prepared), entries))
+    if points is not None:
+        edges, corr, entries, rho = points.fan(cut(edges)), points.fan(corr), points.fan(entries), points.at("rho")
     p = gr.monitor_rank_transition(edges, corr, entries, rho)
     jump = corr.select("incident_id", "service_id", F.abs("corr").alias("weight"))
     v = gr.expected_visits(p, entries, steps, jump, restart=False)
     return rl.rank_services(v.withColumnRenamed("visits", "score"), ["incident_id"])
 
 
-def diagnose_cloud_ranger(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, beta: float = 0.3, rho: float = 0.2, steps: int = 50, alpha: float = 0.1, bucket: int = 1, prepared: bool = False) -> DataFrame:
-    """``alpha`` and ``bucket`` are those of the dependency graph that is built if none is given."""
+def diagnose_cloud_ranger(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, beta: float = 0.3, rho: float = 0.2, steps: int = 50, alpha: float = 0.1, bucket: int = 1, prepared: bool = False, points: Points | None = None) -> DataFrame:
+    """``alpha`` and ``bucket`` are those of the dependency graph that is built if none is given; ``points`` have a beta and a rho each."""
     edges = dependency_graph(metrics, alpha, bucket, prepared) if edges is None else edges
-    m = gr.cloud_ranger_transition(edges, cut(rl.entry_correlation(ready(metrics, prepared), entries)), beta, rho)
+    corr = cut(rl.entry_correlation(ready(metrics, prepared), entries))
+    if points is not None:
+        edges, corr, entries, beta, rho = points.fan(cut(edges)), points.fan(corr), points.fan(entries), points.at("beta"), points.at("rho")
+    m = gr.cloud_ranger_transition(edges, corr, beta, rho)
     return rl.rank_services(gr.second_order_visits(m, entries, steps).withColumnRenamed("visits", "score"), ["incident_id"])
 
 
-def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None, compat: bool = False, prepared: bool = False) -> DataFrame:
-    """Each incident has as many chunks as its own history gives; ``compat`` takes the source's first raw samples for its chunks."""
+def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None, compat: bool = False, prepared: bool = False, points: Points | None = None) -> DataFrame:
+    """Each incident has as many chunks as its own history gives; ``compat`` takes the source's first raw samples for its chunks.
+
+    ``points`` have a delta each.
+    """
     parts = cut(pp.slice_history_current(metrics if prepared else pp.fill_zeros(metrics), hist, cur))
     stats = rl.history_stats(parts)
     history = parts.where("part = 'history'")
-    w = gr.netmedic_edge_weight(edges, stats, rl.chunk_means(history, size=bins), rl.chunk_samples(history, size=bins) if compat else None, delta=delta)
+    chunks, samples = rl.chunk_means(history, size=bins), rl.chunk_samples(history, size=bins) if compat else None
+    if points is not None:
+        edges, stats, chunks, entries, delta = points.fan(edges), points.fan(cut(stats)), points.fan(cut(chunks)), points.fan(entries), points.at("delta")
+        samples = points.fan(cut(samples)) if compat else None
+    w = gr.netmedic_edge_weight(edges, stats, chunks, samples, delta=delta)
     impact = full_impact(best_impacts(w, max_len), stats.select("incident_id", "service_id"))
     ab = stats.select("incident_id", "service_id", F.coalesce(abnormality(F.col("cur"), F.col("mean"), F.col("std")), F.lit(0.0)).alias("abnormality"))
     scores = gr.netmedic_rank(impact, rl.global_impact(impact, ab), entries)
@@ -122,17 +147,16 @@ def diagnose_tbac(metrics: DataFrame, entries: DataFrame, edges: DataFrame, prep
     return rl.rank_services(gr.tbac_rating(corr, gr.reach(edges, "callers"), gr.reach(edges, "callees")), ["incident_id"])
 
 
-def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2, lam: float = 0.5, tau_max: int = 10, steps: int = 50, partial: bool = False, prepared: bool = False) -> DataFrame:
+def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2, lam: float = 0.5, tau_max: int = 10, steps: int = 50, partial: bool = False, prepared: bool = False, points: Points | None = None) -> DataFrame:
+    """``points`` have a rho and a lam each."""
     filled = metrics if prepared else pp.fill_zeros(metrics)
     eta = rl.eta_scores(run_spot(filled, q=1e-3, depth=10))
     links = cz.lagged_links(filled, tau_max)
     edges = cut(links.select("incident_id", F.col("effect").alias("src"), F.col("parent").alias("dst")).where("src <> dst").distinct().withColumn("weight", F.lit(1.0)))
-    if partial:
-        conds = rl.confounders(edges, entries)
-        corr = cz.partial_correlations(rl.pearson_matrix(filled), entries, conds)
-        q = gr.microcause_q(edges, corr, entries, rho, selves=False, flip=True)
-    else:
-        q = gr.microcause_q(edges, rl.entry_correlation(filled, entries), entries, rho)
+    corr = cz.partial_correlations(rl.pearson_matrix(filled), entries, rl.confounders(edges, entries)) if partial else rl.entry_correlation(filled, entries)
+    if points is not None:
+        edges, corr, eta, entries, rho, lam = points.fan(edges), points.fan(cut(corr)), points.fan(cut(eta)), points.fan(entries), points.at("rho"), points.at("lam")
+    q = gr.microcause_q(edges, corr, entries, rho, selves=not partial, flip=partial)
     v = gr.expected_visits(q, entries, steps)
     return rl.rank_services(gr.gamma_scores(v, eta, lam), ["incident_id"])
 
@@ -147,6 +171,16 @@ METHODS = {
     "microcause": (diagnose_microcause, False),
 }
 
+#: Parameters that late stages take as a column, so that a plan serves any number of their values.
+LATE = {
+    "dynamic_causality": ("sig", "ratio"),
+    "monitor_rank": ("rho",),
+    "cloud_ranger": ("beta", "rho"),
+    "netmedic": ("delta",),
+    "tbac": (),
+    "microcause": ("rho", "lam"),
+}
+
 
 def diagnose(method: str, metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, **params) -> DataFrame:
     """(incident_id, service_id, score, rank) by ``method``; a call graph is used where the method takes one."""
@@ -188,10 +222,10 @@ def sweep_windows(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edge
     """Results (incident_id, window_start, window_len, method, params_id, prks, pr_avg, acc) of methods over windows and parameters.
 
     ``grid`` has, for each method, its parameter sets.  Series are prepared once, as a whole; the windows of all
-    incidents are cut from them once and ranked together, so a grid point is one plan over all of them.  Without
+    incidents are cut from them once and ranked together.  Without
     ``edges`` each window has dependency graphs of its own, one for each (samples summed before the tests, significance) of ``graphs``: all
     methods that take a graph read them, results have pc_aggregate and pc_alpha (null for the other methods) as well, and ``time``, the seconds
-    of a method's job and, as ``attach_graph_time`` adds them, of its graphs' job, by window.
+    of a method's job by window and parameter set and, as ``attach_graph_time`` adds them, of its graphs' job by window.
     """
     runs = _windows(prepare(metrics), center, lens)
     keys = cut(runs.select("incident_id").distinct().withColumn("_i", F.substring_index("incident_id", BAR, 1)))
@@ -211,10 +245,9 @@ def sweep_windows(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edge
         mark = {"pc_aggregate": F.lit(bucket).cast("int"), "pc_alpha": F.lit(alpha).cast("double")}
         times.append(windows.withColumns(mark | {"pc_time": F.lit(took)}))
         for method, sets in some.items():
-            for params in sets:
-                began = time.perf_counter()
-                done = cut(_of_window(sweep_params(runs, entries, truth, graph, {method: [params]}, prepared=True)))
-                out.append(done.withColumns(mark | {"time": F.lit((time.perf_counter() - began) / count)}))
+            began = time.perf_counter()
+            done = cut(_of_window(sweep_params(runs, entries, truth, graph, {method: sets}, prepared=True)))
+            out.append(done.withColumns(mark | {"time": F.lit((time.perf_counter() - began) / (count * len(sets)))}))
     results = reduce(DataFrame.unionByName, out)
     return rl.attach_graph_time(results, reduce(DataFrame.unionByName, times))
 
@@ -231,15 +264,35 @@ def sweep_reports(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _plans(method: str, sets: list[dict]) -> list[tuple[dict, list[dict], list[str]]]:
+    """Parameter sets that differ in late parameters only, together: (the others, the late ones, the sets' names)."""
+    default = {k: p.default for k, p in inspect.signature(METHODS[method][0]).parameters.items()}
+    together = defaultdict(list)
+    for params in sets:
+        late = [k for k in LATE[method] if k != "sig" or not (params.get("adf") or params.get("store"))]
+        early = {k: v for k, v in params.items() if k not in late}
+        points = {k: params.get(k, early.get(k, default[k])) for k in LATE[method]}
+        name = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
+        together[repr(sorted(early.items()))].append((early, points, name))
+    return [(g[0][0], [p for _, p, _ in g], [n for _, _, n in g]) for g in together.values()]
+
+
 def sweep_params(metrics: DataFrame, entries: DataFrame, truth: DataFrame, edges: DataFrame | None, grid: dict[str, list[dict]], prepared: bool = False) -> DataFrame:
-    """Results (incident_id, method, params_id, prks, pr_avg, acc) of every parameter set of every method, from series that may be ``prepared`` already."""
+    """Results (incident_id, method, params_id, prks, pr_avg, acc) of every parameter set of every method, from series that may be ``prepared`` already.
+
+    Sets of a method that differ in the parameters of ``LATE`` only are one plan, whose early stages (preparation, tests, correlations,
+    dependency graph) run once; other parameters (steps, bounds of windows, lengths) shape the plan, and each of their combinations has one.
+    """
+    metrics, entries, truth = metrics if prepared else cut(metrics), cut(entries), cut(truth)
+    edges = cut(edges) if edges is not None else None
     services = cut(metrics.select("incident_id", "service_id").distinct())
     out = []
     for method, sets in grid.items():
-        for params in sets:
-            name = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
-            ranked = diagnose(method, metrics, entries, edges, prepared=prepared, **params)
-            out.append(ranked.withColumn("method", F.lit(method)).withColumn("params_id", F.lit(name)))
+        for early, late, names in _plans(method, sets):
+            points = Points(late) if len(late) > 1 else None
+            ranked = diagnose(method, metrics, entries, edges, prepared=prepared, **early, **({"points": points} if points else {k: v for k, v in late[0].items() if k not in early}))
+            ranked = points.split(ranked, names) if points else ranked.withColumn("params_id", F.lit(names[0]))
+            out.append(ranked.withColumn("method", F.lit(method)))
     return evaluate(cut(reduce(DataFrame.unionByName, out)), truth, services, ("incident_id", "method", "params_id"))
 
 
@@ -250,12 +303,13 @@ def best_of_sweep(results: DataFrame) -> DataFrame:
 
 def compare_thresholds(strength: DataFrame, local: DataFrame, entries: DataFrame, truth: DataFrame, ratios: list[float], levels: list[float], max_len: int = 4) -> DataFrame:
     """Results (incident_id, params_id, prks, pr_avg, acc) of adaptive and of static edge thresholds, from one set of strengths."""
-    strength, services = cut(strength), local.select("incident_id", "service_id").distinct()
-    corr, out = cut(rl.entry_correlation(local, entries)), None
-    for kind, values in (("adaptive", ratios), ("static", levels)):
-        for x in values:
-            kept = wn.adaptive_threshold(strength, x) if kind == "adaptive" else wn.static_threshold(strength, x)
-            paths = gr.best_paths(wn.normalize(kept, "dst"), entries, max_len, 50)
-            r = rl.rank_services(gr.ranknode(paths, corr, 50, 1), ["incident_id"]).withColumn("params_id", F.lit(f"{kind}={x}"))
-            out = r if out is None else out.unionByName(r)
-    return evaluate(cut(out), truth, services, ("incident_id", "params_id"))
+    names = [f"adaptive={x}" for x in ratios] + [f"static={x}" for x in levels]
+    if not names:
+        raise ValueError("no threshold is given")
+    points = Points([{"ratio": x, "level": None} for x in ratios] + [{"ratio": None, "level": x} for x in levels])
+    services = local.select("incident_id", "service_id").distinct()
+    every, corr, entries = points.fan(cut(strength)), points.fan(cut(rl.entry_correlation(local, entries))), points.fan(cut(entries))
+    kept = wn.adaptive_threshold(every, points.at("ratio")).unionByName(wn.static_threshold(every, points.at("level")))
+    paths = gr.best_paths(wn.normalize(kept, "dst"), entries, max_len, 50)
+    ranked = points.split(rl.rank_services(gr.ranknode(paths, corr, 50, 1), ["incident_id"]), names)
+    return evaluate(cut(ranked), truth, services, ("incident_id", "params_id"))
