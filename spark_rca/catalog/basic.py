@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spark_rca.catalog.fixtures import PRELUDE, Tables
-from spark_rca.functions.scalars import format_result, path_mean, scaled_diff, tail_quantile
+from spark_rca.functions.scalars import abnormality, format_result, path_mean, scaled_diff, tail_quantile
 from spark_rca.operators import causality as cz
 from spark_rca.operators import chunks as ch
 from spark_rca.operators import graph as gr
@@ -504,6 +504,14 @@ def _(x):
     return x.paths().select("incident_id", F.concat_ws(",", F.transform("path", lambda s: s.cast("string"))).alias("path"), *[r6(path_mean(p, m)).alias(m) for m in ("arithmetic", "geometric", "harmonic")])
 
 
+@add("f4_abnormality", """, hs AS (SELECT incident_id, service_id, avg(value) FILTER (part = 'history') AS mean, stddev_pop(value) FILTER (part = 'history') AS std, avg(value) FILTER (part = 'current') AS cur FROM parts GROUP BY 1, 2),
+  hx AS (SELECT incident_id, service_id, abs(cur - mean) / (CASE WHEN std > 0 THEN std END * sqrt(2)) AS v FROM hs)
+  SELECT incident_id, service_id, round(CASE WHEN v = 0 THEN 0 WHEN v >= 6 THEN 1 ELSE 2 / sqrt(pi()) * exp(-v * v) * list_sum([exp((2 * k + 1) * ln(v) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(0, 160)]) END, 6)::DOUBLE AS abnormality FROM hx""")
+def _(x):
+    d = rl.history_stats(x.parts())
+    return d.select("incident_id", "service_id", r6(abnormality(F.col("cur"), F.col("mean"), F.col("std"))).alias("abnormality"))
+
+
 @add("f5_scaled_diff", "SELECT p_partkey, round(abs(p_retailprice - 1000) / (h - l), 6) AS d FROM part, (SELECT min(p_retailprice) AS l, max(p_retailprice) AS h FROM part)")
 def _(x):
     p = x.read("part")
@@ -665,7 +673,7 @@ def _(x):
   SELECT incident_id, service_id, round(CASE WHEN coalesce(i <= s, true) AND coalesce(o > s, true) THEN (s - 1) / 2 WHEN coalesce(i > s, true) AND coalesce(o <= s, true) THEN (s + 1) / 2 ELSE s END, 6) AS score FROM s LEFT JOIN si USING (incident_id, service_id) LEFT JOIN so USING (incident_id, service_id)""")
 def _(x):
     c = x.corr().withColumn("corr", F.round("corr", 9))
-    return v6(gr.tbac_rating(c, gr.reach(x.edges(), "callers", 6), gr.reach(x.edges(), "callees", 6)), "score")
+    return v6(gr.tbac_rating(c, *gr.reach_both(x.edges(), 6)), "score")
 
 
 MICRO = """, z AS (SELECT incident_id, service_id, CASE WHEN service_id = 1 THEN 0 ELSE corr END AS c FROM corr), bo AS (SELECT e.incident_id, src, dst, c AS weight FROM edges e JOIN z ON z.incident_id = e.incident_id AND z.service_id = e.dst

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spark_rca.catalog.fixtures import T, Tables
-from spark_rca.functions.scalars import abnormality
 from spark_rca.operators import causality as cz
 from spark_rca.operators import graph as gr
 from spark_rca.operators import prepare as pp
@@ -65,7 +64,6 @@ def streamed(x: Tables, **options) -> DataFrame:
 JOBS = {
     "p5_fill_cubic": lambda x: fill_spline(x.metrics(), "cubic"),
     "p5_fill_quadratic": lambda x: fill_spline(x.metrics(), "quadratic"),
-    "f4_abnormality": lambda x: rl.history_stats(x.parts()).select("incident_id", "service_id", abnormality(F.col("cur"), F.col("mean"), F.col("std")).alias("abnormality")),
     "g1_granger_f": lambda x: cz.granger_f(cz.packed_pairs(x.dense()), 3),
     "g2_granger_intervals": lambda x: cz.granger_intervals(x.dense(), 72, 3),
     "g3_adf_pvalue": lambda x: cz.adf_pvalues(x.dense()),

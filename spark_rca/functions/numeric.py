@@ -8,8 +8,14 @@ import numpy as np
 
 
 def erf(x: np.ndarray) -> np.ndarray:
-    """Error function, elementwise; NaN stays NaN."""
-    return np.vectorize(lambda v: math.erf(v) if v == v else math.nan, otypes=[float])(x) if len(x) else x
+    """Error function, elementwise, by its series of terms of one sign; NaN stays NaN.  Over 6 it is 1 in double precision."""
+    x = np.asarray(x, float)
+    near = np.clip(x, -6.0, 6.0)
+    term = total = near
+    for k in range(1, 160):
+        term = term * (2 * near * near) / (2 * k + 1)
+        total = total + term
+    return np.where(np.abs(x) >= 6, np.sign(x), 2 / math.sqrt(math.pi) * np.exp(-near * near) * total)
 
 
 def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -362,23 +362,38 @@ def netmedic_rank(impact: DataFrame, total: DataFrame, entries: DataFrame) -> Da
     return d.select("incident_id", "service_id", (1 / F.when(v > 0, v)).alias("score"))
 
 
-def reach(edges: DataFrame, direction: str, max_depth: int = 20) -> DataFrame:
-    """(incident_id, service_id, other, depth): nodes reachable by out-edges (callers) or in-edges (callees), breadth first."""
-    a, b = ("src", "dst") if direction == "callers" else ("dst", "src")
+def _reach(edges: DataFrame, ways: dict[str, tuple[str, str]], max_depth: int) -> DataFrame:
+    """(incident_id, way, service_id, other, depth), breadth first in all ways at once; a way is the columns that its steps go from and to."""
     edges = cut(edges)
-    step = edges.where("weight > 0").select("incident_id", F.col(a).alias("_at"), F.col(b).alias("_to"))
+    key = ["incident_id", "way", "service_id", "other"]
+    steps = F.explode(F.array(*[F.struct(F.lit(w).alias("way"), F.col(a).alias("_at"), F.col(b).alias("_to")) for w, (a, b) in ways.items()]))
+    step = edges.where("weight > 0").select("incident_id", steps.alias("_s")).select("incident_id", "_s.*").distinct()
     nodes = edges.select("incident_id", F.explode(F.array("src", "dst")).alias("service_id")).distinct()
-    seen = nodes.select("incident_id", "service_id", F.col("service_id").alias("other"), F.lit(0).alias("depth"))
+    seen = nodes.select("incident_id", F.explode(F.array(*[F.lit(w) for w in ways])).alias("way"), "service_id", F.col("service_id").alias("other"), F.lit(0).alias("depth"))
     seen = front = cut(seen)
     for depth in range(1, max_depth + 1):
-        nxt = front.select("incident_id", "service_id", F.col("other").alias("_at")).join(step, ["incident_id", "_at"]).select("incident_id", "service_id", F.col("_to").alias("other")).distinct()
-        front = cut(nxt.join(seen, ["incident_id", "service_id", "other"], "left_anti").withColumn("depth", F.lit(depth)))
+        nxt = front.withColumnRenamed("other", "_at").join(step, ["incident_id", "way", "_at"]).select("incident_id", "way", "service_id", F.col("_to").alias("other")).distinct()
+        front = cut(nxt.join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
         if not front.take(1):
             break
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
 
+WAYS = {"callers": ("src", "dst"), "callees": ("dst", "src")}
+
+
+def reach(edges: DataFrame, direction: str, max_depth: int = 20) -> DataFrame:
+    """(incident_id, service_id, other, depth): nodes reachable by out-edges (callers) or in-edges (callees), breadth first, in up to ``max_depth`` steps."""
+    return _reach(edges, {direction: WAYS[direction]}, max_depth).drop("way")
+
+
+def reach_both(edges: DataFrame, max_depth: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``reach`` of callers and of callees, found level by level together."""
+    d = _reach(edges, WAYS, max_depth)
+    return d.where("way = 'callers'").drop("way"), d.where("way = 'callees'").drop("way")
+
+
 def tbac_rating(corr: DataFrame, callers: DataFrame, callees: DataFrame) -> DataFrame:
     """score = 2 corr - 1, moved up if the callers' weighted mean is over it and no callee is, down in the reverse case.
 

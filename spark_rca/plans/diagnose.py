@@ -144,7 +144,7 @@ def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame,
 
 def diagnose_tbac(metrics: DataFrame, entries: DataFrame, edges: DataFrame, prepared: bool = False) -> DataFrame:
     corr = rl.entry_correlation(ready(metrics, prepared), entries)
-    return rl.rank_services(gr.tbac_rating(corr, gr.reach(edges, "callers"), gr.reach(edges, "callees")), ["incident_id"])
+    return rl.rank_services(gr.tbac_rating(corr, *gr.reach_both(edges)), ["incident_id"])
 
 
 def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2, lam: float = 0.5, tau_max: int = 10, steps: int = 50, partial: bool = False, prepared: bool = False, points: Points | None = None) -> DataFrame:

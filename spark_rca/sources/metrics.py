@@ -5,28 +5,49 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spark_rca.operators.lineage import cut
 
-def melt_matrix(wide: DataFrame, name: str, samples: list[str], incident: str = "m") -> DataFrame:
-    """Rows of a service matrix (name, sample columns) to the long table; empty cells are 0 (missing)."""
-    ids = wide.select(name).distinct().withColumn("service_id", F.rank().over(_by_name(name)).cast("int"))
+
+def melt_matrix(wide: DataFrame, name: str, samples: list[str], incident: str = "m", row: str | None = None) -> DataFrame:
+    """Rows of a service matrix (name, sample columns) to the long table; empty cells are 0 (missing).
+
+    Services are numbered by the rank of their name or, with ``row``, by that column, the number of their row; names may then repeat.
+    Only names are numbered in one task, never samples.
+    """
     cells = F.posexplode(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in samples]))
-    long = wide.select(F.col(name), cells.alias("t", "value")).join(ids, name)
+    if row is not None:
+        long = wide.select(F.col(row).cast("int").alias("service_id"), cells.alias("t", "value"))
+    else:
+        ids = wide.select(name).distinct().withColumn("service_id", F.rank().over(Window.orderBy(name)).cast("int"))
+        long = wide.select(F.col(name), cells.alias("t", "value")).join(ids, name)
     return long.select(F.lit(incident).alias("incident_id"), "service_id", F.col("t").cast("long").alias("t"), "value")
 
 
-def _by_name(name: str):
-    from pyspark.sql import Window
+def numbered_rows(wide: DataFrame) -> DataFrame:
+    """A table as read from files, with ``_row``, the number of each row from 1 in the order of files and of rows in a file.
+
+    Rows are sorted by file, block and place; each partition then counts from the rows of those before it.  Nothing but a count of each
+    partition is joined.
+    """
+    at = wide.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()})
+    placed = cut(at.sort("_file", "_block", "_place").withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", before)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_file", "_block", "_place"))
+    return placed.withColumn("_in", inside).join(sizes, "_part").withColumn("_row", F.col("_before") + F.col("_in")).select(*wide.columns, "_row")
 
-    return Window.orderBy(name)
 
+def read_metric_matrix(spark: SparkSession, path: str, fmt: str, samples: list[str], name: str = "name", incident: str = "m", by_row: bool = False) -> DataFrame:
+    """CSV (without header) or Parquet with one row per service: its name, then its samples.
 
-def read_metric_matrix(spark: SparkSession, path: str, fmt: str, samples: list[str], name: str = "name", incident: str = "m") -> DataFrame:
-    """CSV (without header) or Parquet with one row per service: its name, then its samples."""
+    With ``by_row`` a service's number is that of its row, from 1, as lists of causes by row want it; else the rank of its name.
+    """
     schema = ", ".join([f"{name} string", *[f"{c} double" for c in samples]])
-    return melt_matrix(spark.read.schema(schema).format(fmt).load(path), name, samples, incident)
+    wide = spark.read.schema(schema).format(fmt).load(path)
+    return melt_matrix(numbered_rows(wide), name, samples, incident, "_row") if by_row else melt_matrix(wide, name, samples, incident)
 
 
 def metrics_from_events(events: DataFrame, incident: Column, service: Column, t: Column, value: Column, digits: int = 2) -> DataFrame:
