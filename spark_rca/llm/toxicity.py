@@ -81,7 +81,11 @@ class Chain:
         self.models: list[np.ndarray] = []
 
     def features(self, counts: dict[str, int]) -> np.ndarray:
-        """Sums over a row's feature terms; words count once by their best term, so families don't count double."""
+        """Seven figures of a row's terms, each term counted once however often it occurs.
+
+        Sum and largest of the odds of all terms, words and stems alike: a word whose stems are terms as well adds the odds of each.
+        Then the number of distinct words and of distinct stems, the logs of how often each kind occurs, and whether there is any.
+        """
         odds = [self.terms[t] for t in counts]
         words = [t for t in counts if not t.endswith("*")]
         stems = [t for t in counts if t.endswith("*")]
