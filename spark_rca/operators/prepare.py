@@ -109,7 +109,7 @@ def centred_windows(metrics: DataFrame, center: int, lens: list[int]) -> DataFra
     start = F.greatest(F.lit(0), (F.lit(center) - F.floor(F.col("window_len") / 2)).cast("long"))
     w = last.select("incident_id", "_last", F.explode(F.array(*[F.lit(n).cast("long") for n in lens])).alias("window_len"))
     w = w.withColumn("window_start", start).withColumn("_end", F.least(F.col("window_start") + F.col("window_len"), F.col("_last")))
-    d = metrics.join(F.broadcast(w) if len(lens) <= 64 else w, "incident_id")
+    d = metrics.join(w, "incident_id")
     return d.where((F.col("t") >= F.col("window_start")) & (F.col("t") < F.col("_end"))).drop("_last", "_end")
 
 
