@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spark_rca.catalog.fixtures import PRELUDE, Tables
+from spark_rca.catalog.jobs import judged
 from spark_rca.functions.scalars import abnormality, format_result, path_mean, scaled_diff, tail_quantile
 from spark_rca.operators import causality as cz
 from spark_rca.operators import chunks as ch
@@ -652,8 +653,8 @@ def _(x):
     return gr.netmedic_rank(imp, g, x.entries()).withColumn("score", F.round("score", 4))
 
 
-def _reach_sql(name, a, b):
-    return f""", {name}w AS (SELECT DISTINCT incident_id, {a} AS service_id, {b} AS other, 1 AS depth FROM edges UNION SELECT w.incident_id, w.service_id, e.{b}, w.depth + 1 FROM {name}w w JOIN edges e ON e.incident_id = w.incident_id AND e.{a} = w.other WHERE w.depth < 6),
+def _reach_sql(name, a, b, depth=6):
+    return f""", {name}w AS (SELECT DISTINCT incident_id, {a} AS service_id, {b} AS other, 1 AS depth FROM edges UNION SELECT w.incident_id, w.service_id, e.{b}, w.depth + 1 FROM {name}w w JOIN edges e ON e.incident_id = w.incident_id AND e.{a} = w.other WHERE w.depth < {depth}),
   {name} AS (SELECT incident_id, service_id, other, min(depth) AS depth FROM {name}w WHERE service_id <> other GROUP BY 1, 2, 3)"""
 
 
@@ -667,10 +668,14 @@ def _(x):
     return gr.reach(x.edges(), "callees", 6)
 
 
-@add("r15_tbac_rating", _reach_sql("ca", "src", "dst") + _reach_sql("ce", "dst", "src") + """, s AS (SELECT incident_id, service_id, 2 * round(corr, 9) - 1 AS s FROM corr),
+def _rating_sql(corr, depth):
+    return _reach_sql("ca", "src", "dst", depth) + _reach_sql("ce", "dst", "src", depth) + f""", s AS (SELECT incident_id, service_id, 2 * {corr} - 1 AS s FROM corr),
   si AS (SELECT ca.incident_id, ca.service_id, sum(s / depth) / sum(1.0::DOUBLE / depth) AS i FROM ca JOIN s ON s.incident_id = ca.incident_id AND s.service_id = ca.other GROUP BY 1, 2),
-  so AS (SELECT ce.incident_id, ce.service_id, max(s) AS o FROM ce JOIN s ON s.incident_id = ce.incident_id AND s.service_id = ce.other GROUP BY 1, 2)
-  SELECT incident_id, service_id, round(CASE WHEN coalesce(i <= s, true) AND coalesce(o > s, true) THEN (s - 1) / 2 WHEN coalesce(i > s, true) AND coalesce(o <= s, true) THEN (s + 1) / 2 ELSE s END, 6) AS score FROM s LEFT JOIN si USING (incident_id, service_id) LEFT JOIN so USING (incident_id, service_id)""")
+  so AS (SELECT ce.incident_id, ce.service_id, max(s) AS o FROM ce JOIN s ON s.incident_id = ce.incident_id AND s.service_id = ce.other GROUP BY 1, 2),
+  vs AS (SELECT incident_id, service_id, CASE WHEN coalesce(i <= s, true) AND coalesce(o > s, true) THEN (s - 1) / 2 WHEN coalesce(i > s, true) AND coalesce(o <= s, true) THEN (s + 1) / 2 ELSE s END AS score FROM s LEFT JOIN si USING (incident_id, service_id) LEFT JOIN so USING (incident_id, service_id))"""
+
+
+@add("r15_tbac_rating", _rating_sql("round(corr, 9)", 6) + " SELECT incident_id, service_id, round(score, 6) AS score FROM vs")
 def _(x):
     c = x.corr().withColumn("corr", F.round("corr", 9))
     return v6(gr.tbac_rating(c, *gr.reach_both(x.edges(), 6)), "score")
@@ -699,9 +704,12 @@ WALK = """, wk AS (SELECT 0 AS k, incident_id, service_id AS a, 1.0::DOUBLE AS m
     UNION ALL SELECT k, wk.incident_id, jp.b, wk.m * jp.w FROM wk JOIN jp ON jp.incident_id = wk.incident_id WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.incident_id = wk.incident_id AND st.a = wk.a)) WHERE k < %d GROUP BY 1, 2, 3)"""
 
 
-@add("r7_first_order_walk", MONITOR + """, st AS (SELECT incident_id, src AS a, dst AS b, weight / sum(weight) OVER (PARTITION BY incident_id, src) AS w FROM tr),
-  jp AS (SELECT incident_id, service_id AS b, corr / sum(corr) OVER (PARTITION BY incident_id) AS w FROM corr)""" + WALK % 100 + """
-  SELECT c.incident_id, c.service_id, round(coalesce(m, 0), 6) AS visits FROM corr c LEFT JOIN (SELECT incident_id, a, sum(m) AS m FROM wk WHERE k > 0 GROUP BY 1, 2) v ON v.incident_id = c.incident_id AND v.a = c.service_id""")
+VISITS = MONITOR + """, st AS (SELECT incident_id, src AS a, dst AS b, weight / sum(weight) OVER (PARTITION BY incident_id, src) AS w FROM tr),
+  jp AS (SELECT incident_id, service_id AS b, corr / sum(corr) OVER (PARTITION BY incident_id) AS w FROM corr)""" + WALK % 100 + """,
+  vs AS (SELECT c.incident_id, c.service_id, coalesce(m, 0) AS score FROM corr c LEFT JOIN (SELECT incident_id, a, sum(m) AS m FROM wk WHERE k > 0 GROUP BY 1, 2) v ON v.incident_id = c.incident_id AND v.a = c.service_id)"""
+
+
+@add("r7_first_order_walk", VISITS + " SELECT incident_id, service_id, round(score, 6) AS visits FROM vs")
 def _(x):
     p, corr = gr.monitor_rank_transition(x.edges(), x.corr(), x.entries(), 0.3), x.corr().withColumnRenamed("corr", "weight")
     return v6(gr.expected_visits(p, x.entries(), 100, corr, restart=False), "visits")
@@ -715,13 +723,16 @@ def _(x):
     return v6(gr.expected_visits(gr.microcause_q(x.edges(), x.corr(), x.entries(), 0.2), x.entries(), 50), "visits")
 
 
-@add("r9_second_order_walk", CLOUD + """, st AS (SELECT incident_id, prev, cur, nxt, prob / sum(prob) OVER (PARTITION BY incident_id, prev, cur) AS w FROM al),
+VISITS_2 = CLOUD + """, st AS (SELECT incident_id, prev, cur, nxt, prob / sum(prob) OVER (PARTITION BY incident_id, prev, cur) AS w FROM al),
   f1 AS (SELECT DISTINCT incident_id, cur FROM st WHERE prev = 1), own AS (SELECT incident_id FROM f1 WHERE cur = 1),
   s0 AS (SELECT incident_id, cur, CASE WHEN incident_id IN (SELECT incident_id FROM own) THEN (cur = 1)::INT ELSE 1 / count(*) OVER (PARTITION BY incident_id) END AS m FROM f1),
   wk AS (SELECT 0 AS k, incident_id, 1 AS p, cur AS c, m::DOUBLE AS m FROM s0
-    UNION ALL SELECT k + 1, incident_id, c, n, sum(m) FROM (SELECT k, wk.incident_id, st.cur AS c, st.nxt AS n, wk.m * st.w AS m FROM wk JOIN st ON st.incident_id = wk.incident_id AND st.prev = wk.p AND st.cur = wk.c) WHERE k < 50 GROUP BY 1, 2, 3, 4)
-  SELECT n.incident_id, n.s AS service_id, round(coalesce(m, 0), 6) AS visits FROM (SELECT incident_id, cur AS s FROM st UNION SELECT incident_id, nxt FROM st UNION SELECT incident_id, 1 FROM st) n
-  LEFT JOIN (SELECT incident_id, c, sum(m) AS m FROM wk WHERE k > 0 GROUP BY 1, 2) v ON v.incident_id = n.incident_id AND v.c = n.s""")
+    UNION ALL SELECT k + 1, incident_id, c, n, sum(m) FROM (SELECT k, wk.incident_id, st.cur AS c, st.nxt AS n, wk.m * st.w AS m FROM wk JOIN st ON st.incident_id = wk.incident_id AND st.prev = wk.p AND st.cur = wk.c) WHERE k < 50 GROUP BY 1, 2, 3, 4),
+  vs AS (SELECT n.incident_id, n.s AS service_id, coalesce(m, 0) AS score FROM (SELECT incident_id, cur AS s FROM st UNION SELECT incident_id, nxt FROM st UNION SELECT incident_id, 1 FROM st) n
+  LEFT JOIN (SELECT incident_id, c, sum(m) AS m FROM wk WHERE k > 0 GROUP BY 1, 2) v ON v.incident_id = n.incident_id AND v.c = n.s)"""
+
+
+@add("r9_second_order_walk", VISITS_2 + " SELECT incident_id, service_id, round(score, 6) AS visits FROM vs")
 def _(x):
     return v6(gr.second_order_visits(gr.cloud_ranger_transition(x.edges(), x.corr(), 0.3, 0.2), x.entries(), 50), "visits")
 
@@ -783,3 +794,31 @@ for _name, _run in CHUNKED.items():
 # The flagship: when each incident starts, and how many services are unstable then.
 def flagship(x: Tables):
     return rl.anomaly_start(rl.anomaly_score(x.stds()), x.services())
+
+
+# Whole diagnoses over a given graph: the score of the method, its ranking, its evaluation
+JUDGED = """, rk AS (SELECT incident_id, service_id, score, row_number() OVER (PARTITION BY incident_id ORDER BY score DESC NULLS LAST, service_id)::INT AS rank FROM vs),
+  tn AS (SELECT incident_id, count(*) AS n FROM truth GROUP BY 1), sn AS (SELECT incident_id, count(*) AS a FROM services GROUP BY 1),
+  ht AS (SELECT rk.incident_id, rank, n, t.service_id IS NOT NULL AS hit FROM rk JOIN tn USING (incident_id) LEFT JOIN truth t ON t.incident_id = rk.incident_id AND t.service_id = rk.service_id),
+  pv AS (SELECT incident_id, (""" + " + ".join(f"count(*) FILTER (hit AND rank <= {k}) / least(any_value(n), {k})::DOUBLE" for k in range(1, 6)) + """) / 5 AS pr_avg FROM ht GROUP BY 1),
+  av AS (SELECT t.incident_id, avg(CASE WHEN r.rank IS NULL THEN 0 ELSE (a - greatest(0, r.rank - n)) / a::DOUBLE END) AS acc FROM truth t JOIN tn USING (incident_id) JOIN sn USING (incident_id) JOIN pv USING (incident_id) LEFT JOIN rk r ON r.incident_id = t.incident_id AND r.service_id = t.service_id GROUP BY 1)
+  SELECT rk.incident_id, rk.service_id, round(score, 6) AS score, rank, round(pr_avg, 6) AS pr_avg, round(acc, 6) AS acc FROM rk LEFT JOIN pv USING (incident_id) LEFT JOIN av USING (incident_id)"""
+
+
+def rounded(judgement):
+    return v6(v6(v6(judgement.drop("prks"), "score"), "pr_avg"), "acc")
+
+
+@add("y2_diagnose_monitor_rank", VISITS + JUDGED)
+def _(x):
+    return rounded(judged(x, "monitor_rank", True))
+
+
+@add("y3_diagnose_cloud_ranger", VISITS_2 + JUDGED)
+def _(x):
+    return rounded(judged(x, "cloud_ranger", True))
+
+
+@add("y5_diagnose_tbac", _rating_sql("corr", 20) + JUDGED)
+def _(x):
+    return rounded(judged(x, "tbac", True))

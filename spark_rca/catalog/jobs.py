@@ -86,13 +86,10 @@ JOBS = {
     "io5_stored_intervals": lambda x: reused_intervals(x),
     "g8_dependency_graph": lambda x: dg.dependency_graph(x.metrics()),
     "y1_diagnose_dynamic_causality": lambda x: judged(x, "dynamic_causality"),
-    "y2_diagnose_monitor_rank": lambda x: judged(x, "monitor_rank", True),
     "y2_monitor_rank_own_graph": lambda x: judged(x, "monitor_rank"),
-    "y3_diagnose_cloud_ranger": lambda x: judged(x, "cloud_ranger", True),
     "y3_cloud_ranger_own_graph": lambda x: judged(x, "cloud_ranger"),
     "y4_diagnose_netmedic": lambda x: judged(x, "netmedic", True),
     "y4_netmedic_raw_samples": lambda x: judged(x, "netmedic", True, compat=True),
-    "y5_diagnose_tbac": lambda x: judged(x, "tbac", True),
     "y6_diagnose_microcause": lambda x: judged(x, "microcause"),
     "y7_sweep_windows": lambda x: dg.best_of_sweep(dg.sweep_windows(x.metrics(), x.entries(), x.truth(), x.edges(), 400, [200, 400], WINDOW_GRID)),
     "y7_sweep_own_graphs": lambda x: dg.sweep_reports(dg.sweep_windows(x.metrics(), x.entries(), x.truth(), None, 400, [200, 400], GRAPH_GRID, [(1, 0.1), (20, 0.1)]))["top5"].drop("time_mean"),
