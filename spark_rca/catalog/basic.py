@@ -505,9 +505,12 @@ def _(x):
     return x.paths().select("incident_id", F.concat_ws(",", F.transform("path", lambda s: s.cast("string"))).alias("path"), *[r6(path_mean(p, m)).alias(m) for m in ("arithmetic", "geometric", "harmonic")])
 
 
-@add("f4_abnormality", """, hs AS (SELECT incident_id, service_id, avg(value) FILTER (part = 'history') AS mean, stddev_pop(value) FILTER (part = 'history') AS std, avg(value) FILTER (part = 'current') AS cur FROM parts GROUP BY 1, 2),
-  hx AS (SELECT incident_id, service_id, abs(cur - mean) / (CASE WHEN std > 0 THEN std END * sqrt(2)) AS v FROM hs)
-  SELECT incident_id, service_id, round(CASE WHEN v = 0 THEN 0 WHEN v >= 6 THEN 1 ELSE 2 / sqrt(pi()) * exp(-v * v) * list_sum([exp((2 * k + 1) * ln(v) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(0, 160)]) END, 6)::DOUBLE AS abnormality FROM hx""")
+ABNORMALITY = """, hs AS (SELECT incident_id, service_id, avg(value) FILTER (part = 'history') AS mean, stddev_pop(value) FILTER (part = 'history') AS std, avg(value) FILTER (part = 'current') AS cur FROM parts GROUP BY 1, 2),
+  hx AS (SELECT incident_id, service_id, abs(cur - mean) / (CASE WHEN std > 0 THEN std END * sqrt(2)) AS v FROM hs),
+  am AS (SELECT incident_id, service_id, CASE WHEN v = 0 THEN 0 WHEN v >= 6 THEN 1 ELSE 2 / sqrt(pi()) * exp(-v * v) * list_sum([exp((2 * k + 1) * ln(v) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)) for k in range(0, 160)]) END::DOUBLE AS abnormality FROM hx)"""
+
+
+@add("f4_abnormality", ABNORMALITY + " SELECT incident_id, service_id, round(abnormality, 6) AS abnormality FROM am")
 def _(x):
     d = rl.history_stats(x.parts())
     return d.select("incident_id", "service_id", r6(abnormality(F.col("cur"), F.col("mean"), F.col("std"))).alias("abnormality"))
@@ -630,12 +633,16 @@ def _(x):
     return v6(gr.netmedic_edge_weight(x.edges(), rl.history_stats(parts), rl.chunk_means(parts.where("part = 'history'"), 6), None, 6), "weight")
 
 
-FORWARD = """, fwalk AS (SELECT incident_id, src AS c, [src] AS path, []::DOUBLE[] AS probs FROM (SELECT DISTINCT incident_id, src FROM (SELECT incident_id, src FROM edges UNION ALL SELECT incident_id, dst FROM edges))
-    UNION ALL SELECT w.incident_id, w.c, list_append(w.path, e.dst), list_append(w.probs, e.weight) FROM fwalk w JOIN edges e ON e.incident_id = w.incident_id AND e.src = w.path[-1] WHERE len(w.path) < 3 AND NOT list_contains(w.path, e.dst)),
-  fp AS (SELECT w.*, path[-1] AS e FROM fwalk w WHERE len(path) > 1 AND (NOT EXISTS (SELECT 1 FROM edges e WHERE e.incident_id = w.incident_id AND e.src = w.path[-1]) OR EXISTS (SELECT 1 FROM edges e WHERE e.incident_id = w.incident_id AND e.src = w.path[-1] AND list_contains(w.path, e.dst)))),
+def _forward_sql(edges, nodes):
+    return f""", fwalk AS (SELECT incident_id, src AS c, [src] AS path, []::DOUBLE[] AS probs FROM (SELECT DISTINCT incident_id, src FROM (SELECT incident_id, src FROM {edges} UNION ALL SELECT incident_id, dst FROM {edges}))
+    UNION ALL SELECT w.incident_id, w.c, list_append(w.path, e.dst), list_append(w.probs, e.weight) FROM fwalk w JOIN {edges} e ON e.incident_id = w.incident_id AND e.src = w.path[-1] WHERE len(w.path) < {nodes} AND NOT list_contains(w.path, e.dst)),
+  fp AS (SELECT w.*, path[-1] AS e FROM fwalk w WHERE len(path) > 1 AND (NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.incident_id = w.incident_id AND e.src = w.path[-1]) OR EXISTS (SELECT 1 FROM {edges} e WHERE e.incident_id = w.incident_id AND e.src = w.path[-1] AND list_contains(w.path, e.dst)))),
   im AS (SELECT a.incident_id, a.service_id AS c, b.service_id AS e, CASE WHEN a.service_id = b.service_id THEN 1.0::DOUBLE ELSE coalesce((SELECT max(exp(list_sum([ln(p) for p in probs]) / len(probs))) FROM fp WHERE fp.incident_id = a.incident_id AND fp.c = a.service_id AND fp.e = b.service_id), 0.01) END AS impact FROM nodes a JOIN nodes b USING (incident_id))"""
 
 
+FORWARD = _forward_sql("edges", 3)
+
+
 @add("r11_netmedic_paths", FORWARD + "SELECT incident_id, c, e, array_to_string(path, ',') AS path FROM fp")
 def _(x):
     return gr.netmedic_paths(x.edges(), 3).select("incident_id", "c", "e", F.concat_ws(",", F.transform("path", lambda s: s.cast("string"))).alias("path"))
@@ -822,3 +829,18 @@ def _(x):
 @add("y5_diagnose_tbac", _rating_sql("corr", 20) + JUDGED)
 def _(x):
     return rounded(judged(x, "tbac", True))
+
+
+NETMEDIC = """, hh AS (SELECT incident_id, max(t) + 1 AS h, greatest(1, least(50, (max(t) + 1) // 100)) AS k FROM parts WHERE part = 'history' GROUP BY 1),
+  ch AS (SELECT incident_id, service_id, (h - 1 - t) // (h // k) AS chunk, avg(value) AS mean FROM parts JOIN hh USING (incident_id) WHERE part = 'history' AND (h - 1 - t) // (h // k) < k GROUP BY 1, 2, 3),
+  st AS (SELECT incident_id, service_id, avg(value) FILTER (part = 'current') AS cur, min(value) AS lo, max(value) AS hi FROM parts GROUP BY 1, 2),
+  df AS (SELECT incident_id, service_id, chunk, coalesce(abs(mean - cur) / nullif(hi - lo, 0), 0) AS d FROM ch JOIN st USING (incident_id, service_id)),
+  lk AS (SELECT e.incident_id, e.src, e.dst, CASE WHEN s.d <= 1.0::DOUBLE / 3 THEN 1 - s.d ELSE 0 END AS w, d.d AS d FROM edges e JOIN df s ON s.incident_id = e.incident_id AND s.service_id = e.src JOIN df d ON d.incident_id = e.incident_id AND d.service_id = e.dst AND d.chunk = s.chunk),
+  ne AS (SELECT * FROM (SELECT incident_id, src, dst, CASE WHEN sum(w) > 0 THEN sum(w * (1 - d)) / sum(w) ELSE 0.8 END AS weight FROM lk GROUP BY 1, 2, 3) WHERE weight > 0)"""
+GLOBAL = """, gi AS (SELECT i.incident_id, i.c AS service_id, sum(impact * coalesce(abnormality, 0)) AS g FROM im i JOIN am ON am.incident_id = i.incident_id AND am.service_id = i.e GROUP BY 1, 2),
+  vs AS (SELECT i.incident_id, i.c AS service_id, 1 / nullif(i.impact * g, 0) AS score FROM im i JOIN gi ON gi.incident_id = i.incident_id AND gi.service_id = i.c WHERE i.e = 1)"""
+
+
+@add("y4_diagnose_netmedic", NETMEDIC + ABNORMALITY + _forward_sql("ne", 1000) + GLOBAL + JUDGED.replace("score DESC", "score ASC"))
+def _(x):
+    return rounded(judged(x, "netmedic", True))

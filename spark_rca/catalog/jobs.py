@@ -88,7 +88,6 @@ JOBS = {
     "y1_diagnose_dynamic_causality": lambda x: judged(x, "dynamic_causality"),
     "y2_monitor_rank_own_graph": lambda x: judged(x, "monitor_rank"),
     "y3_cloud_ranger_own_graph": lambda x: judged(x, "cloud_ranger"),
-    "y4_diagnose_netmedic": lambda x: judged(x, "netmedic", True),
     "y4_netmedic_raw_samples": lambda x: judged(x, "netmedic", True, compat=True),
     "y6_diagnose_microcause": lambda x: judged(x, "microcause"),
     "y7_sweep_windows": lambda x: dg.best_of_sweep(dg.sweep_windows(x.metrics(), x.entries(), x.truth(), x.edges(), 400, [200, 400], WINDOW_GRID)),
