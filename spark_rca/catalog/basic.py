@@ -699,6 +699,36 @@ def _(x):
     return v6(gr.microcause_q(x.edges(), x.corr(), x.entries(), 0.2), "weight")
 
 
+#: Partial correlations with the entry: of each service's block of correlations, confounders are eliminated one by one (``el``), as many as there are.
+PARTIAL = """, pa AS (SELECT incident_id, dst AS s, src AS p FROM edges), nd AS (SELECT DISTINCT incident_id, s FROM (SELECT incident_id, src AS s FROM edges UNION ALL SELECT incident_id, dst FROM edges) WHERE s <> 1),
+  co AS (SELECT nd.incident_id, nd.s, coalesce(list(DISTINCT pa.p) FILTER (pa.p IS NOT NULL), []) AS cond FROM nd LEFT JOIN pa ON pa.incident_id = nd.incident_id AND (pa.s = nd.s OR pa.s = 1) AND pa.p <> 1 AND pa.p <> nd.s GROUP BY 1, 2),
+  pc AS (SELECT a.incident_id, a.service_id AS i, b.service_id AS j, CASE WHEN a.service_id = b.service_id THEN 1.0::DOUBLE ELSE corr(a.value, b.value) END AS m FROM filled a JOIN filled b USING (incident_id, t) GROUP BY 1, 2, 3),
+  el AS (SELECT co.incident_id, s, cond, 1 AS k, i, j, m FROM co JOIN pc ON pc.incident_id = co.incident_id AND list_contains(cond || [1, s], i) AND list_contains(cond || [1, s], j)
+    UNION ALL
+    SELECT a.incident_id, a.s, a.cond, a.k + 1, a.i, a.j, a.m - b.m * c.m / d.m FROM el a JOIN el b ON b.incident_id = a.incident_id AND b.s = a.s AND b.i = a.i AND b.j = a.cond[a.k]
+      JOIN el c ON c.incident_id = a.incident_id AND c.s = a.s AND c.i = a.cond[a.k] AND c.j = a.j JOIN el d ON d.incident_id = a.incident_id AND d.s = a.s AND d.i = a.cond[a.k] AND d.j = a.cond[a.k]
+    WHERE a.k <= len(a.cond) AND a.i <> a.cond[a.k] AND a.j <> a.cond[a.k]),
+  pr AS (SELECT x.incident_id, x.s AS service_id, abs(x.m / sqrt(e.m * o.m)) AS corr FROM el x JOIN el e ON e.incident_id = x.incident_id AND e.s = x.s AND e.k = x.k AND e.i = 1 AND e.j = 1
+    JOIN el o ON o.incident_id = x.incident_id AND o.s = x.s AND o.k = x.k AND o.i = x.s AND o.j = x.s WHERE x.k = len(x.cond) + 1 AND x.i = 1 AND x.j = x.s)"""
+
+
+def partial(x):
+    return cz.partial_correlations(rl.pearson_matrix(x.filled()), x.entries(), rl.confounders(x.edges(), x.entries()))
+
+
+@add("g10_partial_corr", PARTIAL + " SELECT incident_id, service_id, round(corr, 6) AS corr FROM pr")
+def _(x):
+    return v6(partial(x), "corr")
+
+
+@add("r17_microcause_q_partial", PARTIAL + """, fl AS (SELECT incident_id, dst AS src, src AS dst FROM edges),
+  bo AS (SELECT fl.incident_id, src, dst, corr AS weight FROM fl JOIN pr ON pr.incident_id = fl.incident_id AND pr.service_id = fl.dst
+    UNION ALL SELECT fl.incident_id, fl.dst, fl.src, 0.2::DOUBLE * corr FROM fl JOIN pr ON pr.incident_id = fl.incident_id AND pr.service_id = fl.src WHERE NOT EXISTS (SELECT 1 FROM fl o WHERE o.incident_id = fl.incident_id AND o.src = fl.dst AND o.dst = fl.src))
+  SELECT incident_id, src, dst, round(weight / sum(weight) OVER (PARTITION BY incident_id, src), 6) AS weight FROM bo WHERE weight > 0""")
+def _(x):
+    return v6(gr.microcause_q(x.edges(), partial(x), x.entries(), 0.2, selves=False, flip=True), "weight")
+
+
 @add("r19_gamma_scores", ", v AS (SELECT incident_id, dst AS service_id, sum(weight) AS visits FROM strength GROUP BY 1, 2) SELECT incident_id, service_id, round(0.6::DOUBLE * visits / max(visits) OVER w + 0.4::DOUBLE * corr / max(corr) OVER w, 6) AS score FROM v JOIN corr USING (incident_id, service_id) WINDOW w AS (PARTITION BY incident_id)")
 def _(x):
     v = x.strength().groupBy("incident_id", F.col("dst").alias("service_id")).agg(F.sum("weight").alias("visits"))

@@ -72,8 +72,6 @@ JOBS = {
     "g7_granger_verdict": lambda x: cz.granger_verdict(x.dense(), 2),
     "g8_pc_graph": lambda x: cz.pc_graph(rl.pearson_matrix(x.filled()), x.lengths(), 0.1),
     "g9_lagged_links": lambda x: cz.lagged_links(x.dense(), 10),
-    "g10_partial_corr": lambda x: cz.partial_correlations(rl.pearson_matrix(x.filled()), x.entries(), rl.confounders(x.edges(), x.entries())),
-    "r17_microcause_q_partial": lambda x: gr.microcause_q(x.edges(), cz.partial_correlations(rl.pearson_matrix(x.filled()), x.entries(), rl.confounders(x.edges(), x.entries())), x.entries(), 0.2, selves=False, flip=True),
     "t1_spot": lambda x: run_spot(x.filled(), q=1e-3),
     "t2_bispot": lambda x: run_spot(x.filled(), q=1e-3, two_sided=True),
     "t3_dspot": lambda x: run_spot(x.filled(), q=1e-3, depth=10),
