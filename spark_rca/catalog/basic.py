@@ -38,13 +38,28 @@ def v6(df, c="value"):
 
 
 # Sources and sinks
+def month_matrix(x, name):
+    """A row of twelve sums for each supplier, as matrix files have it."""
+    months = range(1, 13)
+    wide = x.read("lineitem").select(name.alias("name"), F.month("l_shipdate").alias("m"), "l_quantity").groupBy("name").pivot("m", list(months)).agg(F.sum("l_quantity").cast("double"))
+    return wide.select("name", *[F.col(f"`{m}`").alias(f"m{m}") for m in months])
+
+
 @add("io1_read_metric_matrix", """, g AS (SELECT l_suppkey, month(l_shipdate) AS m, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), n AS (SELECT DISTINCT l_suppkey FROM lineitem)
   SELECT 'm' AS incident_id, rank() OVER (PARTITION BY t ORDER BY name)::INT AS service_id, t, round(v, 6) AS value FROM
   (SELECT 's' || l_suppkey AS name, (m - 1)::BIGINT AS t, coalesce(v, 0.0::DOUBLE) AS v FROM (SELECT l_suppkey, unnest(range(1, 13)) AS m FROM n) LEFT JOIN g USING (l_suppkey, m))""")
 def _(x):
-    li = x.read("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("name"), F.month("l_shipdate").alias("m"), "l_quantity")
-    wide = li.groupBy("name").pivot("m", list(range(1, 13))).agg(F.sum("l_quantity").cast("double"))
-    return v6(io.melt_matrix(wide, "name", [f"`{m}`" for m in range(1, 13)]))
+    path = shared_folder(x.spark, "matrix")
+    month_matrix(x, F.concat(F.lit("s"), F.col("l_suppkey"))).write.csv(path)
+    return v6(io.read_metric_matrix(x.spark, path, "csv", [f"m{m}" for m in range(1, 13)]))
+
+
+@add("io1_read_metric_matrix_by_row", """, g AS (SELECT l_suppkey, month(l_shipdate) AS m, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), n AS (SELECT DISTINCT l_suppkey FROM lineitem)
+  SELECT 'm' AS incident_id, row_number() OVER (PARTITION BY m ORDER BY l_suppkey DESC)::INT AS service_id, (m - 1)::BIGINT AS t, round(coalesce(v, 0.0::DOUBLE), 6) AS value FROM (SELECT l_suppkey, unnest(range(1, 13)) AS m FROM n) LEFT JOIN g USING (l_suppkey, m)""")
+def _(x):
+    path = shared_folder(x.spark, "matrix")
+    month_matrix(x, F.col("l_suppkey")).orderBy(F.desc("name")).withColumn("name", F.concat(F.lit("s"), F.col("name"))).write.parquet(path)
+    return v6(io.read_metric_matrix(x.spark, path, "parquet", [f"m{m}" for m in range(1, 13)], by_row=True))
 
 
 @add("io2_metrics_from_events", "SELECT * FROM metrics")
@@ -54,8 +69,9 @@ def _(x):
 
 @add("io3_read_adjacency", "SELECT incident_id, src, dst, round(weight, 6) AS weight FROM edges")
 def _(x):
-    wide = io.edge_matrix(x.edges(), SERVICES)
-    return v6(io.melt_adjacency(wide, F.col("src"), [F.col(f"d{i}") for i in SERVICES], ("incident_id",)), "weight")
+    path = shared_folder(x.spark, "adjacency")
+    io.write_matrix(x.edges(), list(SERVICES), path)
+    return v6(io.read_adjacency(x.spark, path, len(SERVICES), ("incident_id",), header=True), "weight")
 
 
 @add("io4_edge_matrix", "SELECT incident_id, src, " + ", ".join(f"round(coalesce(max(CASE WHEN dst = {i} THEN weight END), 0.0::DOUBLE), 6) AS d{i}" for i in SERVICES) + " FROM edges GROUP BY 1, 2")

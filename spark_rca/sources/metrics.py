@@ -69,11 +69,15 @@ def melt_adjacency(wide: DataFrame, src: Column, cells: list[Column], keys: tupl
     return long.where("weight <> 0").select(*keys, "src", (F.col("_p") + 1).cast("int").alias("dst"), "weight")
 
 
-def read_adjacency(spark: SparkSession, path: str, nodes: int) -> DataFrame:
-    """Edges of an N x N CSV matrix whose first column is the row's node id."""
-    names = [f"c{i}" for i in range(1, nodes + 1)]
-    wide = spark.read.schema(", ".join(["src int", *[f"{n} double" for n in names]])).csv(path)
-    return melt_adjacency(wide, F.col("src"), [F.col(n) for n in names])
+def read_adjacency(spark: SparkSession, path: str, nodes: int, keys: tuple[str, ...] = (), header: bool = False) -> DataFrame:
+    """Edges of N x N CSV matrices: columns ``keys``, if any, tell the matrix of a row, the next is the row's node id, then its N weights.
+
+    Several matrices may share files and their rows may come in any order; ``header`` skips a first line, as ``write_matrix`` writes it.
+    """
+    names = [f"d{i}" for i in range(1, nodes + 1)]
+    schema = [*[f"{k} string" for k in keys], "src int", *[f"{n} double" for n in names]]
+    wide = spark.read.schema(", ".join(schema)).csv(path, header=header)
+    return melt_adjacency(wide, F.col("src"), [F.col(n) for n in names], keys)
 
 
 def edge_matrix(edges: DataFrame, nodes: Sequence[int], keys: tuple[str, ...] = ("incident_id",)) -> DataFrame:

@@ -62,3 +62,15 @@ def test_repeated_names_keep_their_rows(spark):
     wide = spark.createDataFrame([("a", 1.0, 1), ("a", 2.0, 2)], "name string, v double, n int")
     got = io.melt_matrix(wide, "name", ["v"], row="n").select("service_id", "value").orderBy(F.col("service_id")).collect()
     assert [tuple(r) for r in got] == [(1, 1.0), (2, 2.0)]
+
+
+def test_matrices_of_many_incidents_come_back(spark, tmp_path):
+    rows = [("a", 1, 2, 0.1 + 0.2), ("a", 3, 1, 1 / 3), ("b", 2, 3, 2.5), ("b", 2, 1, 1e-9)]
+    edges = spark.createDataFrame(rows, "incident_id string, src int, dst int, weight double")
+    io.write_matrix(edges.repartition(3), [1, 2, 3], str(tmp_path / "m"))
+    back = io.read_adjacency(spark, str(tmp_path / "m"), 3, ("incident_id",), header=True)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    (tmp_path / "one.csv").write_text("2,0,0,1.5\n1,,0.25,0\n")
+    assert sorted(map(tuple, io.read_adjacency(spark, str(tmp_path / "one.csv"), 3).collect())) == [(1, 2, 0.25), (2, 3, 1.5)]
+    (tmp_path / "none.csv").write_text("")
+    assert io.read_adjacency(spark, str(tmp_path / "none.csv"), 3).count() == 0
