@@ -42,7 +42,8 @@ def place_turns(conversations: DataFrame) -> DataFrame:
 
     Turns order by turn (null first), role and text; null roles and texts are empty strings.  The
     text never enters a window buffer: partitions are sorted and then read as a stream, so a
-    conversation of any length needs no more memory than one window.
+    conversation of any length needs no more memory than one window.  An empty table gives an empty
+    one; other columns are dropped.
     """
     t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tokens", F.greatest(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long"))
@@ -94,7 +95,7 @@ def windows(rows: Iterable[tuple], budget: int, history: int) -> Iterator[tuple]
 
 
 def format_conversations(conversations: DataFrame, budget: int = 512, history: int = 96) -> DataFrame:
-    """(conv_id, window, formatted, tokens), in order within each partition."""
+    """(conv_id, window, formatted, tokens), in order within each partition; no row for an empty table."""
 
     def run(it):
         def rows():
@@ -118,7 +119,7 @@ NAMES, TYPES = ["conv_id", "window", "formatted", "tokens"], [pa.int64(), pa.int
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests per conversation from the formatted windows alone; the windows must be in order."""
+    """Digests per conversation from the formatted windows alone; the windows must be in order. No row for an empty table."""
 
     def run(it):
         conv, got, out = None, None, []

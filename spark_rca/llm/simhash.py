@@ -87,7 +87,7 @@ def hamming_search(queries: DataFrame, base: DataFrame, radius: int = 3) -> Data
     Both tables have ``hi`` and ``lo``; they are made distinct first, so copies of a document cost
     nothing.  Each of the radius + 1 block tables is an equi-join on one block; a pair is kept only
     by the first block on which it agrees, so results are distinct without another shuffle.
-    Exact for any radius below 64.
+    Exact for any radius below 64.  A fingerprint with a null half is near nothing; empty tables give an empty one.
     """
     n = radius + 1
     edges = [round(i * BITS / n) for i in range(n + 1)]
@@ -141,6 +141,7 @@ def fingerprint_query(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and of their edited texts.
 
     A repeated row (same doc_id and text) is its own next document, except for the last of them.
+    A null text is an empty one; an empty table gives an empty one; other columns are dropped.
     """
     order = in_order(docs)
     texts = docs.select(row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
