@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spark_rca.llm.common import free_names, lean
+from spark_rca.llm.common import free_names, keep, lean
 
 #: A vocabulary's own pattern in Java's syntax: its \s is Unicode white space, as in the tokenizer.
 SPACE = r"\p{IsWhite_Space}"
@@ -187,14 +187,9 @@ DECODE = """
 SELECT unit, string_agg(hex(bytes), '' ORDER BY pos) AS hexed FROM id_rows JOIN tokens USING (tok) GROUP BY unit ORDER BY unit"""
 
 
-#: One encoder per Python worker and vocabulary; a worker serves many partitions.
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(key: str, ranks: list[tuple[bytes, int]]) -> Encoder:
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks)
-    return _ENCODERS[key]
+    """One encoder per Python worker and vocabulary: a worker serves many partitions, and drops it for another operator's."""
+    return keep("bpe", key, lambda: Encoder(ranks))
 
 
 def _joined(pieces: list[bytes], idx: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -258,7 +253,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str,
                 t = t.append_column("decoded_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()))
                 yield from t.to_batches()
 
-    return split.mapInArrow(lean(run), schema)
+    return split.mapInArrow(lean(run, "bpe"), schema)
 
 
 def bpe_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

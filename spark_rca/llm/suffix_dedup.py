@@ -284,9 +284,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 ADDED = ("_kept", "n_bytes", "n_removed", "n_spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str, ...] = ADDED) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str | None, ...] = ADDED) -> DataFrame:
     """``docs`` (doc_id, text, ...) with columns called ``names``: the bytes that stay, how many there were, how
-    many go and in how many runs, and, for a fifth name, what stays as text.
+    many go and in how many runs, and, for a fifth name, what stays as text, null where nothing goes.  A
+    column whose name is None is left out.
 
     Null texts count as empty and keep no byte; texts shorter than ``length`` stay whole; a repeated
     row repeats all its windows, with or without an id; an empty table gives an empty one.  In the text, a
@@ -302,30 +303,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
     rows = keyed.join(spans, key, "left").drop(key)
     schema = StructType([*docs.schema.fields])
     for name, kind in zip(names, ("binary", "long", "long", "long", "string"), strict=False):
-        schema = schema.add(name, kind)
+        schema = schema.add(name, kind) if name else schema
+    whole, words_too = names[0] is not None, len(names) > 4
 
     def cut(it):
         for b in it:
-            t = pa.Table.from_batches([b])
-            kept, size, gone, count, words = [], [], [], [], []
-            for text, spans in zip(t["text"].cast(pa.large_binary()).to_pylist(), t[where].to_pylist(), strict=True):
-                raw = text or b""
-                runs = merged([(x["s"], x["e"]) for x in spans or []])
-                parts, at = [], 0
-                for s, e in runs:
-                    parts.append(raw[at:s])
-                    at = e
-                parts.append(raw[at:])
-                kept.append(b"".join(parts))
-                size.append(len(raw))
-                gone.append(len(raw) - len(kept[-1]))
-                count.append(len(runs))
-                if len(names) > 4:
-                    words.append("".join(x.decode("utf-8", "ignore") for x in parts))
-            t = t.select(cols)
-            for name, values, kind in zip(names, (kept, size, gone, count, words), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=False):
-                t = t.append_column(name, pa.array(values, kind))
-            yield from t.to_batches()
+            for row, data, offs in batches(b.column(b.schema.names.index("text"))):
+                t = pa.Table.from_batches([b.slice(row, len(offs) - 1)])
+                kept, size, gone, count, words = [], [], [], [], []
+                for x, y, spans in zip(offs[:-1].tolist(), offs[1:].tolist(), t[where].to_pylist(), strict=True):
+                    runs = merged([(s["s"], s["e"]) for s in spans or []])
+                    size.append(y - x)
+                    gone.append(sum(e - s for s, e in runs))
+                    count.append(len(runs))
+                    parts = []
+                    if whole or runs:
+                        parts = [data[x + s : x + e].tobytes() for s, e in zip([0, *[e for _, e in runs]], [*[s for s, _ in runs], y - x], strict=True)]
+                    kept.append(b"".join(parts) if whole else None)
+                    words.append("".join(p.decode("utf-8", "ignore") for p in parts) if words_too and runs else None)
+                t = t.select(cols)
+                for name, values, kind in zip(names, (kept, size, gone, count, words), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=False):
+                    t = t.append_column(name, pa.array(values, kind)) if name else t
+                yield from t.to_batches()
 
     return rows.select(*cols, where).mapInArrow(lean(cut), schema)
 
@@ -342,10 +341,10 @@ def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     n_chars follows the text.  A document of which nothing is left keeps its row with an empty text; a
     text that loses nothing, null too, stays as it is.
     """
-    names = tuple(free_names(docs, "kept", "bytes", "removed", "runs", "left"))
-    out = remove_repeats(docs, length, names=names)
-    lost = F.col(names[2]) > 0
-    text = F.when(lost, F.col(names[4])).otherwise(F.col("text"))
+    removed, left = free_names(docs, "removed", "left")
+    out = remove_repeats(docs, length, names=(None, None, removed, None, left))
+    lost = F.col(removed) > 0
+    text = F.when(lost, F.col(left)).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
