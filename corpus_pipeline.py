@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose what strings of 400 bytes that start twice cover; no row goes; null texts stay null."""
-    return suffix_dedup.drop_repeats(docs)
+    """Texts lose what strings of 400 bytes, or runs of over 50 words, that start twice cover; no row goes; null texts stay null."""
+    return suffix_dedup.drop_repeats(docs, words=51)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@
    anchor, into halves that share a longer core, so the core's hash divides the group; equal
    pieces are settled at once.  A hot passage dissolves in a few rounds.
 
+Repeats may be counted in words as well: each word becomes ``CODE`` bytes of its hash, and the same steps
+find the strings of that many codes, whatever bytes or white space the words take.
+
 Strings are judged on the input, and matches never cross documents.
 """
 
@@ -27,12 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spark_rca.llm.bytehash import batches, prefix, span
+from spark_rca.llm.bytehash import words as word_bounds
 from spark_rca.llm.common import free_names, lean, materialize, row_key, small_side
 
 #: Bytes of the k-gram that is an anchor (for windows of 400 bytes), bytes that a task transforms at
 #: once, bytes of one anchor's fragments that go to one task, and bytes that a task is dealt.
 GRAM, BLOCK, HOT, DEALT = 64, 1 << 19, 1 << 20, 2 << 20
 
+#: Bytes of a word's hash that stand for it where repeats are counted in words.
+CODE = 6
+
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor place, anchor, fragment, left and right hash) of every run of windows.
 
@@ -87,6 +94,25 @@ def _anchor_table(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(lean(run), "key long, gram long, frag long, left long, right long, lo long, n int, a int")
 
 
+def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts with each word as its code and nothing between."""
+    a, b, first = word_bounds(data, offs)
+    return np.ascontiguousarray(span(prefix(data), a, b).view(np.uint8).reshape(-1, 8)[:, :CODE]).ravel(), first * CODE
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """(key, text) with binary texts of word codes."""
+
+    def run(it):
+        for b in it:
+            for row, data, offs in batches(b.column("text")):
+                codes, at = word_codes(data, offs)
+                texts = pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(codes)])
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(row, len(offs) - 1), texts], ["key", "text"])
+
+    return docs.select("key", "text").mapInArrow(lean(run), "key long, text binary")
+
+
 def suffix_order(s: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix array, its inverse, where in it the first 7 bytes change) of byte pieces, by prefix doubling.
 
@@ -246,7 +272,7 @@ def _settle(frags: DataFrame, length: int, k: int, hot: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """(key, spans): byte ranges, possibly overlapping, that repeated strings cover in rows (key, text)."""
+    """(key, spans): byte ranges, possibly overlapping, that repeated strings cover in rows (key, text); texts may be binary."""
     k = min(GRAM, max(1, length // 2))
     runs = materialize(_anchor_table(docs, length, k))
     grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"))
@@ -260,7 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     hit = frags.where("c = 1").select("gram", "frag", F.explode(F.array("left", "right")).alias("side")).join(sides, ["gram", "side"]).select("gram", "frag").distinct()
     frags = materialize(frags.where("c > 1").unionByName(frags.join(hit, ["gram", "frag"], "left_semi")).drop("left", "right"))
     needed = frags.groupBy("key").agg(F.collect_list(F.struct("gram", "frag", "c", "lo", "n", "a")).alias("fs"))
-    texts = docs.select("key", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    texts = docs.select("key", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("raw"))
     at = texts.join(needed, "key").select("raw", F.explode("fs").alias("f"))
     bodies = materialize(at.select("f.gram", "f.frag", "f.c", "f.a", F.expr(f"substring(raw, int(f.lo) + 1, f.n + {length - 1})").alias("body")))
     if bodies.count() > frags.count():  # rows that repeat a document as a whole
@@ -284,10 +310,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 ADDED = ("_kept", "n_bytes", "n_removed", "n_spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str | None, ...] = ADDED) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str | None, ...] = ADDED, words: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) with columns called ``names``: the bytes that stay, how many there were, how
     many go and in how many runs, and, for a fifth name, what stays as text, null where nothing goes.  A
-    column whose name is None is left out.
+    column whose name is None is left out.  With ``words``, what a run of as many words that is found twice
+    covers goes too, from its first word to its last, whatever bytes and white space it has; runs that
+    follow each other are one.
 
     Null texts count as empty and keep no byte; texts shorter than ``length`` stay whole; a repeated
     row repeats all its windows, with or without an id; an empty table gives an empty one.  In the text, a
@@ -296,23 +324,33 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
     """
     cols = [c for c in docs.columns if c not in names]
     docs = docs.select(cols)
-    key, where = free_names(docs, "key", "spans")
+    key, where, counted = free_names(docs, "key", "spans", "counted")
     keyed = docs.withColumn(key, row_key())
     spans = materialize(repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length, hot))
     spans = spans.select(F.col("key").alias(key), F.col("spans").alias(where))
+    if words:
+        more = materialize(repeated_spans(_coded(keyed.select(F.col(key).alias("key"), "text")), words * CODE, hot))
+        spans = spans.join(more.select(F.col("key").alias(key), F.col("spans").alias(counted)), key, "full")
     rows = keyed.join(spans, key, "left").drop(key)
     schema = StructType([*docs.schema.fields])
     for name, kind in zip(names, ("binary", "long", "long", "long", "string"), strict=False):
         schema = schema.add(name, kind) if name else schema
-    whole, words_too = names[0] is not None, len(names) > 4
+    whole, text_too = names[0] is not None, len(names) > 4
 
     def cut(it):
         for b in it:
             for row, data, offs in batches(b.column(b.schema.names.index("text"))):
                 t = pa.Table.from_batches([b.slice(row, len(offs) - 1)])
-                kept, size, gone, count, words = [], [], [], [], []
-                for x, y, spans in zip(offs[:-1].tolist(), offs[1:].tolist(), t[where].to_pylist(), strict=True):
-                    runs = merged([(s["s"], s["e"]) for s in spans or []])
+                kept, size, gone, count, left = [], [], [], [], []
+                in_words = t[counted].to_pylist() if words else [None] * len(t)
+                starts, ends, first = word_bounds(data, offs) if any(in_words) else (None, None, offs)
+                for x, y, spans, coded, at in zip(offs[:-1].tolist(), offs[1:].tolist(), t[where].to_pylist(), in_words, first.tolist(), strict=False):
+                    both = [(s["s"], s["e"]) for s in spans or []]
+                    for s, e in merged([(s["s"], s["e"]) for s in coded or []]):
+                        a, b_ = at - -s // CODE, at + e // CODE
+                        if b_ - a >= words:  # codes of other words may share bytes
+                            both.append((int(starts[a]) - x, int(ends[b_ - 1]) - x))
+                    runs = merged(both)
                     size.append(y - x)
                     gone.append(sum(e - s for s, e in runs))
                     count.append(len(runs))
@@ -320,13 +358,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
                     if whole or runs:
                         parts = [data[x + s : x + e].tobytes() for s, e in zip([0, *[e for _, e in runs]], [*[s for s, _ in runs], y - x], strict=True)]
                     kept.append(b"".join(parts) if whole else None)
-                    words.append("".join(p.decode("utf-8", "ignore") for p in parts) if words_too and runs else None)
+                    left.append("".join(p.decode("utf-8", "ignore") for p in parts) if text_too and runs else None)
                 t = t.select(cols)
-                for name, values, kind in zip(names, (kept, size, gone, count, words), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=False):
+                for name, values, kind in zip(names, (kept, size, gone, count, left), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=False):
                     t = t.append_column(name, pa.array(values, kind)) if name else t
                 yield from t.to_batches()
 
-    return rows.select(*cols, where).mapInArrow(lean(cut), schema)
+    return rows.select(*cols, where, *[counted] * bool(words)).mapInArrow(lean(cut), schema)
 
 
 def suffix_query(docs: DataFrame) -> DataFrame:
@@ -335,14 +373,14 @@ def suffix_query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
-def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Pipeline stage: texts without repeated bytes; a character that a cut parts goes as a whole.
+def drop_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
+    """Pipeline stage: texts without repeated bytes or, if asked for, ``words``; a character that a cut parts goes as a whole.
 
     n_chars follows the text.  A document of which nothing is left keeps its row with an empty text; a
     text that loses nothing, null too, stays as it is.
     """
     removed, left = free_names(docs, "removed", "left")
-    out = remove_repeats(docs, length, names=(None, None, removed, None, left))
+    out = remove_repeats(docs, length, names=(None, None, removed, None, left), words=words)
     lost = F.col(removed) > 0
     text = F.when(lost, F.col(left)).otherwise(F.col("text"))
     out = out.withColumn("text", text)
