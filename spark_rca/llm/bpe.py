@@ -3,7 +3,7 @@
 Spark splits each text with the tokenizer's pattern.  A task keeps the distinct words it has not
 met, turns them into token-position rows and lets a recursive query join them with the merge table:
 each step contracts every word's leftmost pair of minimum rank, until no pair can merge.  Ordered
-aggregation collects the ids, and for decoding joins ids with their bytes.  A long word (an unbroken
+aggregation collects the ids, and an ordered join finds the bytes that they decode to.  A long word (an unbroken
 run of letters may be a whole text) keeps one row per position that each step overwrites only where
 tokens change, and a step contracts all pairs of that rank from left to right.
 """
@@ -132,20 +132,26 @@ class Encoder:
             at += 4 * n
 
     def decode(self, unit: np.ndarray, ids: np.ndarray) -> list[bytes]:
-        """The bytes of each unit (word or text) from its ids in order, by ordered aggregation."""
-        self.con.register("id_rows", pa.table({"unit": unit.astype(np.int32), "pos": np.arange(len(ids), dtype=np.int64), "tok": ids.astype(np.int32)}))
-        got = self.con.sql(DECODE).to_arrow_table()
+        """The bytes of each unit (word or text), whose ids follow each other in order, from an ordered join: its column is the bytes one after another."""
+        if not len(ids):
+            return []
+        self.con.register("id_rows", pa.table({"pos": np.arange(len(ids), dtype=np.int64), "tok": ids.astype(np.int32)}))
+        got = self.con.sql(DECODE).to_arrow_table()["bytes"].combine_chunks().cast(pa.large_binary())
         self.con.unregister("id_rows")
-        return [bytes.fromhex(x) for x in got["hexed"].to_pylist()]
+        _, offs, data = got.buffers()
+        offs = np.frombuffer(offs, np.int64)[got.offset : got.offset + len(got) + 1]
+        cuts = offs[np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(got))].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+#: One sort by word and place together, not one for each word.
 STEPS = """
 WITH RECURSIVE t(w, p, tok, k) AS (
-  SELECT w, p, tok, k FROM words
+  SELECT w, w::BIGINT << 32 | p, tok, k FROM words
   UNION ALL (
-    WITH pair AS (SELECT w, p, tok, lead(tok) OVER o AS next_tok, lead(p) OVER o AS next_p FROM t WINDOW o AS (PARTITION BY w ORDER BY p)),
-    best AS (SELECT w, min(m::BIGINT << 32 | p) AS x, arg_min(next_p, m::BIGINT << 32 | p) AS gone FROM pair JOIN merges ON tok = l AND next_tok = r GROUP BY w)
-    SELECT t.w, t.p, CASE WHEN t.p = x & 4294967295 THEN (x >> 32)::INT ELSE t.tok END, t.k + 1
+    WITH pair AS (SELECT w, p, tok, lead(tok) OVER o AS next_tok, lead(p) OVER o AS next_p FROM t WINDOW o AS (ORDER BY p)),
+    best AS (SELECT w, min(m::BIGINT << 32 | (p & 4294967295)) AS x, arg_min(next_p, m::BIGINT << 32 | (p & 4294967295)) AS gone FROM pair JOIN merges ON tok = l AND next_tok = r WHERE next_p >> 32 = w GROUP BY w)
+    SELECT t.w, t.p, CASE WHEN t.p & 4294967295 = x & 4294967295 THEN (x >> 32)::INT ELSE t.tok END, t.k + 1
     FROM t JOIN best USING (w) WHERE t.p <> gone
   )
 ),
@@ -184,7 +190,7 @@ WITH RECURSIVE t(p, tok, nxt, m) USING KEY (p) AS (
 SELECT list(tok ORDER BY p) AS ids FROM t WHERE tok >= 0"""
 
 DECODE = """
-SELECT unit, string_agg(hex(bytes), '' ORDER BY pos) AS hexed FROM id_rows JOIN tokens USING (tok) GROUP BY unit ORDER BY unit"""
+SELECT bytes FROM id_rows JOIN tokens USING (tok) ORDER BY pos"""
 
 
 def _encoder(key: str, ranks: list[tuple[bytes, int]]) -> Encoder:
