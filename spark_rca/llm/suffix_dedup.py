@@ -79,13 +79,18 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np
     return text, lo, hi - lo + 1, place, span(p, place, place + k), frag, left, right
 
 
-def _anchor_table(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(key, gram, frag, left, right, lo, n, a): runs of windows; lo and a (the anchor's place in the fragment) count bytes."""
+def _anchor_table(docs: DataFrame, length: int, k: int, coded: bool = False) -> DataFrame:
+    """(key, gram, frag, left, right, lo, n, a): runs of windows; lo and a (the anchor's place in the fragment) count bytes.
+
+    ``coded``: of the words' codes, made in the same task, for a second Python function in a plan means
+    twice as many workers.
+    """
 
     def run(it):
         for b in it:
             keys, row = b.column("key").to_numpy(), 0
             for _, data, offs in batches(b.column("text")):
+                data, offs = word_codes(data, offs) if coded else (data, offs)
                 text, lo, n, place, *hashes = anchors(data, offs, length, k)
                 cols = [keys[row + text], *[h.view(np.int64) for h in hashes], lo - offs[text], n, place - lo]
                 row += len(offs) - 1
@@ -271,10 +276,10 @@ def _settle(frags: DataFrame, length: int, k: int, hot: int) -> DataFrame:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """(key, spans): byte ranges, possibly overlapping, that repeated strings cover in rows (key, text); texts may be binary."""
+def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, coded: bool = False) -> DataFrame:
+    """(key, spans): byte ranges, possibly overlapping, that repeated strings cover in rows (key, text) or, if ``coded``, in their words' codes."""
     k = min(GRAM, max(1, length // 2))
-    runs = materialize(_anchor_table(docs, length, k))
+    runs = materialize(_anchor_table(docs, length, k, coded))
     grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"))
     runs = materialize(runs.join(small_side(grams), "gram"))
     # All values of a group's first row, as hash aggregation keeps them.
@@ -286,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     hit = frags.where("c = 1").select("gram", "frag", F.explode(F.array("left", "right")).alias("side")).join(sides, ["gram", "side"]).select("gram", "frag").distinct()
     frags = materialize(frags.where("c > 1").unionByName(frags.join(hit, ["gram", "frag"], "left_semi")).drop("left", "right"))
     needed = frags.groupBy("key").agg(F.collect_list(F.struct("gram", "frag", "c", "lo", "n", "a")).alias("fs"))
-    texts = docs.select("key", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("raw"))
+    texts = (_coded(docs) if coded else docs).select("key", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("raw"))
     at = texts.join(needed, "key").select("raw", F.explode("fs").alias("f"))
     bodies = materialize(at.select("f.gram", "f.frag", "f.c", "f.a", F.expr(f"substring(raw, int(f.lo) + 1, f.n + {length - 1})").alias("body")))
     if bodies.count() > frags.count():  # rows that repeat a document as a whole
@@ -329,7 +334,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
     spans = materialize(repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length, hot))
     spans = spans.select(F.col("key").alias(key), F.col("spans").alias(where))
     if words:
-        more = materialize(repeated_spans(_coded(keyed.select(F.col(key).alias("key"), "text")), words * CODE, hot))
+        more = materialize(repeated_spans(keyed.select(F.col(key).alias("key"), "text"), words * CODE, hot, True))
         spans = spans.join(more.select(F.col("key").alias(key), F.col("spans").alias(counted)), key, "full")
     rows = keyed.join(spans, key, "left").drop(key)
     schema = StructType([*docs.schema.fields])
