@@ -14,8 +14,9 @@
    anchor, into halves that share a longer core, so the core's hash divides the group; equal
    pieces are settled at once.  A hot passage dissolves in a few rounds.
 
-Repeats may be counted in words as well: each word becomes ``CODE`` bytes of its hash, and the same steps
-find the strings of that many codes, whatever bytes or white space the words take.
+Repeats may be counted in words as well: each word becomes a code, ``CODE`` bytes of its hash, and the same steps
+find the strings of that many codes, whatever bytes or white space the words take.  A code is one symbol there:
+lengths, places and steps count words, only fragments that move have ``CODE`` bytes for each.
 
 Strings are judged on the input, and matches never cross documents.
 """
@@ -29,28 +30,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spark_rca.llm.bytehash import batches, prefix, span
+from spark_rca.llm.bytehash import batches, prefix, span, summed
 from spark_rca.llm.bytehash import words as word_bounds
-from spark_rca.llm.common import free_names, lean, materialize, row_key, small_side
+from spark_rca.llm.common import free_names, lean, materialize, materialize_alone, row_key, small_side
 
 #: Bytes of the k-gram that is an anchor (for windows of 400 bytes), bytes that a task transforms at
 #: once, bytes of one anchor's fragments that go to one task, and bytes that a task is dealt.
 GRAM, BLOCK, HOT, DEALT = 64, 1 << 19, 1 << 20, 2 << 20
 
-#: Bytes of a word's hash that stand for it where repeats are counted in words.
-CODE = 6
+#: Bytes of a word's hash that stand for it where repeats are counted in words, and words of an anchor there.
+CODE, GRAM_WORDS = 6, 8
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor place, anchor, fragment, left and right hash) of every run of windows.
 
-    The left hash is 0 or of what all windows share that start well before the anchor, the right hash of
-    what all others share; two fragments with a common window have one of them in common.
+    ``data`` has bytes or codes of words.  The left hash is 0 or of what all windows share that start well
+    before the anchor, the right hash of what all others share; two fragments with a common window have
+    one of them in common.
     """
     n, w = len(data), length - k + 1
     none = np.zeros(0, np.int64)
     if n < length:
         return (none, none, none, none, *[none.astype(np.uint64)] * 4)
-    p = prefix(data)
+    p = prefix(data) if data.dtype == np.uint8 else summed(data)
     at = np.arange(n - k + 1)
     key = (span(p, at, at + k) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
     if n >= 1 << 24:  # a text too long for a place in the key: ranks stand in for hash and place
@@ -80,7 +82,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np
 
 
 def _anchor_table(docs: DataFrame, length: int, k: int, coded: bool = False) -> DataFrame:
-    """(key, gram, frag, left, right, lo, n, a): runs of windows; lo and a (the anchor's place in the fragment) count bytes.
+    """(key, gram, frag, left, right, lo, n, a): runs of windows; lo and a (the anchor's place in the fragment) count bytes or words.
 
     ``coded``: of the words' codes, made in the same task, for a second Python function in a plan means
     twice as many workers.
@@ -100,45 +102,46 @@ def _anchor_table(docs: DataFrame, length: int, k: int, coded: bool = False) ->
 
 
 def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the texts with each word as its code and nothing between."""
+    """(codes of all words, for each text the index of its first word)."""
     a, b, first = word_bounds(data, offs)
-    return np.ascontiguousarray(span(prefix(data), a, b).view(np.uint8).reshape(-1, 8)[:, :CODE]).ravel(), first * CODE
+    return span(prefix(data), a, b) & np.uint64((1 << 8 * CODE) - 1), first
 
 
 def _coded(docs: DataFrame) -> DataFrame:
-    """(key, text) with binary texts of word codes."""
+    """``docs`` (raw, fs) with the words' codes, ``CODE`` bytes each, for raw."""
 
     def run(it):
         for b in it:
-            for row, data, offs in batches(b.column("text")):
-                codes, at = word_codes(data, offs)
-                texts = pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(codes)])
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(row, len(offs) - 1), texts], ["key", "text"])
+            for row, data, offs in batches(b.column("raw")):
+                codes, first = word_codes(data, offs)
+                codes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :CODE])
+                texts = pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((first * CODE).astype(np.int32)), pa.py_buffer(codes)])
+                yield pa.RecordBatch.from_arrays([texts, b.column("fs").slice(row, len(offs) - 1)], ["raw", "fs"])
 
-    return docs.select("key", "text").mapInArrow(lean(run), "key long, text binary")
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
-def suffix_order(s: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, its inverse, where in it the first 7 bytes change) of byte pieces, by prefix doubling.
+def suffix_order(s: np.ndarray, end: np.ndarray, bits: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix array, its inverse, where in it the first 64 // bits symbols change) of pieces, by prefix doubling.
 
-    ``s`` has byte + 1, and 0 at the end of each piece; ``end`` is the place of that 0 for each
-    position.  Ends are distinct and sort first, so no common prefix crosses one.
+    ``s`` has byte + 1, or the number of a word's code + 1, below 2**bits, and 0 at the end of each piece;
+    ``end`` is the place of that 0 for each position.  Ends are distinct and sort first, so no common
+    prefix crosses one.
     """
-    n = len(s)
+    n, depth = len(s), 64 // bits
     ends, places = np.flatnonzero(s == 0).astype(np.int32), np.flatnonzero(s).astype(np.int32)
     key, stop = np.zeros(len(places), np.uint64), end[places]
-    for j in range(7):
-        key = (key << np.uint64(9)) | s[np.minimum(places + j, stop)]
+    for j in range(depth):
+        key = (key << np.uint64(bits)) | s[np.minimum(places + j, stop)]
     order = np.argsort(key)
     key = key[order]
     sa = np.concatenate([ends, places[order]])
     head = np.ones(n, bool)
     head[len(ends) + 1 :] = key[1:] != key[:-1]
-    seven = head.copy()
+    start = head.copy()
     first = np.flatnonzero(head)
     rank = np.empty(n, np.int32)
     rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
-    depth = 7
     while len(live := np.flatnonzero(~(head & np.append(head[1:], True)))):
         at = sa[live]
         key = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + depth, end[at])].astype(np.uint64)
@@ -149,24 +152,36 @@ def suffix_order(s: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
         first = live[new]
         rank[at] = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(live))))
         depth *= 2
-    return sa, rank, seven
+    return sa, rank, start
 
 
-def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None = None) -> np.ndarray:
-    """Places, in the pieces joined by one byte each, where a string of ``length`` bytes starts that also starts elsewhere.
+def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None = None, unit: int = 1) -> np.ndarray:
+    """Places, in the pieces joined by one symbol each, where a string of ``length`` symbols starts that also starts elsewhere.
 
-    A piece that occurs several ``times`` repeats all of its strings; ``length`` is 7 or more.
+    A symbol is a byte, or a code of ``unit`` bytes.  A piece that occurs several ``times`` repeats all of its
+    strings; ``length`` is 7 or more for bytes, 1 or more for codes.
     """
-    s = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
-    size = np.array([len(x) + 1 for x in pieces])
+    size = np.array([len(x) // unit + 1 for x in pieces])
     last = np.cumsum(size) - 1
+    n = int(last[-1]) + 1 if len(size) else 0
+    if unit == 1:
+        bits, top = 9, 512
+        s = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
+    else:
+        codes = np.zeros((n - len(size), 8), np.uint8)
+        codes[:, :unit] = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, unit)
+        values, number = np.unique(codes.view(np.uint64).ravel(), return_inverse=True)
+        s = np.zeros(n, np.uint32)
+        s[np.delete(np.arange(n), last)] = number + 1
+        top = len(values) + 1
+        bits = max(len(values).bit_length(), -(-64 // length))  # no more than ``length`` symbols are sorted first
     s[last] = 0
-    n = len(s)
     end = np.repeat(last, size).astype(np.int32)
-    sa, rank, start = suffix_order(s, end)
+    sa, rank, start = suffix_order(s, end, bits)
+    shown = 64 // bits
     left = end[sa] - sa
-    start[left < 7] = True
-    start[1:] |= left[:-1] < 7
+    start[left < shown] = True
+    start[1:] |= left[:-1] < shown
     # Burrows-Wheeler transform and its last-to-first mapping.
     before = np.where(sa > 0, sa - 1, n - 1)
     bwt, lf = s[before], rank[before]
@@ -175,7 +190,7 @@ def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None =
     known = np.append(start, True)
     lo = np.flatnonzero(start)
     hi = np.append(lo[1:], n)
-    for _ in range(7, length):
+    for _ in range(shown, length):
         if not len(lo):
             break
         whole = run[lo] == run[hi - 1]
@@ -185,7 +200,7 @@ def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None =
             size_ = (hi - lo)[~whole]
             of = np.repeat(np.arange(len(size_)), size_)
             i = np.repeat(lo[~whole] - (np.cumsum(size_) - size_), size_) + np.arange(len(of))
-            key = of * 512 + bwt[i]
+            key = of * top + bwt[i]
             order = np.argsort(key, kind="stable")
             i, key = i[order], key[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -203,16 +218,17 @@ def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None =
     return np.sort(sa[found & (left >= length)])
 
 
-def _expand(pieces: DataFrame, length: int) -> DataFrame:
-    """(gram, frag, s, e): repeated bytes of each fragment, from interval expansion over blocks of whole groups."""
+def _expand(pieces: DataFrame, length: int, unit: int) -> DataFrame:
+    """(gram, frag, s, e): repeated symbols of each fragment, from interval expansion over blocks of whole groups."""
 
     def solve(rows):
         at = 0
-        joined = repeated_starts([r[3] for r in rows], length, [r[5] for r in rows])
+        joined = repeated_starts([r[3] for r in rows], length, [r[5] for r in rows], unit)
         out = []
         for _, gram, frag, body, base, _ in rows:
-            here = joined[np.searchsorted(joined, at) : np.searchsorted(joined, at + len(body))] - at
-            at += len(body) + 1
+            n = len(body) // unit
+            here = joined[np.searchsorted(joined, at) : np.searchsorted(joined, at + n)] - at
+            at += n + 1
             if len(here):
                 cut = np.flatnonzero(np.diff(here) > length)
                 a, b = here[np.concatenate([[0], cut + 1])], here[np.concatenate([cut, [len(here) - 1]])] + length
@@ -243,25 +259,26 @@ def _expand(pieces: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "gram long, frag long, s long, e long")
 
 
-def _settle(frags: DataFrame, length: int, k: int, hot: int) -> DataFrame:
-    """(gram, frag, s, e): repeated bytes of fragments with gram, frag, c (occurrences), a (anchor's place) and body."""
+def _settle(frags: DataFrame, length: int, k: int, hot: int, unit: int) -> DataFrame:
+    """(gram, frag, s, e): repeated symbols (of ``unit`` bytes) of fragments with gram, frag, c (occurrences), a (anchor's place) and body."""
     w = length - k + 1
     pieces = frags.select(F.col("gram").alias("g"), "gram", "frag", "c", "a", "body", F.lit(0).alias("d0"), F.lit(w - 1).alias("d1"))
-    ready, found = [], []
+    ready, found, size = [], [], (F.length("body") / unit).cast("int")
+    part = lambda at, n: F.expr(f"substring(body, ({at}) * {unit} + 1, ({n}) * {unit})")
     while True:  # until the core is the whole window, where all pieces of a group are equal
         stats = pieces.groupBy("g").agg(F.sum("c").alias("_c"), F.sum(F.length("body")).alias("_b"))
         stats = small_side(materialize(stats.where("_c > 1")))
         p = pieces.join(stats, "g")
-        lo, hi = F.greatest(F.lit(0), F.col("a") - F.col("d1")), F.least(F.length("body") - length, F.col("a") - F.col("d0"))
-        ready.append(p.where(F.col("_b") <= hot).select("g", "gram", "frag", F.expr(f"substring(body, greatest(0, a - d1) + 1, least(length(body) - {length}, a - d0) - greatest(0, a - d1) + {length})").alias("body"), lo.cast("long").alias("base"), "c"))
+        lo, hi = F.greatest(F.lit(0), F.col("a") - F.col("d1")), F.least(size - length, F.col("a") - F.col("d0"))
+        ready.append(p.where(F.col("_b") <= hot).select("g", "gram", "frag", part("greatest(0, a - d1)", f"least(int(length(body) / {unit}) - {length}, a - d0) - greatest(0, a - d1) + {length}").alias("body"), lo.cast("long").alias("base"), "c"))
         big = p.where(F.col("_b") > hot).drop("_c", "_b")
         if not big.take(1):
             break
         mid = F.floor((F.col("d0") + F.col("d1")) / 2).cast("int")
         halves = big.withColumn("_h", F.explode(F.array(F.struct(F.col("d0").alias("x"), mid.alias("y")), F.struct((mid + 1).alias("x"), F.col("d1").alias("y"))))).select("g", "gram", "frag", "c", "a", "body", F.col("_h.x").alias("d0"), F.col("_h.y").alias("d1"))
         halves = halves.withColumn("_lo", lo).withColumn("_hi", hi).where("d0 <= d1 AND _lo <= _hi")
-        core = F.expr(f"substring(body, a - d0 + 1, {length} - (d1 - d0))")
-        own = F.xxhash64(F.expr(f"substring(body, _lo + 1, _hi - _lo + {length})"), F.col("_lo") - F.col("a"), F.col("_hi") - F.col("a"))
+        core = part("a - d0", f"{length} - (d1 - d0)")
+        own = F.xxhash64(part("_lo", f"_hi - _lo + {length}"), F.col("_lo") - F.col("a"), F.col("_hi") - F.col("a"))
         halves = materialize(halves.withColumn("g", F.xxhash64("g", "d0", core)).withColumn("_own", own))
         same = halves.groupBy("g", "_own").agg(F.sum("c").alias("_c"), F.min(F.struct("gram", "frag")).alias("_r"))
         joined = halves.join(same, ["g", "_own"])
@@ -270,15 +287,15 @@ def _settle(frags: DataFrame, length: int, k: int, hot: int) -> DataFrame:
     out = ready[0]
     for x in ready[1:]:
         out = out.unionByName(x)
-    out = _expand(materialize(out), length)
+    out = _expand(materialize(out), length, unit)
     for x in found:
         out = out.unionByName(x)
     return out
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, coded: bool = False) -> DataFrame:
-    """(key, spans): byte ranges, possibly overlapping, that repeated strings cover in rows (key, text) or, if ``coded``, in their words' codes."""
-    k = min(GRAM, max(1, length // 2))
+    """(key, spans): ranges, possibly overlapping, of bytes or, if ``coded``, words that repeated strings of ``length`` of them cover in rows (key, text)."""
+    k, unit = min(GRAM_WORDS if coded else GRAM, max(1, length // 2)), CODE if coded else 1
     runs = materialize(_anchor_table(docs, length, k, coded))
     grams = materialize(runs.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"))
     runs = materialize(runs.join(small_side(grams), "gram"))
@@ -291,12 +308,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, hot: int = HOT, coded: bo
     hit = frags.where("c = 1").select("gram", "frag", F.explode(F.array("left", "right")).alias("side")).join(sides, ["gram", "side"]).select("gram", "frag").distinct()
     frags = materialize(frags.where("c > 1").unionByName(frags.join(hit, ["gram", "frag"], "left_semi")).drop("left", "right"))
     needed = frags.groupBy("key").agg(F.collect_list(F.struct("gram", "frag", "c", "lo", "n", "a")).alias("fs"))
-    texts = (_coded(docs) if coded else docs).select("key", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("raw"))
-    at = texts.join(needed, "key").select("raw", F.explode("fs").alias("f"))
-    bodies = materialize(at.select("f.gram", "f.frag", "f.c", "f.a", F.expr(f"substring(raw, int(f.lo) + 1, f.n + {length - 1})").alias("body")))
+    texts = docs.select("key", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("raw"))
+    at = texts.join(needed, "key").select("raw", "fs")
+    at = (_coded(at) if coded else at).select("raw", F.explode("fs").alias("f"))
+    bodies = materialize(at.select("f.gram", "f.frag", "f.c", "f.a", F.expr(f"substring(raw, int(f.lo) * {unit} + 1, (f.n + {length - 1}) * {unit})").alias("body")))
     if bodies.count() > frags.count():  # rows that repeat a document as a whole
         bodies = materialize(bodies.dropDuplicates(["gram", "frag"]))
-    found = small_side(materialize(_settle(bodies, length, k, hot)))
+    found = small_side(materialize(_settle(bodies, length, k, hot, unit)))
     spans = runs.join(found, ["gram", "frag"]).select("key", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
@@ -315,12 +333,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 ADDED = ("_kept", "n_bytes", "n_removed", "n_spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str | None, ...] = ADDED, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tuple[str | None, ...] = ADDED, words: int | None = None, take: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, ...) with columns called ``names``: the bytes that stay, how many there were, how
-    many go and in how many runs, and, for a fifth name, what stays as text, null where nothing goes.  A
-    column whose name is None is left out.  With ``words``, what a run of as many words that is found twice
-    covers goes too, from its first word to its last, whatever bytes and white space it has; runs that
-    follow each other are one.
+    many go and in how many runs, for a fifth name, what stays as text, null where nothing goes, and, for a
+    sixth, how many words are in runs of ``words`` words that are found twice.  A column whose name is None is
+    left out.  With ``words``, what such a run covers goes too, from its first word to its last, whatever
+    bytes and white space it has; runs that follow each other are one.  Without ``take`` these words are
+    counted only, and stay.
 
     Null texts count as empty and keep no byte; texts shorter than ``length`` stay whole; a repeated
     row repeats all its windows, with or without an id; an empty table gives an empty one.  In the text, a
@@ -331,31 +350,31 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
     docs = docs.select(cols)
     key, where, counted = free_names(docs, "key", "spans", "counted")
     keyed = docs.withColumn(key, row_key())
-    spans = materialize(repeated_spans(keyed.select(F.col(key).alias("key"), "text"), length, hot))
+    texts = keyed.select(F.col(key).alias("key"), "text")
+    spans = materialize_alone(docs.sparkSession, lambda: repeated_spans(texts, length, hot))
     spans = spans.select(F.col("key").alias(key), F.col("spans").alias(where))
     if words:
-        more = materialize(repeated_spans(keyed.select(F.col(key).alias("key"), "text"), words * CODE, hot, True))
+        more = materialize_alone(docs.sparkSession, lambda: repeated_spans(texts, words, hot, True))
         spans = spans.join(more.select(F.col("key").alias(key), F.col("spans").alias(counted)), key, "full")
     rows = keyed.join(spans, key, "left").drop(key)
     schema = StructType([*docs.schema.fields])
-    for name, kind in zip(names, ("binary", "long", "long", "long", "string"), strict=False):
+    for name, kind in zip(names, ("binary", "long", "long", "long", "string", "long"), strict=False):
         schema = schema.add(name, kind) if name else schema
-    whole, text_too = names[0] is not None, len(names) > 4
+    whole, text_too = names[0] is not None, len(names) > 4 and names[4] is not None
 
     def cut(it):
         for b in it:
             for row, data, offs in batches(b.column(b.schema.names.index("text"))):
                 t = pa.Table.from_batches([b.slice(row, len(offs) - 1)])
-                kept, size, gone, count, left = [], [], [], [], []
+                kept, size, gone, count, left, found = [], [], [], [], [], []
                 in_words = t[counted].to_pylist() if words else [None] * len(t)
-                starts, ends, first = word_bounds(data, offs) if any(in_words) else (None, None, offs)
+                starts, ends, first = word_bounds(data, offs) if take and any(in_words) else (None, None, offs)
                 for x, y, spans, coded, at in zip(offs[:-1].tolist(), offs[1:].tolist(), t[where].to_pylist(), in_words, first.tolist(), strict=False):
-                    both = [(s["s"], s["e"]) for s in spans or []]
-                    for s, e in merged([(s["s"], s["e"]) for s in coded or []]):
-                        a, b_ = at - -s // CODE, at + e // CODE
-                        if b_ - a >= words:  # codes of other words may share bytes
-                            both.append((int(starts[a]) - x, int(ends[b_ - 1]) - x))
+                    both, passages = [(s["s"], s["e"]) for s in spans or []], merged([(s["s"], s["e"]) for s in coded or []])
+                    if take:
+                        both += [(int(starts[at + s]) - x, int(ends[at + e - 1]) - x) for s, e in passages]
                     runs = merged(both)
+                    found.append(sum(e - s for s, e in passages))
                     size.append(y - x)
                     gone.append(sum(e - s for s, e in runs))
                     count.append(len(runs))
@@ -365,7 +384,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
                     kept.append(b"".join(parts) if whole else None)
                     left.append("".join(p.decode("utf-8", "ignore") for p in parts) if text_too and runs else None)
                 t = t.select(cols)
-                for name, values, kind in zip(names, (kept, size, gone, count, left), (pa.binary(), *[pa.int64()] * 3, pa.string()), strict=False):
+                for name, values, kind in zip(names, (kept, size, gone, count, left, found), (pa.binary(), *[pa.int64()] * 3, pa.string(), pa.int64()), strict=False):
                     t = t.append_column(name, pa.array(values, kind)) if name else t
                 yield from t.to_batches()
 
@@ -373,9 +392,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, names: tu
 
 
 def suffix_query(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and whether anything goes."""
-    out = remove_repeats(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
+    """The contract's columns, whether anything goes, and how many words are in runs of over 50 words that are found twice.
+
+    Such a passage may have fewer than 400 bytes, or other white space; the contract lets it stay, so it is told only.
+    """
+    out = remove_repeats(docs.select("doc_id", "text"), names=(*ADDED, None, "n_passage_words"), words=51, take=False)
+    told = (F.col("n_removed") > 0).alias("has_repeats"), "n_passage_words", (F.col("n_passage_words") > 0).alias("has_passage")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("_kept", 256).alias("kept_sha256"), *told)
 
 
 def drop_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
+import hashlib
+import os
 import random
 import re
 from collections import Counter
 
 import corpus_pipeline
-from spark_rca.llm import suffix_dedup
+from spark_rca.llm import common, suffix_dedup
 from spark_rca.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +63,41 @@ def test_words_and_bytes_equal_brute_force(spark):
         want = dict(zip(texts, cover([(t or "").encode() for t in texts.values()], length, words), strict=True))
         got = {x["doc_id"]: bytes(x["_kept"]) for x in suffix_dedup.remove_repeats(docs, length, hot, words=words).collect()}
         assert got == want
+
+
+def test_op6_tells_short_passages_that_its_contract_keeps(spark):
+    """A passage of 51 words and under 400 bytes stays and is told, across white space; one of 50 words isn't."""
+    r = random.Random(7)
+    passage, fifty = [own(r, n).split() for n in (51, 50)]
+    long = own(r, 120)
+    assert len(" ".join(passage)) < 400 < len(long)
+    texts = [f"{own(r, 80)} {' '.join(passage)} {own(r, 9)}", "été " + "\n".join(passage), f"{own(r, 9)} {' '.join(fifty)}", f"{own(r, 8)} {' '.join(fifty)} z", f"{long} x", f"y {long}", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in suffix_dedup.suffix_query(docs).collect()}
+    assert [got[i]["n_passage_words"] for i in range(7)] == [51, 51, 0, 0, 120, 120, 0]
+    assert [got[i]["has_passage"] for i in range(7)] == [True, True, False, False, True, True, False]
+    assert [got[i]["has_repeats"] for i in range(7)] == [False, False, False, False, True, True, False]
+    for i, t in enumerate(texts[:4]):
+        assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (0, 0, hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_expansion_over_codes_equals_brute_force():
+    r = random.Random(9)
+    for length in (1, 2, 5, 12):
+        pieces = [[r.choice((b"abcdef", b"bbcdef", b"\0\0\0\0\0\0")) for _ in range(r.randint(12, 60))] for _ in range(5)]
+        seen = Counter(tuple(p[s : s + length]) for p in pieces for s in range(len(p) - length + 1))
+        want, at = [], 0
+        for p in pieces:
+            want += [at + s for s in range(len(p) - length + 1) if seen[tuple(p[s : s + length])] > 1]
+            at += len(p) + 1
+        assert suffix_dedup.repeated_starts([b"".join(p) for p in pieces], length, unit=6).tolist() == want
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    def make():
+        return common.materialize(common.materialize(spark.range(9)).where("id > 4"))
+
+    before = set(os.listdir(common.shared_dir(spark)))
+    out = common.materialize_alone(spark, make)
+    assert len(set(os.listdir(common.shared_dir(spark))) - before) == 1
+    assert sorted(r["id"] for r in out.collect()) == [5, 6, 7, 8]
