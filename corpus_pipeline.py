@@ -39,8 +39,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Needs lang, source and n_chars, which stay with doc_id; text and other columns are dropped.
     """
-    out = bpe.encode(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
+    stay = ["doc_id", "lang", "source", "n_chars"]
+    return bpe.encode(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, columns=stay, with_ids=False)
 
 
 STAGES = [

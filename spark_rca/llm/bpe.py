@@ -200,36 +200,35 @@ def _encoder(key: str, ranks: list[tuple[bytes, int]]) -> Encoder:
 
 def _joined(pieces: list[bytes], idx: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """For each list of word numbers its pieces one after another."""
-    size = np.array([len(x) for x in pieces], np.int64)
-    flat = np.frombuffer(b"".join(pieces), np.uint8)
-    first = np.cumsum(size) - size
-    n = size[idx]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    src = np.repeat(first[idx] - ends[:-1], n) + np.arange(ends[-1])
-    raw, at = flat[src].tobytes(), ends[bounds].tolist()
-    return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+    if not len(idx):
+        return [b""] * (len(bounds) - 1)
+    _, offs, data = pa.array(pieces, pa.large_binary()).take(pa.array(idx)).buffers()
+    at = np.frombuffer(offs, np.int64)[bounds].tolist()
+    return [data[x:y].to_pybytes() for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 #: What ``encode`` adds.
 ADDED = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
-def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", columns: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids`` (binary, little-endian unsigned 32 bit), ``ids_sha256`` and ``decoded_sha256``.
 
     Null texts count as empty: no ids.  Rows are independent, so nothing is shuffled, repeated rows get
-    the same and an empty table gives an empty one.  Other columns stay as they are; those four are replaced.  The rank file
+    the same and an empty table gives an empty one.  Other columns stay as they are, all or ``columns``; those four are replaced.
+    What isn't asked for, the text itself or (not ``with_ids``) the ids, takes no memory of workers.  The rank file
     has a fixed size; it is read by the driver and broadcast.  Code points that Java's tables do not
     know yet are split by the tokenizer's own regex library.
     """
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    cols = [c for c in docs.columns if c not in ADDED]
-    docs = docs.select(cols)
+    cols = [c for c in columns or docs.columns if c not in ADDED]
+    docs = docs.select(*cols, *[c for c in [text] if c not in cols])
     words_, text_ = free_names(docs, "words", "text")
     body = F.coalesce(F.col(text), F.lit(""))
     odd = body.rlike(r"[\p{Cn}]")
-    split = docs.withColumn(words_, F.when(~odd, F.regexp_extract_all(body, F.lit(java_pattern(pattern)), F.lit(0)))).withColumn(text_, F.when(odd, body))
-    schema = StructType([*docs.schema.fields]).add("n_tokens", "long").add("ids", "binary").add("ids_sha256", "string").add("decoded_sha256", "string")
+    split = docs.withColumn(words_, F.when(~odd, F.regexp_extract_all(body, F.lit(java_pattern(pattern)), F.lit(0)))).withColumn(text_, F.when(odd, body)).select(*cols, words_, text_)
+    schema = StructType([docs.schema[c] for c in cols]).add("n_tokens", "long")
+    schema = (schema.add("ids", "binary") if with_ids else schema).add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(it):
         import regex
@@ -254,7 +253,8 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str,
                 out_ids = _joined([x for x, _ in pieces], idx, bounds)
                 decoded = _joined([x for _, x in pieces], idx, bounds)
                 t = b.select(cols)
-                t = t.append_column("n_tokens", pa.array([len(x) // 4 for x in out_ids], pa.int64())).append_column("ids", pa.array(out_ids, pa.binary()))
+                t = t.append_column("n_tokens", pa.array([len(x) // 4 for x in out_ids], pa.int64()))
+                t = t.append_column("ids", pa.array(out_ids, pa.binary())) if with_ids else t
                 t = t.append_column("ids_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in out_ids], pa.string()))
                 t = t.append_column("decoded_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()))
                 yield from t.to_batches()
@@ -265,5 +265,5 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str,
 def bpe_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    out = encode(spark, docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = encode(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, columns=["doc_id"], with_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
