@@ -59,6 +59,12 @@ def span(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((p[b] - p[a]) * _power("down", len(p))[a] + (b - a).astype(np.uint64) * BASE)
 
 
+def grams(p: np.ndarray, k: int) -> np.ndarray:
+    """span(p, a, a + k) for every a."""
+    n = len(p) - k
+    return mix((p[k:] - p[:n]) * _power("down", len(p))[:n] + np.full(1, k, np.uint64) * BASE)
+
+
 def batches(column: pa.ChunkedArray | pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about ``limit`` bytes; nulls are empty.
 

@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spark_rca.llm.bytehash import batches, prefix, span, summed
+from spark_rca.llm.bytehash import batches, grams, prefix, span, summed
 from spark_rca.llm.bytehash import words as word_bounds
 from spark_rca.llm.common import free_names, lean, materialize, materialize_alone, row_key, small_side
 
@@ -54,26 +55,24 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np
         return (none, none, none, none, *[none.astype(np.uint64)] * 4)
     p = prefix(data) if data.dtype == np.uint8 else summed(data)
     at = np.arange(n - k + 1)
-    key = (span(p, at, at + k) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
+    key = (grams(p, k) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
     if n >= 1 << 24:  # a text too long for a place in the key: ranks stand in for hash and place
         order = np.lexsort((at, key & ~np.uint64(0xFFFFFF)))
         key = np.empty(len(at), np.uint64)
         key[order] = np.arange(len(at), dtype=np.uint64)
-    m = len(key)
-    rows = np.concatenate([key, np.full(-m % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
-    up = np.minimum.accumulate(rows, axis=1).ravel()
-    down = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = m - w + 1
-    least = np.minimum(down[:windows], up[w - 1 : w - 1 + windows])
+    windows, reach, least = n - length + 1, 1, key
+    while 2 * reach <= w:  # least keys of twice as many grams
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    least = np.minimum(least[:windows], least[w - reach : w - reach + windows])
     place = order[least.astype(np.int64)] if n >= 1 << 24 else (least & np.uint64(0xFFFFFF)).astype(np.int64)
-    text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:windows]
-    ok = np.arange(windows) + length <= offs[text + 1]
-    s, place, text = np.flatnonzero(ok), place[ok], text[ok]
+    s = np.flatnonzero(np.arange(length, n + 1) <= np.repeat(offs[1:], np.diff(offs))[:windows])
     if not len(s):
         return anchors(data[:0], np.zeros(1, np.int64), length, k)
-    cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+    place = place[s]
+    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))  # another text has other places
     lo, hi = s[cut], s[np.concatenate([cut[1:] - 1, [len(s) - 1]])]
-    place, text = place[cut], text[cut]
+    place, text = place[cut], np.searchsorted(offs, lo, "right") - 1
     frag = span(p, lo, hi + length) + (place - lo).astype(np.uint64)
     half = (length - k) // 2
     left = np.where(place - lo > half, span(p, np.maximum(place - half - 1, 0), place + k), np.uint64(0))
@@ -121,36 +120,58 @@ def _coded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), docs.schema)
 
 
-def suffix_order(s: np.ndarray, end: np.ndarray, bits: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_order(s: np.ndarray, last: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix array, its inverse, where in it the first 64 // bits symbols change) of pieces, by prefix doubling.
 
-    ``s`` has byte + 1, or the number of a word's code + 1, below 2**bits, and 0 at the end of each piece;
-    ``end`` is the place of that 0 for each position.  Ends are distinct and sort first, so no common
-    prefix crosses one.
+    ``s`` has numbers of symbols, from 1 and below 2**bits, and 0 at ``last``, the end of each piece.  Ends are distinct and
+    sort first, so no common prefix crosses one.  A key holds two ranks and its own place, so that plain sorting orders it.
     """
     n, depth = len(s), 64 // bits
-    ends, places = np.flatnonzero(s == 0).astype(np.int32), np.flatnonzero(s).astype(np.int32)
-    key, stop = np.zeros(len(places), np.uint64), end[places]
-    for j in range(depth):
-        key = (key << np.uint64(bits)) | s[np.minimum(places + j, stop)]
+    places = np.flatnonzero(s)
+    key = np.zeros(n + depth, np.uint64)
+    key[:n] = s
+    for j in range(1, depth):
+        key[:n] = (key[:n] << np.uint64(bits)) | np.append(s[j:], np.zeros(min(j, n), s.dtype))
+    size = np.diff(last, prepend=-1)
+    short = np.zeros(n, bool)
+    for j in range(1, depth):  # what follows a piece's end is no symbol of it
+        low = np.uint64(bits * (depth - j))
+        at = last[size > j] - j
+        key[at] = key[at] >> low << low
+        short[at] = True
+    key = key[places]
     order = np.argsort(key)
     key = key[order]
-    sa = np.concatenate([ends, places[order]])
+    order = places[order]
+    near = np.flatnonzero(short[order])  # equal keys that reach over an end differ by their ends, which are in order of place
+    order[near] = order[near][np.lexsort((order[near], key[near]))]
+    sa = np.concatenate([last, order])
     head = np.ones(n, bool)
-    head[len(ends) + 1 :] = key[1:] != key[:-1]
+    head[len(last) + 1 :] = key[1:] != key[:-1]
     start = head.copy()
+    head[len(last) + near] = True
     first = np.flatnonzero(head)
-    rank = np.empty(n, np.int32)
-    rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
-    while len(live := np.flatnonzero(~(head & np.append(head[1:], True)))):
-        at = sa[live]
-        key = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + depth, end[at])].astype(np.uint64)
-        order = np.argsort(key)
-        key, at = key[order], at[order]
+    of = np.repeat(first, np.diff(np.append(first, n)))
+    rank = np.empty(n, np.int64)
+    rank[sa] = of
+    live = np.flatnonzero(~(head & np.append(head[1:], True)))
+    at, of = sa[live], of[live]
+    while len(live):  # none of these reaches over an end
+        after = rank[at + depth]
+        if n <= 1 << 21:
+            key = np.sort(of << 42 | after << 21 | np.arange(len(live)))
+            order, key = key & ((1 << 21) - 1), key >> 21
+        else:
+            key = of << 32 | after
+            order = np.argsort(key)
+            key = key[order]
+        at = at[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        sa[live], head[live] = at, new
-        first = live[new]
-        rank[at] = np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(live))))
+        sa[live] = at
+        of = np.repeat(live[new], np.diff(np.append(np.flatnonzero(new), len(live))))
+        rank[at] = of
+        more = ~(new & np.append(new[1:], True))
+        live, at, of = live[more], at[more], of[more]
         depth *= 2
     return sa, rank, start
 
@@ -159,33 +180,35 @@ def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None =
     """Places, in the pieces joined by one symbol each, where a string of ``length`` symbols starts that also starts elsewhere.
 
     A symbol is a byte, or a code of ``unit`` bytes.  A piece that occurs several ``times`` repeats all of its
-    strings; ``length`` is 7 or more for bytes, 1 or more for codes.
+    strings; ``length`` is 1 or more.
     """
-    size = np.array([len(x) // unit + 1 for x in pieces])
+    size = np.array([len(x) // unit + 1 for x in pieces], np.int64)
     last = np.cumsum(size) - 1
     n = int(last[-1]) + 1 if len(size) else 0
     if unit == 1:
-        bits, top = 9, 512
-        s = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
+        data = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+        used = np.bincount(data, minlength=256) > 0
+        count = int(used.sum())
+        s = np.cumsum(used).astype(np.uint16)[data]
     else:
         codes = np.zeros((n - len(size), 8), np.uint8)
         codes[:, :unit] = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, unit)
         values, number = np.unique(codes.view(np.uint64).ravel(), return_inverse=True)
+        count = len(values)
         s = np.zeros(n, np.uint32)
         s[np.delete(np.arange(n), last)] = number + 1
-        top = len(values) + 1
-        bits = max(len(values).bit_length(), -(-64 // length))  # no more than ``length`` symbols are sorted first
+    top, bits = count + 1, max(count.bit_length(), -(-64 // length))  # no more than ``length`` symbols are sorted first
     s[last] = 0
-    end = np.repeat(last, size).astype(np.int32)
-    sa, rank, start = suffix_order(s, end, bits)
+    sa, rank, start = suffix_order(s, last, bits)
     shown = 64 // bits
-    left = end[sa] - sa
+    left = np.repeat(last, size)[sa] - sa
     start[left < shown] = True
     start[1:] |= left[:-1] < shown
     # Burrows-Wheeler transform and its last-to-first mapping.
     before = np.where(sa > 0, sa - 1, n - 1)
     bwt, lf = s[before], rank[before]
-    run = np.cumsum(np.concatenate([[0], bwt[1:] != bwt[:-1]]))
+    turn = np.concatenate([[False], bwt[1:] != bwt[:-1]])
+    run, since = np.cumsum(turn), np.concatenate([[0], np.flatnonzero(turn), [n]])
     # known[i]: suffixes i - 1 and i have a common prefix of fewer bytes than the strings of this step.
     known = np.append(start, True)
     lo = np.flatnonzero(start)
@@ -196,17 +219,19 @@ def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None =
         whole = run[lo] == run[hi - 1]
         one = whole & (bwt[lo] > 0)
         a, b = lf[lo[one]], lf[hi[one] - 1]
-        if not whole.all():
-            size_ = (hi - lo)[~whole]
+        if not whole.all():  # by runs of one symbol, of which such an interval has few
+            low, high = lo[~whole], hi[~whole]
+            size_ = run[high - 1] - run[low] + 1
             of = np.repeat(np.arange(len(size_)), size_)
-            i = np.repeat(lo[~whole] - (np.cumsum(size_) - size_), size_) + np.arange(len(of))
+            r = np.repeat(run[low] - (np.cumsum(size_) - size_), size_) + np.arange(len(of))
+            i, j = np.maximum(since[r], low[of]), np.minimum(since[r + 1], high[of]) - 1
             key = of * top + bwt[i]
             order = np.argsort(key, kind="stable")
-            i, key = i[order], key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            final = np.append(first[1:], len(key)) - 1
-            fine = bwt[i[first]] > 0
-            a, b = np.concatenate([a, lf[i[first[fine]]]]), np.concatenate([b, lf[i[final[fine]]]])
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            i, j = i[order[new]], j[order[np.append(new[1:], True)]]
+            fine = bwt[i] > 0
+            a, b = np.concatenate([a, lf[i[fine]]]), np.concatenate([b, lf[j[fine]]])
         # Only an interval that ends where no value is known yet has one of this step, and goes on.
         fresh = ~known[b + 1]
         lo, hi = a[fresh], b[fresh] + 1
@@ -218,41 +243,41 @@ def repeated_starts(pieces: list[bytes], length: int, times: list[int] | None =
     return np.sort(sa[found & (left >= length)])
 
 
+def solved(held: list[pa.RecordBatch], length: int, unit: int) -> pa.RecordBatch:
+    """(gram, frag, s, e) of a block: whole groups of rows (gram, frag, body, base, c)."""
+    rows = pa.Table.from_batches(held)
+    body = rows["body"].to_pylist()
+    joined = repeated_starts(body, length, rows["c"].to_pylist(), unit)
+    first = np.cumsum([0, *[len(x) // unit + 1 for x in body]])
+    piece = np.searchsorted(first, joined, "right") - 1
+    cut = np.concatenate([[True], (piece[1:] != piece[:-1]) | (np.diff(joined) > length)])[: len(joined)]
+    lead, tail = joined[cut], joined[np.append(cut[1:], True)[: len(joined)]]
+    piece = piece[cut]
+    at = rows["base"].to_numpy()[piece] - first[piece]
+    cols = [rows["gram"].to_numpy()[piece], rows["frag"].to_numpy()[piece], lead + at, tail + at + length]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["gram", "frag", "s", "e"])
+
+
 def _expand(pieces: DataFrame, length: int, unit: int) -> DataFrame:
     """(gram, frag, s, e): repeated symbols of each fragment, from interval expansion over blocks of whole groups."""
 
-    def solve(rows):
-        at = 0
-        joined = repeated_starts([r[3] for r in rows], length, [r[5] for r in rows], unit)
-        out = []
-        for _, gram, frag, body, base, _ in rows:
-            n = len(body) // unit
-            here = joined[np.searchsorted(joined, at) : np.searchsorted(joined, at + n)] - at
-            at += n + 1
-            if len(here):
-                cut = np.flatnonzero(np.diff(here) > length)
-                a, b = here[np.concatenate([[0], cut + 1])], here[np.concatenate([cut, [len(here) - 1]])] + length
-                out += [(gram, frag, int(x) + base, int(y) + base) for x, y in zip(a, b, strict=True)]
-        return out
-
     def run(it):
-        held, size = [], 0
-        names, kinds = ["gram", "frag", "s", "e"], [pa.int64()] * 4
-
-        def flush(rows):
-            got = solve(rows)
-            cols = zip(*got, strict=True) if got else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
+        held, size, g = [], 0, None
         for b in it:
-            for r in zip(*(b.column(c).to_pylist() for c in ("g", "gram", "frag", "body", "base", "c")), strict=True):
-                if held and size > BLOCK and r[0] != held[-1][0]:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[3])
+            if not b.num_rows:
+                continue
+            group = b.column("g").to_numpy()
+            heads = np.flatnonzero(np.append(not held or group[0] != g, group[1:] != group[:-1]))
+            before = np.cumsum([0, *pc.binary_length(b.column("body")).to_pylist()])
+            at, g = 0, group[-1]
+            while len(heads := heads[size + before[heads] - before[at] > BLOCK]):
+                held.append(b.slice(at, int(heads[0]) - at))
+                yield solved(held, length, unit)
+                held, size, at = [], 0, int(heads[0])
+            held.append(b.slice(at))
+            size += before[-1] - before[at]
         if held:
-            yield flush(held)
+            yield solved(held, length, unit)
 
     tasks = max(1, -(-(pieces.select(F.sum(F.length("body"))).first()[0] or 0) // DEALT))
     dealt = pieces.select("g", "gram", "frag", "body", "base", "c").repartition(tasks, "g").sortWithinPartitions("g")
