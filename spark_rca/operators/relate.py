@@ -252,8 +252,10 @@ def top_paths(paths: DataFrame, k: int, least: float) -> DataFrame:
     return d.withColumn("_u", F.coalesce(under, F.lit(0))).where((F.col("pos") <= k) & (F.col("_u") == 0)).drop("_u")
 
 
-def rank_services(scores: DataFrame, keys: list[str], ascending: bool = False) -> DataFrame:
-    o = F.col("score").asc_nulls_last() if ascending else F.col("score").desc_nulls_last()
+def rank_services(scores: DataFrame, keys: list[str], ascending: bool = False, digits: int | None = None) -> DataFrame:
+    """Ranks by score, then by service; with ``digits`` scores that are equal to so many decimals tie, whatever order their terms were added in."""
+    s = F.col("score") if digits is None else F.round("score", digits)
+    o = s.asc_nulls_last() if ascending else s.desc_nulls_last()
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(o, "service_id")))
 
 

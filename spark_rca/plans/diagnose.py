@@ -101,6 +101,10 @@ def dependency_graph(metrics: DataFrame, alpha: float = 0.1, bucket: int = 1, pr
     return cz.pc_graph(rl.pearson_matrix(d), d.groupBy("incident_id").agg(F.count_distinct("t").alias("n")), alpha)
 
 
+#: Decimals of a walk's scores that rank: services that it visits alike differ in the last bits of their sums.
+WALK_DIGITS = 9
+
+
 def diagnose_monitor_rank(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, rho: float = 0.3, steps: int = 100, alpha: float = 0.1, bucket: int = 1, prepared: bool = False, points: Points | None = None) -> DataFrame:
     """``alpha`` and ``bucket`` are those of the dependency graph that is built if none is given; ``points`` have a rho each."""
     edges = dependency_graph(metrics, alpha, bucket, prepared) if edges is None else edges
@@ -110,7 +114,7 @@ def diagnose_monitor_rank(metrics: DataFrame, entries: DataFrame, edges: DataFra
     p = gr.monitor_rank_transition(edges, corr, entries, rho)
     jump = corr.select("incident_id", "service_id", F.abs("corr").alias("weight"))
     v = gr.expected_visits(p, entries, steps, jump, restart=False)
-    return rl.rank_services(v.withColumnRenamed("visits", "score"), ["incident_id"])
+    return rl.rank_services(v.withColumnRenamed("visits", "score"), ["incident_id"], digits=WALK_DIGITS)
 
 
 def diagnose_cloud_ranger(metrics: DataFrame, entries: DataFrame, edges: DataFrame | None = None, beta: float = 0.3, rho: float = 0.2, steps: int = 50, alpha: float = 0.1, bucket: int = 1, prepared: bool = False, points: Points | None = None) -> DataFrame:
@@ -120,7 +124,7 @@ def diagnose_cloud_ranger(metrics: DataFrame, entries: DataFrame, edges: DataFra
     if points is not None:
         edges, corr, entries, beta, rho = points.fan(cut(edges)), points.fan(corr), points.fan(entries), points.at("beta"), points.at("rho")
     m = gr.cloud_ranger_transition(edges, corr, beta, rho)
-    return rl.rank_services(gr.second_order_visits(m, entries, steps).withColumnRenamed("visits", "score"), ["incident_id"])
+    return rl.rank_services(gr.second_order_visits(m, entries, steps).withColumnRenamed("visits", "score"), ["incident_id"], digits=WALK_DIGITS)
 
 
 def diagnose_netmedic(metrics: DataFrame, entries: DataFrame, edges: DataFrame, hist: tuple = (0, -60), cur: tuple = (-60, None), bins: int = 100, delta: float = 1 / 3, max_len: int | None = None, compat: bool = False, prepared: bool = False, points: Points | None = None) -> DataFrame:
@@ -158,7 +162,7 @@ def diagnose_microcause(metrics: DataFrame, entries: DataFrame, rho: float = 0.2
         edges, corr, eta, entries, rho, lam = points.fan(edges), points.fan(cut(corr)), points.fan(cut(eta)), points.fan(entries), points.at("rho"), points.at("lam")
     q = gr.microcause_q(edges, corr, entries, rho, selves=not partial, flip=partial)
     v = gr.expected_visits(q, entries, steps)
-    return rl.rank_services(gr.gamma_scores(v, eta, lam), ["incident_id"])
+    return rl.rank_services(gr.gamma_scores(v, eta, lam), ["incident_id"], digits=WALK_DIGITS)
 
 
 #: Every method, and whether it takes a call graph.
