@@ -291,20 +291,35 @@ def lagged_correlations(metrics: DataFrame, tau_max: int, block: int = 16) -> Da
     An incident's series are cut to the t that all of them have; n is what is left for lags of 0 to 2 tau_max, and without two there are
     no rows.  Holes are refused (see ``pack``); constant stretches correlate 0.  Dealt in pairs of blocks of services, so that one incident fills all tasks.
     """
+    return _block_correlations(_shared_range(cut(pack(metrics)), tau_max), tau_max, block)
+
+
+def _shared_range(packed: DataFrame, tau_max: int) -> DataFrame:
+    """Packed series cut to the t that all of their incident have; incidents without two samples beyond the lags are left out."""
+    shared = packed.groupBy("incident_id").agg(F.max("t0").alias("_lo"), F.min(F.col("t0") + F.size("vals")).alias("_hi"))
+    p = packed.join(shared, "incident_id").where(F.col("_hi") - F.col("_lo") > 2 * tau_max + 1)
+    return p.select(*SERIES, F.slice("vals", (F.col("_lo") - F.col("t0") + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int")).alias("vals"))
+
+
+def _lagged(x: np.ndarray, tau_max: int) -> np.ndarray:
+    """(series, lag, sample): each series at lags of 0 to 2 tau_max, centred and scaled to length 1; constant ones are 0."""
+    x, lags = x.astype(float), 2 * tau_max + 1
+    n = x.shape[1] - 2 * tau_max
+    z = np.stack([x[:, 2 * tau_max - t : 2 * tau_max - t + n] for t in range(lags)], axis=1)
+    z = z - z.mean(2, keepdims=True)
+    size = np.sqrt((z * z).sum(2, keepdims=True))
+    scale = np.abs(x).max(1)[:, None, None] * np.sqrt(n) * 1e-12
+    return np.where(size > scale, z / np.where(size > scale, size, 1), 0.0)
+
+
+def _block_correlations(series: DataFrame, tau_max: int, block: int) -> DataFrame:
+    """``lagged_correlations`` of series (incident_id, service_id, vals) of one range in each incident."""
     lags = 2 * tau_max + 1
-    p = cut(pack(metrics))
-    shared = p.groupBy("incident_id").agg(F.max("t0").alias("_lo"), F.min(F.col("t0") + F.size("vals")).alias("_hi"))
-    p_ = p.join(shared, "incident_id").where(F.col("_hi") - F.col("_lo") > lags)
-    p_ = p_.select(*SERIES, F.slice("vals", (F.col("_lo") - F.col("t0") + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int")).alias("vals"))
 
     def products(key, pdf):
-        x, b, ids = np.stack(pdf["vals"].tolist()).astype(float), pdf["_b"].to_numpy(), pdf["service_id"].to_numpy()
-        n = x.shape[1] - 2 * tau_max
-        z = np.stack([x[:, 2 * tau_max - t : 2 * tau_max - t + n] for t in range(lags)], axis=1)
-        z = z - z.mean(2, keepdims=True)
-        size = np.sqrt((z * z).sum(2, keepdims=True))
-        scale = np.abs(x).max(1)[:, None, None] * np.sqrt(n) * 1e-12
-        z = np.where(size > scale, z / np.where(size > scale, size, 1), 0.0)
+        b, ids = pdf["_b"].to_numpy(), pdf["service_id"].to_numpy()
+        z = _lagged(np.stack(pdf["vals"].tolist()), tau_max)
+        n = z.shape[2]
         i, j = np.flatnonzero(b == key[1]), np.flatnonzero(b == key[2])
         r = (z[i].reshape(len(i) * lags, n) @ z[j].reshape(len(j) * lags, n).T).reshape(len(i), lags, len(j), lags).transpose(0, 2, 1, 3)
         rows = [(key[0], int(ids[a]), int(ids[c]), n, r[k, m].ravel()) for k, a in enumerate(i) for m, c in enumerate(j)]
@@ -312,7 +327,7 @@ def lagged_correlations(metrics: DataFrame, tau_max: int, block: int = 16) -> Da
             rows += [(key[0], int(ids[c]), int(ids[a]), n, r[k, m].T.ravel()) for k, a in enumerate(i) for m, c in enumerate(j)]
         return pd.DataFrame(rows, columns=["incident_id", "x", "y", "n", "r"])
 
-    dealt = spread(block_pairs(p_, p.select(*SERIES), block), "incident_id", "_p", "_q")
+    dealt = spread(block_pairs(series, series.select(*SERIES), block), "incident_id", "_p", "_q")
     return dealt.groupBy("incident_id", "_p", "_q").applyInPandas(products, "incident_id string, x int, y int, n long, r array<double>")
 
 
@@ -336,18 +351,82 @@ def _lag_matrix(pdf: pd.DataFrame, lags: int) -> tuple[list[int], np.ndarray]:
     return ids, c
 
 
+def _thinned(c: np.ndarray, j: int, k: int, n: int, tau_max: int, pc_alpha: float, max_conds: int | None) -> list[int]:
+    """The rows of ``c`` that stay candidates of target number ``j`` of ``k``, strongest first."""
+    z = np.arctanh(np.minimum(np.abs(c[j]), 0.9999999)) * np.sqrt(max(n - 3, 1))
+    # Those that correlate with the target too little go in the first round anyway.
+    cand = [v for v in range(k, (tau_max + 1) * k) if z[v] > _critical(pc_alpha) - 1e-6]
+    cand.sort(key=lambda v: -abs(c[j, v]))
+    for size in range(len(cand) if max_conds is None else max_conds + 1):
+        if len(cand) <= size:
+            break
+        for v in list(cand):
+            others = [u for u in cand if u != v][:size]
+            if len(others) == size and fisher_p(partial_corr(c, j, v, others), n, size) > pc_alpha:
+                cand.remove(v)
+    return cand
+
+
+def _settled(c: np.ndarray, j: int, k: int, n: int, of: dict[int, list[int]], alpha_level: float, max_conds: int | None) -> list[tuple[int, int, float]]:
+    """(number, lag, p) of the candidates ``of`` target number ``j`` that stay given its own and theirs."""
+    out = []
+    for v in of[j]:
+        t, i = divmod(v, k)
+        cond = [u for u in of[j] if u != v] + [u + t * k for u in of.get(i, [])[:max_conds]]
+        cond = [u for u in dict.fromkeys(cond) if u not in (j, v)]
+        p = fisher_p(partial_corr(c, j, v, cond), n, len(cond))
+        if p < alpha_level:
+            out.append((i, t, float(p)))
+    return out
+
+
+LINKS = "incident_id string, effect int, parent int, tau int, p double"
+
+
+def _links_of_incidents(series: DataFrame, tau_max: int, pc_alpha: float, alpha_level: float, max_conds: int | None) -> DataFrame:
+    """The links of incidents of one block: a group holds an incident's series and correlations, and only its links leave it."""
+    lags = 2 * tau_max + 1
+
+    def run(key, pdf):
+        pdf = pdf.sort_values("service_id")
+        ids, z = pdf["service_id"].tolist(), _lagged(np.stack(pdf["vals"].tolist()), tau_max)
+        k, _, n = z.shape
+        out = []
+        if n > 3 * tau_max + 5:
+            flat = z.transpose(1, 0, 2).reshape(lags * k, n)
+            c = flat @ flat.T
+            np.fill_diagonal(c, 1.0)
+            of = {j: _thinned(c, j, k, n, tau_max, pc_alpha, max_conds) for j in range(k)}
+            out = [(*key, ids[j], ids[i], t, p) for j in range(k) for i, t, p in _settled(c, j, k, n, of, alpha_level, max_conds)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LINKS.split(", ")])
+
+    return spread(series, "incident_id").groupBy("incident_id").applyInPandas(run, LINKS)
+
+
 def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, alpha_level: float = 0.01, max_conds: int | None = None, block: int = 16) -> DataFrame:
     """(incident_id, effect, parent, tau, p): time-lagged links by two steps of partial correlation tests.
 
     Each target's lagged candidates are thinned by growing condition sets of its strongest others, of up
     to all others, or of ``max_conds`` if given; the
     rest are tested given the target's and the candidate's own parents.  Lag 0 is left out.  Correlations are
-    summed in blocks of services (``lagged_correlations``, which says what happens to series of different ranges); a target is a
+    summed in blocks of services (``lagged_correlations``, which says what happens to series of different ranges).  An incident of up to
+    ``block`` services is one group, and its correlations stay in it.  In a larger one a target is a
     group of its own, with the correlations of the services that correlate with it at all, then with those of its parents and their parents.
     An incident with 3 tau_max + 5 samples or fewer beyond the lags has no link.
     """
+    packed = cut(pack(metrics))
+    series, many = _shared_range(packed, tau_max), packed.groupBy("incident_id").agg(F.count("*").alias("_k")).where(F.col("_k") > block).select("incident_id")
+    if not many.take(1):
+        return _links_of_incidents(series, tau_max, pc_alpha, alpha_level, max_conds)
+    many = cut(many)
+    few = _links_of_incidents(series.join(many, "incident_id", "left_anti"), tau_max, pc_alpha, alpha_level, max_conds)
+    return few.unionByName(_links_of_targets(series.join(many, "incident_id", "left_semi"), tau_max, pc_alpha, alpha_level, max_conds, block))
+
+
+def _links_of_targets(series: DataFrame, tau_max: int, pc_alpha: float, alpha_level: float, max_conds: int | None, block: int) -> DataFrame:
+    """The links of incidents of several blocks, a group for each target."""
     lags = 2 * tau_max + 1
-    corr = cut(lagged_correlations(metrics, tau_max, block).where(F.col("n") > 3 * tau_max + 5))
+    corr = cut(_block_correlations(series, tau_max, block).where(F.col("n") > 3 * tau_max + 5))
     strongest = F.array_max(F.transform(F.slice("r", 2, tau_max), F.abs))
     tied = corr.where(_fisher_z(strongest, F.col("n")) >= _critical(pc_alpha)).select("incident_id", F.col("x").alias("target"), F.col("y").alias("service_id"))
     need = tied.unionByName(tied.select("incident_id", "target", F.col("target").alias("service_id"))).distinct()
@@ -355,16 +434,8 @@ def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, al
     def thin(pdf):
         inc, target, n = pdf["incident_id"].iloc[0], pdf["target"].iloc[0], int(pdf["n"].iloc[0])
         ids, c = _lag_matrix(pdf, lags)
-        k, j = len(ids), ids.index(target)
-        cand = [t * k + i for t in range(1, tau_max + 1) for i in range(k)]
-        cand.sort(key=lambda v: -abs(c[j, v]))
-        for size in range(len(cand) if max_conds is None else max_conds + 1):
-            if len(cand) <= size:
-                break
-            for v in list(cand):
-                others = [u for u in cand if u != v][:size]
-                if len(others) == size and fisher_p(partial_corr(c, j, v, others), n, size) > pc_alpha:
-                    cand.remove(v)
+        k = len(ids)
+        cand = _thinned(c, ids.index(target), k, n, tau_max, pc_alpha, max_conds)
         return pd.DataFrame([(inc, target, ids[v % k], v // k, pos) for pos, v in enumerate(cand)], columns=["incident_id", "target", "parent", "tau", "pos"])
 
     parents = cut(spread(_among(need, corr), "incident_id", "target").groupBy("incident_id", "target").applyInPandas(thin, "incident_id string, target int, parent int, tau int, pos int"))
@@ -377,19 +448,13 @@ def lagged_links(metrics: DataFrame, tau_max: int = 3, pc_alpha: float = 0.1, al
     def settle(key, pdf, links):
         n = int(pdf["n"].iloc[0])
         ids, c = _lag_matrix(pdf, lags)
-        k, j, out = len(ids), ids.index(key[1]), []
-        of = {s: (np.searchsorted(ids, g["parent"]) + g["tau"] * k).tolist() for s, g in links.sort_values("pos").groupby("service_id")}
-        for v in of[key[1]]:
-            t, i = divmod(v, k)
-            cond = [u for u in of[key[1]] if u != v] + [u + t * k for u in of.get(ids[i], [])[:max_conds]]
-            cond = [u for u in dict.fromkeys(cond) if u not in (j, v)]
-            p = fisher_p(partial_corr(c, j, v, cond), n, len(cond))
-            if p < alpha_level:
-                out.append((key[0], key[1], ids[i], t, float(p)))
+        k = len(ids)
+        of = {ids.index(s): (np.searchsorted(ids, g["parent"]) + g["tau"] * k).tolist() for s, g in links.sort_values("pos").groupby("service_id")}
+        out = [(key[0], key[1], ids[i], t, p) for i, t, p in _settled(c, ids.index(key[1]), k, n, of, alpha_level, max_conds)]
         return pd.DataFrame(out, columns=["incident_id", "effect", "parent", "tau", "p"])
 
     keys = ["incident_id", "target"]
-    return spread(_among(need, corr), *keys).groupBy(*keys).cogroup(spread(_renewed(of), *keys).groupBy(*keys)).applyInPandas(settle, "incident_id string, effect int, parent int, tau int, p double")
+    return spread(_among(need, corr), *keys).groupBy(*keys).cogroup(spread(_renewed(of), *keys).groupBy(*keys)).applyInPandas(settle, LINKS)
 
 
 def partial_correlations(corr: DataFrame, entries: DataFrame, conds: DataFrame) -> DataFrame:
