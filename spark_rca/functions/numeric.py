@@ -87,8 +87,11 @@ def granger_p(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, lag: int)
 
 def granger_stats(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
     """F statistics and their p-values."""
-    gram = granger_grams(rows, starts, ends, lag)
-    n = ends - starts
+    return gram_stats(granger_grams(rows, starts, ends, lag), ends - starts, lag)
+
+
+def gram_stats(gram: np.ndarray, n: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """F statistics and p-values from the stacked Gram matrices of intervals of ``n`` samples, of any number of pairs."""
     own = [*range(1, lag + 1), 2 * lag + 1]
     r, _ = _ssr(gram, own)
     u, rank = _ssr(gram, list(range(1, 2 * lag + 2)))

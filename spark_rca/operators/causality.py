@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from functools import reduce
 from itertools import combinations, islice
 from statistics import NormalDist
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spark_rca.functions.numeric import adf_stack, fisher_p, granger_p, granger_stats, lag_rows, partial_corr
+from spark_rca.functions.numeric import adf_stack, fisher_p, gram_stats, granger_grams, granger_stats, lag_rows, partial_corr
 from spark_rca.operators.blocks import block_pairs, spread
 from spark_rca.operators.lineage import cut
 from spark_rca.operators.prepare import SERIES
@@ -46,7 +47,7 @@ def packed_pairs(metrics: DataFrame) -> DataFrame:
     d = pairs.join(a, ["incident_id", "x"]).join(b, ["incident_id", "y"])
     d = d.withColumn("t0", F.greatest("_a", "_b")).withColumn("_n", F.least(F.col("_a") + F.size("vx"), F.col("_b") + F.size("vy")) - F.col("t0"))
     at = lambda v, own: F.slice(v, (F.col("t0") - F.col(own) + 1).cast("int"), F.col("_n").cast("int")).alias(v)
-    return d.where("_n > 0").select("incident_id", "x", "y", "t0", at("vx", "_a"), at("vy", "_b")).repartition("incident_id", "x", "y")
+    return d.where("_n > 0").select("incident_id", "x", "y", "t0", at("vx", "_a"), at("vy", "_b")).transform(spread, "incident_id", "x", "y")
 
 
 def splits(n: int, step: int) -> list[int]:
@@ -54,18 +55,48 @@ def splits(n: int, step: int) -> list[int]:
     return [i * step for i in range(k)] + [n] if k else []
 
 
+#: A pair of series to be tested: its row, numbers of segments and bounds of its intervals, both series scaled.
+_Pair = namedtuple("_Pair", "row i j s e cx cy")
+
+#: Intervals that are solved together, of one pair or of many short ones.
+STACK = 4096
+
+
 def granger_intervals(metrics: DataFrame, step: int, lag: int, sig: float = 0.1, min_len: int | None = None, max_len: int | None = None, adf: bool = False) -> DataFrame:
     """Tests y <- x on every interval of segments; x <- y where that is significant; optionally stationarity of both.
 
     Any interval's Gram matrix is a difference of prefix sums, so a pair costs one pass over its
-    samples and a stack of small solves.  p_xy is NULL where it was not tested.  With ``adf`` the test
+    samples and its part of a stack of small solves.  p_xy is NULL where it was not tested.  With ``adf`` the test
     runs on y, then x, of one-way intervals, and a p-value over ``sig`` rejects.  An interval is
     accepted if p_yx < sig and p_xy is at least sig.
     """
 
+    def tested(held):
+        """The rows of some pairs, whose intervals are one stack of solves."""
+        cuts = np.cumsum([len(h.s) for h in held])[:-1]
+        length = np.concatenate([h.e - h.s for h in held])
+        p_yx = gram_stats(np.concatenate([granger_grams(lag_rows(h.cy, h.cx, lag), h.s, h.e, lag) for h in held]), length, lag)[1]
+        back, on = np.full(len(length), np.nan), p_yx < sig
+        if on.any():
+            some = [(h, o) for h, o in zip(held, np.split(on, cuts), strict=True) if o.any()]
+            back[on] = gram_stats(np.concatenate([granger_grams(lag_rows(h.cx, h.cy, lag), h.s[o], h.e[o], lag) for h, o in some]), length[on], lag)[1]
+        out = []
+        for h, p, q in zip(held, np.split(p_yx, cuts), np.split(back, cuts), strict=True):
+            r, ok = h.row, (p < sig) & (q >= sig)
+            gate = np.full((2, len(p)), np.nan)
+            done = np.zeros((2, len(p)), bool)
+            for side, v in enumerate((r.vy, r.vx) if adf else ()):
+                done[side] = ok
+                gate[side, ok] = adf_stack(np.asarray(v, float)[: len(h.cx)], h.s[ok], h.e[ok], lag)
+                ok &= ~done[side] | (gate[side] <= sig)
+            for k in np.flatnonzero(~np.isnan(p)):
+                ay, ax = (float(gate[side, k]) if done[side, k] else None for side in (0, 1))
+                out.append((r.incident_id, r.x, r.y, int(h.i[k]), int(h.j[k]), int(r.t0 + h.s[k]), int(r.t0 + h.e[k]), float(p[k]), None if np.isnan(q[k]) else float(q[k]), ay, ax, bool(ok[k])))
+        return out
+
     def run(it):
         for pdf in it:
-            out = []
+            out, held, size = [], [], 0
             for r in pdf.itertuples(index=False):
                 vx, vy = np.asarray(r.vx, float), np.asarray(r.vy, float)
                 n = min(len(vx), len(vy))
@@ -74,24 +105,14 @@ def granger_intervals(metrics: DataFrame, step: int, lag: int, sig: float = 0.1,
                 if not ij or n <= 3 * lag + 1:
                     continue
                 i, j = np.array(ij).T
-                s, e = np.array(at)[i], np.array(at)[j]
                 cx, cy = (v[:n] - v[:n].mean() for v in (vx, vy))
-                cx, cy = cx / (cx.std() or 1), cy / (cy.std() or 1)
-                p_yx = granger_p(lag_rows(cy, cx, lag), s, e, lag)
-                back = np.full(len(s), np.nan)
-                on = p_yx < sig
-                if on.any():
-                    back[on] = granger_p(lag_rows(cx, cy, lag), s[on], e[on], lag)
-                ok = on & (back >= sig)
-                gate = np.full((2, len(s)), np.nan)
-                tested = np.zeros((2, len(s)), bool)
-                for side, v in enumerate((vy, vx) if adf else ()):
-                    tested[side] = ok
-                    gate[side, ok] = adf_stack(v[:n], s[ok], e[ok], lag)
-                    ok &= ~tested[side] | (gate[side] <= sig)
-                for k in np.flatnonzero(~np.isnan(p_yx)):
-                    ay, ax = (float(gate[side, k]) if tested[side, k] else None for side in (0, 1))
-                    out.append((r.incident_id, r.x, r.y, int(i[k]), int(j[k]), int(r.t0 + s[k]), int(r.t0 + e[k]), float(p_yx[k]), None if np.isnan(back[k]) else float(back[k]), ay, ax, bool(ok[k])))
+                held.append(_Pair(r, i, j, np.array(at)[i], np.array(at)[j], cx / (cx.std() or 1), cy / (cy.std() or 1)))
+                size += len(i)
+                if size >= STACK:
+                    out += tested(held)
+                    held, size = [], 0
+            if held:
+                out += tested(held)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TESTS.split(", ")])
 
     return packed_pairs(metrics).mapInPandas(run, TESTS)
@@ -234,22 +255,83 @@ def _separate(work: DataFrame, corr: DataFrame, level: int, alpha: float, stack:
     return spread(work, *keys).groupBy(*keys).cogroup(spread(_renewed(cells), *keys).groupBy(*keys)).applyInPandas(test, SEPARATED)
 
 
-def pc_skeleton(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, max_level: int | None = None, chunk: int = 4096) -> tuple[DataFrame, DataFrame]:
+def _first_separating(m: np.ndarray, edges: list[tuple[int, int, list[int]]], level: int, n: int, limit: float, stack: int = 2048) -> dict[tuple[int, int], tuple[int, ...]]:
+    """Of each edge (src, dst, others) the first set of ``level`` others that separates it; edges without one are left out."""
+    found, live = {}, [(a, b, combinations(others, level)) for a, b, others in edges]
+    while live:
+        most = max(1, stack // len(live))
+        some = [list(islice(sets, most)) for _, _, sets in live]
+        at = np.array([(a, b, *c) for (a, b, _), cs in zip(live, some, strict=True) for c in cs], int)
+        if not len(at):
+            break
+        p = np.linalg.pinv(m[at[:, :, None], at[:, None, :]])
+        d = p[:, 0, 0] * p[:, 1, 1]
+        rho = np.where(d > 0, -p[:, 0, 1] / np.sqrt(np.where(d > 0, d, 1)), 0.0)
+        z = np.arctanh(np.clip(np.abs(rho), 0, 0.9999999)) * np.sqrt(max(n - level - 3, 1))
+        rest = []
+        for edge, cs, hit in zip(live, some, np.split(z < limit, np.cumsum([len(cs) for cs in some])[:-1]), strict=True):
+            if hit.any():
+                found[edge[:2]] = cs[int(np.argmax(hit))]
+            elif len(cs) == most:
+                rest.append(edge)
+        live = rest
+    return found
+
+
+def _skeletons_of_incidents(first: DataFrame, alpha: float, max_level: int | None) -> DataFrame:
+    """(incident_id, src, dst, cond) of incidents that are groups, all levels at once: edges that stay have no cond, separations src < dst."""
+    limit = _critical(alpha)
+
+    def run(key, pdf):
+        ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
+        i, j = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
+        m, up, c = np.eye(len(ids)), i < j, np.nan_to_num(pdf["corr"].to_numpy(float))
+        m[i[up], j[up]] = m[j[up], i[up]] = c[up]
+        near = np.zeros(m.shape, bool)
+        near[i, j] = ~pdf["free"].to_numpy(bool)
+        out, level = [], 1
+        while max_level is None or level <= max_level:
+            of = [np.flatnonzero(x).tolist() for x in near]
+            edges = [(a, b, [x for x in of[a] if x != b]) for a in range(len(ids)) for b in of[a] if len(of[a]) > level]
+            if not edges:
+                break
+            hit = _first_separating(m, edges, level, int(pdf["n"].iloc[0]), limit)
+            for a, b in sorted({(min(e), max(e)) for e in hit}):
+                cond = min(hit[e] for e in ((a, b), (b, a)) if e in hit)
+                near[a, b] = near[b, a] = False
+                out.append((*key, int(ids[a]), int(ids[b]), [int(ids[x]) for x in cond]))
+            level += 1
+        out += [(*key, int(ids[a]), int(ids[b]), None) for a, b in zip(*np.nonzero(near), strict=True)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SEPARATED.split(", ")])
+
+    return spread(first, "incident_id").groupBy("incident_id").applyInPandas(run, SEPARATED)
+
+
+def pc_skeleton(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, max_level: int | None = None, chunk: int = 4096, group: int = 16) -> tuple[DataFrame, DataFrame]:
     """(edges, separations) of the PC skeleton by Gaussian partial correlations.
 
     Edges are (incident_id, src, dst, weight 1), both ways; separations (incident_id, src, dst, cond), src < dst, have a set that each
     removed edge was removed by, of its first ones the least.  Stable version: a level tests every edge against the subsets of each end's
     neighbours at its start, so the order of tests does not matter.  Levels go on until no node has more neighbours than the
-    level, or to ``max_level``.  A level is a join of edges with their subsets, dealt by source node and by ranges of ``chunk`` subsets: the first range
+    level, or to ``max_level``.  An incident of up to ``group`` services is one group, with all its levels.  In larger ones a level is a join of edges with their subsets, dealt by source node and by ranges of ``chunk`` subsets: the first range
     of every edge, then the rest of those that are left.  Only edges and correlations are kept between levels.
     """
     rows = corr.where("x <> y")
     rows = rows.join(samples.select("incident_id", "n"), "incident_id") if isinstance(samples, DataFrame) else rows.withColumn("n", F.lit(samples))
     rows = cut(rows.select("incident_id", "x", "y", "corr", F.col("n").cast("long").alias("n")))
     free = _fisher_z(F.col("corr"), F.col("n")) < _critical(alpha)
-    first = rows.select("incident_id", F.col("x").alias("src"), F.col("y").alias("dst"), "n", free.alias("free"))
-    edges = cut(first.where("NOT free").drop("free"))
+    first = rows.select("incident_id", F.col("x").alias("src"), F.col("y").alias("dst"), "n", free.alias("free"), "corr")
     found = [first.where("free AND src < dst").select("incident_id", "src", "dst", F.array().cast("array<int>").alias("cond"))]
+    many = rows.groupBy("incident_id").agg(F.count_distinct("x").alias("_k")).where(F.col("_k") > group).select("incident_id")
+    some = bool(many.take(1))
+    many = cut(many) if some else many
+    done = cut(_skeletons_of_incidents(first.join(many, "incident_id", "left_anti") if some else first, alpha, max_level))
+    few = done.where("cond IS NULL").select("incident_id", "src", "dst", F.lit(1.0).alias("weight"))
+    found.append(done.where("cond IS NOT NULL"))
+    if not some:
+        return few, reduce(DataFrame.unionByName, found)
+    rows = cut(rows.join(many, "incident_id", "left_semi"))
+    edges = cut(first.join(many, "incident_id", "left_semi").where("NOT free").drop("free", "corr"))
     level = 1
     while max_level is None or level <= max_level:
         near = edges.groupBy("incident_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("near"))
@@ -277,7 +359,7 @@ def pc_skeleton(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, m
         found.append(lost.where("src < dst").groupBy("incident_id", "src", "dst").agg(F.min("cond").alias("cond")))
         edges = cut(edges.join(lost.select("incident_id", "src", "dst"), ["incident_id", "src", "dst"], "left_anti"))
         level += 1
-    return edges.select("incident_id", "src", "dst", F.lit(1.0).alias("weight")), reduce(DataFrame.unionByName, found)
+    return few.unionByName(edges.select("incident_id", "src", "dst", F.lit(1.0).alias("weight"))), reduce(DataFrame.unionByName, found)
 
 
 def pc_graph(corr: DataFrame, samples: int | DataFrame, alpha: float = 0.1, max_level: int | None = None) -> DataFrame:
